@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digest_chats, format_chats
+from .decontaminate import MASKS, contaminated
+from .line_dedup import dedup_lines
 from .packing import pack
 from .store import table
 from .topk import exact_topk
@@ -17,6 +19,25 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP1 = """
+WITH l AS (SELECT doc_id, u.n, u.line FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS s FROM documents),
+  LATERAL (SELECT unnest(s) AS line, unnest(range(len(s))) AS n) u),
+t AS (SELECT doc_id, n, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+k AS (SELECT DISTINCT doc_id, n, unnest(CASE WHEN len(w) < 3 THEN [] WHEN len(w) < 8 THEN [['=', array_to_string(w, ' ')]]
+  ELSE [['<', len(w)::VARCHAR, array_to_string(w[:3 + (len(w) - 2) // 2], ' ')], ['>', len(w)::VARCHAR, array_to_string(w[:3], ' '), array_to_string(w[4 + (len(w) - 2) // 2:], ' ')]] END) AS key FROM t),
+r AS (SELECT key, min(doc_id) AS least FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT DISTINCT doc_id, n FROM k JOIN r USING (key) WHERE doc_id > least)
+SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN (SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL) AS kept
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id) c ON d.doc_id = c.doc_id
+"""
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -31,6 +52,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _seeds_sql(name: str, key: str) -> str:
+    seeds = ", ".join(f"['{n}', " + ", ".join(f"w[p + {i + 1}]" for i, bit in enumerate(mask) if bit == "1") + "]" for n, mask in enumerate(MASKS))
+    return f"""{name}_w AS (SELECT {key}, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM {name} WHERE text IS NOT NULL),
+{name}_p AS (SELECT {key}, w, unnest(range(len(w) - {len(MASKS[0]) - 1})) AS p FROM {name}_w WHERE len(w) >= {len(MASKS[0])}),
+{name}_s AS (SELECT {key}, w, p, unnest([{seeds}]) AS seed FROM {name}_p)"""
+
+
+OP6 = f"""
+WITH {_seeds_sql("documents", "doc_id")}, {_seeds_sql("benchmark", "item_id")},
+h AS (SELECT d.doc_id, b.item_id, d.w, b.w AS v, d.p, b.p AS j, least(len(b.w), 20) AS need, least(b.p, d.p, 10) AS l, least(len(b.w) - b.p - 10, len(d.w) - d.p - 10, 10) AS r
+  FROM documents_s d JOIN benchmark_s b ON d.seed = b.seed),
+s AS (SELECT DISTINCT doc_id, item_id, need, l + 10 + r AS width, list_transform(range(l + 10 + r), lambda i: CASE WHEN w[p - l + i + 1] = v[j - l + i + 1] THEN 1 ELSE 0 END) AS same FROM h WHERE l + 10 + r >= need),
+m AS (SELECT doc_id, item_id, need, list_max(list_transform(range(width - need + 1), lambda i: list_sum(same[i + 1:i + need]))) AS matched FROM s)
+SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(max(need) AS INTEGER) AS compared FROM m WHERE matched >= ceil(need * 0.8) GROUP BY doc_id, item_id
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -63,5 +105,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-QUERIES = {"op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
-ORACLES = {"op3_topk": OP3, "op9_chat": OP9}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_decontaminate": op6_decontaminate, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
+ORACLES = {"op1_line_dedup": OP1, "op6_decontaminate": OP6, "op3_topk": OP3, "op9_chat": OP9}
