@@ -46,20 +46,40 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 
 class WordIds:
-    """Token ids of words, each distinct word encoded once. The tokenizer drops blanks and never joins
-    words across them, so a text's ids are its words' ids in order."""
+    """Token ids of words, each distinct word encoded once. The tokenizer drops blanks, lower-cases, and
+    joins neither words across blanks nor letters with other marks, so a text's ids are its words' ids in order."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids on end, number of ids) of each word. A word of letters alone is one unit with one closing
+        id, so many are encoded as one text and told apart by those."""
+        parts: list[np.ndarray | None] = [None] * len(new)
+        plain = [i for i, x in enumerate(new) if x.isalpha()]
+        blocks = [plain[a : a + 500] for a in range(0, len(plain), 500)]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(new[i] for i in b) for b in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(block) and stops[-1] == len(ids):
+                for i, part in zip(block, np.split(ids, stops[:-1])):
+                    parts[i] = part
+        rest = [i for i, x in enumerate(parts) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+            parts[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
     def of(self, w) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words on end, number of ids of each word)."""
         distinct, sample, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -70,10 +90,9 @@ class WordIds:
         inside = place < len(self.known)
         new[inside] = self.known[place[inside]] != distinct[inside]
         if new.any():
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.text(i).decode() for i in sample[new]], add_special_tokens=False)]
-            count = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(count.sum()))
-            at = len(self.first) + np.arange(len(got))
+            whole = w.data.tobytes()
+            flat, count = self.encode([whole[a:b].decode() for a, b in zip(w.first[sample[new]].tolist(), w.last[sample[new]].tolist())])
+            at = len(self.first) + np.arange(len(count))
             self.first = np.r_[self.first, len(self.ids) + np.cumsum(count) - count]
             self.count, self.ids = np.r_[self.count, count], np.r_[self.ids, flat]
             known, at = np.r_[self.known, distinct[new]], np.r_[self.at, at]
@@ -97,7 +116,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         encoder = _CACHE["ids"]
         for batch in batches:
             for part in slices(batch):
-                w = words(part.column("text"))
+                w = words(part.column("text"), lower="<|", cut=True)
                 flat, count = encoder.of(w)
                 total = np.r_[0, np.cumsum(count)][w.doc]
                 rows: list[tuple] = []

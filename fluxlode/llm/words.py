@@ -20,6 +20,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+KIND = np.full(256, 8, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[[ord(c) for c in ".,!?;:"]] = 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,9 +86,10 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         begin = end
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
+def words(column: pa.Array, lower: bool | str = False, cut: bool = False) -> Words:
+    """lower: A-Z are lower-cased; a string: unless it occurs. cut: also between an ASCII letter and .,!?;: marks."""
     data, at = buffers(column)
-    if lower:
+    if lower and not (isinstance(lower, str) and lower.encode() in data.tobytes()):
         data = LOWER[data]
     n = len(data)
     edge = np.ones(n + 1, bool)  # a blank or a row's end stands before this byte
@@ -93,11 +97,17 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     solid[1:-1] = ~SPACE[data]
     edge[1:n] = solid[1:n] == 0
     edge[at] = True
+    if cut and n > 1:
+        kind = KIND[data]
+        turn = np.r_[False, kind[1:] + kind[:-1] == 3]  # 1: letter, 2: mark, 8: anything else
+        edge[:n] |= turn
     inner = solid[1:-1].astype(bool)
     first = np.flatnonzero(inner & edge[:-1])
     closes = np.ones(n + 1, bool)
     closes[:n] = ~inner
     closes[at] = True
+    if cut and n > 1:
+        closes[:n] |= turn
     last = np.flatnonzero(inner & closes[1:]) + 1
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
