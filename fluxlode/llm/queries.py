@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import digest_chats, format_chats
 from .decontaminate import MASKS, contaminated
+from .jaccard import jaccard_components
 from .line_dedup import dedup_lines
 from .packing import pack
 from .store import table
@@ -52,6 +53,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP5 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id, doc_id AS t FROM s UNION SELECT c.doc_id, p.b FROM c JOIN p ON c.t = p.a)
+SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(c.t) AS component_id FROM s JOIN c ON s.doc_id = c.doc_id GROUP BY s.doc_id
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -105,5 +123,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_decontaminate": op6_decontaminate, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
-ORACLES = {"op1_line_dedup": OP1, "op6_decontaminate": OP6, "op3_topk": OP3, "op9_chat": OP9}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
+ORACLES = {"op1_line_dedup": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op3_topk": OP3, "op9_chat": OP9}
