@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: 1: the token counts, 0: any token may stand there.
 MASKS = ("1101110111", "1110011011", "1011101101")
 BROADCAST_ROWS = 1_000_000
+PIECE = 1024
 
 
 def tokens(text: Column) -> Column:
@@ -16,10 +17,17 @@ def tokens(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def _seeds(df: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """A row for each mask at each position `at` of the token hashes `h`, with the hash of the tokens that count."""
+def _seeds(df: DataFrame, masks: tuple[str, ...], reach: int, *keep: str) -> DataFrame:
+    """A row for each mask at each position of the token hashes `h`, with the hash of the tokens that count.
+
+    Texts go in pieces of PIECE positions with `reach` more tokens at both ends, so no row carries a long text.
+    h: the piece's tokens, at: the position in it."""
     span = len(masks[0])
-    at = df.filter(F.size("h") >= span).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("at"))
+    begin = F.greatest(F.col("c") - reach, F.lit(0))
+    pieces = df.select(*keep, "h", F.explode(F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span, F.lit(PIECE)))).alias("c"))
+    pieces = pieces.select(*keep, F.slice("h", begin + 1, F.col("c") - begin + PIECE + span + reach).alias("h"), (F.col("c") - begin).alias("c"))
+    last = F.least(F.col("c") + PIECE - 1, F.size("h") - span)
+    at = pieces.select(*keep, "h", F.explode(F.sequence("c", last)).alias("at"))
     seeds = [F.xxhash64(F.lit(n), *[F.get("h", F.col("at") + i) for i, bit in enumerate(mask) if bit == "1"]) for n, mask in enumerate(masks)]
     return at.select(*keep, "h", "at", F.explode(F.array(*seeds)).alias("seed"))
 
@@ -38,20 +46,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     span = len(masks[0])
     assert all(len(m) == span for m in masks)
     hashed = lambda df, key: df.select(F.col(key).alias("key"), F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h")).filter(F.col("key").isNotNull())
-    items = _seeds(hashed(benchmark, "item_id"), masks, "key").select(F.col("key").alias("item_id"), F.col("h").alias("ih"), F.col("at").alias("j"), "seed")
+    items = _seeds(hashed(benchmark, "item_id"), masks, window - span, "key").select(F.col("key").alias("item_id"), F.col("h").alias("ih"), F.col("at").alias("j"), "seed")
     small = items.count() <= BROADCAST_ROWS
-    seeds = _seeds(hashed(docs, "doc_id"), masks, "key").select(F.col("key").alias("doc_id"), "h", F.col("at").alias("p"), "seed")
+    seeds = _seeds(hashed(docs, "doc_id"), masks, window - span, "key").select(F.col("key").alias("doc_id"), "h", F.col("at").alias("p"), "seed")
     hits = seeds.join(F.broadcast(items) if small else items.hint("merge"), "seed")
     size, isize, reach = F.size("h"), F.size("ih"), F.lit(window - span)
     need = F.least(isize, F.lit(window))
     left = F.least("j", "p", reach)
     right = F.least(isize - F.col("j") - span, size - F.col("p") - span, reach)
     width = left + span + right
-    near = hits.select("doc_id", "item_id", need.alias("need"), F.slice("h", F.col("p") - left + 1, width).alias("a"), F.slice("ih", F.col("j") - left + 1, width).alias("b")).filter(width >= need)
-    near = near.select("doc_id", "item_id", "need", F.zip_with("a", "b", lambda x, y: (x == y).cast("int")).alias("same"))
-    near = near.filter(F.aggregate("same", F.lit(0), lambda s, x: s + x) >= F.ceil(F.col("need") * share))
+    same = F.zip_with(F.slice("h", F.col("p") - left + 1, width), F.slice("ih", F.col("j") - left + 1, width), lambda x, y: (x == y).cast("int"))
+    near = hits.select("doc_id", "item_id", need.alias("need"), F.explode(F.when(width >= need, F.array(same))).alias("same"))  # explode keeps this out of the join's condition
+    least = F.ceil(F.col("need") * share)
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("need") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("need")), F.lit(0), lambda n, x: n + x))
-    best = near.select("doc_id", "item_id", "need", F.array_max(sums).alias("matched")).filter(F.col("matched") >= F.ceil(F.col("need") * share))
+    best = near.filter(F.aggregate("same", F.lit(0), lambda s, x: s + x) >= least).select("doc_id", "item_id", "need", F.array_max(sums).alias("matched")).filter(F.col("matched") >= least)
     return best.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("need").alias("compared"))
 
 
