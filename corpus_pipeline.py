@@ -1,8 +1,61 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 
-STAGES = []
+All stages but the last return the columns of documents; its last returns pieces of packed sequences.
+Run on a cluster, each stage's result is written to the shared folder and reread (see run).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fluxlode.llm.decontaminate import decontaminate
+from fluxlode.llm.jaccard import jaccard_components
+from fluxlode.llm.line_dedup import dedup_lines
+from fluxlode.llm.packing import pack
+from fluxlode.llm.quality import Resampling
+from fluxlode.llm.queries import tokenizer_path
+from fluxlode.llm.store import table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling selects."""
+    return Resampling(docs, table(spark, sf_dir, "labels")).documents()
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of recurring templates; n_chars follows the text. No document goes."""
+    out = dedup_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each component at a similarity of 0.8 of five-word shingles; rows of
+    a null doc_id stay, and of rows that repeat a doc_id all or none."""
+    found = jaccard_components(docs, k=5, num=80, den=100)
+    late = found.filter("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(late, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_classifier", quality), ("line_dedup", line_dedup), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", benchmark), ("packing", packing)]
+
+#: The quality stage's smoothed ratios, the components of large groups and first-fit can't be put into SQL; tests/llm
+#: holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .words import slices, words
+from .words import KIND, slices, words
 
 CAPACITY = 2048
 GROUP = 4096
@@ -116,7 +116,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         encoder = _CACHE["ids"]
         for batch in batches:
             for part in slices(batch):
-                w = words(part.column("text"), lower="<|", cut=True)
+                w = words(part.column("text"), lower="<|", cut=KIND)
                 flat, count = encoder.of(w)
                 total = np.r_[0, np.cumsum(count)][w.doc]
                 rows: list[tuple] = []

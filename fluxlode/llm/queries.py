@@ -10,6 +10,7 @@ from .decontaminate import MASKS, contaminated
 from .jaccard import jaccard_components
 from .line_dedup import dedup_lines
 from .packing import pack
+from .quality import Resampling
 from .store import table
 from .topk import exact_topk
 
@@ -39,6 +40,10 @@ FROM documents d LEFT JOIN (SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).selected()
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -123,5 +128,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op2_quality": op2_quality, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
 ORACLES = {"op1_line_dedup": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op3_topk": OP3, "op9_chat": OP9}

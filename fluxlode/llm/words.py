@@ -23,6 +23,9 @@ LOWER[65:91] += 32
 KIND = np.full(256, 8, np.uint8)
 KIND[[*range(65, 91), *range(97, 123)]] = 1
 KIND[[ord(c) for c in ".,!?;:"]] = 2
+#: The same with every ASCII mark as a mark, and digits and other scripts as letters.
+MARKS = np.full(256, 1, np.uint8)
+MARKS[:128] = [1 if chr(c).isalnum() else 8 if c <= 32 else 2 for c in range(128)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,8 +89,8 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         begin = end
 
 
-def words(column: pa.Array, lower: bool | str = False, cut: bool = False) -> Words:
-    """lower: A-Z are lower-cased; a string: unless it occurs. cut: also between an ASCII letter and .,!?;: marks."""
+def words(column: pa.Array, lower: bool | str = False, cut: np.ndarray | None = None) -> Words:
+    """lower: A-Z are lower-cased; a string: unless it occurs. cut: KIND or MARKS, words also end between a letter and a mark."""
     data, at = buffers(column)
     if lower and not (isinstance(lower, str) and lower.encode() in data.tobytes()):
         data = LOWER[data]
@@ -97,8 +100,8 @@ def words(column: pa.Array, lower: bool | str = False, cut: bool = False) -> Wor
     solid[1:-1] = ~SPACE[data]
     edge[1:n] = solid[1:n] == 0
     edge[at] = True
-    if cut and n > 1:
-        kind = KIND[data]
+    if cut is not None and n > 1:
+        kind = cut[data]
         turn = np.r_[False, kind[1:] + kind[:-1] == 3]  # 1: letter, 2: mark, 8: anything else
         edge[:n] |= turn
     inner = solid[1:-1].astype(bool)
@@ -106,7 +109,7 @@ def words(column: pa.Array, lower: bool | str = False, cut: bool = False) -> Wor
     closes = np.ones(n + 1, bool)
     closes[:n] = ~inner
     closes[at] = True
-    if cut and n > 1:
+    if cut is not None and n > 1:
         closes[:n] |= turn
     last = np.flatnonzero(inner & closes[1:]) + 1
     up, down = _powers(n + 1)
