@@ -6,7 +6,7 @@
    the OR of their sets' token bitmaps and the range of their sizes; it is joined with itself by dual
    traversal, which drops a pair of nodes if their largest possible overlap is too small. Surviving pairs
    are checked exactly, unless links found before already join them.
-3. Of components with several chunks, a few members of each larger linked group meet in further chunks,
+3. The chunks of a component are joined with one another. Of components with many chunks, a few members of each larger linked group meet in further chunks,
    which joins the groups. What is still outside its component's largest group is then joined with every
    chunk, so all pairs have been compared or joined; a large group of copies costs its size, not its square.
 """
@@ -27,8 +27,10 @@ from .store import written
 from .words import slices, words
 
 NUM, DEN = 90, 100
-CHUNK = 512
-SHINGLES = 2_000_000
+CHUNK = 2048
+SHINGLES = 6_000_000
+#: From so many chunks on, a component's groups are joined first.
+MANY = 8
 ENVOYS = 4
 
 
@@ -196,8 +198,13 @@ def similar_classes(docs: DataFrame, k: int = 3, num: int = NUM, den: int = DEN,
     texts = near.join(text, "doc_id").select("cls", "text").mapInArrow(_members(k), "cls long, h array<long>")
     members = written(texts.dropDuplicates(["cls"]).join(near, "cls").select("cls", "comp", "parts", "part", "n", "h"), "members")
     links = written(members.groupBy("comp", "part").applyInPandas(_join_chunk(num, den), LINKS), "chunk-links")
-    large = members.filter("parts > 1")
-    if not large.head(1):
+    deal = [r.parts for r in parts.filter("parts > 1").select(F.least("parts", F.lit(MANY)).alias("parts")).distinct().collect()]
+    if any(n < MANY for n in deal):
+        pairs = members.filter(F.col("parts").between(2, MANY - 1)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("q <> part")
+        pairs = pairs.select("cls", "h", F.col("cls").alias("grp"), "comp", F.least("q", "part").alias("l"), F.greatest("q", "part").alias("r"), (F.col("part") > F.col("q")).cast("int").alias("side"))
+        links = links.union(written(pairs.groupBy("comp", "l", "r").applyInPandas(_join_across(num, den), LINKS), "pair-links"))
+    large = members.filter(F.col("parts") >= MANY)
+    if MANY not in deal:
         return digests, links
     named = written(_grouped(links, large.select("cls", "comp", "part", "n")), "groups")
     envoys = named.withColumn("size", F.count("*").over(Window.partitionBy("comp", "part", "grp"))).filter(F.col("size") >= 2 * ENVOYS)

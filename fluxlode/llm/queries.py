@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import digest_chats, format_chats
 from .decontaminate import MASKS, contaminated
 from .jaccard import jaccard_components
+from .langid import identify_languages
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality import Resampling
@@ -58,6 +59,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -128,5 +133,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op2_quality": op2_quality, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_langid": op4_langid, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op2_quality": op2_quality, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
 ORACLES = {"op1_line_dedup": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op3_topk": OP3, "op9_chat": OP9}

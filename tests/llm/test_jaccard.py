@@ -32,8 +32,9 @@ def family(rng, base, copies, changes):
     return out
 
 
-@pytest.mark.parametrize("chunk,most", [(512, 2_000_000), (6, 2_000_000), (512, 900)])
-def test_components_equal_brute_force(spark, docs_of, chunk, most):
+@pytest.mark.parametrize("chunk,most,many", [(512, 2_000_000, 8), (6, 2_000_000, 2), (12, 2_000_000, 8), (512, 900, 4)])
+def test_components_equal_brute_force(spark, docs_of, monkeypatch, chunk, most, many):
+    monkeypatch.setattr("fluxlode.llm.jaccard.MANY", many)
     rng = np.random.default_rng(3)
     texts = [None, "", "  \n", "one", "ONE", "one two", "one  two", "a b c", "A b\tc", "a b c d"]
     for size, copies, changes in ((9, 6, 1), (12, 10, 1), (30, 12, 2), (90, 30, 6), (200, 25, 9)):
