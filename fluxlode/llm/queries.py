@@ -10,6 +10,7 @@ from .decontaminate import MASKS, contaminated
 from .jaccard import jaccard_components
 from .langid import identify_languages
 from .line_dedup import dedup_lines
+from .lm_score import score_documents
 from .packing import pack
 from .quality import Resampling
 from .store import table
@@ -133,5 +134,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_langid": op4_langid, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op2_quality": op2_quality, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_langid": op4_langid, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op2_quality": op2_quality, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat, "op10_lm_score": op10_lm_score}
 ORACLES = {"op1_line_dedup": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op3_topk": OP3, "op9_chat": OP9}
