@@ -110,7 +110,7 @@ class Model:
         np.add.at(grads["x"], x.ravel(), later.reshape(-1, 3 * n))
         return -float(logp.sum()), grads, last
 
-    def fit(self, texts: list[np.ndarray], lanes: int = 32, window: int = 16, rate: float = 0.1, passes: int = 1) -> None:
+    def fit(self, texts: list[np.ndarray], lanes: int = 32, window: int = 16, rate: float = 0.05, passes: int = 1) -> None:
         squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
         for _ in range(passes):
             x, y, start, _ = lay_out(texts, lanes, int(self.bounds[-1]) + 1)

@@ -77,5 +77,5 @@ def test_scores_equal_brute_force_counts(spark, docs_of):
             assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
             assert r.score < 0
         held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 200]
-        assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.05
+        assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.15  # independent words: there is nothing to gain
     assert score_documents(df.limit(0)).collect() == []
