@@ -110,19 +110,23 @@ class Model:
         np.add.at(grads["x"], x.ravel(), later.reshape(-1, 3 * n))
         return -float(logp.sum()), grads, last
 
-    def fit(self, texts: list[np.ndarray], lanes: int = 32, window: int = 16, rate: float = 0.05, passes: int = 1) -> None:
-        squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+    def fit(self, texts: list[np.ndarray], lanes: int = 16, window: int = 16, rate: float = 0.01, passes: int = 1) -> None:
+        """Adam over windows of the texts; the state goes on, gradients end at the window's first token."""
+        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        step = 0
         for _ in range(passes):
             x, y, start, _ = lay_out(texts, lanes, int(self.bounds[-1]) + 1)
             h = np.zeros((x.shape[1], self.hidden), np.float32)
             for a in range(0, len(x), window):
                 part = slice(a, a + window)
                 _, grads, h = self.gradients(x[part], y[part], start[part], h)
-                size = max((y[part] >= 0).sum(), 1)
+                step += 1
+                pace = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, g in grads.items():
-                    g = np.clip(g / size, -0.1, 0.1)
-                    squares[k] += g * g
-                    self.p[k] -= rate * g / np.sqrt(squares[k])
+                    g /= max((y[part] >= 0).sum(), 1)
+                    first[k] += 0.1 * (g - first[k])
+                    second[k] += 0.001 * (g * g - second[k])
+                    self.p[k] -= pace * first[k] / (np.sqrt(second[k]) + 1e-6)
 
     def score(self, texts: list[np.ndarray], lanes: int = 256, window: int = WINDOW) -> np.ndarray:
         """Natural log probability of each whole text; the state goes on from window to window."""
