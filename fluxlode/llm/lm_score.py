@@ -154,7 +154,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, known: int =
     sample = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * min(1.0, fit_docs / max(n_train, 1)))
     sample = sample.select("text", F.xxhash64("doc_id", F.lit(12)).alias("o")).repartition(1).sortWithinPartitions("o", "text").select("text")
     got = sample.mapInArrow(_train(sent, other_n, fit_tokens), "model binary").collect()
-    model = spark.sparkContext.broadcast(pickle.loads(bytes(got[0].model)))
+    model = pickle.loads(bytes(got[0].model)) if got else Model(classes_of(lexicon.head_counts), counts=np.r_[lexicon.head_counts, other_n])
+    model = spark.sparkContext.broadcast(model)
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, shares double, others long, other_shares double, neural double, rare array<long>"
     scored = written(base.mapInArrow(_score(sent, model), schema), "scored")
     rare = scored.select("rid", F.explode("rare").alias("token")).join(counts, "token")
