@@ -14,6 +14,7 @@ from .lm_score import score_documents
 from .packing import pack
 from .quality import Resampling
 from .store import table
+from .substring_dedup import dedup_substrings
 from .topk import exact_topk
 
 
@@ -106,6 +107,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8 = f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM w WHERE len(w) >= 20)),
+l AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM p) WHERE r > 1),
+g AS (SELECT DISTINCT doc_id, i + j AS n FROM l, range(20) t(j)),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS n FROM w),
+k AS (SELECT e.doc_id, count(g.n) AS gone, string_agg(e.word, ' ' ORDER BY e.n) FILTER (g.n IS NULL) AS kept FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.n = g.n GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "SELECT -1L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(own))
@@ -138,5 +155,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_langid": op4_langid, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op2_quality": op2_quality, "op3_topk": op3_topk, "op7_packing": op7_packing, "op9_chat": op9_chat, "op10_lm_score": op10_lm_score}
-ORACLES = {"op1_line_dedup": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op3_topk": OP3, "op9_chat": OP9}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_langid": op4_langid, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_decontaminate": op6_decontaminate, "op2_quality": op2_quality, "op3_topk": op3_topk, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_chat": op9_chat, "op10_lm_score": op10_lm_score}
+ORACLES = {"op1_line_dedup": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op3_topk": OP3, "op8_substring_dedup": OP8, "op9_chat": OP9}
