@@ -26,7 +26,7 @@ class Bits:
 
 
 class FMIndex:
-    """symbols: 0 (a separator, in no pattern) to 2**BITS-1."""
+    """symbols: 0 (a separator, in no pattern, and the last symbol) to 2**BITS-1."""
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)

@@ -24,12 +24,12 @@ def brute(rows, window):
 
 def test_backward_search_finds_all_repeats():
     rng = np.random.default_rng(1)
-    symbols = rng.integers(1, 5, 500).astype(np.uint8)
+    symbols = np.r_[rng.integers(1, 5, 500), 0].astype(np.uint8)
     symbols[300:340] = symbols[100:140]
     starts = np.arange(480)
     plain = [s for s in starts if sum(symbols[a : a + 9].tobytes() == symbols[s : s + 9].tobytes() for a in range(492)) > 1]
     assert sorted(FMIndex(symbols).repeated(symbols, starts, 9)[0]) == plain
-    index, c, i = FMIndex(symbols), np.array([0, 1, 2, 3]), np.array([7, 100, 499, 500])
+    index, c, i = FMIndex(symbols), np.array([1, 2, 3, 4]), np.array([7, 100, 499, 501])
     bwt = symbols[index.suffix - 1]
     assert list(index.rank(c, i)) == [int((bwt[:b] == a).sum()) for a, b in zip(c, i)]
 
