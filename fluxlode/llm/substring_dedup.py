@@ -122,7 +122,7 @@ def later_windows(segments: list[np.ndarray], window: int) -> np.ndarray:
 
 def _shard(window: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "own", "start"], kind="stable")
+        rows = rows.drop_duplicates(["doc_id", "own", "start"]).sort_values(["doc_id", "own", "start"], kind="stable")
         parts = [np.asarray(x).view(np.uint64) for x in rows["w"]]
         size = np.array([len(p) for p in parts])
         begin = np.r_[0, np.cumsum(size + 1)]
