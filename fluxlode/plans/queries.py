@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from . import points
+
+QUERIES = dict(points.QUERIES)
+ORACLES = dict(points.ORACLES)
+FLAGSHIP = "f_tmi_by_line"
