@@ -5,7 +5,8 @@
    anchors. Anchors that occur once in the corpus have no repeated window and go no further.
 3. What is around repeated anchors is dealt by anchor to shards. Each builds a compressed FM-index over its runs of words,
    and backward search gives the windows that occur more than once; their words' hashes confirm them, and all but the
-   first are reported. An anchor of very many documents is dealt by whole windows instead, so no shard gathers it.
+   first are reported. A run that a task has seen before goes without its words, and an anchor of very many
+   documents is dealt by whole windows, so no shard gathers a hot passage.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .words import Words, mix, runs, slices, words
 
 WINDOW = 20
 GRAM = 8
-HOT = 1000
+HOT = 50_000
 SHARD_WORDS = 1_500_000
 
 
@@ -59,9 +60,10 @@ def _distinct_anchors(window: int, gram: int):
 
 
 def _segments(window: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("start", pa.int64()), ("w", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("start", pa.int64()), ("upto", pa.int64()), ("w", pa.list_(pa.int64()))])
 
     def run(batches):
+        seen: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             for part in slices(batch):
                 w = words(part.column("text"))
@@ -92,9 +94,21 @@ def _segments(window: int, gram: int):
                 size = end - begin
                 offsets = np.r_[0, np.cumsum(size)]
                 index = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
-                ids, own = part.column("doc_id").take(pa.array(row[first])), part.column("own").take(pa.array(row[first]))
-                values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(w.hash[index].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids, own, pa.array(begin - w.doc[row[first]]), values], schema=schema)
+                mixed = mix(w.hash[index] ^ mix((np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)).astype(np.uint64)))
+                content = mix(np.add.reduceat(mixed, offsets[:-1]) ^ key.view(np.uint64)).tolist()
+                ids, own = part.column("doc_id").to_numpy()[row[first]], part.column("own").to_numpy()[row[first]]
+                start = begin - w.doc[row[first]]
+                # a run equal to one of this task that comes earlier is covered whole and needs no words
+                later = np.zeros(len(first), bool)
+                for n, (c, place) in enumerate(zip(content, zip(ids.tolist(), own.tolist(), start.tolist()))):
+                    if (best := seen.get(c)) is not None and best < place:
+                        later[n] = True
+                    else:
+                        seen[c] = place
+                kept = np.where(later, 0, size)
+                values = w.hash[index[np.repeat(~later, size)]].view(np.int64)
+                values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(own), pa.array(start), pa.array(np.where(later, start + size, 0)), values], schema=schema)
 
     return run
 
@@ -122,7 +136,10 @@ def later_windows(segments: list[np.ndarray], window: int) -> np.ndarray:
 
 def _shard(window: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["doc_id", "own", "start"]).sort_values(["doc_id", "own", "start"], kind="stable")
+        done = rows.loc[rows["upto"] > 0, ["doc_id", "own", "start", "upto"]].rename(columns={"start": "from"})
+        rows = rows[rows["upto"] == 0].drop_duplicates(["doc_id", "own", "start"]).sort_values(["doc_id", "own", "start"], kind="stable")
+        if not len(rows):
+            return done
         parts = [np.asarray(x).view(np.uint64) for x in rows["w"]]
         size = np.array([len(p) for p in parts])
         begin = np.r_[0, np.cumsum(size + 1)]
@@ -132,7 +149,8 @@ def _shard(window: int):
         # runs of neighbouring windows of one document are one row
         new = np.r_[True, (np.diff(out["at"]) != 1) | (np.diff(out["doc_id"]) != 0) | (np.diff(out["own"]) != 0)] if len(out) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        return pd.DataFrame({"doc_id": out["doc_id"].to_numpy()[first], "own": out["own"].to_numpy()[first], "from": out["at"].to_numpy()[first], "upto": np.r_[out["at"].to_numpy()[first[1:] - 1], out["at"].to_numpy()[-1:]] + window})
+        found = pd.DataFrame({"doc_id": out["doc_id"].to_numpy()[first], "own": out["own"].to_numpy()[first], "from": out["at"].to_numpy()[first], "upto": np.r_[out["at"].to_numpy()[first[1:] - 1], out["at"].to_numpy()[-1:]] + window})
+        return pd.concat([done, found])
 
     return run
 
@@ -182,7 +200,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     flagged = written(flagged, "flagged")
     total = flagged.agg(F.sum(F.size("often"))).first()[0] or 0
     shards = max(1, -(-total * (window + window // 2) // shard_words))
-    near = base.select("doc_id", "own", "text").join(flagged, ["doc_id", "own"]).mapInArrow(_segments(window, gram), "key long, doc_id long, own long, start long, w array<long>")
+    near = base.select("doc_id", "own", "text").join(flagged, ["doc_id", "own"]).mapInArrow(_segments(window, gram), "key long, doc_id long, own long, start long, upto long, w array<long>")
     near = near.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     late = near.groupBy("shard").applyInPandas(_shard(window), "doc_id long, own long, from long, upto long")
     late = late.groupBy("doc_id", "own").agg(F.collect_set(F.struct("from", "upto")).alias("gone"))
