@@ -6,13 +6,14 @@
    the OR of their sets' token bitmaps and the range of their sizes; it is joined with itself by dual
    traversal, which drops a pair of nodes if their largest possible overlap is too small. Surviving pairs
    are checked exactly, unless links found before already join them.
-3. The chunks of a component are joined with one another. Of components with many chunks, a few members of each larger linked group meet in further chunks,
+3. A component of several chunks is dealt to cells by size, and each is joined with those of sizes near enough. Of components with many chunks, a few members of each larger linked group meet in further chunks,
    which joins the groups. What is still outside its component's largest group is then joined with every
-   chunk, so all pairs have been compared or joined; a large group of copies costs its size, not its square.
+   cell of near sizes, so all pairs have been compared or joined; a large group of copies costs its size, not its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,17 @@ from pyspark.sql import functions as F
 from .components import components
 from .shingles import fingerprint, lists, sets, signatures
 from .store import written
-from .words import slices, words
+from .words import mix, slices, words
 
 NUM, DEN = 90, 100
 CHUNK = 2048
 SHINGLES = 6_000_000
 #: From so many chunks on, a component's groups are joined first.
 MANY = 8
+#: So many candidates' ids may be broadcast, 56 bytes each.
+BROADCAST_ROWS = 1_000_000
+#: Signatures of a part, about.
+SIGNATURES = 1_000_000
 ENVOYS = 4
 
 
@@ -125,28 +130,80 @@ def tree_links(ids: list[int], members: list[np.ndarray], num: int, den: int, gr
     return out
 
 
-def _digest(k: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sig", pa.list_(pa.int64()))])
+def _digest(k: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
                 found = sets(words(part.column("text"), lower=True), k)
                 cls = [fingerprint(s) if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(cls, pa.int64()), lists([signatures(s, num, den) for s in found])], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(cls, pa.int64())], schema=schema)
 
     return run
 
 
+def _signed(k: int, num: int, den: int, parts: int, most: int = 4_000_000):
+    """Signatures (48 bits of them; more would only spare a few candidates) and classes, 14 bytes a pair, dealt to parts."""
+    schema = pa.schema([("part", pa.int32()), ("pairs", pa.binary())])
+
+    def packed(sig: list, cls: list):
+        s, c = np.concatenate(sig).view(np.uint64), np.concatenate(cls)
+        part = (mix(s) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        raw = np.hstack([s[order].view(np.uint8).reshape(-1, 8)[:, :6], c[order].view(np.uint8).reshape(-1, 8)])
+        edges = np.flatnonzero(np.diff(part[order])) + 1
+        blobs = [x.tobytes() for x in np.split(raw, edges)]
+        return pa.RecordBatch.from_arrays([pa.array(part[order][np.r_[0, edges]]), pa.array(blobs, pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        sig, cls, held = [], [], 0
+        for batch in batches:
+            for part in slices(batch):
+                seen: dict[int, np.ndarray] = {}
+                for s in sets(words(part.column("text"), lower=True), k):
+                    if len(s) and (c := fingerprint(s)) not in seen:
+                        seen[c] = signatures(s, num, den)
+                        sig.append(seen[c])
+                        cls.append(np.full(len(seen[c]), c, np.int64))
+                        held += len(seen[c])
+                if held > most:
+                    yield packed(sig, cls)
+                    sig, cls, held = [], [], 0
+        if held:
+            yield packed(sig, cls)
+
+    return run
+
+
+def _stars(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of each signature's classes to the smallest of them."""
+    raw = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["pairs"]]).reshape(-1, 14)
+    sig = np.zeros((len(raw), 8), np.uint8)
+    sig[:, :6] = raw[:, :6]
+    sig, cls = sig.view(np.uint64).ravel(), np.ascontiguousarray(raw[:, 6:]).view(np.int64).ravel()
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, sig[1:] != sig[:-1]], np.arange(len(sig)), 0))
+    pairs = np.stack([cls, cls[first]], 1)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
+CARRIED = ("cls", "comp", "parts", "part", "band", "n")
+
+
 def _members(k: int):
-    schema = pa.schema([("cls", pa.int64()), ("h", pa.list_(pa.int64()))])
+    schema = pa.schema([*((c, pa.int64()) for c in CARRIED), ("h", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
                 # a row that repeats the doc_id may hold another text
-                found = [(c, s) for c, s in zip(part.column("cls").to_pylist(), sets(words(part.column("text"), lower=True), k)) if len(s) and fingerprint(s) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists([s for _, s in found])], schema=schema)
+                found = sets(words(part.column("text"), lower=True), k)
+                right = np.array([len(s) > 0 and fingerprint(s) == c for c, s in zip(part.column("cls").to_pylist(), found)], bool)
+                kept = part.select(list(CARRIED)).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([*kept.columns, lists([s for s, ok in zip(found, right) if ok])], schema=schema)
 
     return run
 
@@ -156,7 +213,7 @@ LINKS = "a long, b long"
 
 def _join_chunk(num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cls")
+        rows = rows.drop_duplicates("cls").sort_values("cls")
         links = tree_links(rows["cls"].tolist(), [h.view(np.uint64) for h in rows["h"]], num, den, rows["grp"].tolist() if "grp" in rows else None)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -164,17 +221,47 @@ def _join_chunk(num: int, den: int):
 
 
 def _join_across(num: int, den: int):
+    """Rows of side 0 with those of side 1; rows of side 2 with one another."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "cls"])
+        rows = rows.drop_duplicates(["side", "cls"]).sort_values(["side", "cls"])
         cut = int((rows["side"] == 0).sum())
-        if cut in (0, len(rows)):
+        alone = bool((rows["side"] == 2).all())
+        if not alone and cut in (0, len(rows)):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        links = tree_links(rows["cls"].tolist(), [h.view(np.uint64) for h in rows["h"]], num, den, rows["grp"].tolist(), cut)
+        links = tree_links(rows["cls"].tolist(), [h.view(np.uint64) for h in rows["h"]], num, den, rows["grp"].tolist(), None if alone else cut)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _dealt(df: DataFrame, chunk: int, most: int, k: str, cell: str) -> tuple[DataFrame, DataFrame]:
+    """(k of each component and band, df with its cell): classes go to k cells of bounded size."""
+    size = df.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).cast("long").alias(k))
+    return size, df.join(size, ["comp", "band"]).withColumn(cell, F.pmod(F.xxhash64("cls", F.lit(5)), F.col(k)))
+
+
+def _upto(n: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def _bands(df: DataFrame, size: DataFrame, k: str, steps: tuple[int, ...], other: str, cell: str) -> DataFrame:
+    """df with a row for each cell (other, cell) of the bands `steps` away; no set further off can be similar."""
+    near = df.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn(other, F.col("band") + F.col("step"))
+    return near.join(size.select("comp", F.col("band").alias(other), F.col(k).alias("_k")), ["comp", other]).withColumn(cell, _upto("_k")).drop("_k", "step")
+
+
+def _cells(members: DataFrame, chunk: int, most: int) -> DataFrame:
+    """Every cell with itself and with each cell of its own and the next band: rows of (comp, b1, c1, b2, c2)."""
+    size, m = _dealt(members.withColumn("grp", F.col("cls")), chunk, most, "k", "cell")
+    key = ["comp", "b1", "c1", "b2", "c2", "side", "cls", "grp", "h"]
+    left = _bands(m, size, "k", (0, 1), "b2", "c2").withColumn("b1", F.col("band")).withColumn("c1", F.col("cell"))
+    left = left.filter("b1 < b2 or c1 <= c2").withColumn("side", F.when((F.col("b1") == F.col("b2")) & (F.col("c1") == F.col("c2")), 2).otherwise(0))
+    right = _bands(m, size, "k", (0, -1), "b1", "c1").withColumn("b2", F.col("band")).withColumn("c2", F.col("cell"))
+    right = right.filter("b1 < b2 or c1 < c2").withColumn("side", F.lit(1))
+    return left.select(*key).unionByName(right.select(*key))
+
+
 def _grouped(links: DataFrame, members: DataFrame) -> DataFrame:
     """members with grp, the smallest class that links join each with."""
     found = components(links).select(F.col("node").alias("cls"), F.col("component").alias("grp0"))
@@ -185,26 +272,27 @@ def similar_classes(docs: DataFrame, k: int = 3, num: int = NUM, den: int = DEN,
     """((doc_id, n, cls) of every row, links between classes)."""
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = written(text.mapInArrow(_digest(k, num, den), "doc_id long, n long, cls long, sig array<long>"), "digests")
-    signed = digests.filter(F.size("sig") > 0).select("cls", F.explode("sig").alias("s"))
-    shared = signed.groupBy("s").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-    shared = written(shared.select("s", "lo"), "shared")
-    stars = signed.join(shared, "s").filter("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b"))
+    digests = written(text.mapInArrow(_digest(k), "doc_id long, n long, cls long"), "digests")
+    total = digests.agg(F.sum("n")).first()[0] or 0
+    deal = max(1, total * (den - num) // den // SIGNATURES)
+    stars = text.select("text").mapInArrow(_signed(k, num, den, deal), "part int, pairs binary").groupBy("part").applyInPandas(_stars, LINKS)
     near = components(stars).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     one = digests.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("cls", "x.doc_id", "x.n")
     near = written(near.join(one, "cls"), "near")
     parts = near.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).cast("long").alias("parts"))
-    near = near.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    texts = near.join(text, "doc_id").select("cls", "text").mapInArrow(_members(k), "cls long, h array<long>")
-    members = written(texts.dropDuplicates(["cls"]).join(near, "cls").select("cls", "comp", "parts", "part", "n", "h"), "members")
-    links = written(members.groupBy("comp", "part").applyInPandas(_join_chunk(num, den), LINKS), "chunk-links")
-    deal = [r.parts for r in parts.filter("parts > 1").select(F.least("parts", F.lit(MANY)).alias("parts")).distinct().collect()]
-    if any(n < MANY for n in deal):
-        pairs = members.filter(F.col("parts").between(2, MANY - 1)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("q <> part")
-        pairs = pairs.select("cls", "h", F.col("cls").alias("grp"), "comp", F.least("q", "part").alias("l"), F.greatest("q", "part").alias("r"), (F.col("part") > F.col("q")).cast("int").alias("side"))
-        links = links.union(written(pairs.groupBy("comp", "l", "r").applyInPandas(_join_across(num, den), LINKS), "pair-links"))
+    # linked sets differ by one band at most
+    band = F.floor(F.log("n") / (1.0001 * math.log(den / num))).cast("long")
+    near = near.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).withColumn("band", band)
+    ids = near.select("doc_id", *CARRIED)
+    texts = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge"), "doc_id").select(*CARRIED, "text")
+    members = written(texts.mapInArrow(_members(k), ", ".join(f"{c} long" for c in CARRIED) + ", h array<long>"), "members")
+    links = written(members.filter((F.col("parts") == 1) | (F.col("parts") >= MANY)).groupBy("comp", "part").applyInPandas(_join_chunk(num, den), LINKS), "chunk-links")
+    sizes = [r.parts for r in parts.filter("parts > 1").select(F.least("parts", F.lit(MANY)).alias("parts")).distinct().collect()]
+    if any(n < MANY for n in sizes):
+        cells = _cells(members.filter(F.col("parts").between(2, MANY - 1)), chunk, most)
+        links = links.union(written(cells.groupBy("comp", "b1", "c1", "b2", "c2").applyInPandas(_join_across(num, den), LINKS), "cell-links"))
     large = members.filter(F.col("parts") >= MANY)
-    if MANY not in deal:
+    if MANY not in sizes:
         return digests, links
     named = written(_grouped(links, large.select("cls", "comp", "part", "n")), "groups")
     envoys = named.withColumn("size", F.count("*").over(Window.partitionBy("comp", "part", "grp"))).filter(F.col("size") >= 2 * ENVOYS)
@@ -224,15 +312,16 @@ def similar_classes(docs: DataFrame, k: int = 3, num: int = NUM, den: int = DEN,
         if again.count() * 2 > envoys.count():
             break
         envoys = again
-    named = written(_grouped(links, large.select("cls", "comp", "part", "parts", "n")), "groups")
+    named = written(_grouped(links, large.select("cls", "comp", "part", "parts", "band", "n")), "groups")
     sized = named.groupBy("comp", "grp").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"))
-    rest = named.join(sized, "comp").filter("grp <> main").select("cls", "comp", "part", "parts", "grp", "n")
-    deal = rest.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).cast("long").alias("k"))
-    sets_of = large.select("cls", "h")
-    left = rest.join(deal, "comp").select("cls", "comp", "grp", F.pmod(F.xxhash64("cls"), F.col("k")).alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("r"), F.lit(0).alias("side"))
-    right = named.join(deal, "comp").select("cls", "comp", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("l"), F.col("part").alias("r"), F.lit(1).alias("side"))
-    across = left.unionByName(right).join(sets_of, "cls")
-    last = written(across.groupBy("comp", "l", "r").applyInPandas(_join_across(num, den), LINKS), "last-links")
+    rest = named.join(sized, "comp").filter("grp <> main").select("cls", "comp", "grp", "band", "n")
+    outside, rest = _dealt(rest, chunk, most, "k1", "c1")
+    whole, named = _dealt(named, chunk, most, "k2", "c2")
+    key = ["comp", "b1", "c1", "b2", "c2", "side", "cls", "grp"]
+    left = _bands(rest, whole, "k2", (-1, 0, 1), "b2", "c2").withColumn("b1", F.col("band")).withColumn("side", F.lit(0))
+    right = _bands(named, outside, "k1", (-1, 0, 1), "b1", "c1").withColumn("b2", F.col("band")).withColumn("side", F.lit(1))
+    across = left.select(*key).unionByName(right.select(*key)).join(large.select("cls", "h"), "cls")
+    last = written(across.groupBy("comp", "b1", "c1", "b2", "c2").applyInPandas(_join_across(num, den), LINKS), "last-links")
     return digests, links.union(last)
 
 

@@ -1,9 +1,12 @@
 """Sets of word shingles as sorted hashes, and block signatures that any two similar sets share.
 
-Two sets with num*union <= den*intersection differ in at most k = (den-num)(|A|+|B|)/(den+num) shingles.
-Dealt to k+1 blocks by hash, one block at least is the same in both, so the hash of each block's
-content is a signature, and no link is lost. k depends on the sizes, so sizes have bands; a set signs for
-its own band and for those of the larger sets that it may be linked with.
+Two sets with den*intersection >= num*union differ in at most d = (den-num)(|A|+|B|)/(den+num) shingles.
+Dealt to more than d blocks by hash, some block is the same in both, so the hash of each block's content
+is a signature, and no link is lost. d depends on the sizes, so sizes have bands; a set signs for its own
+band and for those of the larger sets that it may be linked with.
+
+A block that is empty in both says nothing. A set with fewer empty blocks than blocks beyond d shares
+one that isn't empty with any similar set, and doesn't sign its empty ones; the few others do.
 """
 
 from __future__ import annotations
@@ -48,11 +51,16 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     mixed = mix(s)
     for b in range(_band(n)[0], _band(most)[0] + 1):
         hi = int(8.0 * RATIO**b)
-        p = (den - num) * 2 * hi // (den + num) + 1
-        block = (mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(p)).astype(np.int64)
+        d = (den - num) * 2 * hi // (den + num)
+        spare = 1 + d // 12
+        p = d + 1 + spare
+        own = (den - num) * (n + min(most, hi)) // (den + num) + 1 + spare  # so many blocks do for sets of this size
+        block = (mix(s ^ np.uint64(0x5851F42D4C957F2D + b)) % np.uint64(p)).astype(np.int64)
         total = np.zeros(p, np.uint64)
         np.add.at(total, block, mixed)
-        out.append(mix(total + (np.arange(p, dtype=np.uint64) + np.uint64(b << 32)) * np.uint64(0x9E3779B97F4A7C15)))
+        held = np.bincount(block, minlength=p)[:own] > 0
+        signed = mix(total[:own] + (np.arange(own, dtype=np.uint64) + np.uint64(b << 32)) * np.uint64(0x9E3779B97F4A7C15))
+        out.append(signed[held] if own - held.sum() <= spare else signed)
     return np.concatenate(out).view(np.int64)
 
 
