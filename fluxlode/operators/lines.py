@@ -27,14 +27,17 @@ class LineRules:
 
 
 FILE = ["source_file_index"]
-BY_TIME = Window.partitionBy(*FILE).orderBy("t", "point_id")
+
+
+def by_time():
+    return Window.partitionBy(*FILE).orderBy("t", "point_id")
 
 
 def headings(df: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Adds speed_mps, heading_deg (undirected, 0..180) and true_deg by central differences over about lag_seconds."""
-    step = df.select(*FILE, (F.col("t") - F.lag("t").over(BY_TIME)).alias("d")).filter("d > 0").groupBy(*FILE).agg(F.median("d").alias("_d"))
+    step = df.select(*FILE, (F.col("t") - F.lag("t").over(by_time())).alias("d")).filter("d > 0").groupBy(*FILE).agg(F.median("d").alias("_d"))
     near = F.greatest(F.lit(1), F.bround(F.lit(rules.lag_seconds) / F.col("_d")).cast("int"))
-    df = df.join(F.broadcast(step), FILE, "left").withColumn("_lag", F.coalesce(near, F.lit(1))).withColumn("_i", F.row_number().over(BY_TIME))
+    df = df.join(F.broadcast(step), FILE, "left").withColumn("_lag", F.coalesce(near, F.lit(1))).withColumn("_i", F.row_number().over(by_time()))
     # the lag is the file's own number, so the rows at i-lag and i+lag are joined, not taken by a fixed lag()
     place = F.struct("t", "x", "y")
     back = df.select(*FILE, (F.col("_i") + F.col("_lag")).alias("_i"), place.alias("_b"))
@@ -63,8 +66,8 @@ def principal_azimuth(df: DataFrame, keys=()) -> DataFrame:
 def islands(df: DataFrame, on: Column, name: str, most_gap_s: float) -> DataFrame:
     """Adds `name`, the number of the run of rows that share `on`; a run ends where `on` changes or time jumps."""
     df = df.withColumn("_on", F.coalesce(on, F.lit(False)))
-    cut = F.coalesce((F.col("_on") != F.lag("_on").over(BY_TIME)) | (F.col("t") - F.lag("t").over(BY_TIME) > most_gap_s), F.lit(True))
-    return df.withColumn("_cut", cut.cast("int")).withColumn(name, F.sum("_cut").over(BY_TIME)).drop("_cut")
+    cut = F.coalesce((F.col("_on") != F.lag("_on").over(by_time())) | (F.col("t") - F.lag("t").over(by_time()) > most_gap_s), F.lit(True))
+    return df.withColumn("_cut", cut.cast("int")).withColumn(name, F.sum("_cut").over(by_time())).drop("_cut")
 
 
 def group_lines(df: DataFrame, on: Column, rules: LineRules = LineRules(), start_id: int = 0) -> DataFrame:
@@ -91,9 +94,9 @@ def group_lines(df: DataFrame, on: Column, rules: LineRules = LineRules(), start
 def bridge_gaps(df: DataFrame, azimuth: Column, rules: LineRules = LineRules()) -> DataFrame:
     """Joins neighbouring lines of a file across a short gap that keeps to the line: the rows between get the first
     line's id, and so does the second. Whether a gap is bridged depends on its two ends only."""
-    df = df.withColumn("_i", F.row_number().over(BY_TIME)).withColumn("_c", across_track(F.col("x"), F.col("y"), azimuth))
-    step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(BY_TIME), 2) + F.pow(F.col("y") - F.lag("y").over(BY_TIME), 2)), F.lit(0.0))
-    df = df.withColumn("_step", step).withColumn("_path", F.sum("_step").over(BY_TIME))
+    df = df.withColumn("_i", F.row_number().over(by_time())).withColumn("_c", across_track(F.col("x"), F.col("y"), azimuth))
+    step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(by_time()), 2) + F.pow(F.col("y") - F.lag("y").over(by_time()), 2)), F.lit(0.0))
+    df = df.withColumn("_step", step).withColumn("_path", F.sum("_step").over(by_time()))
     end = lambda f: f(F.struct("x", "y", "_c", "_path"), "_i")
     lines = df.filter("line_id >= 0").groupBy(*FILE, "line_id").agg(F.min("_i").alias("lo"), F.max("_i").alias("hi"), end(F.min_by).alias("a"), end(F.max_by).alias("b"))
     w = Window.partitionBy(*FILE).orderBy("lo")
