@@ -26,6 +26,8 @@ KNOWN = 500_000
 HEAD = 4000
 FIT_DOCS = 600
 FIT_TOKENS = 400_000
+#: Tokens scored together, about; the lanes of the recurrent model share them.
+TOGETHER = 2_000_000
 END = np.uint64(0x5EED0E2D5EED0E2D)
 
 
@@ -109,7 +111,17 @@ def _score(lexicon, model):
 
     def run(batches):
         lex, net = lexicon.value, model.value
-        rid = TaskContext.get().partitionId() << 40
+        rid, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+        def scored():
+            texts = [t for _, own in held for t in own]
+            neural = net.score(texts) / math.log(10)
+            at = 0
+            for columns, own in held:
+                columns[8] = neural[at : at + len(own)]
+                at += len(own)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
+
         for batch in batches:
             for part in slices(batch):
                 token, at = tokens(part.column("text"))
@@ -117,14 +129,20 @@ def _score(lexicon, model):
                 row = np.repeat(np.arange(part.num_rows), np.diff(at))
                 total = lambda v: np.bincount(row, weights=v, minlength=part.num_rows)  # noqa: B023, E731
                 share, other = np.where(here, np.log10(count + 1.0), 0.0), number == lex.head
-                texts = [number[a:b] for a, b in zip(at[:-1], at[1:])]
+                number = number.astype(np.int32)
                 rare = np.r_[0, np.cumsum(~here)][at].astype(np.int32)
                 columns = [
                     rid + np.arange(part.num_rows), part.column("doc_id"), part.column("held_out"), np.diff(at), total(here).astype(np.int64), total(share),
-                    total(other).astype(np.int64), total(share * other), net.score(texts) / math.log(10), pa.ListArray.from_arrays(pa.array(rare), pa.array(token[~here].view(np.int64))),
+                    total(other).astype(np.int64), total(share * other), None, pa.ListArray.from_arrays(pa.array(rare), pa.array(token[~here].view(np.int64))),
                 ]
                 rid += part.num_rows
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
+                held.append((columns, [number[a:b] for a, b in zip(at[:-1], at[1:])]))
+                size += len(token)
+                if size > TOGETHER:
+                    yield from scored()
+                    held, size = [], 0
+        if held:
+            yield from scored()
 
     return run
 

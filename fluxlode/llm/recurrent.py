@@ -8,7 +8,7 @@ import numpy as np
 
 HIDDEN = 24
 CLASSES = 64
-WINDOW = 32
+WINDOW = 128
 
 
 def classes_of(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -130,6 +130,8 @@ class Model:
 
     def score(self, texts: list[np.ndarray], lanes: int = 256, window: int = WINDOW) -> np.ndarray:
         """Natural log probability of each whole text; the state goes on from window to window."""
+        longest = max(map(len, texts), default=1)
+        lanes = min(lanes, max(1, sum(map(len, texts)) // max(longest, 1)))  # else most lanes would wait for the longest text
         x, y, start, owner = lay_out(texts, lanes, int(self.bounds[-1]) + 1)
         h, out = np.zeros((x.shape[1], self.hidden), np.float32), np.zeros(len(texts))
         for a in range(0, len(x), window):
@@ -151,7 +153,7 @@ def lay_out(texts: list[np.ndarray], lanes: int, begin: int) -> tuple[np.ndarray
         heapq.heappush(heap, (size + len(texts[i]), lane))
     height = max(size for size, _ in heap)
     shape = (len(texts_of), height)
-    x, y, start, owner = np.full(shape, begin, np.int64), np.full(shape, -1, np.int64), np.zeros(shape, bool), np.zeros(shape, np.int64)
+    x, y, start, owner = np.full(shape, begin, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool), np.zeros(shape, np.int32)
     for lane, own in enumerate(texts_of):
         at = 0
         for i in own:
