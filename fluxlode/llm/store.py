@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,15 +30,27 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back; later failures reread it and don't recompute df."""
+def written(df: DataFrame, name: str, passing: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back; later failures reread it and don't recompute df.
+
+    passing: drop_passing may delete the table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if passing:
+        _TABLES.append(path)
     tidy(spark)
     df.write.parquet(path)
     tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_passing(spark: SparkSession) -> None:
+    """Deletes all passing tables written so far; to be called once what was made from them has been written."""
+    tidy(spark)
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

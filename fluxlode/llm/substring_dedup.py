@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .store import written
+from .store import tidy, written
 from .words import Words, mix, runs, slices, words
 
 WINDOW = 20
 GRAM = 8
 HOT = 50_000
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 
 
 def anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     repeat doc_id and text are one document; of those that share only the doc_id, one comes first by its text's hash.
     A null doc_id comes last. Words and texts are compared by 64-bit hashes.
     """
-    text = F.col("text").cast("string")
+    spark, text = docs.sparkSession, F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"))
     listed = written(base.select("doc_id", "own", "text").mapInArrow(_distinct_anchors(window, gram), "doc_id long, own long, anchors array<long>"), "anchors")
     firsts = written(listed.groupBy("own").agg(F.min("doc_id").alias("first")), "firsts")
@@ -205,6 +205,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     late = near.groupBy("shard").applyInPandas(_shard(window), "doc_id long, own long, from long, upto long")
     late = late.groupBy("doc_id", "own").agg(F.collect_set(F.struct("from", "upto")).alias("gone"))
     late = written(late, "late")
+    del near, one  # with their shuffle files
+    tidy(spark)
     verdict = listed.select("doc_id", "own").distinct().join(firsts, "own").join(late, ["doc_id", "own"], "left")
     verdict = verdict.select("doc_id", "own", (F.col("doc_id") > F.col("first")).alias("copy"), "gone").filter("copy or gone is not null")
     out = base.join(verdict, ["doc_id", "own"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "gone")
