@@ -178,3 +178,22 @@ def suggest_mesh(spacing: float, extent_x: float, extent_y: float, spectral_dept
         if extent_x / cell * extent_y / cell * layers <= most_active:
             return {"cell_size_m": float(cell), "depth_extent_m": float(depth), "n_layers": layers}
         cell *= 1.1
+
+
+def upsample(model: DataFrame, factor: int) -> DataFrame:
+    """(x, y, z, chi) at `factor` times as many steps along rows, columns and layers: each cell sends its value to the finer points of the eight boxes
+    of cells around it; a point with fewer than its eight corners is left out."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))
+    axes = ("row", "col", "layer")
+    m = model.select(*axes, "x", "y", "z", "chi")
+    box = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip((i, j, k), axes)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])).alias("o")
+    sent = m.select("*", box).select(*[(F.col(a) - F.col(f"o.{a}")).alias(f"b_{a}") for a in axes], *[F.col(f"o.{a}").alias(f"o_{a}") for a in axes], "x", "y", "z", "chi")
+    for a in axes:
+        sent = sent.withColumn(f"f_{a}", part)
+    weight = F.lit(1.0)
+    for a in axes:
+        share = F.col(f"f_{a}") / factor
+        weight = weight * F.when(F.col(f"o_{a}") == 1, share).otherwise(1 - share)
+    sent = sent.withColumn("w", weight)
+    keys = [f"{p}_{a}" for p in "bf" for a in axes]
+    return sent.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("x", "y", "z", "chi")]).filter("n = 8").select("x", "y", "z", "chi")

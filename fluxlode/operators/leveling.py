@@ -249,3 +249,31 @@ def repeat_deviation(df: DataFrame, value: str, groups: DataFrame, azimuth: floa
     both = bins.groupBy("grp", "bin").agg(F.avg(F.when(F.col("direction") > 0, F.col("v"))).alias("f"), F.avg(F.when(F.col("direction") < 0, F.col("v"))).alias("r"))
     heading = both.filter("f is not null and r is not null").groupBy("grp").agg(F.avg(F.abs(F.col("f") - F.col("r"))).alias("heading_error"))
     return sigma.join(heading, "grp", "full")
+
+
+def nearest_pair_offset(df: DataFrame, value: str, azimuth: float, spacing: float, quiet: float = 40.0, most_m: float | None = None, points: int = 5) -> DataFrame:
+    """One row (offset, n): median of B minus A over points of neighbouring lines flown in opposite directions, each with the nearest point of the other
+    line; only the quietest share by the range of the values around them counts."""
+    from .spatial import within
+
+    most_m = most_m or 1.5 * spacing
+    w = Window.partitionBy("line_id").orderBy("t", "point_id").rowsBetween(-(points // 2), points // 2)
+    p = df.filter("line_id >= 0").withColumn("_range", F.max(value).over(w) - F.min(value).over(w))
+    order = p.groupBy("line_id", "group").agg(F.avg(across_track(F.col("x"), F.col("y"), F.lit(float(azimuth)))).alias("c"))
+    o = Window.orderBy("c", "line_id")
+    pairs = order.select("line_id", "group", F.lead("line_id").over(o).alias("next_id"), F.lead("group").over(o).alias("next_group")).filter("group <> next_group").select("line_id", "next_id")
+    left = p.join(F.broadcast(pairs), "line_id").select("point_id", "next_id", "x", "y", F.col(value).alias("v"), "group", "_range")
+    right = p.select(F.col("line_id").alias("line2"), F.col("point_id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(value).alias("v2"))
+    best = within(left, right, most_m).filter("line2 = next_id").groupBy("point_id", "group", "v", "_range").agg(F.min_by("v2", F.struct("d", "id2")).alias("v2"))
+    cut = best.agg(F.percentile("_range", quiet / 100).alias("_q"))
+    calm = best.crossJoin(F.broadcast(cut)).filter(F.col("_range") <= F.col("_q"))
+    return calm.agg(F.median(F.when(F.col("group") == "A", F.col("v2") - F.col("v")).otherwise(F.col("v") - F.col("v2"))).alias("offset"), F.count("*").alias("n"))
+
+
+def crossover_lines(cross: DataFrame, ties: DataFrame, least: int = 3) -> DataFrame:
+    """(line_id, shift, slope): the line through each survey line's crossing differences along s, ties' shifts added first; lines with fewer crossings
+    than `least` get their median and no slope."""
+    c = cross.join(F.broadcast(ties.withColumnRenamed("shift", "_t")), "tie_id", "left").withColumn("_d", F.col("delta") + F.coalesce("_t", F.lit(0.0)))
+    g = c.groupBy("line_id").agg(F.count("*").alias("n"), F.regr_slope("_d", "s").alias("_b"), F.regr_intercept("_d", "s").alias("_a"), F.median("_d").alias("_m"))
+    fine = (F.col("n") >= least) & F.col("_b").isNotNull()
+    return g.select("line_id", F.when(fine, F.col("_a")).otherwise(F.col("_m")).alias("shift"), F.when(fine, F.col("_b")).otherwise(0.0).alias("slope"))

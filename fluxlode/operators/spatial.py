@@ -146,3 +146,19 @@ def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
         return out[:-1]
 
     return chain(pts) + chain(pts[::-1])
+
+
+def survey_outline(points: DataFrame, buffer: float, level: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(outline segments (level, ax, ay, bx, by), one row area_m2): edge of what lies within `buffer` of the points, on cells of half that size.
+
+    Only distinct cells are spread, so the work follows the area and not the number of points."""
+    from .gridding import contour_segments
+
+    cell = buffer / 2
+    taken = points.select(F.floor(F.col("x") / cell).alias("col"), F.floor(F.col("y") / cell).alias("row")).distinct()
+    disc = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4]
+    inside = taken.select(F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in disc])).alias("c")).select("c.*").distinct()
+    ring = inside.select(F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in AROUND])).alias("c")).select("c.*").distinct()
+    grid = ring.join(inside.withColumn("value", F.lit(1.0)), ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    grid = grid.withColumn("easting", (F.col("col") + 0.5) * cell).withColumn("northing", (F.col("row") + 0.5) * cell)
+    return contour_segments(grid, [level]), inside.agg((F.count("*") * cell * cell).alias("area_m2"))

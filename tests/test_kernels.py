@@ -218,3 +218,33 @@ def test_certificate():
     assert stats.certificate({})["overall"] == "not_evaluated"
     assert stats.certificate({"sigma_nt": 1.0})["overall"] == "pass"
     assert stats.certificate({"sigma_nt": 1.0, "gap_pct": 50.0})["overall"] == "fail"
+
+
+def test_nearest_pairs_see_the_heading_offset(spark):
+    df = serpentine(spark, [2.0 if i % 2 else -2.0 for i in range(9)]).selectExpr("*", "CASE WHEN line_id % 2 = 0 THEN 'A' ELSE 'B' END AS group")
+    got = leveling.nearest_pair_offset(df, "value", 90.0, 50.0).first()
+    assert abs(got.offset - 4.0) < 1.1 and got.n > 100
+
+
+def test_first_order_crossovers(spark):
+    rows = [(1, k, float(s), 3.0 + 0.01 * s) for k, s in enumerate((0, 100, 200, 300))] + [(2, 0, 0.0, 5.0)]
+    cross = spark.createDataFrame(rows, "line_id int, tie_id int, s double, delta double")
+    ties = spark.createDataFrame([(0, 0.0)], "tie_id int, shift double")
+    got = {r.line_id: (r["shift"], r.slope) for r in leveling.crossover_lines(cross, ties).collect()}
+    assert got[1] == pytest.approx((3.0, 0.01)) and got[2] == (5.0, 0.0)
+
+
+def test_outline_surrounds_the_points(spark):
+    pts = spark.createDataFrame([(float(x), float(y)) for x in range(0, 100, 5) for y in range(0, 50, 5)], "x double, y double")
+    edge, area = spatial.survey_outline(pts, 10.0)
+    got = edge.collect()
+    assert min(r.ax for r in got) < -5 and max(r.ax for r in got) > 100 and 95 * 45 < area.first().area_m2 < 125 * 75
+    ends = [(round(x, 6), round(y, 6)) for r in got for x, y in ((r.ax, r.ay), (r.bx, r.by))]
+    assert all(ends.count(e) == 2 for e in set(ends))  # closed
+
+
+def test_upsampling_is_exact_for_planes(spark):
+    rows = [(r, c, k, c * 10.0, r * 10.0, -k * 5.0, 2.0 * c - r + k) for r in range(3) for c in range(3) for k in range(2)]
+    model = spark.createDataFrame(rows, "row int, col int, layer int, x double, y double, z double, chi double")
+    got = inversion.upsample(model, 4).collect()
+    assert len(got) == 2 * 2 * 1 * 64 and all(abs(p.chi - (0.2 * p.x - 0.1 * p.y - 0.2 * p.z)) < 1e-9 for p in got)
