@@ -20,6 +20,8 @@ LEADING = 3
 GENERAL = 8
 LEAST = 3
 DOCS = 5
+#: Name of an inner column; no table should have it.
+GONE = "__gone_lines"
 
 
 def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -78,7 +80,7 @@ def _drop(columns: list[str]):
         for batch in batches:
             for part in slices(batch):
                 texts, counts, removed = [], [], []
-                for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist()):
+                for text, gone in zip(part.column("text").to_pylist(), part.column(GONE).to_pylist()):
                     lines = text.split("\n") if text else []
                     out = set(gone or ())
                     texts.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text)
@@ -113,8 +115,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = DOCS, leading: int = LEADING, g
     lines = parsed.select("doc_id", "own", F.posexplode(both).alias("line", "t"))
     keyed = lines.select("doc_id", "own", "line", F.explode(F.array_distinct(F.array("t.one", "t.two"))).alias("key")).filter("key <> 0")
     late = keyed.join(often, "key").filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
-    gone = late.groupBy("doc_id", "own").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("own").alias("gone_own"), "gone")
-    joined = docs.withColumn("text", text).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (own == F.col("gone_own")), "left")
+    gone = late.groupBy("doc_id", "own").agg(F.collect_set("line").alias(GONE)).select(F.col("doc_id").alias(f"{GONE}_id"), F.col("own").alias(f"{GONE}_own"), GONE)
+    joined = docs.withColumn("text", text).join(gone, F.col("doc_id").eqNullSafe(F.col(f"{GONE}_id")) & (own == F.col(f"{GONE}_own")), "left")
     schema = spark.createDataFrame([], docs.withColumn("text", text).schema).schema.add("n_lines", "long").add("n_removed", "long")
-    return joined.select(*columns, "gone").mapInArrow(_drop(columns), schema)
+    return joined.select(*columns, GONE).mapInArrow(_drop(columns), schema)
 

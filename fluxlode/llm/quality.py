@@ -22,6 +22,8 @@ LABELLED = 50_000
 PRIOR = 5.0
 ZONE = 1.4
 SEED = 17
+#: Name of an inner column; no table should have it.
+FLAG = "__labelled_good"
 
 
 def features(column: pa.Array, unigrams: int, leads: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,7 @@ def _count(unigrams: int, leads: int):
         for batch in batches:
             for part in slices(batch):
                 bucket, row = features(part.column("text"), unigrams, leads)
-                good = part.column("good").fill_null(0).to_numpy() == 1
+                good = part.column(FLAG).fill_null(0).to_numpy() == 1
                 raw += np.bincount(bucket, minlength=len(raw))
                 target += np.bincount(bucket[good[row]], minlength=len(raw))
         at = np.flatnonzero(raw)
@@ -63,7 +65,7 @@ def _weights(model, part: pa.RecordBatch) -> np.ndarray:
     n-grams of its own weigh nothing; a ratio within `zone` of the usual one (`centre`) is no evidence."""
     raw, target, unigrams, leads, prior, centre, zone = model.value
     bucket, row = features(part.column("text"), unigrams, leads)
-    good = part.column("good").fill_null(0).to_numpy() == 1
+    good = part.column(FLAG).fill_null(0).to_numpy() == 1
     size = len(raw)
     pair, times = np.unique(row * size + bucket, return_counts=True)
     row, bucket = pair // size, pair % size
@@ -99,7 +101,7 @@ def _score(model, seed: int):
             for part in slices(batch):
                 weight = _weights(model, part)
                 key = weight + gumbel(part.column("doc_id").fill_null(-1).to_numpy().astype(np.int64), seed)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), pa.array(weight), pa.array(key)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(FLAG), pa.array(weight), pa.array(key)], schema=schema)
 
     return run
 
@@ -159,10 +161,10 @@ class Resampling:
         spark = docs.sparkSession
         self.docs, self.seed = docs, seed
         known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("known_id"))
-        known = known.agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).cast("int").alias("good"))
+        known = known.agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).cast("int").alias(FLAG))
         self.known = F.broadcast(known.orderBy(F.xxhash64("known_id"), "known_id").limit(labelled))
         own = self.flagged(docs.select("doc_id", "text"))
-        counts = own.select("text", "good").mapInArrow(_count(unigrams, leads), "bucket int, raw long, target long")
+        counts = own.select("text", FLAG).mapInArrow(_count(unigrams, leads), "bucket int, raw long, target long")
         counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
         raw, target = np.zeros(unigrams + leads, np.int64), np.zeros(unigrams + leads, np.int64)
         raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
@@ -183,7 +185,7 @@ class Resampling:
 
     def flagged(self, docs: DataFrame) -> DataFrame:
         text = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
-        return text.join(self.known, text.doc_id == self.known.known_id, "left").select(text["*"], "good")
+        return text.join(self.known, text.doc_id == self.known.known_id, "left").select(text["*"], FLAG)
 
     def selected(self) -> DataFrame:
         """(doc_id, log_weight, key) of the documents kept."""
@@ -193,6 +195,6 @@ class Resampling:
 
     def documents(self) -> DataFrame:
         """The documents kept, with all their columns; they are weighed again where they lie, so no text is shuffled."""
-        columns = [c for c in self.docs.columns if c != "good"]
-        own = self.flagged(self.docs.select(*columns))
+        columns = self.docs.columns
+        own = self.flagged(self.docs)
         return own.mapInArrow(_keep(self.model, self.seed, self.cut, columns), own.select(*columns).schema)

@@ -43,6 +43,8 @@ def test_line_dedup_equals_brute_force(spark, docs_of):
     assert sum(r[3] for r in got) > 20
     assert dedup_lines(docs_of(rows), min_docs=4).columns == ["doc_id", "text", "lang", "source", "n_chars", "hash", "n_lines", "n_removed"]
     assert dedup_lines(docs_of(rows).limit(0)).collect() == []
+    clash = docs_of(rows).withColumnRenamed("hash", "gone").withColumnRenamed("lang", "line").withColumnRenamed("source", "key")
+    assert dedup_lines(clash, min_docs=4).columns[:6] == clash.columns and dedup_lines(clash, min_docs=4).count() == len(rows)
 
 
 def split(text):
@@ -147,7 +149,7 @@ def test_resampling_edges(spark, docs_of):
     odd = docs_of([(None, "w1"), (1, None), (2, ""), (2, "w1 w2"), (3, "junk$$ " * 5000)])
     assert Resampling(odd, labels).selected().count() <= 5
     extra = docs.withColumnRenamed("hash", "good")
-    assert "good" not in Resampling(extra, labels).documents().columns
+    assert Resampling(extra, labels).documents().columns == extra.columns
 
 
 def test_kth_and_cutoff(spark):
