@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 
-All stages but the last return the columns of documents; its last returns pieces of packed sequences.
-Run on a cluster, each stage's result is written to the shared folder and reread (see run).
+All stages but the last return the columns of documents; the last returns pieces of packed sequences.
+A stage's result has to be written before the next stage is called, as run() does: each stage begins by
+deleting the tables that earlier ones left in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from fluxlode.llm.line_dedup import dedup_lines
 from fluxlode.llm.packing import pack
 from fluxlode.llm.quality import Resampling
 from fluxlode.llm.queries import tokenizer_path
-from fluxlode.llm.store import table, written
+from fluxlode.llm.store import drop_passing, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling selects."""
+    drop_passing(spark)
     return Resampling(docs, table(spark, sf_dir, "labels")).documents()
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; n_chars follows the text. No document goes."""
+    drop_passing(spark)
     out = dedup_lines(docs)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
@@ -32,6 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each component at a similarity of 0.8 of five-word shingles; rows of
     a null doc_id stay, and of rows that repeat a doc_id all or none."""
+    drop_passing(spark)
     found = jaccard_components(docs, k=5, num=80, den=100)
     late = found.filter("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
     return docs.join(late, "doc_id", "left_anti").select(*docs.columns)
@@ -39,11 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
+    drop_passing(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
+    drop_passing(spark)
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -57,5 +63,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, passing=False)
     return STAGES[-1][1](spark, docs, sf_dir)

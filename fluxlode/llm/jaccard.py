@@ -28,10 +28,10 @@ from .store import written
 from .words import mix, slices, words
 
 NUM, DEN = 90, 100
-CHUNK = 2048
-SHINGLES = 6_000_000
+CHUNK = 1024
+SHINGLES = 3_000_000
 #: From so many chunks on, a component's groups are joined first.
-MANY = 8
+MANY = 64
 #: So many candidates' ids may be broadcast, 56 bytes each.
 BROADCAST_ROWS = 1_000_000
 #: Signatures of a part, about.
@@ -143,7 +143,7 @@ def _digest(k: int):
     return run
 
 
-def _signed(k: int, num: int, den: int, parts: int, most: int = 4_000_000):
+def _signed(k: int, num: int, den: int, parts: int, most: int = 1_000_000):
     """Signatures (48 bits of them; more would only spare a few candidates) and classes, 14 bytes a pair, dealt to parts."""
     schema = pa.schema([("part", pa.int32()), ("pairs", pa.binary())])
 
