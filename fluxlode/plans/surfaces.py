@@ -21,7 +21,7 @@ def _evened(spark, d):
     return view(spark, d, "survey").withColumn("y", F.abs("y"))
 
 
-EVEN = ctes("survey").replace("s * -5.0", "s * 5.0")
+EVEN = ctes("survey").replace("s * -5.0::DOUBLE", "s * 5.0::DOUBLE")
 
 
 def _profiles(spark, d):
@@ -159,7 +159,8 @@ def nearest_grid(spark, d):
     return gridding.nearest_grid(view(spark, d, "survey"), "mag_raw", 0.0, -300.0, 20, 20, 30.0, 40.0).select("row", "col", r6("value").alias("value"), r6("confidence").alias("confidence"))
 
 
-@query("i_plane_residual", ctes("grid") + f""", s AS (SELECT avg(value) AS v, avg(easting) AS e, avg(northing) AS n, covar_pop(easting, value) / var_pop(easting) AS a, covar_pop(northing, value) / var_pop(northing) AS b FROM grid)
+@query("i_plane_residual", ctes("grid") + f""", s AS (SELECT avg(value) AS v, avg(easting) AS e, avg(northing) AS n, (covar_pop(easting, value) * var_pop(northing) - covar_pop(northing, value) * covar_pop(easting, northing)) / (var_pop(easting) * var_pop(northing) - pow(covar_pop(easting, northing), 2)) AS a,
+  (covar_pop(northing, value) * var_pop(easting) - covar_pop(easting, value) * covar_pop(easting, northing)) / (var_pop(easting) * var_pop(northing) - pow(covar_pop(easting, northing), 2)) AS b FROM grid)
 SELECT row, col, {q6("value - v - a * (easting - e) - b * (northing - n)", 4)} AS residual FROM grid, s""")
 def plane(spark, d):
     return gridding.polynomial_residual(view(spark, d, "grid"), 1).select("row", "col", r6("residual", 4).alias("residual"))

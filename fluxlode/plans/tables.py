@@ -28,7 +28,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ctes(*names: str) -> str:
     import re
 
-    found = [f"{n} AS ({re.sub(r'(?<=[0-9])D', '', VIEWS[n].format(us='epoch_us(ts)'))})" for n in names]
+    found = [f"{n} AS ({re.sub(r'([0-9.]+)D', r'\1::DOUBLE', VIEWS[n].format(us='epoch_us(ts)'))})" for n in names]
     return "WITH " + ", ".join(found)
 
 
