@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlode.llm.decontaminate import decontaminate
-from fluxlode.llm.jaccard import jaccard_components
+from fluxlode.llm.jaccard import BROADCAST_ROWS, jaccard_components
 from fluxlode.llm.line_dedup import dedup_lines
 from fluxlode.llm.packing import pack
 from fluxlode.llm.quality import Resampling
@@ -38,6 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     drop_passing(spark)
     found = jaccard_components(docs, k=5, num=80, den=100)
     late = found.filter("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    late = written(late, "late-copies")
+    late = F.broadcast(late) if late.count() <= BROADCAST_ROWS else late
     return docs.join(late, "doc_id", "left_anti").select(*docs.columns)
 
 

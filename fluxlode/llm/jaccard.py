@@ -221,15 +221,17 @@ def _join_chunk(num: int, den: int):
 
 
 def _join_across(num: int, den: int):
-    """Rows of side 0 with those of side 1; rows of side 2 with one another."""
+    """Rows of side 0 with those of side 1, and, where the rows say so, those of side 0 with one another."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["side", "cls"]).sort_values(["side", "cls"])
         cut = int((rows["side"] == 0).sum())
-        alone = bool((rows["side"] == 2).all())
-        if not alone and cut in (0, len(rows)):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        links = tree_links(rows["cls"].tolist(), [h.view(np.uint64) for h in rows["h"]], num, den, rows["grp"].tolist(), None if alone else cut)
+        ids, sets_, grp = rows["cls"].tolist(), [h.view(np.uint64) for h in rows["h"]], rows["grp"].tolist()
+        links: list[tuple[int, int]] = []
+        if cut and "alone" in rows and rows["alone"].iloc[0]:
+            links += tree_links(ids[:cut], sets_[:cut], num, den, grp[:cut])
+        if 0 < cut < len(rows):
+            links += tree_links(ids, sets_, num, den, grp, cut)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -252,14 +254,21 @@ def _bands(df: DataFrame, size: DataFrame, k: str, steps: tuple[int, ...], other
 
 
 def _cells(members: DataFrame, chunk: int, most: int) -> DataFrame:
-    """Every cell with itself and with each cell of its own and the next band: rows of (comp, b1, c1, b2, c2)."""
-    size, m = _dealt(members.withColumn("grp", F.col("cls")), chunk, most, "k", "cell")
-    key = ["comp", "b1", "c1", "b2", "c2", "side", "cls", "grp", "h"]
-    left = _bands(m, size, "k", (0, 1), "b2", "c2").withColumn("b1", F.col("band")).withColumn("c1", F.col("cell"))
-    left = left.filter("b1 < b2 or c1 <= c2").withColumn("side", F.when((F.col("b1") == F.col("b2")) & (F.col("c1") == F.col("c2")), 2).otherwise(0))
-    right = _bands(m, size, "k", (0, -1), "b1", "c1").withColumn("b2", F.col("band")).withColumn("c2", F.col("cell"))
-    right = right.filter("b1 < b2 or c1 < c2").withColumn("side", F.lit(1))
-    return left.select(*key).unionByName(right.select(*key))
+    """Rows of (comp, b1, c1, b2, c2): every cell with the later ones of its band and with each of the next; the first of these, which is there for all
+    (empty, if need be), also joins the cell with itself."""
+    size, m = _dealt(members.select("cls", "comp", "band", "n").distinct().withColumn("grp", F.col("cls")), chunk, most, "k", "cell")
+    key = ["comp", "b1", "c1", "b2", "c2", "side", "alone", "cls", "grp"]
+    ahead = size.select("comp", (F.col("band") - 1).alias("band"), F.col("k").alias("k2"))
+    first = m.withColumn("b1", F.col("band")).withColumn("c1", F.col("cell")).withColumn("side", F.lit(0))
+    up = first.join(ahead, ["comp", "band"], "left").withColumn("b2", F.col("band") + 1).withColumn("k2", F.coalesce("k2", F.lit(1).cast("long"))).withColumn("c2", _upto("k2")).withColumn("alone", F.col("c2") == 0)
+    level = first.withColumn("b2", F.col("band")).withColumn("c2", _upto("k")).filter("c1 < c2").withColumn("alone", F.lit(False))
+    second = m.withColumn("b2", F.col("band")).withColumn("c2", F.col("cell")).withColumn("side", F.lit(1)).withColumn("alone", F.lit(False))
+    behind = size.select("comp", (F.col("band") + 1).alias("band"), F.col("k").alias("k1"))
+    down = second.join(behind, ["comp", "band"]).withColumn("b1", F.col("band") - 1).withColumn("c1", _upto("k1"))
+    after = second.withColumn("b1", F.col("band")).withColumn("c1", _upto("k")).filter("c1 < c2")
+    rows = up.select(*key).unionByName(level.select(*key)).unionByName(down.select(*key)).unionByName(after.select(*key))
+    # only these narrow rows take part in the joins above; each set is shuffled to them once
+    return rows.join(members.select("cls", "h"), "cls")
 
 
 def _grouped(links: DataFrame, members: DataFrame) -> DataFrame:
