@@ -16,7 +16,7 @@ from .words import KIND, slices, words
 
 CAPACITY = 2048
 GROUP = 4096
-CACHE = 1_000_000
+CACHE = 250_000
 _CACHE: dict = {}
 
 
