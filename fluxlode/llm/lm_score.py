@@ -1,14 +1,18 @@
 """LM scoring of whole documents: a gated recurrent model and a smoothed unigram model.
 
 Counts cover every training token. The most frequent words (at most KNOWN) are broadcast; the rest of the
-count table stays distributed and is joined. The recurrent model predicts the HEAD most frequent words and the
-end itself; any other word has the probability of the model's last class times its smoothed share in that class.
+count table stays distributed and is joined. The recurrent model reads and predicts the HEAD most frequent words and
+the end one by one and all others by bands of their counts: such a word has the probability of its band times its
+smoothed share in it. Words that are not broadcast, unseen ones too, belong to the last band with the rarest.
+
+The weights are fitted to every training document: first to a small sample in one task, then in ROUNDS, each with its
+share of the documents. In a round each partition goes on from the same weights over all its documents, and the
+weights that come out are averaged by their tokens.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +22,21 @@ from pyspark.sql import functions as F
 
 from .langid import fold
 from .quality import kth
-from .recurrent import Model, classes_of
+from .recurrent import CLASSES, Model, classes_of
 from .store import written
 from .words import slices, words
 
 KNOWN = 500_000
-HEAD = 4000
-FIT_DOCS = 600
-FIT_TOKENS = 400_000
+HEAD = 8192
+#: The sample of the first weights.
+FIRST_DOCS = 600
+FIRST_TOKENS = 400_000
+ROUNDS = 3
+#: Tokens fitted together, about, and the numbers in a row of the weights that are averaged.
+FITTED = 500_000
+BLOCK = 8192
+#: Words of fewer occurrences are in the last band.
+RARE = 4
 #: Tokens scored together, about; the lanes of the recurrent model share them.
 TOGETHER = 2_000_000
 END = np.uint64(0x5EED0E2D5EED0E2D)
@@ -61,17 +72,32 @@ def _count(batches):
 
 
 class Lexicon:
-    """The broadcast words: sorted hashes, their counts, and their numbers in the recurrent model (head: none is larger)."""
+    """The broadcast words: sorted hashes, their counts, their numbers in the recurrent model (last: none is larger)
+    and the sizes of their bands. total, distinct: of all words, the others belong to the last band."""
 
-    def __init__(self, token: np.ndarray, count: np.ndarray, head: int):
+    def __init__(self, token: np.ndarray, count: np.ndarray, head: int, total: int, distinct: int):
         rank = np.lexsort((token, -count))
-        number = np.full(len(token), head)
-        number[rank[:head]] = np.arange(min(head, len(token)))
+        self.head = min(head, len(token))
+        self.head_counts, tail = count[rank[: self.head]], count[rank[self.head :]]
+        octave = np.floor(np.log2(np.maximum(tail, 1))).astype(int)
+        bands, band = np.unique(-octave[tail >= RARE], return_inverse=True)
+        band = np.r_[band, np.full(len(tail) - len(band), len(bands))]  # tail goes down, so the rare ones end it
+        self.last = self.head + len(bands)
+        number = np.empty(len(token), np.int64)
+        number[rank] = np.r_[np.arange(self.head), self.head + band]
         order = np.argsort(token, kind="stable")
         self.token, self.count, self.number = token[order], count[order], number[order]
-        self.head = min(head, len(token))
-        self.number[self.number >= self.head] = self.head
-        self.head_counts = count[rank[: self.head]]
+        inner = band < len(bands)
+        self.band_counts = np.bincount(band[inner], weights=tail[inner], minlength=len(bands)).astype(np.int64)
+        self.band_sizes = np.bincount(band[inner], minlength=len(bands))
+        self.other_count = total - int(self.head_counts.sum()) - int(self.band_counts.sum())
+        self.other_size = distinct - self.head - int(self.band_sizes.sum())
+
+    def model(self) -> Model:
+        """The model before it has learned: the words' shares. Bands are classes of one word."""
+        classes = classes_of(self.head_counts, max(CLASSES, math.isqrt(self.head)))
+        counts = np.r_[self.head_counts, self.band_counts, self.other_count]
+        return Model(np.r_[classes, classes[-1] + 1 + np.arange(len(self.band_counts))], counts=counts)
 
     def look_up(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(is it here, its count or 0, its number)."""
@@ -79,31 +105,93 @@ class Lexicon:
             return np.zeros(len(token), bool), np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
         at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
         here = self.token[at] == token
-        return here, np.where(here, self.count[at], 0), np.where(here, self.number[at], self.head)
+        return here, np.where(here, self.count[at], 0), np.where(here, self.number[at], self.last)
 
 
-def _train(lexicon, other: int, fit_tokens: int):
-    """Trains on the texts that come, in their order, until fit_tokens have been seen; the model goes out pickled."""
+def _texts(lex: Lexicon, batches):
+    """The numbers of each text's tokens."""
+    for batch in batches:
+        for part in slices(batch):
+            token, at = tokens(part.column("text"))
+            number = lex.look_up(token)[2].astype(np.int32)
+            yield from (number[a:b] for a, b in zip(at[:-1], at[1:]))
+
+
+def _first(lexicon, fit_tokens: int):
+    """Weights of the texts that come, in their order, until fit_tokens have been seen; they go out in one row."""
 
     def run(batches):
         lex, texts, size = lexicon.value, [], 0
-        for batch in batches:
-            for part in slices(batch):
-                token, at = tokens(part.column("text"))
-                number = lex.look_up(token)[2]
-                for a, b in zip(at[:-1], at[1:]):
-                    if size < fit_tokens:
-                        texts.append(number[a:b])
-                        size += b - a
-        counts = np.r_[lex.head_counts, other]
-        model = Model(classes_of(lex.head_counts), counts=counts)
+        for text in _texts(lex, batches):
+            if size < fit_tokens:
+                texts.append(text)
+                size += len(text)
+        model = lex.model()
         if texts:
             model.fit(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.flat().tobytes()], pa.binary())], names=["weights"])
+
+    return run
+
+
+def _goes_on(lexicon, weights, rate: float):
+    """Fits on to all texts of the partition; BLOCK weights a row go out with the number of tokens seen."""
+
+    def run(batches):
+        lex = lexicon.value
+        model, moments, held, size, seen = lex.model(), {}, [], 0, 0
+        model.set_flat(weights.value)
+
+        def fitted():
+            lanes = min(64, max(1, size // max(map(len, held))))  # else most lanes would wait for the longest text
+            model.fit(held, lanes=lanes, window=32, rate=rate, moments=moments)
+
+        for text in _texts(lex, batches):
+            held.append(text)
+            size, seen = size + len(text), seen + len(text)
+            if size >= FITTED:
+                fitted()
+                held, size = [], 0
+        if held:
+            fitted()
+        if seen:
+            flat, task = model.flat(), TaskContext.get().partitionId()
+            blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
+            k = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([task] * k, pa.int32()), pa.array([seen] * k, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "task", "seen", "weights"])
 
     return run
 
 
+def _mean(rows: pa.Table) -> pa.Table:
+    """A block's mean over tasks, weighted by their tokens, added in the tasks' order."""
+    rows = rows.sort_by("task")
+    total, seen = 0.0, rows.column("seen").to_pylist()
+    for n, own in zip(seen, rows.column("weights")):
+        total = total + n * np.frombuffer(own.as_buffer(), np.float32).astype(np.float64)
+    mean = (total / sum(seen)).astype(np.float32)
+    return pa.table({"block": rows.column("block")[:1], "seen": pa.array([sum(seen)], pa.int64()), "weights": pa.array([mean.tobytes()], pa.binary())})
+
+
+def fitted(train: DataFrame, lexicon, first_docs: int = FIRST_DOCS, first_tokens: int = FIRST_TOKENS, rounds: int = ROUNDS) -> tuple[Model, int]:
+    """(the model fitted to all rows of train (doc_id, text), the tokens it saw after the sample of the first weights)."""
+    spark, model, n_train, saw = train.sparkSession, lexicon.value.model(), train.count(), 0
+    sample = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * min(1.0, first_docs / max(n_train, 1)))
+    sample = sample.select("text", F.xxhash64("doc_id", F.lit(12)).alias("o")).repartition(1).sortWithinPartitions("o", "text").select("text")
+    for row in sample.mapInArrow(_first(lexicon, first_tokens), "weights binary").collect():
+        model.set_flat(np.frombuffer(row.weights, np.float32))
+    for i in range(rounds):
+        sent = spark.sparkContext.broadcast(model.flat())
+        own = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(rounds)) == i).select("text")
+        out = own.mapInArrow(_goes_on(lexicon, sent, 0.01 / (i + 1)), "block int, task int, seen long, weights binary")
+        blocks = sorted(out.groupBy("block").applyInArrow(_mean, "block int, seen long, weights binary").collect(), key=lambda r: r.block)
+        if blocks:
+            model.set_flat(np.concatenate([np.frombuffer(r.weights, np.float32) for r in blocks]))
+            saw += blocks[0].seen
+        sent.unpersist()
+    return model, saw
+
+
 def _score(lexicon, model):
     schema = pa.schema(
         [("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("shares", pa.float64()), ("others", pa.int64()), ("other_shares", pa.float64()), ("neural", pa.float64()), ("rare", pa.list_(pa.int64()))]
@@ -111,6 +199,7 @@ def _score(lexicon, model):
 
     def run(batches):
         lex, net = lexicon.value, model.value
+        sizes = np.log10(np.maximum(lex.band_counts + lex.band_sizes, 1.0))
         rid, held, size = TaskContext.get().partitionId() << 40, [], 0
 
         def scored():
@@ -128,12 +217,15 @@ def _score(lexicon, model):
                 here, count, number = lex.look_up(token)
                 row = np.repeat(np.arange(part.num_rows), np.diff(at))
                 total = lambda v: np.bincount(row, weights=v, minlength=part.num_rows)  # noqa: B023, E731
-                share, other = np.where(here, np.log10(count + 1.0), 0.0), number == lex.head
+                share, other = np.where(here, np.log10(count + 1.0), 0.0), number == lex.last
                 number = number.astype(np.int32)
+                banded = (number >= lex.head) & ~other
+                in_band = np.where(other, share, 0.0)
+                in_band[banded] = share[banded] - sizes[number[banded] - lex.head]
                 rare = np.r_[0, np.cumsum(~here)][at].astype(np.int32)
                 columns = [
                     rid + np.arange(part.num_rows), part.column("doc_id"), part.column("held_out"), np.diff(at), total(here).astype(np.int64), total(share),
-                    total(other).astype(np.int64), total(share * other), None, pa.ListArray.from_arrays(pa.array(rare), pa.array(token[~here].view(np.int64))),
+                    total(other).astype(np.int64), total(in_band), None, pa.ListArray.from_arrays(pa.array(rare), pa.array(token[~here].view(np.int64))),
                 ]
                 rid += part.num_rows
                 held.append((columns, [number[a:b] for a, b in zip(at[:-1], at[1:])]))
@@ -147,14 +239,14 @@ def _score(lexicon, model):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, known: int = KNOWN, head: int = HEAD, fit_docs: int = FIT_DOCS, fit_tokens: int = FIT_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, known: int = KNOWN, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row's whole text.
 
     Tokens are the A-Z lower-cased words and one end; a null text has only the end. Training documents are those
     whose crc32(doc_id) modulo `folds` is not `held` (a null doc_id is held out). base_score is the sum of
-    log10((c+1)/(N+V+1)); score the recurrent model's log10 probability. Counts take all training documents; the
-    recurrent weights are fitted to about fit_docs of them, chosen by hash, up to fit_tokens tokens. With nothing to
-    learn from, both models give each word the same share. Tokens are compared by 64-bit hashes.
+    log10((c+1)/(N+V+1)); score the recurrent model's log10 probability. Counts and the
+    recurrent weights take all training documents, whole; how the input is dealt over partitions has a part in the
+    weights. With nothing to learn from, both models give each word the same share. Tokens are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -165,22 +257,16 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, known: int =
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts if v <= known else counts.filter(F.col("n") > kth(counts, "n", known))
     top = top.toPandas()
-    lexicon = Lexicon(top.token.to_numpy().view(np.uint64), top.n.to_numpy(), head)
-    other_n, other_v = n - int(lexicon.head_counts.sum()), v - lexicon.head
+    lexicon = Lexicon(top.token.to_numpy().view(np.uint64), top.n.to_numpy(), head, n, v)
     sent = spark.sparkContext.broadcast(lexicon)
-    n_train = train.count()
-    sample = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * min(1.0, fit_docs / max(n_train, 1)))
-    sample = sample.select("text", F.xxhash64("doc_id", F.lit(12)).alias("o")).repartition(1).sortWithinPartitions("o", "text").select("text")
-    got = sample.mapInArrow(_train(sent, other_n, fit_tokens), "model binary").collect()
-    model = pickle.loads(bytes(got[0].model)) if got else Model(classes_of(lexicon.head_counts), counts=np.r_[lexicon.head_counts, other_n])
-    model = spark.sparkContext.broadcast(model)
+    model = spark.sparkContext.broadcast(fitted(train, sent)[0])
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, shares double, others long, other_shares double, neural double, rare array<long>"
     scored = written(base.mapInArrow(_score(sent, model), schema), "scored")
     rare = scored.select("rid", F.explode("rare").alias("token")).join(counts, "token")
     rare = rare.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_shares"))
     joined = scored.drop("rare").join(rare, "rid", "left").withColumn("r", F.coalesce("rare_shares", F.lit(0.0)))
     base_score = F.col("shares") + F.col("r") - F.col("n_tokens") * math.log10(n + v + 1)
-    score = F.col("neural") + F.col("other_shares") + F.col("r") - F.col("others") * math.log10(other_n + other_v + 1)
+    score = F.col("neural") + F.col("other_shares") + F.col("r") - F.col("others") * math.log10(lexicon.other_count + lexicon.other_size + 1)
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), score.alias("score")
     )

@@ -107,13 +107,18 @@ class Model:
             inner = np.hstack([later[t][:, : 2 * n], dc * r])
             grads["u"] += h.T @ inner
             d = (d * z + inner @ self.p["u"].T) * ~start[t][:, None]
-        np.add.at(grads["x"], x.ravel(), later.reshape(-1, 3 * n))
+        order = np.argsort(x.ravel(), kind="stable")
+        word, at = np.unique(x.ravel()[order], return_index=True)
+        grads["x"][word] += np.add.reduceat(later.reshape(-1, 3 * n)[order], at)
         return -float(logp.sum()), grads, last
 
-    def fit(self, texts: list[np.ndarray], lanes: int = 16, window: int = 16, rate: float = 0.01, passes: int = 1) -> None:
-        """Adam over windows of the texts; the state goes on, gradients end at the window's first token."""
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        step = 0
+    def fit(self, texts: list[np.ndarray], lanes: int = 16, window: int = 16, rate: float = 0.01, passes: int = 1, moments: dict | None = None) -> None:
+        """Adam over windows of the texts; the state goes on, gradients end at the window's first token.
+        moments: Adam's state of earlier calls, which goes on in this one."""
+        moments = {} if moments is None else moments
+        for n in ("first", "second"):
+            moments.setdefault(n, {k: np.zeros_like(v) for k, v in self.p.items()})
+        first, second, step = moments["first"], moments["second"], moments.get("step", 0)
         for _ in range(passes):
             x, y, start, _ = lay_out(texts, lanes, int(self.bounds[-1]) + 1)
             h = np.zeros((x.shape[1], self.hidden), np.float32)
@@ -127,6 +132,17 @@ class Model:
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.001 * (g * g - second[k])
                     self.p[k] -= pace * first[k] / (np.sqrt(second[k]) + 1e-6)
+        moments["step"] = step
+
+    def flat(self) -> np.ndarray:
+        """All parameters on end."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = values[at : at + v.size].reshape(v.shape).astype(v.dtype)
+            at += v.size
 
     def score(self, texts: list[np.ndarray], lanes: int = 256, window: int = WINDOW) -> np.ndarray:
         """Natural log probability of each whole text; the state goes on from window to window."""

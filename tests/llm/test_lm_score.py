@@ -4,9 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from fluxlode.llm.lm_score import score_documents
+from fluxlode.llm.lm_score import Lexicon, fitted, score_documents, tokens
 from fluxlode.llm.recurrent import Model, classes_of, lay_out
 
 
@@ -79,3 +80,29 @@ def test_scores_equal_brute_force_counts(spark, docs_of):
         held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 200]
         assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.15  # independent words: there is nothing to gain
     assert score_documents(df.limit(0)).collect() == []
+
+
+def test_weights_take_every_training_document(spark, docs_of):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 5 + i % 40) % 300)) for i in range(400)]
+    train = docs_of(rows).select("doc_id", "text").repartition(3)
+    words, times = np.unique(np.concatenate([tokens(pa.array([t]))[0] for _, t in rows]), return_counts=True)
+    total = int(times.sum())
+    top = times >= 2  # the others are not broadcast
+    lexicon = Lexicon(words[top], times[top], 10, total, len(words))
+    model, saw = fitted(train, spark.sparkContext.broadcast(lexicon), first_docs=5, first_tokens=50)
+    assert saw == total
+    texts = [lexicon.look_up(tokens(pa.array([t]))[0])[2] for _, t in rows]
+    assert model.score(texts).sum() > lexicon.model().score(texts).sum()
+
+
+def test_bands_hold_every_word_once():
+    rng = np.random.default_rng(8)
+    token, count = np.arange(1000, dtype=np.uint64) * np.uint64(77), rng.zipf(1.3, 1000).clip(1, 10**6)
+    lexicon = Lexicon(token, count, 20, int(count.sum()) + 50, 1050)
+    number = lexicon.look_up(token)[2]
+    share = np.zeros(lexicon.last + 1)
+    np.add.at(share, number, count + 1.0)
+    assert len(lexicon.band_counts) > 3 and np.all(share[20:-1] == lexicon.band_counts + lexicon.band_sizes)
+    assert share[-1] + 100 == lexicon.other_count + lexicon.other_size
+    assert lexicon.look_up(np.array([5], np.uint64))[2] == lexicon.last
