@@ -110,6 +110,32 @@ def nearest(spark, d):
     return spatial.nearest(a, "point_id", b, "other", 40.0).select("point_id", "other", r6("distance_m").alias("distance_m"))
 
 
+def _others(a):
+    """All points, as what each of them is joined with."""
+    return a.select(F.col("point_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+
+
+def pairs_of_all(a, radius: float):
+    """(point_id, other, d): every pair of two points at most `radius` apart, both ways round."""
+    return spatial.within(a, _others(a), radius).filter("point_id <> other").select("point_id", "other", "d")
+
+
+def nearest_of_all(a, radius: float):
+    """(point_id, other, distance_m): each point's nearest other point, null if none is within `radius`; ties to the smaller id."""
+    best = pairs_of_all(a, radius).groupBy("point_id").agg(F.min(F.struct("d", "other")).alias("_b"))
+    return a.select("point_id").join(best, "point_id", "left").select("point_id", F.col("_b.other").alias("other"), F.col("_b.d").alias("distance_m"))
+
+
+@query("h_radius_join_all")
+def radius_all(spark, d):
+    return pairs_of_all(_shaken(spark, d)[0], 30.0).select("point_id", "other", r6("d").alias("d"))
+
+
+@query("h_nearest_all")
+def nearest_all(spark, d):
+    return nearest_of_all(_shaken(spark, d)[0], 40.0).select("point_id", "other", r6("distance_m").alias("distance_m"))
+
+
 RING = [(100.0, -300.0), (900.0, -200.0), (700.0, 100.0), (1200.0, 500.0), (300.0, 700.0)]
 EDGES = " + ".join(f"CASE WHEN ({ay} > y) <> ({by} > y) AND x < ({bx - ax}) * (y - ({ay})) / ({by - ay}) + {ax} THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(RING, [*RING[1:], RING[0]]))
 
@@ -133,6 +159,12 @@ def components(spark, d):
     return spatial.clusters(n, 20.0).select("id", "component")
 
 
+@query("h_components_all")
+def components_all(spark, d):
+    n = view(spark, d, "survey").select(F.col("point_id").alias("id"), "x", (F.col("y") * 2).alias("y"))
+    return spatial.clusters(n, 20.0).select("id", "component")
+
+
 @query("h_local_maxima", ctes("grid") + """SELECT row, col, round(value, 6) + 0.0::DOUBLE AS value FROM grid g WHERE NOT EXISTS (SELECT 1 FROM grid h WHERE h.row BETWEEN g.row - 1 AND g.row + 1 AND h.col BETWEEN g.col - 1 AND g.col + 1 AND h.value > g.value)""")
 def maxima(spark, d):
     return spatial.local_maxima(view(spark, d, "grid")).select("row", "col", r6("value").alias("value"))
