@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 MASKS = ("1101110111", "1110011011", "1011101101")
 BROADCAST_ROWS = 1_000_000
 PIECE = 1024
+#: Items of fewer tokens have runs of tokens as seeds, which miss nothing.
+SHORT = 15
 
 
 def tokens(text: Column) -> Column:
@@ -32,23 +37,19 @@ def _seeds(df: DataFrame, masks: tuple[str, ...], reach: int, *keep: str) -> Dat
     return at.select(*keep, "h", "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, share: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, matched, compared): documents that hold a passage of a benchmark item.
+def _run(n: int, share: float) -> int:
+    """The tokens on end that any n have in common if `share` of them agree: the others cut them into so many runs at most."""
+    agree = max(1, ceil(n * share))
+    return ceil(agree / (n - agree + 1))
 
-    A hit is a place where document and item agree on all tokens that one mask counts. Around it, along
-    the same alignment, a passage of min(window, the item's tokens) tokens must agree in `share` of its
-    places; substituted tokens may be anything. The best passage of each pair is returned.
-    An item or a document shorter than the masks has no seed and is never reported; null texts have no
-    tokens; rows that repeat an id count as one. Without rows on either side there is no result.
 
-    The items' seeds are broadcast when there are at most BROADCAST_ROWS of them, else both sides are shuffled.
-    """
+def _passages(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], window: int, share: float) -> DataFrame:
+    """`contaminated` with the seeds of `masks`, of sides that have `key` and the token hashes `h`."""
     span = len(masks[0])
     assert all(len(m) == span for m in masks)
-    hashed = lambda df, key: df.select(F.col(key).alias("key"), F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h")).filter(F.col("key").isNotNull())
-    items = _seeds(hashed(benchmark, "item_id"), masks, window - span, "key").select(F.col("key").alias("item_id"), F.col("h").alias("ih"), F.col("at").alias("j"), "seed")
+    items = _seeds(benchmark, masks, window - span, "key").select(F.col("key").alias("item_id"), F.col("h").alias("ih"), F.col("at").alias("j"), "seed")
     small = items.count() <= BROADCAST_ROWS
-    seeds = _seeds(hashed(docs, "doc_id"), masks, window - span, "key").select(F.col("key").alias("doc_id"), "h", F.col("at").alias("p"), "seed")
+    seeds = _seeds(docs, masks, window - span, "key").select(F.col("key").alias("doc_id"), "h", F.col("at").alias("p"), "seed")
     hits = seeds.join(F.broadcast(items) if small else items.hint("merge"), "seed")
     size, isize, reach = F.size("h"), F.size("ih"), F.lit(window - span)
     need = F.least(isize, F.lit(window))
@@ -63,6 +64,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     return best.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("need").alias("compared"))
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, share: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, matched, compared): documents that hold a passage of a benchmark item.
+
+    A hit is a place where document and item agree on all tokens that one mask counts. Around it, along
+    the same alignment, a passage of min(window, the item's tokens) tokens must agree in `share` of its
+    places; substituted tokens may be anything. The best passage of each pair is returned.
+    Items of fewer than SHORT tokens need no mask: each passage of their length that agrees in `share` of its places is
+    found, an item of one word in every document that has the word. Null texts have no tokens and are never reported;
+    rows that repeat an id count as one. Without rows on either side there is no result.
+
+    The items' seeds are broadcast when there are at most BROADCAST_ROWS of them, else both sides are shuffled.
+    """
+    hashed = lambda df, key: df.select(F.col(key).alias("key"), F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h")).filter(F.col("key").isNotNull())
+    docs, items = hashed(docs, "doc_id"), hashed(benchmark, "item_id")
+    shorter = [r.n for r in items.select(F.size("h").alias("n")).filter(F.col("n").between(1, SHORT - 1)).distinct().collect()]
+    found = [_passages(docs, items.filter(F.size("h") >= SHORT), masks, window, share)]
+    for run in sorted({_run(min(n, window), share) for n in shorter}):
+        own = [n for n in shorter if _run(min(n, window), share) == run]
+        found.append(_passages(docs, items.filter(F.size("h").isin(own)), ("1" * run,), window, share))
+    if len(found) == 1:
+        return found[0]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents of which `contaminated` reports none; rows of a null doc_id stay."""
     return docs.join(contaminated(docs, benchmark, **settings).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

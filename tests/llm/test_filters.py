@@ -1,5 +1,6 @@
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -159,3 +160,20 @@ def test_kth_and_cutoff(spark):
     assert cutoff(np.array([0, 0, 1, 1]), np.array([-3.0, -2.0, -1.0, 0.0])) == -1.5
     assert cutoff(np.array([1, 1]), np.array([1.0, 2.0])) == -np.inf
     assert np.isfinite(gumbel(np.arange(1000), 1)).all()
+
+
+def test_short_items_are_found_with_every_pattern_of_changes(spark, docs_of):
+    sizes = (1, 2, 3, 4, 5, 7, 9, 10, 11, 14)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in sizes]
+    docs, expected, doc = [], [], 0
+    for n, text in items:
+        free = n - int(np.ceil(n * 0.8))
+        for changes in range(free + 2):
+            for places in combinations(range(n), changes):
+                w = ["other" if k in places else x for k, x in enumerate(text.split())]
+                docs.append((doc, " ".join(w) if doc % 2 else "before it " + " ".join(w) + " after it"))
+                if changes <= free:
+                    expected.append((doc, n, n - changes, n))
+                doc += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, contaminated(docs_of(docs), bench).collect())) == expected
