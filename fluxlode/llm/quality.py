@@ -136,13 +136,16 @@ def kth(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     return high
 
 
-def cutoff(good: np.ndarray, weight: np.ndarray) -> float:
-    """The weight that best parts good from bad labelled documents (largest sum of both shares that are right)."""
+def cutoff(good: np.ndarray, weight: np.ndarray, times: np.ndarray | None = None) -> float:
+    """The weight that best parts good from bad labelled documents (largest sum of both shares that are right).
+    times: how many documents each value stands for."""
     if not len(good) or good.all() or not good.any():
         return -math.inf
     order = np.argsort(weight, kind="stable")
     good, weight = good[order] == 1, weight[order]
-    right = np.r_[0, np.cumsum(~good)] / (~good).sum() + 1 - np.r_[0, np.cumsum(good)] / good.sum()
+    times = np.ones(len(good), np.int64) if times is None else times[order]
+    n_good, n_bad = np.r_[0, np.cumsum(times * good)], np.r_[0, np.cumsum(times * ~good)]
+    right = n_bad / n_bad[-1] + 1 - n_good / n_good[-1]
     edge = np.r_[True, weight[1:] > weight[:-1], True]
     best = int(np.flatnonzero(edge)[np.argmax(right[edge])])
     return -math.inf if best == 0 else math.inf if best == len(weight) else (weight[best - 1] + weight[best]) / 2
@@ -170,8 +173,8 @@ class Resampling:
         raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
         self.model = spark.sparkContext.broadcast((raw, target, unigrams, leads, prior, usual(raw, target, prior), zone))
         self.scores = written(own.mapInArrow(_score(self.model, seed), "doc_id long, good int, log_weight double, key double"), "weights")
-        seen = self.scores.filter("good is not null").select("good", "log_weight").dropDuplicates().toPandas()
-        self.threshold = cutoff(seen.good.to_numpy(), seen.log_weight.to_numpy())
+        seen = self.scores.filter("good is not null").groupBy("good", "log_weight").agg(F.count("*").alias("times")).toPandas()
+        self.threshold = cutoff(seen.good.to_numpy(), seen.log_weight.to_numpy(), seen.times.to_numpy())
         n = self.scores.count()
         self.k = self.scores.filter(F.col("log_weight") >= self.threshold).count() if self.threshold > -math.inf else n
         self.cut = (-math.inf, -1)

@@ -177,3 +177,8 @@ def test_short_items_are_found_with_every_pattern_of_changes(spark, docs_of):
                 doc += 1
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(map(tuple, contaminated(docs_of(docs), bench).collect())) == expected
+
+
+def test_cutoff_counts_every_labelled_document():
+    good, weight, times = np.array([0, 0, 1, 1]), np.array([-1.0, 0.0, 0.0, 1.0]), np.array([1, 10, 1, 10])
+    assert cutoff(good, weight, times) == 0.5 == cutoff(np.repeat(good, times), np.repeat(weight, times))
