@@ -2,12 +2,14 @@
 
 1. Equal sets are one class, named by a hash of the set. Classes that share a block signature are candidates
    (see shingles.py; no link is lost), and the candidates' components are found from signature stars.
-2. A component is dealt to chunks of bounded size. In each a signature tree is built, whose nodes hold
+2. A component of several chunks is taken apart by prefix filtering: only sets that share one of their rarest
+   shingles stay together, so passages that many documents share chain nothing (rare_stars).
+3. A component is dealt to chunks of bounded size. In each a signature tree is built, whose nodes hold
    the OR of their sets' token bitmaps and the range of their sizes; it is joined with itself by dual
    traversal, which drops a pair of nodes if their largest possible overlap is too small. Surviving pairs
    are checked exactly, unless links found before already join them.
-3. A component of several chunks is dealt to cells by size, and each is joined with those of sizes near enough. Of components with many chunks, a few members of each larger linked group meet in further chunks,
-   which joins the groups. What is still outside its component's largest group is then joined with every
+4. Of a component that still has several chunks (many near copies), a few members of each larger linked group meet in
+   further chunks, which joins the groups. What is still outside the component's largest group is then joined with every
    cell of near sizes, so all pairs have been compared or joined; a large group of copies costs its size, not its square.
 """
 
@@ -30,10 +32,8 @@ from .words import mix, slices, words
 NUM, DEN = 90, 100
 CHUNK = 1024
 SHINGLES = 3_000_000
-#: From so many chunks on, a component's groups are joined first.
-MANY = 64
-#: So many candidates' ids may be broadcast, 56 bytes each.
-BROADCAST_ROWS = 1_000_000
+#: So many candidates' ids may be broadcast, 56 bytes each at most.
+BROADCAST_ROWS = 200_000
 #: Signatures of a part, about.
 SIGNATURES = 1_000_000
 ENVOYS = 4
@@ -131,14 +131,14 @@ def tree_links(ids: list[int], members: list[np.ndarray], num: int, den: int, gr
 
 
 def _digest(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
                 found = sets(words(part.column("text"), lower=True), k)
                 cls = [fingerprint(s) if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(cls, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(map(len, found), pa.int64()), pa.array(cls, pa.int64())], schema=schema)
 
     return run
 
@@ -190,11 +190,8 @@ def _stars(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"])
 
 
-CARRIED = ("cls", "comp", "parts", "part", "band", "n")
-
-
 def _members(k: int):
-    schema = pa.schema([*((c, pa.int64()) for c in CARRIED), ("h", pa.list_(pa.int64()))])
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("h", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -202,7 +199,7 @@ def _members(k: int):
                 # a row that repeats the doc_id may hold another text
                 found = sets(words(part.column("text"), lower=True), k)
                 right = np.array([len(s) > 0 and fingerprint(s) == c for c, s in zip(part.column("cls").to_pylist(), found)], bool)
-                kept = part.select(list(CARRIED)).filter(pa.array(right))
+                kept = part.select(["cls", "n"]).filter(pa.array(right))
                 yield pa.RecordBatch.from_arrays([*kept.columns, lists([s for s, ok in zip(found, right) if ok])], schema=schema)
 
     return run
@@ -221,54 +218,35 @@ def _join_chunk(num: int, den: int):
 
 
 def _join_across(num: int, den: int):
-    """Rows of side 0 with those of side 1, and, where the rows say so, those of side 0 with one another."""
+    """Rows of side 0 with those of side 1."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["side", "cls"]).sort_values(["side", "cls"])
         cut = int((rows["side"] == 0).sum())
-        ids, sets_, grp = rows["cls"].tolist(), [h.view(np.uint64) for h in rows["h"]], rows["grp"].tolist()
         links: list[tuple[int, int]] = []
-        if cut and "alone" in rows and rows["alone"].iloc[0]:
-            links += tree_links(ids[:cut], sets_[:cut], num, den, grp[:cut])
         if 0 < cut < len(rows):
-            links += tree_links(ids, sets_, num, den, grp, cut)
+            links = tree_links(rows["cls"].tolist(), [h.view(np.uint64) for h in rows["h"]], num, den, rows["grp"].tolist(), cut)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _parts(df: DataFrame, chunk: int, most: int, by: tuple[str, ...], name: str) -> DataFrame:
+    """by, and how many chunks of bounded size its rows fill."""
+    return df.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).cast("long").alias(name))
+
+
 def _dealt(df: DataFrame, chunk: int, most: int, k: str, cell: str) -> tuple[DataFrame, DataFrame]:
     """(k of each component and band, df with its cell): classes go to k cells of bounded size."""
-    size = df.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).cast("long").alias(k))
+    size = _parts(df, chunk, most, ("comp", "band"), k)
     return size, df.join(size, ["comp", "band"]).withColumn(cell, F.pmod(F.xxhash64("cls", F.lit(5)), F.col(k)))
 
 
-def _upto(n: str):
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-
-
-def _bands(df: DataFrame, size: DataFrame, k: str, steps: tuple[int, ...], other: str, cell: str) -> DataFrame:
-    """df with a row for each cell (other, cell) of the bands `steps` away; no set further off can be similar."""
-    near = df.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn(other, F.col("band") + F.col("step"))
-    return near.join(size.select("comp", F.col("band").alias(other), F.col(k).alias("_k")), ["comp", other]).withColumn(cell, _upto("_k")).drop("_k", "step")
-
-
-def _cells(members: DataFrame, chunk: int, most: int) -> DataFrame:
-    """Rows of (comp, b1, c1, b2, c2): every cell with the later ones of its band and with each of the next; the first of these, which is there for all
-    (empty, if need be), also joins the cell with itself."""
-    size, m = _dealt(members.select("cls", "comp", "band", "n").distinct().withColumn("grp", F.col("cls")), chunk, most, "k", "cell")
-    key = ["comp", "b1", "c1", "b2", "c2", "side", "alone", "cls", "grp"]
-    ahead = size.select("comp", (F.col("band") - 1).alias("band"), F.col("k").alias("k2"))
-    first = m.withColumn("b1", F.col("band")).withColumn("c1", F.col("cell")).withColumn("side", F.lit(0))
-    up = first.join(ahead, ["comp", "band"], "left").withColumn("b2", F.col("band") + 1).withColumn("k2", F.coalesce("k2", F.lit(1).cast("long"))).withColumn("c2", _upto("k2")).withColumn("alone", F.col("c2") == 0)
-    level = first.withColumn("b2", F.col("band")).withColumn("c2", _upto("k")).filter("c1 < c2").withColumn("alone", F.lit(False))
-    second = m.withColumn("b2", F.col("band")).withColumn("c2", F.col("cell")).withColumn("side", F.lit(1)).withColumn("alone", F.lit(False))
-    behind = size.select("comp", (F.col("band") + 1).alias("band"), F.col("k").alias("k1"))
-    down = second.join(behind, ["comp", "band"]).withColumn("b1", F.col("band") - 1).withColumn("c1", _upto("k1"))
-    after = second.withColumn("b1", F.col("band")).withColumn("c1", _upto("k")).filter("c1 < c2")
-    rows = up.select(*key).unionByName(level.select(*key)).unionByName(down.select(*key)).unionByName(after.select(*key))
-    # only these narrow rows take part in the joins above; each set is shuffled to them once
-    return rows.join(members.select("cls", "h"), "cls")
+def _bands(df: DataFrame, size: DataFrame, k: str, other: str, cell: str) -> DataFrame:
+    """df with a row for each cell (other, cell) of its band and the next ones; no set further off can be similar."""
+    near = df.withColumn("step", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(other, F.col("band") + F.col("step"))
+    near = near.join(size.select("comp", F.col("band").alias(other), F.col(k).alias("_k")), ["comp", other])
+    return near.withColumn(cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k", "step")
 
 
 def _grouped(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -277,40 +255,65 @@ def _grouped(links: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(found, "cls", "left").withColumn("grp", F.coalesce("grp0", "cls")).drop("grp0")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def rare_stars(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Stars (a, b) of the classes (cls, n, h) that share one of their rarest shingles.
+
+    In any order of all shingles, two similar sets share one of the first n - ceil(n num / den) + 1 of each.
+    Ordered by the number of sets that hold them, those that only one set has come first and meet nobody; a passage
+    of many documents comes last. Rows that repeat a class do no harm. Counts are combined before the shuffle, and a star has one row a set.
+    """
+    held = members.select("cls", "n", F.explode("h").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("sets")).filter("sets > 1")
+    first = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    shared = held.join(often.hint("merge"), "s").groupBy("cls", "n").agg(F.sort_array(F.collect_set(F.struct("sets", "s"))).alias("x"))
+    open_ = F.greatest(first - (F.col("n") - F.size("x")), F.lit(0)).cast("int")
+    signs = written(shared.select("cls", F.explode(F.slice("x", 1, F.least(open_, F.size("x")))).alias("x")).select("cls", F.col("x.s").alias("s")), "rare")
+    least = signs.groupBy("s").agg(F.min("cls").alias("b"), F.count("*").alias("sets")).filter("sets > 1").select("s", "b")
+    return signs.join(least.hint("merge"), "s").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+
+
 def similar_classes(docs: DataFrame, k: int = 3, num: int = NUM, den: int = DEN, chunk: int = CHUNK, most: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, cls) of every row, links between classes)."""
+    """((doc_id, own, n, cls) of every row, links between classes); own is a hash of the text."""
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = written(text.mapInArrow(_digest(k), "doc_id long, n long, cls long"), "digests")
+    digests = written(text.withColumn("own", F.xxhash64("text")).mapInArrow(_digest(k), "doc_id long, own long, n long, cls long"), "digests")
     total = digests.agg(F.sum("n")).first()[0] or 0
     deal = max(1, total * (den - num) // den // SIGNATURES)
     stars = text.select("text").mapInArrow(_signed(k, num, den, deal), "part int, pairs binary").groupBy("part").applyInPandas(_stars, LINKS)
-    near = components(stars).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    chained = components(stars).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     one = digests.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("cls", "x.doc_id", "x.n")
-    near = written(near.join(one, "cls"), "near")
-    parts = near.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).cast("long").alias("parts"))
+    near = written(chained.join(one, "cls"), "near")
+    texts = text.join(_small(near.select("doc_id", "cls", "n")), "doc_id").select("cls", "n", "text")
+    members = written(texts.mapInArrow(_members(k), "cls long, n long, h array<long>"), "members")
+    # components of several chunks are mostly chained by passages that many documents share: they are taken apart by rare shingles
+    sized = near.join(_parts(near, chunk, most, ("comp",), "parts"), "comp")
+    groups = sized.filter("parts = 1").select("cls", "comp", "n")
+    chained = written(sized.filter("parts > 1").select("cls"), "chained")
+    if chained.head(1):
+        apart = components(rare_stars(members.join(_small(chained), "cls"), num, den))
+        groups = groups.unionByName(apart.select(F.col("node").alias("cls"), F.col("component").alias("comp")).join(near.select("cls", "n"), "cls"))
     # linked sets differ by one band at most
     band = F.floor(F.log("n") / (1.0001 * math.log(den / num))).cast("long")
-    near = near.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).withColumn("band", band)
-    ids = near.select("doc_id", *CARRIED)
-    texts = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge"), "doc_id").select(*CARRIED, "text")
-    members = written(texts.mapInArrow(_members(k), ", ".join(f"{c} long" for c in CARRIED) + ", h array<long>"), "members")
-    links = written(members.filter((F.col("parts") == 1) | (F.col("parts") >= MANY)).groupBy("comp", "part").applyInPandas(_join_chunk(num, den), LINKS), "chunk-links")
-    sizes = [r.parts for r in parts.filter("parts > 1").select(F.least("parts", F.lit(MANY)).alias("parts")).distinct().collect()]
-    if any(n < MANY for n in sizes):
-        cells = _cells(members.filter(F.col("parts").between(2, MANY - 1)), chunk, most)
-        links = links.union(written(cells.groupBy("comp", "b1", "c1", "b2", "c2").applyInPandas(_join_across(num, den), LINKS), "cell-links"))
-    large = members.filter(F.col("parts") >= MANY)
-    if MANY not in sizes:
+    groups = groups.withColumn("band", band).join(_parts(groups, chunk, most, ("comp",), "parts"), "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    groups = written(groups.select("cls", "comp", "n", "band", "parts", "part"), "candidates")
+    sets_of = members.select("cls", "h")
+    links = written(sets_of.join(_small(groups), "cls").groupBy("comp", "part").applyInPandas(_join_chunk(num, den), LINKS), "chunk-links")
+    large = groups.filter("parts > 1")
+    if not large.head(1):
         return digests, links
     named = written(_grouped(links, large.select("cls", "comp", "part", "n")), "groups")
     envoys = named.withColumn("size", F.count("*").over(Window.partitionBy("comp", "part", "grp"))).filter(F.col("size") >= 2 * ENVOYS)
     envoys = envoys.withColumn("r", F.row_number().over(Window.partitionBy("comp", "part", "grp").orderBy(F.xxhash64("cls")))).filter(F.col("r") <= ENVOYS).drop("r", "size")
     while envoys.head(1):
-        dealt = envoys.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).cast("long").alias("k"))
+        dealt = _parts(envoys, chunk, most, ("comp",), "k")
         deep = dealt.agg(F.max("k")).first()[0]
         at = envoys.join(dealt, "comp").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(deep)), F.col("k")))
-        more = members.select("cls", "h").join(at.select("cls", "comp", "part", "grp"), "cls")
+        more = sets_of.join(at.select("cls", "comp", "part", "grp"), "cls")
         found = written(more.groupBy("comp", "part").applyInPandas(_join_chunk(num, den), LINKS), "envoy-links")
         links = links.union(found)
         if deep == 1:
@@ -321,21 +324,22 @@ def similar_classes(docs: DataFrame, k: int = 3, num: int = NUM, den: int = DEN,
         if again.count() * 2 > envoys.count():
             break
         envoys = again
-    named = written(_grouped(links, large.select("cls", "comp", "part", "parts", "band", "n")), "groups")
-    sized = named.groupBy("comp", "grp").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"))
-    rest = named.join(sized, "comp").filter("grp <> main").select("cls", "comp", "grp", "band", "n")
+    named = written(_grouped(links, large.select("cls", "comp", "parts", "band", "n")), "groups")
+    main = named.groupBy("comp", "grp").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"))
+    rest = named.join(main, "comp").filter("grp <> main").select("cls", "comp", "grp", "band", "n")
     outside, rest = _dealt(rest, chunk, most, "k1", "c1")
     whole, named = _dealt(named, chunk, most, "k2", "c2")
     key = ["comp", "b1", "c1", "b2", "c2", "side", "cls", "grp"]
-    left = _bands(rest, whole, "k2", (-1, 0, 1), "b2", "c2").withColumn("b1", F.col("band")).withColumn("side", F.lit(0))
-    right = _bands(named, outside, "k1", (-1, 0, 1), "b1", "c1").withColumn("b2", F.col("band")).withColumn("side", F.lit(1))
-    across = left.select(*key).unionByName(right.select(*key)).join(large.select("cls", "h"), "cls")
+    left = _bands(rest, whole, "k2", "b2", "c2").withColumn("b1", F.col("band")).withColumn("side", F.lit(0))
+    right = _bands(named, outside, "k1", "b1", "c1").withColumn("b2", F.col("band")).withColumn("side", F.lit(1))
+    # only these narrow rows take part in the joins above; each set is shuffled to them once
+    across = left.select(*key).unionByName(right.select(*key)).join(sets_of, "cls")
     last = written(across.groupBy("comp", "b1", "c1", "b2", "c2").applyInPandas(_join_across(num, den), LINKS), "last-links")
     return digests, links.union(last)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = NUM, den: int = DEN, chunk: int = CHUNK, most: int = SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: its set's size and the smallest doc_id that links reach.
+    """(doc_id, n_shingles, component_id, own) of every row: its set's size, the smallest doc_id that links reach and a hash of its text.
 
     Words are A-Z lower-cased; a document's set holds its distinct shingles of k words, or its whole sequence
     if that is shorter. Two documents link when den * intersection >= num * union. A null text, or one
@@ -349,5 +353,5 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = NUM, den: int = D
     named = written(named, "named")
     heads = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = named.join(heads, "comp").select("cls", "component_id")
-    out = digests.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = digests.select("doc_id", "own", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "own")

@@ -13,15 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import free, written
 from .words import buffers, mix, slices, words
 
 LEADING = 3
 GENERAL = 8
 LEAST = 3
 DOCS = 5
-#: Name of an inner column; no table should have it.
-GONE = "__gone_lines"
 
 
 def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -75,34 +73,36 @@ def _parse(leading: int, general: int, least: int):
     return run
 
 
-def _drop(columns: list[str]):
+def _drop(columns: list[str], gone_lines: str, counted: tuple[str, str]):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 texts, counts, removed = [], [], []
-                for text, gone in zip(part.column("text").to_pylist(), part.column(GONE).to_pylist()):
+                for text, gone in zip(part.column("text").to_pylist(), part.column(gone_lines).to_pylist()):
                     lines = text.split("\n") if text else []
                     out = set(gone or ())
                     texts.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text)
                     counts.append(len(lines))
                     removed.append(len(out))
                 own = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, *counted])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = DOCS, leading: int = LEADING, general: int = GENERAL, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = DOCS, leading: int = LEADING, general: int = GENERAL, least: int = LEAST, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with recurring lines taken out of text, and n_lines and n_removed.
 
     A line goes if one of its templates occurs in at least min_docs documents, unless its document is the
     one of smallest doc_id that has the template. Lines end at \\n; blank ones and those of fewer than
     `least` tokens stay. Every row counts as a document, also one that repeats a doc_id; a null doc_id is
     larger than any other. A null or empty text has no lines and stays as it is; a text that loses all its
-    lines becomes empty. Other columns are passed on; columns named n_lines and n_removed are replaced.
+    lines becomes empty. An empty table gives none; texts are taken whole, whatever their length. Other columns are
+    passed on, whatever their names; `counts` are the names of the two counts, which replace columns of that name.
     """
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c not in counts]
+    gone_lines, gone_id, gone_own = (free(x, docs.columns) for x in ("gone_lines", "gone_id", "gone_own"))
     docs = docs.select(*columns)
     text = F.col("text").cast("string")
     own = F.xxhash64(text)
@@ -115,8 +115,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = DOCS, leading: int = LEADING, g
     lines = parsed.select("doc_id", "own", F.posexplode(both).alias("line", "t"))
     keyed = lines.select("doc_id", "own", "line", F.explode(F.array_distinct(F.array("t.one", "t.two"))).alias("key")).filter("key <> 0")
     late = keyed.join(often, "key").filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
-    gone = late.groupBy("doc_id", "own").agg(F.collect_set("line").alias(GONE)).select(F.col("doc_id").alias(f"{GONE}_id"), F.col("own").alias(f"{GONE}_own"), GONE)
-    joined = docs.withColumn("text", text).join(gone, F.col("doc_id").eqNullSafe(F.col(f"{GONE}_id")) & (own == F.col(f"{GONE}_own")), "left")
-    schema = spark.createDataFrame([], docs.withColumn("text", text).schema).schema.add("n_lines", "long").add("n_removed", "long")
-    return joined.select(*columns, GONE).mapInArrow(_drop(columns), schema)
+    gone = late.groupBy("doc_id", "own").agg(F.collect_set("line").alias(gone_lines)).select(F.col("doc_id").alias(gone_id), F.col("own").alias(gone_own), gone_lines)
+    joined = docs.withColumn("text", text).join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (own == F.col(gone_own)), "left")
+    schema = spark.createDataFrame([], docs.withColumn("text", text).schema).schema.add(counts[0], "long").add(counts[1], "long")
+    return joined.select(*columns, gone_lines).mapInArrow(_drop(columns, gone_lines, counts), schema)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import free, written
 from .words import MARKS, mix, slices, words
 
 UNIGRAMS, LEADS = 1 << 18, 1 << 17
@@ -22,8 +22,6 @@ LABELLED = 50_000
 PRIOR = 5.0
 ZONE = 1.4
 SEED = 17
-#: Name of an inner column; no table should have it.
-FLAG = "__labelled_good"
 
 
 def features(column: pa.Array, unigrams: int, leads: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +41,7 @@ def features(column: pa.Array, unigrams: int, leads: int) -> tuple[np.ndarray, n
     return np.concatenate([*out, np.full(len(thrice), unigrams)]), np.concatenate([*rows, row[thrice]])
 
 
-def _count(unigrams: int, leads: int):
+def _count(unigrams: int, leads: int, flag: str):
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -51,7 +49,7 @@ def _count(unigrams: int, leads: int):
         for batch in batches:
             for part in slices(batch):
                 bucket, row = features(part.column("text"), unigrams, leads)
-                good = part.column(FLAG).fill_null(0).to_numpy() == 1
+                good = part.column(flag).fill_null(0).to_numpy() == 1
                 raw += np.bincount(bucket, minlength=len(raw))
                 target += np.bincount(bucket[good[row]], minlength=len(raw))
         at = np.flatnonzero(raw)
@@ -63,9 +61,9 @@ def _count(unigrams: int, leads: int):
 def _weights(model, part: pa.RecordBatch) -> np.ndarray:
     """Log importance weight of each row. A document's own counts are left out of both models, so that
     n-grams of its own weigh nothing; a ratio within `zone` of the usual one (`centre`) is no evidence."""
-    raw, target, unigrams, leads, prior, centre, zone = model.value
+    raw, target, unigrams, leads, prior, centre, zone, flag = model.value
     bucket, row = features(part.column("text"), unigrams, leads)
-    good = part.column(FLAG).fill_null(0).to_numpy() == 1
+    good = part.column(flag).fill_null(0).to_numpy() == 1
     size = len(raw)
     pair, times = np.unique(row * size + bucket, return_counts=True)
     row, bucket = pair // size, pair % size
@@ -101,7 +99,7 @@ def _score(model, seed: int):
             for part in slices(batch):
                 weight = _weights(model, part)
                 key = weight + gumbel(part.column("doc_id").fill_null(-1).to_numpy().astype(np.int64), seed)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(FLAG), pa.array(weight), pa.array(key)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(model.value[-1]), pa.array(weight), pa.array(key)], schema=schema)
 
     return run
 
@@ -161,17 +159,17 @@ class Resampling:
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unigrams: int = UNIGRAMS, leads: int = LEADS, prior: float = PRIOR, zone: float = ZONE, seed: int = SEED):
-        spark = docs.sparkSession
+        spark, self.flag, self.known_id = docs.sparkSession, free("labelled_good", docs.columns), free("known_id", docs.columns)
         self.docs, self.seed = docs, seed
-        known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("known_id"))
-        known = known.agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).cast("int").alias(FLAG))
-        self.known = F.broadcast(known.orderBy(F.xxhash64("known_id"), "known_id").limit(labelled))
+        known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias(self.known_id))
+        known = known.agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).cast("int").alias(self.flag))
+        self.known = F.broadcast(known.orderBy(F.xxhash64(self.known_id), self.known_id).limit(labelled))
         own = self.flagged(docs.select("doc_id", "text"))
-        counts = own.select("text", FLAG).mapInArrow(_count(unigrams, leads), "bucket int, raw long, target long")
+        counts = own.select("text", self.flag).mapInArrow(_count(unigrams, leads, self.flag), "bucket int, raw long, target long")
         counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
         raw, target = np.zeros(unigrams + leads, np.int64), np.zeros(unigrams + leads, np.int64)
         raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
-        self.model = spark.sparkContext.broadcast((raw, target, unigrams, leads, prior, usual(raw, target, prior), zone))
+        self.model = spark.sparkContext.broadcast((raw, target, unigrams, leads, prior, usual(raw, target, prior), zone, self.flag))
         self.scores = written(own.mapInArrow(_score(self.model, seed), "doc_id long, good int, log_weight double, key double"), "weights")
         seen = self.scores.filter("good is not null").groupBy("good", "log_weight").agg(F.count("*").alias("times")).toPandas()
         self.threshold = cutoff(seen.good.to_numpy(), seen.log_weight.to_numpy(), seen.times.to_numpy())
@@ -188,7 +186,7 @@ class Resampling:
 
     def flagged(self, docs: DataFrame) -> DataFrame:
         text = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
-        return text.join(self.known, text.doc_id == self.known.known_id, "left").select(text["*"], FLAG)
+        return text.join(self.known, text.doc_id == self.known[self.known_id], "left").select(text["*"], self.flag)
 
     def selected(self) -> DataFrame:
         """(doc_id, log_weight, key) of the documents kept."""

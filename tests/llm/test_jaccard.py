@@ -32,21 +32,24 @@ def family(rng, base, copies, changes):
     return out
 
 
-@pytest.mark.parametrize("chunk,most,many", [(512, 2_000_000, 8), (6, 2_000_000, 2), (12, 2_000_000, 8), (512, 900, 4)])
-def test_components_equal_brute_force(spark, docs_of, monkeypatch, chunk, most, many):
-    monkeypatch.setattr("fluxlode.llm.jaccard.MANY", many)
+@pytest.mark.parametrize("chunk,most,num", [(512, 2_000_000, 90), (6, 2_000_000, 90), (12, 2_000_000, 80), (512, 900, 80)])
+def test_components_equal_brute_force(spark, docs_of, chunk, most, num):
     rng = np.random.default_rng(3)
     texts = [None, "", "  \n", "one", "ONE", "one two", "one  two", "a b c", "A b\tc", "a b c d"]
     for size, copies, changes in ((9, 6, 1), (12, 10, 1), (30, 12, 2), (90, 30, 6), (200, 25, 9)):
         texts += family(rng, [f"w{x}" for x in rng.integers(0, 5000, size)], copies, changes)
+    shared = [f"s{x}" for x in range(40)]  # a passage of many documents, which links none of them
+    for i in range(25):
+        own = [f"o{i}x{x}" for x in range(30)]
+        texts += family(rng, own + shared, 1 + i % 2, 2)
     w = [f"v{x}" for x in range(60)]
     texts += [" ".join(w[:n]) for n in range(40, 61)]
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)]
     rows += [(rows[5][0], "another text of a repeated id"), (rows[40][0], rows[40][1]), (None, "one")]
-    got = jaccard_components(docs_of(rows), chunk=chunk, most=most).collect()
-    expected = brute([r for r in rows if r[0] is not None])
-    assert sorted(tuple(r) for r in got if r.doc_id is not None) == expected
-    assert [tuple(r) for r in got if r.doc_id is None] == [(None, 1, None)]
+    got = jaccard_components(docs_of(rows), num=num, chunk=chunk, most=most).collect()
+    expected = brute([r for r in rows if r[0] is not None], num)
+    assert sorted(tuple(r)[:3] for r in got if r.doc_id is not None) == expected
+    assert [tuple(r)[:3] for r in got if r.doc_id is None] == [(None, 1, None)]
 
 
 def test_no_rows(spark, docs_of):
@@ -55,5 +58,7 @@ def test_no_rows(spark, docs_of):
 
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(1001, 1100)] + [(2000, 2000), (3001, 3000), (3000, 3001)]
-    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    links = spark.createDataFrame(links, "a long, b long")
+    got = dict(map(tuple, components(links).collect()))
+    assert got == dict(map(tuple, components(links, few=10).collect()))
     assert got == {**{i: 0 for i in range(51)}, **{i: 1000 for i in range(1000, 1100)}, 3000: 3000, 3001: 3000}

@@ -14,12 +14,12 @@ def test_stages_run_in_turn_and_keep_the_columns(spark, docs_of):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns, before = docs.columns, {r.doc_id for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = written(stage(spark, docs, DIR), name, passing=False)
+        docs = written(stage(spark, docs, DIR), name)
         assert docs.columns == columns
         after = {r.doc_id for r in docs.select("doc_id").collect()}
         assert after <= before and len(after) >= 0.6 * len(before)
         before = after
-    whole = written(corpus_pipeline.STAGES[-1][1](spark, docs, DIR), "packed", passing=False)
+    whole = written(corpus_pipeline.STAGES[-1][1](spark, docs, DIR), "packed")
     assert {r.doc_id for r in whole.select("doc_id").collect()} == before
     direct = corpus_pipeline.run(spark, DIR)
     key = ["doc_id", "start", "length", "ids_crc32"]
