@@ -1,4 +1,4 @@
-"""Coordinates, angles and magnetics as column expressions."""
+"""Coordinates, angles and field directions as column expressions."""
 
 from __future__ import annotations
 
@@ -58,7 +58,7 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(text, r"[-+]?[0-9]*\.?[0-9]+", 0).try_cast("double")
 
 
-def magnetic_heading(cx: Column, cy: Column, cz: Column) -> tuple[Column, Column]:
+def field_angles(cx: Column, cy: Column, cz: Column) -> tuple[Column, Column]:
     """(theta from the vertical axis, phi around it), degrees."""
     size = F.sqrt(cx * cx + cy * cy + cz * cz)
     theta = F.degrees(F.acos(F.greatest(F.least(cz / F.nullif(size, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))))

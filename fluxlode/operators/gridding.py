@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import written
 from .spatial import nearest
 
 MOST_CELLS = 3_000_000
@@ -39,7 +40,7 @@ def nearest_grid(points: DataFrame, value: str, x0: float, y0: float, nx: int, n
     """Every node with the value of the nearest point within `radius`, its distance and the confidence 1 - distance/radius."""
     grid = nodes(points.sparkSession, x0, y0, nx, ny, cell).withColumn("x", F.col("easting")).withColumn("y", F.col("northing")).withColumn("_k", F.struct("row", "col"))
     pts = points.filter(F.col(value).isNotNull()).select("point_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = nearest(grid, "_k", pts, "point_id", radius)
+    near = nearest(grid, "_k", pts, "point_id", radius, widen=False)
     out = near.join(points.select("point_id", F.col(value).alias("value")), "point_id", "left")
     confidence = F.when(F.col("distance_m").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance_m") / radius))).otherwise(0.0)
     return out.select("row", "col", "northing", "easting", "value", "distance_m", confidence.alias("confidence"))
@@ -192,9 +193,13 @@ def stretch_stops(grid: DataFrame, fractions: list[float], kind: str = "linear")
 
 
 def equalized(grid: DataFrame) -> DataFrame:
-    """grid with `rank`, the share of cells that are smaller: equal counts below equal ranks. Counts of distinct values meet in ranges."""
+    """grid with `rank`, the share of cells that are smaller: equal counts below equal ranks. Counts of distinct
+    values lie in ranges, one task each; a row a range is added up in one window."""
     counts = grid.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    spread = written(counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = spread.groupBy("_part").agg(F.sum("_n").alias("_m"))
+    before = parts.select("_part", F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = spread.join(F.broadcast(before), "_part").select("value", (F.col("_before") + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_below"))
     total = grid.agg(F.count("value").alias("_t"))
-    return grid.join(below, "value", "left").crossJoin(F.broadcast(total)).withColumn("rank", F.col("_below") / F.greatest(F.col("_t") - 1, F.lit(1))).drop("_n", "_below", "_t")
+    return grid.join(below, "value", "left").crossJoin(F.broadcast(total)).withColumn("rank", F.col("_below") / F.greatest(F.col("_t") - 1, F.lit(1))).drop("_below", "_t")

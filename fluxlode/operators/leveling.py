@@ -55,22 +55,28 @@ def chain_levels(deltas: DataFrame) -> DataFrame:
 
 
 def running_trend(values: np.ndarray, window: int, order: int = 2, rounds: int = 3) -> np.ndarray:
-    """At each place the value of a local polynomial, fitted with Cauchy weights that are renewed `rounds` times."""
-    n, half, out = len(values), window // 2, np.empty(len(values))
-    for i in range(n):
-        at = np.arange(max(0, i - half), min(n, i + half + 1))
-        v, d = values[at], (at - i).astype(float)
-        basis = np.vander(d, min(order, max(len(at) - 2, 0)) + 1)
-        weight = np.ones(len(at))
-        for _ in range(rounds):
-            root = np.sqrt(weight)
-            fit, *_ = np.linalg.lstsq(basis * root[:, None], v * root, rcond=None)
-            residual = v - basis @ fit
-            scale = SIGMA * np.median(np.abs(residual - np.median(residual)))
-            if scale <= 0:
-                break
-            weight = 1 / (1 + (residual / (2 * scale)) ** 2)
-        out[i] = fit[-1]
+    """At each place the value of a local polynomial, fitted with Cauchy weights that are renewed `rounds` times. All places are
+    solved together; places outside the series have no weight, and an end with few of them a lower degree."""
+    n, half = len(values), window // 2
+    offset = np.arange(-half, half + 1)
+    at = np.arange(n)[:, None] + offset
+    inside = (at >= 0) & (at < n)
+    v = np.where(inside, values[np.clip(at, 0, n - 1)], np.nan)
+    degree = np.minimum(order, np.maximum(inside.sum(1) - 2, 0))
+    basis = offset[:, None] ** np.arange(order + 1) / float(half) ** np.arange(order + 1)
+    basis = np.where(np.arange(order + 1) <= degree[:, None, None], basis, 0.0)
+    unused = np.eye(order + 1) * (np.arange(order + 1) > degree[:, None])[:, None]
+    weight, out, open_ = inside.astype(float), np.zeros(n), np.ones(n, bool)
+    for _ in range(rounds):
+        gram = np.einsum("nw,nwi,nwj->nij", weight, basis, basis) + unused
+        fit = np.linalg.solve(gram, np.einsum("nw,nwi,nw->ni", weight, basis, np.nan_to_num(v))[..., None])[..., 0]
+        out = np.where(open_, fit[:, 0], out)
+        left = v - np.einsum("nwi,ni->nw", basis, fit)
+        scale = SIGMA * np.nanmedian(np.abs(left - np.nanmedian(left, 1, keepdims=True)), 1)
+        open_ &= scale > 0  # an exact fit is final
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(inside, np.nan_to_num(1 / (1 + (left / (2 * scale[:, None])) ** 2)), 0.0)
+        weight[~open_] = inside[~open_]
     return out
 
 

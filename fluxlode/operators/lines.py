@@ -1,6 +1,7 @@
 """Survey lines as gaps and islands: detection, bridging, ties, turns and the lines' own figures.
 
-Rows: point_id, t (seconds), x, y, source_file_index. Windows are partitioned by file, so files run in parallel.
+Rows: point_id, t (seconds), x, y, source_file_index. Windows are partitioned by file, so files run in parallel. Where a step's
+rows meet a figure of their own, the rows are written first, so no step reads the files again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import across_track, axial_difference
+from ..shared import written
 
 
 @dataclass(frozen=True)
@@ -34,18 +36,20 @@ def by_time():
 
 
 def headings(df: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """Adds speed_mps, heading_deg (undirected, 0..180) and true_deg by central differences over about lag_seconds."""
-    step = df.select(*FILE, (F.col("t") - F.lag("t").over(by_time())).alias("d")).filter("d > 0").groupBy(*FILE).agg(F.median("d").alias("_d"))
-    near = F.greatest(F.lit(1), F.bround(F.lit(rules.lag_seconds) / F.col("_d")).cast("int"))
-    df = df.join(F.broadcast(step), FILE, "left").withColumn("_lag", F.coalesce(near, F.lit(1))).withColumn("_i", F.row_number().over(by_time()))
-    # the lag is the file's own number, so the rows at i-lag and i+lag are joined, not taken by a fixed lag()
+    """Adds speed_mps, heading_deg (undirected, 0..180) and true_deg by central differences over about lag_seconds.
+
+    The lag is a file's own number of rows; files have few different ones, which are the cases of one expression."""
+    w = by_time()
+    step = df.select(*FILE, (F.col("t") - F.lag("t").over(w)).alias("d")).filter("d > 0").groupBy(*FILE).agg(F.median("d").alias("_d"))
+    lags = written(step.select(*FILE, F.greatest(F.lit(1), F.bround(F.lit(rules.lag_seconds) / F.col("_d")).cast("int")).alias("_lag")), "lags")
+    sizes = sorted({1, *(r[0] for r in lags.select("_lag").distinct().collect())})
+    df = df.join(F.broadcast(lags), FILE, "left").withColumn("_lag", F.coalesce("_lag", F.lit(1)))
     place = F.struct("t", "x", "y")
-    back = df.select(*FILE, (F.col("_i") + F.col("_lag")).alias("_i"), place.alias("_b"))
-    ahead = df.select(*FILE, (F.col("_i") - F.col("_lag")).alias("_i"), place.alias("_a"))
-    df = df.join(back, [*FILE, "_i"], "left").join(ahead, [*FILE, "_i"], "left")
+    at = lambda move: F.coalesce(*[F.when(F.col("_lag") == n, move(place, n).over(w)) for n in sizes])
+    df = df.withColumn("_b", at(F.lag)).withColumn("_a", at(F.lead))
     dx, dy, dt = F.col("_a.x") - F.col("_b.x"), F.col("_a.y") - F.col("_b.y"), F.col("_a.t") - F.col("_b.t")
     df = df.withColumn("speed_mps", F.when(dt > 0, F.sqrt(dx * dx + dy * dy) / dt)).withColumn("true_deg", F.when(dt > 0, F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(360.0))))
-    return df.withColumn("heading_deg", F.pmod(F.col("true_deg"), F.lit(180.0))).drop("_d", "_lag", "_i", "_b", "_a")
+    return df.withColumn("heading_deg", F.pmod(F.col("true_deg"), F.lit(180.0))).drop("_lag", "_b", "_a")
 
 
 def dominant_azimuth(df: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -81,7 +85,7 @@ def group_lines(df: DataFrame, on: Column, rules: LineRules = LineRules(), start
     df = df.withColumn("_len", F.max("_s").over(whole)).withColumn("_t0", F.min("t").over(whole))
     long = F.col("_on") & (F.col("_len") >= rules.least_length_m)
     df = df.withColumn("_keep", long & F.col("_s").between(rules.trim_m, F.col("_len") - rules.trim_m))
-    df = df.withColumn("_any", F.max(F.col("_keep").cast("int")).over(whole))
+    df = written(df.withColumn("_any", F.max(F.col("_keep").cast("int")).over(whole)), "runs")
     runs = df.filter("_keep").groupBy(*FILE, "_run").agg(F.min("_t0").alias("_first"))
     # a row per run, far fewer than points, is numbered in one window
     ids = runs.withColumn("_id", F.row_number().over(Window.orderBy("_first", *FILE, "_run")) - 1 + start_id).drop("_first")
@@ -96,7 +100,7 @@ def bridge_gaps(df: DataFrame, azimuth: Column, rules: LineRules = LineRules())
     line's id, and so does the second. Whether a gap is bridged depends on its two ends only."""
     df = df.withColumn("_i", F.row_number().over(by_time())).withColumn("_c", across_track(F.col("x"), F.col("y"), azimuth))
     step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(by_time()), 2) + F.pow(F.col("y") - F.lag("y").over(by_time()), 2)), F.lit(0.0))
-    df = df.withColumn("_step", step).withColumn("_path", F.sum("_step").over(by_time()))
+    df = written(df.withColumn("_step", step).withColumn("_path", F.sum("_step").over(by_time())), "paths")
     end = lambda f: f(F.struct("x", "y", "_c", "_path"), "_i")
     lines = df.filter("line_id >= 0").groupBy(*FILE, "line_id").agg(F.min("_i").alias("lo"), F.max("_i").alias("hi"), end(F.min_by).alias("a"), end(F.max_by).alias("b"))
     w = Window.partitionBy(*FILE).orderBy("lo")
@@ -105,10 +109,12 @@ def bridge_gaps(df: DataFrame, azimuth: Column, rules: LineRules = LineRules())
     ok = (path <= rules.bridge_m) & (F.abs(F.col("a._c") - was["_c"]) <= rules.bridge_across_m) & (path <= rules.bridge_ratio * straight)
     lines = lines.withColumn("_new", (~F.coalesce(ok, F.lit(False))).cast("int")).withColumn("_g", F.sum("_new").over(w))
     merged = lines.groupBy(*FILE, "_g").agg(F.min_by("line_id", "lo").alias("_to"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-    m = F.broadcast(merged.withColumnRenamed("source_file_index", "_f"))
-    df = df.join(m, (df.source_file_index == F.col("_f")) & F.col("_i").between(F.col("_lo"), F.col("_hi")), "left")
-    out = df.withColumn("line_id", F.coalesce("_to", F.lit(-1)).cast("int")).withColumn("reason", F.when(F.col("_to").isNull(), F.col("reason")))
-    return out.drop("_i", "_c", "_step", "_path", "_f", "_g", "_to", "_lo", "_hi")
+    # a merged line is marked at its first row and carried on to its last
+    marks = merged.select(*FILE, F.col("_lo").alias("_i"), F.struct("_to", "_hi").alias("_m"))
+    df = df.join(F.broadcast(marks), [*FILE, "_i"], "left").withColumn("_m", F.last("_m", ignorenulls=True).over(by_time()))
+    to = F.when(F.col("_i") <= F.col("_m._hi"), F.col("_m._to"))
+    out = df.withColumn("_to", to).withColumn("line_id", F.coalesce("_to", F.lit(-1)).cast("int")).withColumn("reason", F.when(F.col("_to").isNull(), F.col("reason")))
+    return out.drop("_i", "_c", "_step", "_path", "_m", "_to")
 
 
 def tag_ramps(df: DataFrame) -> DataFrame:
@@ -122,9 +128,9 @@ def tag_ramps(df: DataFrame) -> DataFrame:
 
 def detect_lines(df: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Adds speed_mps, heading_deg, line_id, reason and tie_line_id; everything from headings to ties."""
-    df = headings(df, rules)
-    azimuth = dominant_azimuth(df, rules)
-    df = df.crossJoin(F.broadcast(azimuth))
+    df = written(headings(df, rules), "headings")
+    azimuth = dominant_azimuth(df, rules).first()
+    df = df.withColumn("azimuth_deg", F.lit(azimuth.azimuth_deg if azimuth else None).cast("double"))
     valid = F.col("heading_deg").isNotNull() & (F.col("speed_mps") >= rules.least_speed)
     on = valid & (axial_difference(F.col("heading_deg"), F.col("azimuth_deg")) <= rules.tolerance_deg)
     df = group_lines(df, on, rules)

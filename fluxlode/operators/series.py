@@ -8,6 +8,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 SIGMA = 1.4826
 
 
@@ -28,7 +30,7 @@ def rolling_median(value: Column, keys, order, half: int) -> Column:
 
 def global_index(df: DataFrame, order, name: str = "i") -> DataFrame:
     """df with its place in a total order, without a window over one task: ranges are sorted, counted and offset."""
-    spread = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).withColumn("_part", F.spark_partition_id())
+    spread = written(df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = spread.groupBy("_part").count()
     before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
     local = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
@@ -136,15 +138,17 @@ def bridge(df: DataFrame, value: str, flagged: str, keys, order, near: int = 5)
     """Replaces flagged runs by a straight line between the medians of the `near` unflagged values on either side;
     at an end only one side counts. Adds bridged."""
     w = window(keys, order)
-    clear = F.when(~F.col(flagged), F.col(value))
     df = df.withColumn("_new", (F.col(flagged) & ~F.coalesce(F.lag(flagged).over(w), F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(w))
     run = Window.partitionBy(*keys, "_run", flagged).orderBy(*order)
     df = df.withColumn("_at", F.row_number().over(run)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run", flagged)))
-    back = F.slice(F.reverse(F.collect_list(clear).over(w.rowsBetween(Window.unboundedPreceding, 0))), 1, near)
-    ahead = F.slice(F.collect_list(clear).over(w.rowsBetween(0, Window.unboundedFollowing)), 1, near)
-    df = df.withColumn("_b", middle(F.array_sort(back))).withColumn("_a", middle(F.array_sort(ahead)))
+    # medians of frames over the clear rows alone, carried on to the flagged rows from both sides
+    clear = Window.partitionBy(*keys, flagged).orderBy(*order)
+    side = lambda lo, hi: F.when(~F.col(flagged), middle(F.array_sort(F.collect_list(value).over(clear.rowsBetween(lo, hi)))))
+    df = df.withColumn("_l", side(1 - near, 0)).withColumn("_r", side(0, near - 1))
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order])
+    df = df.withColumn("_b", F.last("_l", ignorenulls=True).over(w)).withColumn("_a", F.last("_r", ignorenulls=True).over(back))
     line = F.col("_b") + (F.col("_a") - F.col("_b")) * F.col("_at") / (F.col("_n") + 1)
-    return df.withColumn("bridged", F.when(F.col(flagged), F.coalesce(line, "_b", "_a", F.col(value))).otherwise(F.col(value))).drop("_new", "_run", "_at", "_n", "_b", "_a")
+    return df.withColumn("bridged", F.when(F.col(flagged), F.coalesce(line, "_b", "_a", F.col(value))).otherwise(F.col(value))).drop("_new", "_run", "_at", "_n", "_l", "_r", "_b", "_a")
 
 
 def median_speed(df: DataFrame, seconds: str, order) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+from . import graph
+
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
@@ -16,23 +19,58 @@ def _cells(df: DataFrame, size: float, x: str, y: str, spread: bool) -> DataFram
     return df.withColumn("_c", F.explode(near)).select("*", "_c._cx", "_c._cy").drop("_c")
 
 
-def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of left (x, y) and right (x2, y2) rows at most `radius` apart, with distance d; an equi-join on cells of that size."""
-    pairs = _cells(left, radius, "x", "y", False).join(_cells(right, radius, "x2", "y2", True), ["_cx", "_cy"]).drop("_cx", "_cy")
+def within(left: DataFrame, right: DataFrame, radius: float, spread_left: bool = False) -> DataFrame:
+    """Pairs of left (x, y) and right (x2, y2) rows at most `radius` apart, with distance d; an equi-join on cells of that size,
+    of which one side is dealt to nine."""
+    pairs = _cells(left, radius, "x", "y", spread_left).join(_cells(right, radius, "x2", "y2", not spread_left), ["_cx", "_cy"]).drop("_cx", "_cy")
     return pairs.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))).filter(F.col("d") <= radius)
 
 
-def nearest(left: DataFrame, key: str, right: DataFrame, id2: str, radius: float) -> DataFrame:
-    """left with the nearest right row's id and distance, null if none is within `radius`; ties to the smaller id."""
-    best = within(left.select(key, "x", "y"), right.select(id2, "x2", "y2"), radius).groupBy(key).agg(F.min(F.struct("d", id2)).alias("_b"))
-    return left.join(best, key, "left").withColumn("distance_m", F.col("_b.d")).withColumn(id2, F.col(f"_b.{id2}")).drop("_b")
+def _reach(left: DataFrame, right: DataFrame) -> float:
+    """No left row is further from any right row."""
+    ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    a, b = ends(left, "x", "y"), ends(right, "x2", "y2")
+    if a[0] is None or b[0] is None:
+        return 0.0
+    return ((max(a[1], b[1]) - min(a[0], b[0])) ** 2 + (max(a[3], b[3]) - min(a[2], b[2])) ** 2) ** 0.5
+
+
+def _widening(left: DataFrame, keys: list[str], right: DataFrame, radius: float, found, enough: Column) -> DataFrame:
+    """found(pairs) of every left row, one row per `keys`: the search doubles its radius for those without `enough`, until it
+    covers everything. Later rounds have few rows left, which are dealt to the nine cells in place of the right side."""
+    todo, out, most = left.select(*keys, "x", "y"), None, _reach(left, right)
+    while True:
+        last = radius >= most
+        got = written(found(within(todo, right, radius, spread_left=out is not None)), "near")
+        done = got if last else got.filter(enough)
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        todo = written(todo.join(done.select(*keys), keys, "left_anti"), "far")
+        if not todo.head(1):
+            return out
+        radius *= 2
+
+
+def nearest(left: DataFrame, key: str, right: DataFrame, id2: str, radius: float, widen: bool = True, apart: bool = False) -> DataFrame:
+    """left with the nearest right row's id and distance; ties to the smaller id; `apart`: rows of the same id don't count. The search begins at `radius` and widens until
+    each row has its nearest; without `widen`, rows that have none within `radius` get null."""
+    fit = F.col(key) != F.col(id2) if apart else F.lit(True)
+    best = lambda pairs: pairs.filter(fit).groupBy(key).agg(F.min(F.struct("d", id2)).alias("_b"))
+    near, right = left.select(key, "x", "y"), right.select(id2, "x2", "y2")
+    found = _widening(near, [key], right, radius, best, F.lit(True)) if widen else best(within(near, right, radius))
+    return left.join(found, key, "left").withColumn("distance_m", F.col("_b.d")).withColumn(id2, F.col(f"_b.{id2}")).drop("_b")
 
 
 def line_gap(cells: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """(row, col, gap_m): sum of a cell's distances to the two nearest lines within `radius`; null with fewer lines."""
-    per_line = within(cells.select("row", "col", "x", "y"), points.select("line_id", "x2", "y2"), radius).groupBy("row", "col", "line_id").agg(F.min("d").alias("d"))
-    ranked = per_line.withColumn("_r", F.row_number().over(Window.partitionBy("row", "col").orderBy("d", "line_id"))).filter("_r <= 2")
-    got = ranked.groupBy("row", "col").agg(F.sum("d").alias("_s"), F.count("*").alias("_n"))
+    """(row, col, gap_m): sum of a cell's distances to the two nearest lines, however far; null if there are fewer lines."""
+
+    def two(pairs: DataFrame) -> DataFrame:
+        per_line = pairs.groupBy("row", "col", "line_id").agg(F.min("d").alias("d"))
+        ranked = per_line.withColumn("_r", F.row_number().over(Window.partitionBy("row", "col").orderBy("d", "line_id"))).filter("_r <= 2")
+        return ranked.groupBy("row", "col").agg(F.sum("d").alias("_s"), F.count("*").alias("_n"))
+
+    got = _widening(cells, ["row", "col"], points.select("line_id", "x2", "y2"), radius, two, F.col("_n") == 2)
     return cells.join(got, ["row", "col"], "left").select("row", "col", F.when(F.col("_n") == 2, F.col("_s")).alias("gap_m"))
 
 
@@ -77,29 +115,16 @@ def near_segments(points: DataFrame, key: str, segments: DataFrame, buffer: floa
     return points.join(hit, key, "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, component): smallest id that links (a, b) reach. Labels spread along links and jump to their label's label each round,
-    so paths of any length take few; each round's table is checkpointed where a folder is set."""
-    spark = nodes.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    both = keep(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = keep(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("_n"))
-        new = labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", F.coalesce("_n", "component")).alias("_c"))
-        jump = labels.select(F.col("id").alias("_c"), F.col("component").alias("_j"))
-        new = keep(new.join(jump, "_c", "left").select("id", "component", F.least("_c", F.coalesce("_j", "_c")).alias("_new")))
-        moved = new.filter("_new <> component").head(1)
-        labels = new.select("id", F.col("_new").alias("component"))
-        if not moved:
-            break
-    return labels
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of every node: the smallest id that links (a, b) reach."""
+    found = graph.components(links).select(F.col("node").alias("id"), "component")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def clusters(points: DataFrame, radius: float) -> DataFrame:
     """points (id, x, y) with the component of those linked by steps of at most `radius`."""
     other = points.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    links = within(points.select("id", "x", "y"), other, radius).filter("id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    links = within(points.select("id", "x", "y"), other, radius).filter("id < id2").select(F.col("id").cast("long").alias("a"), F.col("id2").cast("long").alias("b"))
     return points.join(components(points.select("id"), links), "id")
 
 

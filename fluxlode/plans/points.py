@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import lines, series, timejoin
+from ..shared import written
 from .tables import ctes, q6, r6, view
 
 QUERIES, ORACLES = {}, {}
@@ -81,7 +82,7 @@ def angles(spark, d):
   {q6("degrees(acos(greatest(least(value / sqrt(lon * lon + lat * lat + value * value), 1.0), -1.0)))")} AS theta, {q6(PMOD.format(x="degrees(atan2(lat, lon))", m=360))} AS phi FROM geo""")
 def field(spark, d):
     e, n, u = geo.field_direction(F.col("lat"), F.col("lon"))
-    theta, phi = geo.magnetic_heading(F.col("lon"), F.col("lat"), F.col("value"))
+    theta, phi = geo.field_angles(F.col("lon"), F.col("lat"), F.col("value"))
     return view(spark, d, "geo").select("point_id", r6(e).alias("east"), r6(n).alias("north"), r6(u).alias("up"), r6(theta).alias("theta"), r6(phi).alias("phi"))
 
 
@@ -221,30 +222,43 @@ def principal(spark, d):
     return lines.principal_azimuth(view(spark, d, "track"), ["source_file_index"]).select("source_file_index", r6("azimuth_deg").alias("azimuth_deg"))
 
 
-GROUPED = (
-    HEAD
-    + AZ
-    + """, m AS (SELECT h.*, coalesce(hd IS NOT NULL AND speed >= 1.5 AND abs(hd - a + 90 - 180 * floor((hd - a + 90) / 180) - 90) <= 20, FALSE) AS is_on, coalesce(hd IS NOT NULL AND speed >= 1.5, FALSE) AS valid FROM h, az),
-c AS (SELECT *, CASE WHEN lag(is_on) OVER o IS DISTINCT FROM is_on OR t - lag(t) OVER o > 1 THEN 1 ELSE 0 END AS cut FROM m WINDOW o AS (PARTITION BY source_file_index ORDER BY t, point_id)),
-r AS (SELECT *, sum(cut) OVER (PARTITION BY source_file_index ORDER BY t, point_id) AS run FROM c),
-p AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER o, 2) + pow(y - lag(y) OVER o, 2)), 0) AS step FROM r WINDOW o AS (PARTITION BY source_file_index, run ORDER BY t, point_id)),
-s AS (SELECT *, sum(step) OVER (PARTITION BY source_file_index, run ORDER BY t, point_id) AS s FROM p),
-l AS (SELECT *, max(s) OVER o AS len, min(t) OVER o AS t0 FROM s WINDOW o AS (PARTITION BY source_file_index, run)),
-k AS (SELECT *, is_on AND len >= 150 AND s BETWEEN 15 AND len - 15 AS keep FROM l),
-i AS (SELECT source_file_index, run, CAST(row_number() OVER (ORDER BY min(t0), source_file_index, run) - 1 AS INT) AS id FROM k WHERE keep GROUP BY source_file_index, run)"""
-)
-
-
-@query("e_group_lines", ctes("track") + GROUPED + """ SELECT point_id, CASE WHEN keep THEN id ELSE -1 END AS line_id, CASE WHEN NOT is_on THEN NULL WHEN len < 150 OR id IS NULL THEN 'short_line' WHEN NOT keep THEN 'turn_buffer' END AS reason
-  FROM k LEFT JOIN i USING (source_file_index, run)""")
+def islands_sql(p: str, source: str, on: str) -> str:
+    """CTEs {p}k (rows with their run, its length and whether they are kept) and {p}i (numbers of the kept runs)."""
+    return f""", {p}o AS (SELECT *, {on} AS {p}on FROM {source}),
+{p}c AS (SELECT *, CASE WHEN lag({p}on) OVER o IS DISTINCT FROM {p}on OR t - lag(t) OVER o > 1 THEN 1 ELSE 0 END AS {p}cut FROM {p}o WINDOW o AS (PARTITION BY source_file_index ORDER BY t, point_id)),
+{p}r AS (SELECT *, sum({p}cut) OVER (PARTITION BY source_file_index ORDER BY t, point_id) AS {p}run FROM {p}c),
+{p}p AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER o, 2) + pow(y - lag(y) OVER o, 2)), 0) AS {p}step FROM {p}r WINDOW o AS (PARTITION BY source_file_index, {p}run ORDER BY t, point_id)),
+{p}s AS (SELECT *, sum({p}step) OVER (PARTITION BY source_file_index, {p}run ORDER BY t, point_id) AS {p}s FROM {p}p),
+{p}l AS (SELECT *, max({p}s) OVER o AS {p}len, min(t) OVER o AS {p}t0 FROM {p}s WINDOW o AS (PARTITION BY source_file_index, {p}run)),
+{p}k AS (SELECT *, {p}on AND {p}len >= 150 AND {p}s BETWEEN 15 AND {p}len - 15 AS {p}keep FROM {p}l),
+{p}i AS (SELECT source_file_index, {p}run, CAST(row_number() OVER (ORDER BY min({p}t0), source_file_index, {p}run) - 1 AS INT) AS {p}id FROM {p}k WHERE {p}keep GROUP BY source_file_index, {p}run)"""
+
+
+AXIAL = "abs(hd - ({a}) + 90 - 180 * floor((hd - ({a}) + 90) / 180) - 90)"
+GROUPED = HEAD + AZ + ", m AS (SELECT h.*, a, coalesce(hd IS NOT NULL AND speed >= 1.5, FALSE) AS valid FROM h, az)" + islands_sql("l", "m", f"coalesce(valid AND {AXIAL.format(a='a')} <= 20, FALSE)")
+BRIDGED = """, g AS (SELECT k.*, lid, CASE WHEN lkeep THEN lid ELSE -1 END AS line0,
+  CASE WHEN NOT valid THEN 'takeoff_landing_or_low_speed' WHEN NOT lon THEN 'off_azimuth_turn' WHEN llen < 150 OR lid IS NULL THEN 'short_line' WHEN NOT lkeep THEN 'turn_buffer' END AS reason0 FROM lk k LEFT JOIN li USING (source_file_index, lrun)),
+pa AS (SELECT *, row_number() OVER o AS i, coalesce(sqrt(pow(x - lag(x) OVER o, 2) + pow(y - lag(y) OVER o, 2)), 0) AS bstep, -x * sin(radians(a)) + y * cos(radians(a)) AS c FROM g WINDOW o AS (PARTITION BY source_file_index ORDER BY t, point_id)),
+pb AS (SELECT *, sum(bstep) OVER (PARTITION BY source_file_index ORDER BY t, point_id) AS path FROM pa),
+e AS (SELECT source_file_index, line0, min(i) AS lo, max(i) AS hi, arg_min(x, i) AS ax, arg_min(y, i) AS ay, arg_min(c, i) AS ac, arg_min(path, i) AS ap, arg_max(x, i) AS bx, arg_max(y, i) AS byy, arg_max(c, i) AS bc, arg_max(path, i) AS bp FROM pb WHERE line0 >= 0 GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN coalesce(ap - lag(bp) OVER o <= 100 AND abs(ac - lag(bc) OVER o) <= 15 AND ap - lag(bp) OVER o <= 2 * sqrt(pow(ax - lag(bx) OVER o, 2) + pow(ay - lag(byy) OVER o, 2)), FALSE) THEN 0 ELSE 1 END AS fresh FROM e WINDOW o AS (PARTITION BY source_file_index ORDER BY lo)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY source_file_index ORDER BY lo) AS grp FROM f), u AS (SELECT source_file_index, grp, arg_min(line0, lo) AS to_id, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY 1, 2),
+v AS (SELECT pb.*, coalesce(to_id, -1) AS line_id, CASE WHEN to_id IS NULL THEN reason0 END AS reason1 FROM pb LEFT JOIN u ON pb.source_file_index = u.source_file_index AND i BETWEEN lo AND hi),
+w2 AS (SELECT *, min(CASE WHEN line_id >= 0 THEN t END) OVER f AS t_lo, max(CASE WHEN line_id >= 0 THEN t END) OVER f AS t_hi FROM v WINDOW f AS (PARTITION BY source_file_index)),
+x2 AS (SELECT *, CASE WHEN line_id < 0 AND (t_lo IS NULL OR t < t_lo OR t > t_hi) THEN 'takeoff_landing_ramp' ELSE reason1 END AS reason FROM w2)"""
+
+
+@query("e_group_lines", ctes("track") + GROUPED + """ SELECT point_id, CASE WHEN lkeep THEN lid ELSE -1 END AS line_id, CASE WHEN NOT lon THEN NULL WHEN llen < 150 OR lid IS NULL THEN 'short_line' WHEN NOT lkeep THEN 'turn_buffer' END AS reason
+  FROM lk LEFT JOIN li USING (source_file_index, lrun)""")
 def grouped(spark, d):
-    df = lines.headings(view(spark, d, "track"))
+    df = written(lines.headings(view(spark, d, "track")), "headings")
     df = df.crossJoin(F.broadcast(lines.dominant_azimuth(df)))
     on = F.col("heading_deg").isNotNull() & (F.col("speed_mps") >= 1.5) & (geo.axial_difference(F.col("heading_deg"), F.col("azimuth_deg")) <= 20)
     return lines.group_lines(df, on).select("point_id", "line_id", "reason")
 
 
-@query("e_detect_lines")
+@query("e_detect_lines", ctes("track") + GROUPED + BRIDGED + islands_sql("ty", "x2", f"line_id < 0 AND coalesce(valid AND {AXIAL.format(a='a + 90')} <= 20, FALSE)")
+  + " SELECT point_id, line_id, CASE WHEN tykeep THEN tyid ELSE -1 END AS tie_line_id, reason FROM tyk LEFT JOIN tyi USING (source_file_index, tyrun)")
 def detect(spark, d):
     return lines.detect_lines(view(spark, d, "track")).select("point_id", "line_id", "tie_line_id", "reason")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import gridding, interpretation, inversion, leveling, series, spatial, stats
 from ..operators import transforms as tf
-from .points import PMOD, query
+from .fourier import transform_sql
+from .points import DESPIKE, PMOD, W, query
 from .tables import ctes, q6, r6, view
 
 PROFILES = """, p AS (SELECT line_id, CAST(floor((x * cos(radians(90)) + y * sin(radians(90))) / 25) AS BIGINT) AS bin, median(mag_raw) AS value, avg(-x * sin(radians(90)) + y * cos(radians(90))) AS across FROM survey GROUP BY 1, 2)"""
@@ -50,15 +53,42 @@ def striping(spark, d):
     return leveling.striping(lv, view(spark, d, "survey"), "mag_raw").select(*[r6(c).alias(c) for c in ("stripe_nt", "range_nt", "ratio")])
 
 
-@query("g_statistical_leveling")
+def _trend(window: int = 9, rounds: int = 3) -> str:
+    """A weighted quadratic through the neighbours' levels at each line, by normal equations and Cramer's rule, its weights renewed."""
+    h, out = window // 2, ""
+    out += f", w0 AS MATERIALIZED (SELECT a.k AS i, b.k - a.k AS o, b.level AS v, 1.0::DOUBLE AS w, TRUE AS open, 0.0::DOUBLE AS fit FROM lv a JOIN lv b ON abs(b.k - a.k) <= {h})"
+    for r in range(rounds):
+        det = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
+        out += f""", n{r} AS (SELECT i, sum(w) AS s0, sum(w * o) AS s1, sum(w * o * o) AS s2, sum(w * o * o * o) AS s3, sum(w * o * o * o * o) AS s4, sum(w * v) AS y0, sum(w * v * o) AS y1, sum(w * v * o * o) AS y2 FROM w{r} GROUP BY i),
+c{r} AS (SELECT i, (y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)) / {det} AS a, (s0 * (y1 * s4 - s3 * y2) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - y1 * s2)) / {det} AS b,
+  (s0 * (s2 * y2 - y1 * s3) - s1 * (s1 * y2 - y1 * s2) + y0 * (s1 * s3 - s2 * s2)) / {det} AS c FROM n{r}),
+r{r} AS (SELECT w.i, o, v, open, CASE WHEN open THEN a ELSE w.fit END AS fit, v - a - b * o - c * o * o AS left_ FROM w{r} w JOIN c{r} USING (i)),
+d{r} AS (SELECT i, median(left_) AS m FROM r{r} GROUP BY i), q{r} AS (SELECT r.i, 1.4826 * median(abs(left_ - m)) AS scale FROM r{r} r JOIN d{r} USING (i) GROUP BY r.i),
+w{r + 1} AS MATERIALIZED (SELECT r.i, o, v, CASE WHEN scale > 0 THEN 1 / (1 + pow(left_ / (2 * scale), 2)) ELSE 1 END AS w, open AND scale > 0 AS open, fit FROM r{r} r JOIN q{r} USING (i))"""
+    return out + f", f AS (SELECT i, any_value(fit) AS fit FROM w{rounds} GROUP BY i), j AS (SELECT line_id, level - fit AS j FROM lv JOIN f ON f.i = lv.k)"
+
+
+@query("g_statistical_leveling", EVEN + PROFILES + DELTAS.replace("lv AS (", "lv AS MATERIALIZED (") + _trend() + f" SELECT line_id, {q6('j - (SELECT avg(j) FROM j)')} AS shift FROM j")
 def statistical(spark, d):
-    return leveling.statistical_shifts(_evened(spark, d), "mag_raw", 90.0, 50.0)
+    return leveling.statistical_shifts(_evened(spark, d), "mag_raw", 90.0, 50.0).select("line_id", r6("shift").alias("shift"))
+
+
+COV = lambda a, b: f"(sum({a} * {b}) - sum({a}) * sum({b}) / count(*))"
+PLANE = ", ".join(f"{COV(a, b)} AS {a}{b}" for a, b in ("uu", "uw", "uh", "ww", "wh", "hh", "uv", "wv", "hv", "vv"))
+DET3 = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+GRAM = ["uu", "uw", "uh", "uw", "ww", "wh", "uh", "wh", "hh"]
+PART = lambda i: DET3([("uv", "wv", "hv")[k // 3] if k % 3 == i else g for k, g in enumerate(GRAM)])
 
 
-@query("g_heading_offset")
+@query("g_heading_offset", EVEN + f""", o AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)),
+p AS (SELECT floor(x / 50) + i AS gx, floor(y / 50) + j AS gy, line_id, x - (floor(x / 50) + i + 0.5) * 50 AS u, y - (floor(y / 50) + j + 0.5) * 50 AS w, CASE WHEN line_id % 2 = 0 THEN -0.5 ELSE 0.5 END::DOUBLE AS h, mag_raw - 50000 AS v FROM survey, o),
+g AS (SELECT gx, gy, count(*) AS n, {PLANE} FROM p WHERE sqrt(u * u + w * w) <= 100 GROUP BY gx, gy HAVING count(DISTINCT line_id) >= 3 AND count(*) FILTER (h < 0) >= 12 AND count(*) FILTER (h > 0) >= 12),
+k AS (SELECT *, {DET3(GRAM)} AS det FROM g), b AS (SELECT n, vv, uv, wv, hv, {PART(0)} / det AS bu, {PART(1)} / det AS bw, {PART(2)} / det AS bh FROM k WHERE det > 1e-6 * uu * ww * hh),
+f AS (SELECT bh, sqrt(greatest(vv - bu * uv - bw * wv - bh * hv, 0) / n) AS r FROM b), c AS (SELECT * FROM f WHERE r <= (SELECT quantile_cont(r, 0.4) FROM f)), m AS (SELECT median(bh) AS m FROM c)
+SELECT {q6("any_value(m)")} AS "offset", {q6("1.4826 * median(abs(bh - m))")} AS spread, count(*) AS n FROM c, m""")
 def heading(spark, d):
     s = view(spark, d, "survey").withColumn("y", F.abs("y")).withColumn("group", F.when(F.col("line_id") % 2 == 0, "A").otherwise("B"))
-    return leveling.local_plane_offset(s, "mag_raw", 50.0)
+    return leveling.local_plane_offset(s.withColumn("mag_raw", F.col("mag_raw") - 50000), "mag_raw", 50.0).select(r6("offset").alias("offset"), r6("spread").alias("spread"), "n")
 
 
 @query("g_file_offsets", ctes("track") + f""", d AS (SELECT mag_raw - lag(mag_raw) OVER (PARTITION BY source_file_index ORDER BY t, point_id) AS d FROM track), m AS (SELECT median(d) AS m FROM d),
@@ -68,12 +98,44 @@ def offsets(spark, d):
     return leveling.file_offsets(view(spark, d, "track"), "mag_raw").select("source_file_index", "n", r6("median").alias("median"), r6("offset").alias("offset"), "is_off")
 
 
-@query("g_crossings")
+TIED = EVEN.replace("FROM events)", "FROM events)") + """, w AS (SELECT point_id, t, x, y, s, mag_raw, CASE WHEN s % 10 = 3 AND line_id % 5 = 0 THEN line_id ELSE -1 END AS tie, CASE WHEN s % 10 = 3 AND line_id % 5 = 0 THEN -1 ELSE line_id END AS line FROM survey),
+v AS (SELECT *, avg(mag_raw) OVER (PARTITION BY line, tie ORDER BY t, point_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM w),
+xp AS (SELECT l.line AS line_id, q.tie AS tie_id, l.s, l.v - q.v AS delta, sqrt(pow(l.x - q.x, 2) + pow(l.y - q.y, 2)) AS d, l.point_id AS a, q.point_id AS b FROM v l JOIN v q ON l.line >= 0 AND q.tie >= 0 AND abs(l.x - q.x) <= 60 AND abs(l.y - q.y) <= 60),
+xc AS MATERIALIZED (SELECT line_id, tie_id, s, delta, d AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY line_id, tie_id ORDER BY d, a, b) AS k FROM xp WHERE d <= 60) WHERE k = 1)"""
+
+
+def _crossed(spark, d):
+    tie = (F.col("s") % 10 == 3) & (F.col("line_id") % 5 == 0)
+    s = view(spark, d, "survey").withColumn("y", F.abs("y")).withColumn("tie_line_id", F.when(tie, F.col("line_id")).otherwise(-1)).withColumn("line_id", F.when(tie, -1).otherwise(F.col("line_id")))
+    return leveling.crossings(s, "mag_raw", 60.0)
+
+
+@query("g_crossings", TIED + f" SELECT line_id, tie_id, s, {q6('delta')} AS delta, {q6('distance_m')} AS distance_m FROM xc")
 def crossing(spark, d):
-    s = view(spark, d, "survey").withColumn("tie_line_id", F.when((F.col("s") % 10 == 3) & (F.col("line_id") % 5 == 0), F.col("line_id")).otherwise(-1)).withColumn("line_id", F.when(F.col("tie_line_id") >= 0, -1).otherwise(F.col("line_id")))
-    c = leveling.crossings(s, "mag_raw")
-    lines, _ = leveling.crossover_shifts(c)
-    return c.join(F.broadcast(lines), "line_id")
+    return _crossed(spark, d).select("line_id", "tie_id", "s", r6("delta").alias("delta"), r6("distance_m").alias("distance_m"))
+
+
+def _settled(rounds: int = 20, tol: float = 0.01) -> str:
+    """Medians in turn for lines and ties, as CTEs of one round after another; a round that follows a small change keeps what was."""
+    out = ", l0 AS (SELECT DISTINCT line_id, 0.0::DOUBLE AS v FROM xc), t0 AS (SELECT DISTINCT tie_id, 0.0::DOUBLE AS v FROM xc), o0 AS (SELECT FALSE AS done)"
+    for i in range(rounds):
+        out += f""", a{i} AS MATERIALIZED (SELECT line_id, median(delta + t.v) AS v FROM xc JOIN t{i} t USING (tie_id) GROUP BY 1), b{i} AS MATERIALIZED (SELECT tie_id, median(a.v - delta) AS v FROM xc JOIN a{i} a USING (line_id) GROUP BY 1),
+m{i} AS MATERIALIZED (SELECT avg(v) AS m FROM a{i}), l{i + 1} AS MATERIALIZED (SELECT line_id, CASE WHEN done THEN l.v ELSE a.v - m END AS v FROM a{i} a JOIN l{i} l USING (line_id), m{i}, o{i}),
+t{i + 1} AS MATERIALIZED (SELECT tie_id, CASE WHEN done THEN t.v ELSE b.v - m END AS v FROM b{i} b JOIN t{i} t USING (tie_id), m{i}, o{i}),
+o{i + 1} AS MATERIALIZED (SELECT done OR greatest((SELECT max(abs(x.v - y.v)) FROM l{i + 1} x JOIN l{i} y USING (line_id)), (SELECT max(abs(x.v - y.v)) FROM t{i + 1} x JOIN t{i} y USING (tie_id))) < {tol} AS done FROM o{i})"""
+    return out
+
+
+@query("g_crossover_shifts", TIED + _settled() + f" SELECT line_id, {q6('v')} AS shift FROM l20")
+def crossover(spark, d):
+    return leveling.crossover_shifts(_crossed(spark, d))[0].select("line_id", r6("shift").alias("shift"))
+
+
+@query("g_crossover_lines", TIED + f""", g AS (SELECT line_id, count(*) AS n, regr_slope(delta, s) AS b, regr_intercept(delta, s) AS a, median(delta) AS m FROM xc GROUP BY 1)
+SELECT line_id, {q6("CASE WHEN n >= 3 AND b IS NOT NULL AND NOT isnan(b) THEN a ELSE m END")} AS shift, {q6("CASE WHEN n >= 3 AND b IS NOT NULL AND NOT isnan(b) THEN b ELSE 0 END")} AS slope FROM g""")
+def crossover_lines(spark, d):
+    ties = spark.createDataFrame([], "tie_id int, shift double")
+    return leveling.crossover_lines(_crossed(spark, d), ties).select("line_id", r6("shift").alias("shift"), r6("slope").alias("slope"))
 
 
 @query("g_turn_calibration", ctes("track") + f""", c AS (SELECT *, avg(value) OVER w AS m, count(*) OVER w AS n FROM (SELECT source_file_index, CAST(floor(t / 60) AS BIGINT) AS turn_group, x AS theta, y AS phi, mag_raw AS value FROM track) WINDOW w AS (PARTITION BY source_file_index, turn_group))
@@ -89,51 +151,25 @@ def passes(spark, d):
     return leveling.line_passes(view(spark, d, "survey"), "mag_raw").select("line_id", r6("axis_deg").alias("axis_deg"), r6("cx").alias("cx"), r6("cy").alias("cy"), "n", "direction")
 
 
-POINTS = ctes("survey") + ", a AS (SELECT point_id, x + mag_raw % 10 AS x, y + mag_raw % 7 AS y FROM survey), b AS (SELECT point_id AS other, x AS x2, y AS y2 FROM a WHERE point_id % 9 = 0)"
+POINTS = ctes("survey") + ", a AS (SELECT point_id, x + mag_raw % 10 AS x, y + mag_raw % 7 AS y FROM survey), b AS (SELECT point_id AS other, x AS x2, y AS y2 FROM a)"
 
 
 def _shaken(spark, d):
     a = view(spark, d, "survey").select("point_id", "mag_raw", (F.col("x") + F.col("mag_raw") % 10).alias("x"), (F.col("y") + F.col("mag_raw") % 7).alias("y"))
-    return a, a.filter("point_id % 9 = 0").select(F.col("point_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return a, a.select(F.col("point_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
 
 
-@query("h_radius_join", POINTS + f" SELECT point_id, other, {q6('sqrt(pow(x - x2, 2) + pow(y - y2, 2))')} AS d FROM a JOIN b ON abs(x - x2) <= 30 AND abs(y - y2) <= 30 WHERE sqrt(pow(x - x2, 2) + pow(y - y2, 2)) <= 30")
+@query("h_radius_join", POINTS + f" SELECT point_id, other, {q6('sqrt(pow(x - x2, 2) + pow(y - y2, 2))')} AS d FROM a JOIN b ON abs(x - x2) <= 30 AND abs(y - y2) <= 30 WHERE sqrt(pow(x - x2, 2) + pow(y - y2, 2)) <= 30 AND point_id <> other")
 def radius(spark, d):
     a, b = _shaken(spark, d)
-    return spatial.within(a, b, 30.0).select("point_id", "other", r6("d").alias("d"))
+    return spatial.within(a, b, 30.0).filter("point_id <> other").select("point_id", "other", r6("d").alias("d"))
 
 
-@query("h_nearest", POINTS + f""", r AS (SELECT point_id, other, sqrt(pow(x - x2, 2) + pow(y - y2, 2)) AS d FROM a JOIN b ON abs(x - x2) <= 40 AND abs(y - y2) <= 40), n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS k FROM r WHERE d <= 40)
+@query("h_nearest", POINTS + f""", r AS (SELECT point_id, other, sqrt(pow(x - x2, 2) + pow(y - y2, 2)) AS d FROM a JOIN b ON point_id <> other AND abs(x - x2) <= 60 AND abs(y - y2) <= 60), n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS k FROM r WHERE d <= 60)
 SELECT a.point_id, other, {q6("d")} AS distance_m FROM a LEFT JOIN (SELECT * FROM n WHERE k = 1) n USING (point_id)""")
 def nearest(spark, d):
     a, b = _shaken(spark, d)
-    return spatial.nearest(a, "point_id", b, "other", 40.0).select("point_id", "other", r6("distance_m").alias("distance_m"))
-
-
-def _others(a):
-    """All points, as what each of them is joined with."""
-    return a.select(F.col("point_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-
-
-def pairs_of_all(a, radius: float):
-    """(point_id, other, d): every pair of two points at most `radius` apart, both ways round."""
-    return spatial.within(a, _others(a), radius).filter("point_id <> other").select("point_id", "other", "d")
-
-
-def nearest_of_all(a, radius: float):
-    """(point_id, other, distance_m): each point's nearest other point, null if none is within `radius`; ties to the smaller id."""
-    best = pairs_of_all(a, radius).groupBy("point_id").agg(F.min(F.struct("d", "other")).alias("_b"))
-    return a.select("point_id").join(best, "point_id", "left").select("point_id", F.col("_b.other").alias("other"), F.col("_b.d").alias("distance_m"))
-
-
-@query("h_radius_join_all")
-def radius_all(spark, d):
-    return pairs_of_all(_shaken(spark, d)[0], 30.0).select("point_id", "other", r6("d").alias("d"))
-
-
-@query("h_nearest_all")
-def nearest_all(spark, d):
-    return nearest_of_all(_shaken(spark, d)[0], 40.0).select("point_id", "other", r6("distance_m").alias("distance_m"))
+    return spatial.nearest(a, "point_id", b, "other", 4.0, apart=True).select("point_id", "other", r6("distance_m").alias("distance_m"))
 
 
 RING = [(100.0, -300.0), (900.0, -200.0), (700.0, 100.0), (1200.0, 500.0), (300.0, 700.0)]
@@ -151,17 +187,11 @@ def polygon(spark, d):
     return spatial.in_polygons(view(spark, d, "survey").select("point_id", "x", "y"), ring, 200.0).select("point_id", "polygon_id")
 
 
-@query("h_components", ctes("survey") + """, n AS (SELECT point_id AS id, x, y * 2 AS y FROM survey WHERE point_id % 3 = 0), l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND a.x = b.x AND abs(a.y - b.y) <= 20),
+@query("h_components", ctes("survey") + """, n AS (SELECT point_id AS id, x, y * 2 + mag_raw % 23 AS y FROM survey),
 s AS (SELECT id, x, y, CASE WHEN y - lag(y) OVER (PARTITION BY x ORDER BY y, id) <= 20 THEN 0 ELSE 1 END AS cut FROM n), g AS (SELECT id, x, sum(cut) OVER (PARTITION BY x ORDER BY y, id) AS g FROM s)
 SELECT id, min(id) OVER (PARTITION BY x, g) AS component FROM g""")
 def components(spark, d):
-    n = view(spark, d, "survey").filter("point_id % 3 = 0").select(F.col("point_id").alias("id"), "x", (F.col("y") * 2).alias("y"))
-    return spatial.clusters(n, 20.0).select("id", "component")
-
-
-@query("h_components_all")
-def components_all(spark, d):
-    n = view(spark, d, "survey").select(F.col("point_id").alias("id"), "x", (F.col("y") * 2).alias("y"))
+    n = view(spark, d, "survey").select(F.col("point_id").alias("id"), "x", (F.col("y") * 2 + F.col("mag_raw") % 23).alias("y"))
     return spatial.clusters(n, 20.0).select("id", "component")
 
 
@@ -170,13 +200,16 @@ def maxima(spark, d):
     return spatial.local_maxima(view(spark, d, "grid")).select("row", "col", r6("value").alias("value"))
 
 
-@query("h_line_gap", ctes("survey") + f""", c AS (SELECT r AS row, k AS col, k * 25.0 AS x, r * 25.0 - 300 AS y FROM (SELECT CAST(unnest(range(24)) AS INT) AS r), (SELECT CAST(unnest(range(24)) AS INT) AS k)),
-m AS (SELECT row, col, line_id, min(sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2))) AS d FROM c JOIN survey s ON abs(c.x - s.x) <= 100 AND abs(c.y - s.y) <= 100 WHERE sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) <= 100 GROUP BY 1, 2, 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d, line_id) AS n FROM m) SELECT c.row, c.col, {q6("(SELECT CASE WHEN count(*) = 2 THEN sum(d) END FROM k WHERE k.row = c.row AND k.col = c.col AND n <= 2)")} AS gap_m FROM c""")
+LATTICE = ", b0 AS (SELECT min(x) AS x0, min(y) AS y0, CAST(round((max(x) - min(x)) / {s}) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / {s}) AS INT) + 1 AS ny FROM survey), c AS (SELECT CAST(r AS INT) AS row, CAST(k AS INT) AS col, x0 + k * {s}::DOUBLE AS x, y0 + r * {s}::DOUBLE AS y FROM b0, unnest(range(ny)) t(r), unnest(range(nx)) u(k))"
+
+
+@query("h_line_gap", ctes("survey") + LATTICE.format(s=25) + f""", m AS (SELECT row, col, line_id, min(sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2))) AS d FROM c, survey s GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d, line_id) AS n FROM m) SELECT row, col, {q6("sum(d)")} AS gap_m FROM k WHERE n <= 2 GROUP BY row, col""")
 def gap(spark, d):
-    cells = gridding.nodes(spark, 0.0, -300.0, 24, 24, 25.0).withColumn("x", F.col("easting")).withColumn("y", F.col("northing"))
-    pts = view(spark, d, "survey").select("line_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return spatial.line_gap(cells, pts, 100.0).select("row", "col", r6("gap_m").alias("gap_m"))
+    points = view(spark, d, "survey")
+    x0, y0, nx, ny = gridding.lattice(points, 25.0)
+    cells = gridding.nodes(spark, x0, y0, nx, ny, 25.0).withColumn("x", F.col("easting")).withColumn("y", F.col("northing"))
+    return spatial.line_gap(cells, points.select("line_id", F.col("x").alias("x2"), F.col("y").alias("y2")), 50.0).select("row", "col", r6("gap_m").alias("gap_m"))
 
 
 @query("i_boxing", ctes("survey") + f"SELECT CAST(floor((y + 500) / 20 + 0.5) AS INT) AS row, CAST(floor(x / 20 + 0.5) AS INT) AS col, {q6('avg(mag_raw)')} AS value, count(*) AS n FROM survey GROUP BY 1, 2")
@@ -184,11 +217,11 @@ def boxing(spark, d):
     return gridding.boxing(view(spark, d, "survey"), "mag_raw", 0.0, -500.0, 20.0).select("row", "col", r6("value").alias("value"), "n")
 
 
-@query("i_nearest_grid", ctes("survey") + f""", c AS (SELECT r AS row, k AS col, k * 30.0 AS x, r * 30.0 - 300 AS y FROM (SELECT CAST(unnest(range(20)) AS INT) AS r), (SELECT CAST(unnest(range(20)) AS INT) AS k)),
-m AS (SELECT row, col, point_id, mag_raw, sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) AS d FROM c JOIN survey s ON abs(c.x - s.x) <= 40 AND abs(c.y - s.y) <= 40), n AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d, point_id) AS k FROM m WHERE d <= 40)
+@query("i_nearest_grid", ctes("survey") + LATTICE.format(s=30) + f""", m AS (SELECT row, col, point_id, mag_raw, sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) AS d FROM c JOIN survey s ON abs(c.x - s.x) <= 40 AND abs(c.y - s.y) <= 40), n AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d, point_id) AS k FROM m WHERE d <= 40)
 SELECT row, col, {q6("mag_raw")} AS value, {q6("CASE WHEN d IS NULL THEN 0 ELSE greatest(0, least(1, 1 - d / 40)) END")} AS confidence FROM c LEFT JOIN (SELECT * FROM n WHERE k = 1) n USING (row, col)""")
 def nearest_grid(spark, d):
-    return gridding.nearest_grid(view(spark, d, "survey"), "mag_raw", 0.0, -300.0, 20, 20, 30.0, 40.0).select("row", "col", r6("value").alias("value"), r6("confidence").alias("confidence"))
+    points = view(spark, d, "survey")
+    return gridding.nearest_grid(points, "mag_raw", *gridding.lattice(points, 30.0), 30.0, 40.0).select("row", "col", r6("value").alias("value"), r6("confidence").alias("confidence"))
 
 
 @query("i_plane_residual", ctes("grid") + f""", s AS (SELECT avg(value) AS v, avg(easting) AS e, avg(northing) AS n, (covar_pop(easting, value) * var_pop(northing) - covar_pop(northing, value) * covar_pop(easting, northing)) / (var_pop(easting) * var_pop(northing) - pow(covar_pop(easting, northing), 2)) AS a,
@@ -209,9 +242,19 @@ def equalized(spark, d):
     return gridding.equalized(view(spark, d, "grid")).select("row", "col", r6("rank").alias("rank"))
 
 
-@query("i_contours")
+def _cut(a: str, b: str) -> str:
+    share = f"(level - {a}.v) / ({b}.v - {a}.v)"
+    return f"CASE WHEN ({a}.v < level) <> ({b}.v < level) THEN {{'x': {a}.e + {share} * ({b}.e - {a}.e), 'y': {a}.n + {share} * ({b}.n - {a}.n)}} END"
+
+
+@query("i_contours", ctes("grid") + f""", c AS (SELECT row, col, {{'v': value, 'e': easting, 'n': northing}} AS p FROM grid),
+q AS (SELECT a.p AS p0, b.p AS p1, c.p AS p2, d.p AS p3 FROM c a JOIN c b ON b.row = a.row AND b.col = a.col + 1 JOIN c ON c.row = a.row + 1 AND c.col = a.col JOIN c d ON d.row = a.row + 1 AND d.col = a.col + 1),
+t AS (SELECT p0 AS a, p1 AS b, p2 AS c FROM q UNION ALL SELECT p3, p1, p2 FROM q), l AS (SELECT *, unnest([50.0, 55.0, 60.0])::DOUBLE AS level FROM t),
+e AS (SELECT level, list_filter([{_cut("a", "b")}, {_cut("b", "c")}, {_cut("a", "c")}], lambda z: z IS NOT NULL) AS e FROM l)
+SELECT level, {q6("e[1].x")} AS ax, {q6("e[1].y")} AS ay, {q6("e[2].x")} AS bx, {q6("e[2].y")} AS by FROM e WHERE len(e) = 2""")
 def contours(spark, d):
-    return gridding.contour_segments(view(spark, d, "grid"), [50.0, 55.0, 60.0])
+    found = gridding.contour_segments(view(spark, d, "grid"), [50.0, 55.0, 60.0])
+    return found.select("level", *[r6(c).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @query("i_minimum_curvature")
@@ -223,7 +266,7 @@ def curvature(spark, d):
 def _transform(name: str, **p):
     def run(spark, d):
         g = view(spark, d, "grid").withColumn("grid_id", F.explode(F.array(F.lit(0), F.lit(1))))
-        return gridding.by_kernel(g, lambda a, c: tf.transform(a, c, name, **p))
+        return gridding.by_kernel(g, lambda a, c: tf.transform(a, c, name, **p)).withColumn("value", r6("value"))
 
     return run
 
@@ -232,7 +275,7 @@ for _name, _p in {
     "rtp": {"inclination": 55.0, "declination": -8.0}, "rte": {"inclination": 55.0, "declination": -8.0}, "upward": {"height": 20.0}, "microlevel": {"azimuth": 0.0, "spacing": 20.0},
     **{n: {} for n in ("1vd", "2vd", "dx", "dy", "dxx", "dyy", "dxy", "dxz", "dyz", "as", "thdr", "tilt", "theta")},
 }.items():
-    query(f"j_{_name}")(_transform(_name, **_p))
+    query(f"j_{_name}", transform_sql(_name))(_transform(_name, **_p))
 
 
 @query("k_prospectivity", ctes("grid") + f""", l AS (SELECT row, col, value AS a, CASE WHEN (row + col) % 4 > 0 THEN row * 1.0 END AS b FROM grid), q AS (SELECT quantile_cont(a, [0.02, 0.98]) AS qa, quantile_cont(b, [0.02, 0.98]) AS qb FROM l),
@@ -243,22 +286,34 @@ def prospect(spark, d):
     return interpretation.prospectivity(g, {"a": 0.7, "b": 0.3}).select("row", "col", r6("score").alias("score"))
 
 
-@query("k_lineaments")
+@query("k_lineaments", ctes("grid").replace("WITH ", "WITH RECURSIVE ", 1) + f""", p AS (SELECT CAST(row * 1000 + col AS BIGINT) AS id, easting AS x, northing AS y FROM grid g WHERE value >= (SELECT quantile_cont(value, 0.7) FROM grid)
+  AND NOT EXISTS (SELECT 1 FROM grid h WHERE h.row BETWEEN g.row - 1 AND g.row + 1 AND h.col BETWEEN g.col - 1 AND g.col + 1 AND h.value > g.value)),
+c AS (SELECT id, id AS t FROM p UNION SELECT c.id, b.id FROM c JOIN p a ON a.id = c.t JOIN p b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 30), k AS (SELECT id, min(t) AS component FROM c GROUP BY id),
+s AS (SELECT component, count(*) AS n_points, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a, avg(x) AS mx, avg(y) AS my FROM p JOIN k USING (id) GROUP BY component HAVING count(*) >= 3)
+SELECT s.component, n_points, {q6(PMOD.format(x="90 - degrees(a)", m=180))} AS strike_deg, {q6("max(x * cos(a) + y * sin(a)) - min(x * cos(a) + y * sin(a))")} AS length_m, {q6("any_value(mx)")} AS x, {q6("any_value(my)")} AS y
+FROM s JOIN k USING (component) JOIN p USING (id) GROUP BY s.component, n_points, a""")
 def lineaments(spark, d):
     e = interpretation.edge_points(view(spark, d, "grid"), 70.0)
     pts = e.select((F.col("row") * 1000 + F.col("col")).cast("long").alias("id"), F.col("easting").alias("x"), F.col("northing").alias("y"))
-    return interpretation.segments(pts, 30.0, 3)
+    return interpretation.segments(pts, 30.0, 3).select("component", "n_points", *[r6(c).alias(c) for c in ("strike_deg", "length_m", "x", "y")])
 
 
-@query("k_signal_depths")
+@query("k_signal_depths", ctes("grid") + f""", a AS (SELECT row, col, abs(value - 55) AS v FROM grid), p AS (SELECT * FROM a WHERE v >= (SELECT quantile_cont(v, 0.9) FROM a) AND NOT EXISTS (SELECT 1 FROM a h WHERE h.row BETWEEN a.row - 1 AND a.row + 1 AND h.col BETWEEN a.col - 1 AND a.col + 1 AND h.v > a.v))
+SELECT p.row, p.col, {q6("p.v")} AS value, {q6("min(sqrt(pow(p.row - o.row, 2) + pow(p.col - o.col, 2))) * 10")} AS depth FROM p JOIN a o ON o.v <= p.v / 2 AND sqrt(pow(p.row - o.row, 2) + pow(p.col - o.col, 2)) <= 15 GROUP BY p.row, p.col, p.v""")
 def signal(spark, d):
-    return interpretation.signal_depths(view(spark, d, "grid"), 10.0)
+    g = view(spark, d, "grid").withColumn("value", F.abs(F.col("value") - 55))
+    return interpretation.signal_depths(g, 10.0).withColumn("value", r6("value")).withColumn("depth", r6("depth"))
 
 
-@query("k_tilt_depths")
+NEXT = """, v AS (SELECT g.row, g.col, g.value - 55 AS v, e.value - 55 AS e, w.value - 55 AS w, n.value - 55 AS n, s.value - 55 AS s FROM grid g LEFT JOIN grid e ON e.row = g.row AND e.col = g.col + 1 LEFT JOIN grid w ON w.row = g.row AND w.col = g.col - 1
+  LEFT JOIN grid n ON n.row = g.row + 1 AND n.col = g.col LEFT JOIN grid s ON s.row = g.row - 1 AND s.col = g.col)"""
+
+
+@query("k_tilt_depths", ctes("grid") + NEXT + f""", x AS (SELECT *, coalesce((e - w) / 20, (e - v) / 10, (v - w) / 10) AS de, coalesce((n - s) / 20, (n - v) / 10, (v - s) / 10) AS dn FROM v),
+d AS (SELECT row, col, 1 / sqrt(pow(radians(de), 2) + pow(radians(dn), 2)) AS depth FROM x WHERE (v * e < 0 OR v * n < 0 OR v = 0) AND NOT (de = 0 AND dn = 0)) SELECT row, col, {q6("depth")} AS depth FROM d WHERE depth BETWEEN 1 AND 500""")
 def tilt(spark, d):
     g = view(spark, d, "grid").withColumn("value", F.col("value") - 55)
-    return interpretation.tilt_depths(g, 10.0)
+    return interpretation.tilt_depths(g, 10.0).withColumn("depth", r6("depth"))
 
 
 @query("l_stats", ctes("survey") + f"SELECT line_id, count(mag_raw) AS n, min(mag_raw) AS min, max(mag_raw) AS max, {q6('avg(mag_raw)')} AS mean, {q6('stddev_samp(mag_raw)')} AS std FROM survey GROUP BY line_id")
@@ -301,7 +356,10 @@ def surface(spark, d):
     return inversion.near_surface(m).select("row", "col", r6("chi").alias("chi"))
 
 
-@query("d_global_despike")
+SERIES = re.sub(r"PARTITION BY line_id( ORDER BY s)?", lambda m: "ORDER BY t, point_id" if m[1] else "", DESPIKE)
+
+
+@query("d_global_despike", SERIES)
 def global_despike(spark, d):
     """One series over all lines, in chunks of its order with halos, so no window covers it whole."""
     s = series.with_halo(series.global_index(view(spark, d, "survey"), ["t", "point_id"]), "i", 2000, 16)

@@ -85,7 +85,7 @@ def sensys_r1(rows: DataFrame) -> DataFrame:
 def microinfinity(rows: DataFrame, day: str) -> DataFrame:
     """Values in microtesla; the file has seconds of the week only, so the day they start from is given."""
     t = table_rows(rows, F.col("value").contains("MagField_J1"), ",")
-    at = F.timestamp_micros((F.unix_micros(F.lit(day).cast("timestamp")) + (number("TOW") % 86400) * 1_000_000).cast("long"))
+    at = F.timestamp_micros((F.unix_micros(F.lit(day).cast("timestamp")) + number("TOW") * 1_000_000).cast("long"))
     return _point(t, timestamp=at, lat=number("lat[deg]"), lon=number("lon[deg]"), mag_raw=1000 * number("MagField_J1[uT]"), altitude_msl_m=number("alt[m]"))
 
 

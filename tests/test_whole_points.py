@@ -1,28 +1,39 @@
-"""Spatial queries over all points against plain computations."""
+import os
 
-import numpy as np
+import pytest
 
+from fluxlode.operators import spatial
 from fluxlode.plans import surfaces
 from fluxlode.plans.queries import QUERIES
 
-from test_queries import DIR, needs_data
+DIR = "/root/testdata/sf0.001"
 
 
 def test_pairs_and_nearest_take_every_point(spark):
-    rng = np.random.default_rng(2)
-    x, y = rng.uniform(0, 200, (2, 60)).round(1)
-    a = spark.createDataFrame([(i, float(x[i]), float(y[i])) for i in range(60)], "point_id long, x double, y double")
-    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
-    np.fill_diagonal(d, np.inf)
-    assert {(r.point_id, r.other) for r in surfaces.pairs_of_all(a, 30.0).collect()} == {(i, j) for i, j in np.argwhere(d <= 30)}
-    got = {r.point_id: (r.other, r.distance_m) for r in surfaces.nearest_of_all(a, 12.0).collect()}
-    assert got == {i: (int(d[i].argmin()), d[i].min()) if d[i].min() <= 12 else (None, None) for i in range(60)}
-
-
-@needs_data
-def test_queries_of_all_points_leave_none_out(spark):
-    ids = {r.point_id for r in surfaces.view(spark, DIR, "survey").select("point_id").collect()}
-    assert {r.point_id for r in QUERIES["h_nearest_all"](spark, DIR).collect()} == ids
-    assert {r.id for r in QUERIES["h_components_all"](spark, DIR).collect()} == ids
-    others = {r.other for r in QUERIES["h_radius_join_all"](spark, DIR).select("other").distinct().collect()}
-    assert any(i % 9 for i in others) and others <= ids
+    rows = [(i, float(i * i % 97), float(i * 7 % 53)) for i in range(60)] + [(100, 5000.0, -3000.0)]
+    a = spark.createDataFrame(rows, "point_id long, x double, y double")
+    b = a.selectExpr("point_id as other", "x as x2", "y as y2")
+    dist = lambda p, q: ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5
+    got = {r.point_id: (r.other, r.distance_m) for r in spatial.nearest(a, "point_id", b, "other", 3.0, apart=True).collect()}
+    for p in rows:  # however far, ties to the smaller id
+        d, other = min((dist(p, q), q[0]) for q in rows if q[0] != p[0])
+        assert got[p[0]] == (other, pytest.approx(d))
+    near = {r.point_id: r.other for r in spatial.nearest(a, "point_id", b, "other", 3.0, widen=False, apart=True).collect()}
+    assert near[100] is None
+
+
+def test_line_gap_reaches_the_two_nearest_lines(spark):
+    cells = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 900.0, 40.0)], "row int, col int, x double, y double")
+    points = spark.createDataFrame([(k, 100.0 * k, 5.0 * j) for k in range(3) for j in range(10)], "line_id int, x2 double, y2 double")
+    got = {r.col: r.gap_m for r in spatial.line_gap(cells, points, 10.0).collect()}
+    assert got[0] == pytest.approx(100) and got[1] == pytest.approx(700 + 800)
+    alone = spatial.line_gap(cells, points.filter("line_id = 0"), 10.0).collect()
+    assert [r.gap_m for r in alone] == [None, None]
+
+
+def test_queries_take_every_point(spark):
+    if not os.path.isdir(DIR):
+        pytest.skip("no test tables here")
+    ids = {r.point_id for r in surfaces.view(spark, DIR, "survey").collect()}
+    assert {r.point_id for r in QUERIES["h_nearest"](spark, DIR).collect()} == ids
+    assert {r.id for r in QUERIES["h_components"](spark, DIR).collect()} == ids
