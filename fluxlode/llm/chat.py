@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 class Template:
     """marks: role -> (what stands before a text, what stands after it, loss on the text).
 
-    A role without marks is written out between `role_marks`. Control strings inside a text or a
-    role get a backslash before them and a backslash is doubled, so reading back is exact.
+    A role without marks is written out between `role_marks`. A control string inside a text or a role is broken
+    up by a backslash after its first character and a backslash is doubled, so no control string is left in it
+    and reading back is exact.
     follows: role -> the states it may follow ("" is the start); the FSM's transitions.
     """
 
@@ -33,7 +34,7 @@ class Template:
         return tuple(sorted({self.begin, *own, *self.role_marks}, key=lambda x: (-len(x), x)))
 
     def escape(self, text: str) -> str:
-        return re.sub("|".join(map(re.escape, ("\\", *self.controls))), lambda m: "\\" + m[0], text)
+        return re.sub("|".join(map(re.escape, ("\\", *self.controls))), lambda m: m[0][0] + "\\" + m[0][1:], text)
 
     def turn(self, role: str, text: str) -> list[tuple[str, bool]]:
         """Segments of one turn with their loss flags."""
@@ -147,7 +148,8 @@ def format_chats(conversations: DataFrame, template: Template = Template()) -> D
     Joined by seg they are the formatted conversation. `valid` on the `last` segment says whether the
     machine accepted the whole turn order; conversations that it rejects are formatted all the same.
     Turns are ordered by turn (nulls first), then role, then text; a null text or role is empty; rows
-    of a null conv_id are one conversation. Rows stream, so a conversation may be of any length.
+    of a null conv_id are one conversation. Rows stream, so a conversation may be of any length. Rows that repeat
+    another are turns of their own; an empty table gives no rows; other columns are not read.
     """
     c = conversations.select("conv_id", "turn", "role", "text")
     c = c.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import BYTE, Words, _powers, mix, slices, words
+from .words import BYTE, Words, hashes, mix, powers, slices, words
 
-LONGEST = 16
-WORD = 48
+#: Words up to so many bytes go many at a time, longer ones by themselves.
+WIDE = 256
+#: To learn from, longer words are cut at multiples of WIDE bytes.
 SCALE = 1e3
+RESCALE = 32
 ROUNDS = 2
 PER_LANGUAGE = 3000
 UNKNOWN = "und"
@@ -26,26 +28,32 @@ _LOADED: dict = {}
 
 
 class Vocabulary:
-    """Pieces as bytes with a blank for a word's start: the 256 single bytes, then the model's pieces of at most
-    LONGEST bytes. Found by hash in a table of two probes."""
+    """Pieces as bytes with a blank for a word's start: the 256 single bytes, then the model's other pieces. The
+    pieces' prefixes are found by hash in tables of one probe each, so a search ends where no piece goes on."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        found = {bytes([b]) for b in range(256)}
         more = set()
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 piece = model.id_to_piece(i).replace("▁", " ").encode()
-                if 1 < len(piece) <= LONGEST and b" " not in piece[1:]:
+                if 1 < len(piece) and b" " not in piece[1:]:
                     more.add(piece)
-        self.pieces = [*sorted(found), *sorted(more)]
-        up, _ = _powers(64)
-        self.hash = np.array([_hash(np.frombuffer(p, np.uint8), up) for p in self.pieces], np.uint64)
-        self.table = np.full((2, 1 << 20), -1, np.int32)
-        for i, h in enumerate(self.hash):
-            for t, at in enumerate((int(h) & 0xFFFFF, (int(h) >> 20) & 0xFFFFF)):
+        self.pieces = [*(bytes([b]) for b in range(256)), *sorted(more)]
+        self.longest = max(map(len, self.pieces))
+        number = {p: i for i, p in enumerate(self.pieces)}
+        prefixes = sorted({p[:n] for p in self.pieces for n in range(2, len(p) + 1)})
+        self.piece_of = np.array([number.get(p, -1) for p in prefixes], np.int32)
+        data = np.frombuffer(b"".join(prefixes), np.uint8)
+        ends = np.cumsum([len(p) for p in prefixes])
+        self.hash = hashes(data, ends - [len(p) for p in prefixes], ends)
+        self.bits = min(21, max(16, int(8 * len(prefixes)).bit_length()))
+        self.table = np.full((3, 1 << self.bits), -1, np.int32)
+        for i, h in enumerate(self.hash.tolist()):
+            for t in range(3):
+                at = (h >> (21 * t)) & ((1 << self.bits) - 1)
                 if self.table[t, at] < 0:
                     self.table[t, at] = i
                     break
@@ -53,15 +61,12 @@ class Vocabulary:
                 raise ValueError("the table is too small for this vocabulary")
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece of each hash, -1 where there is none."""
-        a = self.table[0][(h & np.uint64(0xFFFFF)).astype(np.int64)]
-        b = self.table[1][((h >> np.uint64(20)) & np.uint64(0xFFFFF)).astype(np.int64)]
-        a = np.where((a >= 0) & (self.hash[a] == h), a, -1)
-        return np.where((b >= 0) & (self.hash[b] == h), b, a)
-
-
-def _hash(data: np.ndarray, up: np.ndarray) -> np.uint64:
-    return mix(np.array([(BYTE[data] * up[: len(data)]).sum(dtype=np.uint64) + np.uint64(len(data))], np.uint64))[0]
+        """Number of the prefix of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        for t in range(3):
+            at = self.table[t][((h >> np.uint64(21 * t)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
+            np.copyto(out, at, where=(at >= 0) & (self.hash[at] == h))
+        return out
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -70,81 +75,146 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, word) of each word's runs of at most WORD bytes; segments end there."""
-    count = -(-(w.last - w.first) // WORD)
-    word = np.repeat(np.arange(len(w.first)), count)
-    part = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-    first = w.first[word] + part * WORD
-    return first, np.minimum(first + WORD, w.last[word]), word
-
-
-def spans(matrix: np.ndarray, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, rows, pieces) of the rows of equal length whose bytes i..j are a piece, in order of j."""
+def spans(matrix: np.ndarray, vocab: Vocabulary, upto: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, rows, pieces) of the rows of equal length whose bytes i..j are a piece, in order of i (below `upto`)."""
     n, length = matrix.shape
-    up, down = _powers(64)
+    up, down = powers()
     total = np.zeros((length + 1, n), np.uint64)
     np.cumsum((BYTE[matrix] * up[:length]).T, axis=0, out=total[1:])
-    for j in range(1, length + 1):
-        for i in range(max(0, j - LONGEST), j):
-            if j - i == 1:
-                yield i, j, np.arange(n), matrix[:, i].astype(np.int32)
-                continue
-            at = vocab.find(mix((total[j] - total[i]) * down[i] + np.uint64(j - i)))
-            rows = np.flatnonzero(at >= 0)
-            if len(rows):
-                yield i, j, rows, at[rows]
+    every = np.arange(n)
+    for i in range(length if upto is None else upto):
+        yield i, i + 1, every, matrix[:, i].astype(np.int32)
+        rows = every
+        for j in range(i + 2, min(i + vocab.longest, length) + 1):
+            at = vocab.find(mix((total[j, rows] - total[i, rows]) * down[i] + np.uint64(j - i)))
+            rows, at = rows[at >= 0], at[at >= 0]
+            if not len(rows):
+                break
+            piece = vocab.piece_of[at]
+            whole = piece >= 0
+            if whole.any():
+                yield i, j, rows[whole], piece[whole]
 
 
 def forward(matrix: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """Log probability of each row under each column of prob, over all segmentations."""
     n, length = matrix.shape
     alpha = np.zeros((length + 1, n, prob.shape[1]))
-    alpha[0] = 1
+    alpha[0], log, done = 1, np.zeros((n, prob.shape[1])), 0
     for i, j, rows, at in spans(matrix, vocab):
+        if i >= done + RESCALE:
+            done = i
+            most = alpha[i : i + vocab.longest].max(0)
+            alpha[i : i + vocab.longest] /= most
+            log += np.log(most)
         alpha[j, rows] += alpha[i, rows] * (prob[at] * SCALE ** (j - i))
-    return np.log(alpha[length]) - length * np.log(SCALE)
+    return np.log(alpha[length]) + log - length * np.log(SCALE)
+
+
+def forward_long(data: np.ndarray, vocab: Vocabulary, prob: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """`forward` of one byte string of any length: block by block, with the sums that reach into the next one carried."""
+    reach, log = vocab.longest, np.zeros(prob.shape[1])
+    carried = np.zeros((reach + 1, prob.shape[1]))
+    carried[0] = 1
+    for a in range(0, len(data), block):
+        part = data[a : a + block + reach - 1]
+        size = min(block, len(data) - a)
+        # all pieces that begin in the block, by their length
+        begins, ends, pieces = [np.arange(size)], [np.arange(1, size + 1)], [part[:size].astype(np.int32)]
+        at = np.arange(size)
+        for n in range(2, reach + 1):
+            at = at[at + n <= len(part)]
+            found = vocab.find(_ranges(part, at, n))
+            at, found = at[found >= 0], found[found >= 0]
+            whole = vocab.piece_of[found] >= 0
+            begins.append(at[whole])
+            ends.append(at[whole] + n)
+            pieces.append(vocab.piece_of[found[whole]])
+        begin, end, piece = np.concatenate(begins), np.concatenate(ends), np.concatenate(pieces)
+        order = np.argsort(begin, kind="stable")
+        end, piece = end[order], piece[order]
+        edge = np.searchsorted(begin[order], np.arange(size + 1))
+        alpha = np.zeros((size + reach + 1, prob.shape[1]))
+        alpha[: reach + 1] = carried
+        step = prob[piece] * (SCALE ** (end - begin[order]))[:, None]
+        for i in range(size):
+            lo, hi = edge[i], edge[i + 1]
+            alpha[end[lo:hi]] += alpha[i] * step[lo:hi]
+            if i % RESCALE == RESCALE - 1:
+                most = alpha[i + 1 : i + 1 + reach].max(0)
+                alpha[i + 1 : i + 1 + reach] /= most
+                log += np.log(most)
+        carried = alpha[size : size + reach + 1]
+    return np.log(carried[0]) + log - len(data) * np.log(SCALE)
+
+
+def _ranges(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n bytes from each place."""
+    up, down = powers()
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
+    return mix((total[at + n] - total[at]) * down[at] + np.uint64(n))
 
 
 def expected(matrix: np.ndarray, weight: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """Expected number of each piece over all segmentations of rows, each taken `weight` times."""
     n, length = matrix.shape
-    found = list(spans(matrix, vocab))
+    reach, found = vocab.longest, list(spans(matrix, vocab))
     alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-    alpha[0], beta[length] = 1, 1
+    la, lb = np.zeros((length + 1, n)), np.zeros((length + 1, n))
+    alpha[0], beta[length], done = 1, 1, 0
     for i, j, rows, at in found:
+        if i >= done + RESCALE:
+            done = i
+            most = alpha[i : i + reach].max(0)
+            alpha[i : i + reach] /= most
+            la[i:] += np.log(most)
         alpha[j, rows] += alpha[i, rows] * (prob[at] * SCALE ** (j - i))
+    done = length
     for i, j, rows, at in sorted(found, key=lambda x: -x[1]):
+        if j <= done - RESCALE:
+            done = j
+            low = max(0, j - reach + 1)
+            most = beta[low : j + 1].max(0)
+            beta[low : j + 1] /= most
+            lb[: j + 1] += np.log(most)
         beta[i, rows] += beta[j, rows] * (prob[at] * SCALE ** (j - i))
-    out = np.zeros(len(vocab.pieces))
+    out, whole = np.zeros(len(vocab.pieces)), np.log(alpha[length]) + la[length]
     for i, j, rows, at in found:
-        share = alpha[i, rows] * (prob[at] * SCALE ** (j - i)) * beta[j, rows] / alpha[length, rows]
+        share = alpha[i, rows] * (prob[at] * SCALE ** (j - i)) * beta[j, rows] * np.exp(la[i, rows] + lb[j, rows] - whole[rows])
         out += np.bincount(at, weights=share * weight[rows], minlength=len(out))
     return out
 
 
-def _by_length(data: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray, block: int = 16384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(data: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray, cells: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(members, matrix of their bytes) of runs of equal length; `lead`: a blank goes before it."""
     length = last - first + lead
     order = np.lexsort((lead, length))
     edges = np.flatnonzero(np.diff(length[order] * 2 + lead[order])) + 1
     for run in np.split(order, edges):
+        block = max(1, cells // (int(length[run[0]]) + 1)) if len(run) else 1
         for a in range(0, len(run), block):
             part = run[a : a + block]
-            if len(part):
-                size, blank = int(last[part[0]] - first[part[0]]), bool(lead[part[0]])
-                matrix = data[first[part][:, None] + np.arange(size)]
-                yield part, np.hstack([np.full((len(part), 1), 32, np.uint8), matrix]) if blank else matrix
+            size, blank = int(last[part[0]] - first[part[0]]), bool(lead[part[0]])
+            matrix = data[first[part][:, None] + np.arange(size)]
+            yield part, np.hstack([np.full((len(part), 1), 32, np.uint8), matrix]) if blank else matrix
 
 
-def _units(w: Words):
-    """Distinct units of the words: (first, last, lead, unit of each occurrence, its word)."""
-    first, last, word = units(w)
-    lead = (first == w.first[word]).astype(np.int64)
-    # a unit is named by its word and its place in it
-    name = mix(w.hash[word] + ((first - w.first[word]) // WORD).astype(np.uint64))
-    _, sample, inverse = np.unique(name, return_index=True, return_inverse=True)
-    return first[sample], last[sample], lead[sample], inverse, word
+def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, which of them each word is) of the distinct words."""
+    _, sample, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    return w.first[sample], w.last[sample], inverse
+
+
+def word_scores(data: np.ndarray, first: np.ndarray, last: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """`forward` of each word, a blank before it."""
+    out, wide = np.zeros((len(first), prob.shape[1])), last - first > WIDE
+    short = np.flatnonzero(~wide)
+    for members, matrix in _by_length(data, first[short], last[short], np.ones(len(short), np.int64)):
+        out[short[members]] = forward(matrix, vocab, prob)
+    for k in np.flatnonzero(wide):
+        out[k] = forward_long(np.r_[np.uint8(32), data[first[k] : last[k]]], vocab, prob)
+    return out
 
 
 def _e_step(path: str, langs: list[str], prob):
@@ -155,13 +225,16 @@ def _e_step(path: str, langs: list[str], prob):
         for batch in batches:
             for part in slices(batch):
                 w = words(part.column("text"), lower=True)
-                first, last, lead, unit, word = _units(w)
-                row = np.repeat(np.arange(part.num_rows), np.diff(w.doc))[word]
-                lang = part.column("l").to_numpy()[row]
+                first, last, which = _distinct(w)
+                lang = part.column("l").to_numpy()[np.repeat(np.arange(part.num_rows), np.diff(w.doc))]
+                cuts = -(-(last - first) // WIDE)
+                word = np.repeat(np.arange(len(first)), cuts)
+                begin = first[word] + (np.arange(len(word)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * WIDE
+                end, lead = np.minimum(begin + WIDE, last[word]), (begin == first[word]).astype(np.int64)
                 for x in np.unique(lang):
-                    times = np.bincount(unit[lang == x], minlength=len(first))
+                    times = np.bincount(which[lang == x], minlength=len(first))[word]
                     used = np.flatnonzero(times)
-                    for members, matrix in _by_length(w.data, first[used], last[used], lead[used]):
+                    for members, matrix in _by_length(w.data, begin[used], end[used], lead[used]):
                         total[x] += expected(matrix, times[used][members].astype(float), vocab, prob.value[:, x])
         x, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[x, piece])], schema=schema)
@@ -176,17 +249,14 @@ def _predict(path: str, langs: list[str], prob):
         vocab = vocabulary(path)
         for batch in batches:
             for part in slices(batch, most=4 << 20):
-                texts = part.column("text").fill_null("")
-                w = words(texts, lower=True)
-                first, last, lead, unit, word = _units(w)
-                value = np.zeros((len(first), len(langs)))
-                for members, matrix in _by_length(w.data, first, last, lead):
-                    value[members] = forward(matrix, vocab, prob.value)
-                row = np.repeat(np.arange(part.num_rows), np.diff(w.doc))[word]
-                total = np.stack([np.bincount(row, weights=value[unit, x], minlength=part.num_rows) for x in range(len(langs))], 1)
+                w = words(part.column("text"), lower=True)
+                first, last, which = _distinct(w)
+                value = word_scores(w.data, first, last, vocab, prob.value)
+                row = np.repeat(np.arange(part.num_rows), np.diff(w.doc))
+                total = np.stack([np.bincount(row, weights=value[which, x], minlength=part.num_rows) for x in range(len(langs))], 1)
                 best = total.argmax(1)
                 share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                letters = np.array([any(c.isalpha() for c in t.as_py()) for t in texts], bool)
+                letters = part.column("letters").to_numpy(zero_copy_only=False)
                 said = [langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(said, pa.string()), pa.array(np.where(letters, share, 0.0))], schema=schema)
 
@@ -204,7 +274,9 @@ def identify_languages(docs: DataFrame, model_path: str, folds: int = 5, held: i
     about `per_language` of them, chosen by hash (all, if it has fewer). score is the prediction's share of the
     likelihood of all languages, 0 for `und`. A text that is null or has no letter is `und`, and all texts are if there
     is nothing to learn from; of equally likely languages the first in order is taken. Upper-case A-Z count
-    as lower-case. A null doc_id counts as held out. Segments never reach over WORD bytes of a word.
+    as lower-case. A null doc_id counts as held out. Rows that repeat another are learned from and predicted one by one; an
+    empty table gives no rows; other columns are not read. Texts and words of any length are taken whole (to learn from,
+    words of more than WIDE bytes are cut). The probabilities, a row a piece and a column a language, are broadcast.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -227,4 +299,4 @@ def identify_languages(docs: DataFrame, model_path: str, folds: int = 5, held: i
         prob = count + 20 * mean + 0.01  # what a language lacks is taken from the mean of all
         prob /= prob.sum(0)
     sent = spark.sparkContext.broadcast(prob)
-    return base.select("doc_id", "text", "held_out").mapInArrow(_predict(model_path, langs, sent), "doc_id long, held_out boolean, lang_pred string, score double")
+    return base.select("doc_id", "text", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(_predict(model_path, langs, sent), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -143,7 +143,7 @@ def _goes_on(lexicon, weights, rate: float):
         model.set_flat(weights.value)
 
         def fitted():
-            lanes = min(64, max(1, size // max(map(len, held))))  # else most lanes would wait for the longest text
+            lanes = min(256, max(1, size // max(map(len, held))))  # else most lanes would wait for the longest text
             model.fit(held, lanes=lanes, window=32, rate=rate, moments=moments)
 
         for text in _texts(lex, batches):

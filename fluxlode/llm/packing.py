@@ -136,14 +136,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group:
     A document's ids (its text's, then end_id) are cut at multiples of `capacity`; the pieces of a
     random group of about `group` are packed by first-fit decreasing. A null or empty text is one
     piece of length 1. Rows that repeat a doc_id are separate documents. An empty table gives no
-    rows. Only lengths are shuffled; a long document's pieces are spread over all groups.
+    rows. Only lengths are shuffled; a long document's pieces are spread over all groups. Pieces of equal length are
+    packed by doc_id, then start; groups depend on the pieces, not on how the input is dealt.
     """
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = written(cut.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    # equal pieces are counted and numbered, so groups depend on the pieces alone and many equal ones are dealt out
+    every = cut.groupBy(*cut.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    dealt = every.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))).drop("n", "copy")
 
-    def packed(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
         return rows.drop(columns="grp").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)

@@ -132,7 +132,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _escaped(x: str) -> str:
     x = f"replace({x}, '\\', '\\\\')"
     for control in ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ANS]", "[ROLE]", "[/ROLE]", "[/TURN]"):
-        x = f"replace({x}, '{control}', '\\{control}')"
+        x = f"replace({x}, '{control}', '{control[0]}\\{control[1:]}')"
     return x
 
 

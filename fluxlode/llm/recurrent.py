@@ -18,6 +18,17 @@ def classes_of(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return np.r_[0, np.flatnonzero(np.diff(cls)) + 1, len(counts)] if len(counts) else np.zeros(1, int)
 
 
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Turns logits into exp(logits - top) in place; (their sums by row, top). top is 0 unless a row is far from it."""
+    low, high = logits.min(initial=0), logits.max(initial=0)
+    top: np.ndarray | float = 0.0
+    if high > 60 or low < -60:
+        top = logits.max(1)
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype), top
+
+
 class Model:
     """Words 0..m-1 are in len(bounds)-1 classes; word m is any other and a class of its own.
 
@@ -55,44 +66,49 @@ class Model:
 
     def log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of tokens y after states h; with grads, adds -log's gradients and returns that of h."""
-        p, rows = self.p, np.arange(len(y))
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        cls = self.word_class[y]
-        out = (logits[rows, cls] - np.log(total)).astype(np.float64)
+        p, cls = self.p, self.word_class[y]
+        order = np.argsort(cls, kind="stable")  # a class's tokens lie together
+        h, y, cls, rows = h[order], y[order], cls[order], np.arange(len(y))
+        logits = h @ p["c"]
+        logits += p["cb"]
+        chosen = logits[rows, cls]
+        total, top = exponentials(logits)
+        logp = chosen.astype(np.float64) - np.log(total) - top
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["c"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.bounds) + 1))
-        for k in range(len(self.bounds) - 1):
-            at, lo, hi = order[edges[k] : edges[k + 1]], self.bounds[k], self.bounds[k + 1]
-            if not len(at) or hi - lo == 1:
-                continue
-            hk, own = h[at], y[at] - lo
-            logits = hk @ p["w"][lo:hi].T + p["wb"][lo:hi]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            out[at] += logits[np.arange(len(at)), own] - np.log(total)
+            logits /= total[:, None]
+            logits[rows, cls] -= 1
+            grads["c"] += h.T @ logits
+            grads["cb"] += logits.sum(0)
+            dh = logits @ p["c"].T
+        edges = np.searchsorted(cls, np.arange(len(self.bounds) + 1))
+        for k in np.flatnonzero((np.diff(edges)[: len(self.bounds) - 1] > 0) & (np.diff(self.bounds) > 1)):
+            at, lo, hi = slice(edges[k], edges[k + 1]), self.bounds[k], self.bounds[k + 1]
+            hk, own, w = h[at], y[at] - lo, p["w"][lo:hi]
+            logits = hk @ w.T
+            logits += p["wb"][lo:hi]
+            rows = np.arange(len(own))
+            chosen = logits[rows, own]
+            total, top = exponentials(logits)
+            logp[at] += chosen - np.log(total) - top
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(at)), own] -= 1
-                grads["w"][lo:hi] += d.T @ hk
-                grads["wb"][lo:hi] += d.sum(0)
-                dh[at] += d @ p["w"][lo:hi]
+                logits /= total[:, None]
+                logits[rows, own] -= 1
+                grads["w"][lo:hi] += logits.T @ hk
+                grads["wb"][lo:hi] += logits.sum(0)
+                dh[at] += logits @ w
+        out = np.empty(len(y))
+        out[order] = logp
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
     def gradients(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """(-log probability, its gradients, last state) of a window; backpropagation ends at its first token.
-        y < 0: there is no token."""
-        n, grads = self.hidden, {k: np.zeros_like(v) for k, v in self.p.items()}
+        y < 0: there is no token. The gradient of x is (the words read, their rows)."""
+        n, grads = self.hidden, {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
         states, last, trace = self.steps(x, start, h, keep=True)
         real = y >= 0
         logp, dh = self.log_prob(states[real], y[real], grads)
@@ -103,18 +119,21 @@ class Model:
             h, z, r, c, g = trace[t]
             d = d + given[t]
             dc = d * (1 - z) * (1 - c * c)
-            later[t] = np.hstack([d * (h - c) * z * (1 - z), dc * g * r * (1 - r), dc])
-            inner = np.hstack([later[t][:, : 2 * n], dc * r])
+            later[t][:, :n] = d * (h - c) * z * (1 - z)
+            later[t][:, n : 2 * n] = dc * g * r * (1 - r)
+            later[t][:, 2 * n :] = dc
+            inner = later[t].copy()
+            inner[:, 2 * n :] *= r
             grads["u"] += h.T @ inner
             d = (d * z + inner @ self.p["u"].T) * ~start[t][:, None]
         order = np.argsort(x.ravel(), kind="stable")
         word, at = np.unique(x.ravel()[order], return_index=True)
-        grads["x"][word] += np.add.reduceat(later.reshape(-1, 3 * n)[order], at)
+        grads["x"] = word, np.add.reduceat(later.reshape(-1, 3 * n)[order], at)
         return -float(logp.sum()), grads, last
 
     def fit(self, texts: list[np.ndarray], lanes: int = 16, window: int = 16, rate: float = 0.01, passes: int = 1, moments: dict | None = None) -> None:
-        """Adam over windows of the texts; the state goes on, gradients end at the window's first token.
-        moments: Adam's state of earlier calls, which goes on in this one."""
+        """Adam over windows of the texts; the state goes on, gradients end at the window's first token. Of x only the
+        rows of words that were read are moved. moments: Adam's state of earlier calls, which goes on in this one."""
         moments = {} if moments is None else moments
         for n in ("first", "second"):
             moments.setdefault(n, {k: np.zeros_like(v) for k, v in self.p.items()})
@@ -127,11 +146,21 @@ class Model:
                 _, grads, h = self.gradients(x[part], y[part], start[part], h)
                 step += 1
                 pace = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                seen = np.float32(max((y[part] >= 0).sum(), 1))
                 for k, g in grads.items():
-                    g /= max((y[part] >= 0).sum(), 1)
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    self.p[k] -= pace * first[k] / (np.sqrt(second[k]) + 1e-6)
+                    rows, g = g if k == "x" else (slice(None), g)
+                    g /= seen
+                    m, v = first[k][rows], second[k][rows]
+                    m += np.float32(0.1) * (g - m)
+                    g *= g
+                    v += np.float32(0.001) * (g - v)
+                    if k == "x":
+                        first[k][rows], second[k][rows] = m, v
+                    move = np.sqrt(v)
+                    move += np.float32(1e-6)
+                    np.divide(m, move, out=move)
+                    move *= np.float32(pace)
+                    self.p[k][rows] -= move
         moments["step"] = step
 
     def flat(self) -> np.ndarray:

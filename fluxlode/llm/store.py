@@ -1,74 +1,13 @@
-"""Tables written to the shared folder, which cut a plan's lineage."""
+"""The corpus tables, and what cuts a plan's lineage."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-_SCOPES: list[list[str]] = []
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset, a folder of this process, in local mode only."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="shared-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return _OWN[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back; later failures reread it and don't recompute df.
-
-    Spark drops the shuffle files of the write at its end. The table belongs to the innermost `scope`, if there is one."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    was = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import drop, free, scope, written
 
-
-@contextmanager
-def scope() -> Iterator[list[str]]:
-    """Collects the paths of the tables written inside, for `drop`."""
-    _SCOPES.append([])
-    try:
-        yield _SCOPES[-1]
-    finally:
-        _SCOPES.pop()
-
-
-def drop(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables; nothing may still have to read them."""
-    while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "free", "scope", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def free(name: str, columns: list[str]) -> str:
-    """name, or the first longer one that is none of the columns, whatever their case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name

@@ -41,19 +41,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_STATE.get("up", ())) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, by in (("up", _BASE), ("down", inverse)):
-            out = np.full(size, by, np.uint64)
+#: Bytes hashed together.
+BLOCK = 1 << 20
+
+
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BLOCK powers of an odd base and of its inverse modulo 2**64."""
+    if not _STATE:
+        for name, by in (("up", _BASE), ("down", np.uint64(pow(int(_BASE), -1, 1 << 64)))):
+            out = np.full(BLOCK + 1, by, np.uint64)
             out[0] = 1
             np.multiply.accumulate(out, out=out)
             _STATE[name] = out
     return _STATE["up"], _STATE["down"]
 
 
+def hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each byte range data[first:last], in order and apart; at most BLOCK bytes are worked on at once."""
+    up, down = powers()
+    out, a = np.zeros(len(first), np.uint64), 0
+    total = np.zeros(BLOCK + 1, np.uint64)
+    while a < len(first):
+        begin = int(first[a])
+        b = int(np.searchsorted(last, begin + BLOCK, "right"))
+        if b > a:
+            n = int(last[b - 1]) - begin
+            np.cumsum(BYTE[data[begin : begin + n]] * up[:n], out=total[1 : n + 1])
+            at = first[a:b] - begin
+            out[a:b] = (total[last[a:b] - begin] - total[at]) * down[at]
+            a = b
+            continue
+        value = 0  # one range longer than a block
+        for k, c in enumerate(range(begin, int(last[a]), BLOCK)):
+            part = data[c : min(c + BLOCK, int(last[a]))]
+            value += int((BYTE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(up[BLOCK]), k, 1 << 64)
+        out[a] = np.uint64(value % (1 << 64))
+        a += 1
+    return mix(out + (last - first).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """first..last: byte ranges in data; doc: offsets of each row's words; hash: uint64."""
@@ -112,11 +138,7 @@ def words(column: pa.Array, lower: bool | str = False, cut: np.ndarray | None =
     if cut is not None and n > 1:
         closes[:n] |= turn
     last = np.flatnonzero(inner & closes[1:]) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * up[:n], out=total[1:])
-    hashed = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-    return Words(data, first, last, np.searchsorted(first, at), hashed)
+    return Words(data, first, last, np.searchsorted(first, at), hashes(data, first, last))
 
 
 def runs(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fluxlode.llm.langid import _by_length, _units, expected, forward, identify_languages, vocabulary
+from fluxlode.llm.langid import expected, forward, forward_long, identify_languages, vocabulary, word_scores
 from fluxlode.llm.queries import tokenizer_path
 from fluxlode.llm.words import words
 
@@ -36,12 +36,50 @@ def test_forward_and_expected_counts_sum_all_segmentations(word):
     assert np.allclose(expected(matrix, np.array([3.0]), vocab, prob[:, 1]), counts)
 
 
-def test_units_cover_long_words_whole():
-    w = words(pa.array(["ab " + "x" * 100, "y" * 48 + " " + "z" * 49]))
-    first, last, lead, unit, word = _units(w)
-    whole = [w.data[first[u] : last[u]].tobytes() for u in unit]
-    assert b"".join(whole) == b"ab" + b"x" * 100 + b"y" * 48 + b"z" * 49
-    assert sum(len(m) for m, _ in _by_length(w.data, first, last, lead)) == len(first)
+def plain_forward(word, pieces, prob, longest):
+    """Log probability in steps of one byte, in logarithms."""
+    alpha = [0.0] + [-np.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        terms = [alpha[i] + np.log(prob[pieces[word[i:j]]]) for i in range(max(0, j - longest), j) if word[i:j] in pieces]
+        alpha[j] = np.logaddexp.reduce(terms)
+    return alpha[-1]
+
+
+def test_long_words_are_scored_whole():
+    vocab = vocabulary(PATH)
+    pieces = {p: i for i, p in enumerate(vocab.pieces)}
+    assert vocab.longest == max(map(len, pieces)) > 16
+    rng = np.random.default_rng(3)
+    prob = rng.random((len(pieces), 2)) / len(pieces)
+    long = "".join(rng.choice(["tion", "heit", "and", "\u4e2d\u6587", "\u00e9", "q", "ation"], 90)).encode()
+    for word in (b" internationalization", b" " + long[:299], b" " + long):
+        expect = [plain_forward(word, pieces, prob[:, k], vocab.longest) for k in range(2)]
+        row = np.frombuffer(word, np.uint8)
+        assert np.allclose(forward(row[None], vocab, prob)[0], expect)
+        assert np.allclose(forward_long(row, vocab, prob), expect)
+        assert np.allclose(forward_long(row, vocab, prob, block=50), expect)
+        w = words(pa.array([word.decode(errors="replace")[1:]]))
+        assert len(w.first) == 1 and word_scores(w.data, w.first, w.last, vocab, prob).shape == (1, 2)
+
+
+def test_expected_counts_of_a_long_run_agree_with_the_gradient():
+    vocab = vocabulary(PATH)
+    prob = np.random.default_rng(4).random(len(vocab.pieces)) / len(vocab.pieces)
+    word = np.frombuffer((" " + "thenationand" * 20).encode(), np.uint8)[None]
+    counts = expected(word, np.ones(1), vocab, prob)
+    assert np.isclose((counts * [len(p) for p in vocab.pieces]).sum(), word.shape[1])
+    for i in np.argsort(-counts)[:5]:  # d log P / d log p is the expected count
+        up = prob.copy()
+        up[i] *= 1 + 1e-6
+        assert np.isclose((forward(word, vocab, up[:, None]) - forward(word, vocab, prob[:, None]))[0, 0] / np.log1p(1e-6), counts[i], rtol=1e-3)
+
+
+def test_words_longer_than_a_block_hash_alike(monkeypatch):
+    texts = pa.array(["ab " + "xyz" * 700 + " c", "y" * 48])
+    whole = words(texts).hash
+    monkeypatch.setattr("fluxlode.llm.words.BLOCK", 100)
+    monkeypatch.setattr("fluxlode.llm.words._STATE", {})
+    assert (words(texts).hash == whole).all()
 
 
 def test_held_out_accuracy_and_edges(spark, docs_of):
