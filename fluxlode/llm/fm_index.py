@@ -1,4 +1,6 @@
-"""A compressed FM-index over small symbols: a wavelet matrix of packed bits over the BWT, searched for many patterns at once."""
+"""A compressed FM-index over small symbols: a wavelet matrix of packed bits over the BWT, searched for many patterns at once.
+
+Only the BWT is kept; the suffix array that orders it is dropped when the index is built."""
 
 from __future__ import annotations
 
@@ -38,8 +40,8 @@ class FMIndex:
             for j in range(a, a + 64 // BITS):
                 key = (key << np.uint64(BITS)) | padded[j : j + n]
             keys.append(key)
-        self.suffix = np.lexsort(keys[::-1]).astype(np.int32)
-        bwt = symbols[self.suffix - 1]
+        bwt = symbols[np.lexsort(keys[::-1]) - 1]
+        self.size = n
         self.first = np.r_[0, np.cumsum(np.bincount(bwt, minlength=1 << BITS))].astype(np.int64)
         self.levels, now = [], bwt
         for level in range(BITS - 1, -1, -1):
@@ -68,11 +70,12 @@ class FMIndex:
         return at - self.begin[c]
 
     def repeated(self, symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, first suffix) of the patterns symbols[start:start+length] that occur at least twice in the index.
+        """(starts, begin of its interval) of the patterns symbols[start:start+length] that occur at least twice in the index:
+        those whose matching statistics reach `length`. Equal patterns, and no others, have the same interval.
 
         Backward search with all patterns in step; one whose interval has a single suffix left matches nothing
         but itself and is done."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.suffix), np.int64)
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
         for t in range(length - 1, -1, -1):
             c = symbols[starts + t].astype(np.int64)
             low, high = self.first[c] + self.rank(c, low), self.first[c] + self.rank(c, high)

@@ -1,14 +1,14 @@
 """N-gram Jaccard join by signature trees.
 
-1. Equal sets are one class, named by a hash of the set. Classes that share a block signature are candidates
-   (see shingles.py; no link is lost), and the candidates' components are found from signature stars.
-2. A component of several chunks is taken apart by prefix filtering: only sets that share one of their rarest
-   shingles stay together, so passages that many documents share chain nothing (rare_stars).
-3. A component is dealt to chunks of bounded size. In each a signature tree is built, whose nodes hold
+1. Equal sets are one class, named by a hash of the set. Candidates come from prefix filtering: in any order of all
+   shingles, two similar sets share one of the first n - ceil(n num / den) + 1 of each. Ordered by the number of classes that
+   hold them, shingles of one class come first and meet nobody, and a passage that many documents share comes last, so
+   it chains nothing. Classes that share such a rare shingle are linked in stars, whose components are the candidates.
+2. A component is dealt to chunks of bounded size. In each a signature tree is built, whose nodes hold
    the OR of their sets' token bitmaps and the range of their sizes; it is joined with itself by dual
    traversal, which drops a pair of nodes if their largest possible overlap is too small. Surviving pairs
    are checked exactly, unless links found before already join them.
-4. Of a component that still has several chunks (many near copies), a few members of each larger linked group meet in
+3. Of a component of several chunks (many near copies), a few members of each larger linked group meet in
    further chunks, which joins the groups. What is still outside the component's largest group is then joined with every
    cell of near sizes, so all pairs have been compared or joined; a large group of copies costs its size, not its square.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import fingerprint, lists, sets, signatures
+from .shingles import fingerprint, lists, sets
 from .store import written
 from .words import mix, slices, words
 
@@ -34,8 +34,10 @@ CHUNK = 1024
 SHINGLES = 3_000_000
 #: So many candidates' ids may be broadcast, 56 bytes each at most.
 BROADCAST_ROWS = 200_000
-#: Signatures of a part, about.
-SIGNATURES = 1_000_000
+#: Pairs of a shingle and a class in a part, about.
+PAIRS = 1_500_000
+#: Shingles of about HOT sets are hot, as one in SAMPLE texts tells; at most HOTTEST are told apart, 8 bytes each.
+HOT, SAMPLE, HOTTEST = 32_000, 64, 100_000
 ENVOYS = 4
 
 
@@ -130,64 +132,179 @@ def tree_links(ids: list[int], members: list[np.ndarray], num: int, den: int, gr
     return out
 
 
-def _digest(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
+def prefix(n: int | np.ndarray, num: int, den: int):
+    """So many of a set's shingles can't all be missed by a similar set."""
+    return n - (n * num + den - 1) // den + 1
+
+
+def _inside(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _common(k: int):
+    """Shingles and the number of sets of the batch that hold them."""
+    schema = pa.schema([("s", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in slices(batch):
+                found = {fingerprint(x): x for x in sets(words(part.column("text"), lower=True), k) if len(x)}
+                if found:
+                    value, n = np.unique(np.concatenate(list(found.values())), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], schema=schema)
+
+    return run
+
+
+def hot_shingles(text: DataFrame, k: int) -> np.ndarray:
+    """Shingles of very many sets, HOTTEST at most, from a sample by hash. They only go last in the order of all shingles, so what
+    the sample misses costs time, not links."""
+    sample = text.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SAMPLE)) == 0)
+    counts = written(sample.select("text").mapInArrow(_common(k), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "sampled")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.filter(F.col("n") >= max(HOT // SAMPLE, total // HOTTEST)).select("s").toPandas()["s"].to_numpy(np.int64)
+    return np.sort(often.view(np.uint64))
+
+
+def _digest(k: int, hot):
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("plain", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
                 found = sets(words(part.column("text"), lower=True), k)
                 cls = [fingerprint(s) if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(map(len, found), pa.int64()), pa.array(cls, pa.int64())], schema=schema)
+                plain = [int((~_inside(s, hot.value)).sum()) for s in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(map(len, found), pa.int64()), pa.array(cls, pa.int64()), pa.array(plain, pa.int64())], schema=schema)
 
     return run
 
 
-def _signed(k: int, num: int, den: int, parts: int, most: int = 1_000_000):
-    """Signatures (48 bits of them; more would only spare a few candidates) and classes, 14 bytes a pair, dealt to parts."""
-    schema = pa.schema([("part", pa.int32()), ("pairs", pa.binary())])
+def _dealt_blobs(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(parts, for each the columns' values of its rows, column after column)."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+    return part[edges[:-1]], [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _read(blobs, *types) -> list[np.ndarray]:
+    """The columns of blobs, on end."""
+    width, out = sum(np.dtype(t).itemsize for t in types), [[] for _ in types]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for t, own in zip(types, out):
+            own.append(np.frombuffer(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(own) if own else np.zeros(0, t) for t, own in zip(types, out)]
+
 
-    def packed(sig: list, cls: list):
-        s, c = np.concatenate(sig).view(np.uint64), np.concatenate(cls)
-        part = (mix(s) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        raw = np.hstack([s[order].view(np.uint8).reshape(-1, 8)[:, :6], c[order].view(np.uint8).reshape(-1, 8)])
-        edges = np.flatnonzero(np.diff(part[order])) + 1
-        blobs = [x.tobytes() for x in np.split(raw, edges)]
-        return pa.RecordBatch.from_arrays([pa.array(part[order][np.r_[0, edges]]), pa.array(blobs, pa.binary())], schema=schema)
+BLOBS = "part int, hot boolean, pairs binary"
+
+
+def _pairs(k: int, num: int, den: int, parts: int, hot, most: int = 1_000_000):
+    """Shingles and classes, dealt by shingle; of the hot ones, dealt by class, as many as a prefix may take."""
+    schema = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), ("pairs", pa.binary())])
+
+    def packed(held: list, is_hot: bool):
+        s, c = np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), cls, np.int64) for x, cls in held])
+        part = (mix(c.view(np.uint64) if is_hot else s) % np.uint64(parts)).astype(np.int32)
+        at, blobs = _dealt_blobs(part, s, c)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array([is_hot] * len(at)), pa.array(blobs, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        sig, cls, held = [], [], 0
+        held, size = ([], []), 0
         for batch in batches:
             for part in slices(batch):
-                seen: dict[int, np.ndarray] = {}
+                seen = set()
                 for s in sets(words(part.column("text"), lower=True), k):
-                    if len(s) and (c := fingerprint(s)) not in seen:
-                        seen[c] = signatures(s, num, den)
-                        sig.append(seen[c])
-                        cls.append(np.full(len(seen[c]), c, np.int64))
-                        held += len(seen[c])
-                if held > most:
-                    yield packed(sig, cls)
-                    sig, cls, held = [], [], 0
-        if held:
-            yield packed(sig, cls)
+                    n = len(s)
+                    if (den - num) * (n + n * den // num) < den + num or (c := fingerprint(s)) in seen:
+                        continue  # such a small set has no similar set but an equal one
+                    seen.add(c)
+                    is_hot = _inside(s, hot.value)
+                    held[0].append((s[~is_hot], c))
+                    if is_hot.any():
+                        held[1].append((s[is_hot][: prefix(n, num, den)], c))
+                    size += n
+                if size > most:
+                    yield from (packed(x, i == 1) for i, x in enumerate(held) if x)
+                    held, size = ([], []), 0
+        yield from (packed(x, i == 1) for i, x in enumerate(held) if x)
 
     return run
 
 
-def _stars(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of each signature's classes to the smallest of them."""
-    raw = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["pairs"]]).reshape(-1, 14)
-    sig = np.zeros((len(raw), 8), np.uint8)
-    sig[:, :6] = raw[:, :6]
-    sig, cls = sig.view(np.uint64).ravel(), np.ascontiguousarray(raw[:, 6:]).view(np.int64).ravel()
-    order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
-    first = np.maximum.accumulate(np.where(np.r_[True, sig[1:] != sig[:-1]], np.arange(len(sig)), 0))
-    pairs = np.stack([cls, cls[first]], 1)
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+LAST = np.iinfo(np.uint16).max
+
+
+def _repeated(parts: int):
+    """Pairs of a part's shingles that more than one class has, with that number, dealt by class; hot ones come as they are."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s, c = _read(rows.loc[~rows["hot"], "pairs"], np.uint64, np.int64)
+        order = np.lexsort((c, s))
+        s, c = s[order], c[order]
+        new = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])][: len(s)]
+        s, c = s[new], c[new]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
+        sets_ = np.diff(np.r_[first, len(s)])
+        sets_ = np.repeat(np.minimum(sets_, LAST - 1), sets_).astype(np.uint16)
+        s, c, sets_ = s[sets_ > 1], c[sets_ > 1], sets_[sets_ > 1]
+        hs, hc = _read(rows.loc[rows["hot"], "pairs"], np.uint64, np.int64)
+        s, c, sets_ = np.r_[s, hs], np.r_[c, hc], np.r_[sets_, np.full(len(hs), LAST, np.uint16)]
+        at, blobs = _dealt_blobs((mix(c.view(np.uint64) ^ np.uint64(9)) % np.uint64(parts)).astype(np.int32), c, s, sets_)
+        return pd.DataFrame({"part": at, "pairs": blobs})
+
+    return run
+
+
+def _rarest(rows: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+    """Of each class the shared shingles within its prefix."""
+    c, s, sets_ = _read(rows["pairs"], np.int64, np.uint64, np.uint16)
+    order = np.lexsort((s, sets_, c))
+    c, s, sets_ = c[order], s[order], sets_[order]
+    new = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])][: len(s)]
+    c, s, sets_ = c[new], s[new], sets_[new]
+    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]][: len(c)])
+    size = np.diff(np.r_[first, len(c)])
+    shared = np.add.reduceat((sets_ < LAST).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    known = classes.drop_duplicates("cls").sort_values("cls")
+    ids, spare = known["cls"].to_numpy(np.int64), known["spare"].to_numpy(np.int64)
+    at = np.minimum(np.searchsorted(ids, c[first]), max(len(ids) - 1, 0))
+    take = np.where(ids[at] == c[first], spare[at] + shared, 0) if len(ids) else np.zeros(len(first), np.int64)
+    keep = np.arange(len(c)) - np.repeat(first, size) < np.repeat(take, size)
+    return pd.DataFrame({"cls": c[keep], "s": s[keep].view(np.int64)})
+
+
+def rare_stars(text: DataFrame, digests: DataFrame, k: int, num: int, den: int, hot) -> DataFrame:
+    """Stars (a, b) of the classes that share a shingle of both prefixes. Pairs of shingles and classes are dealt to parts of bounded
+    size; a star has one row a class, and its smallest class is found by a minimum that is combined before the shuffle."""
+    total = digests.agg(F.sum("plain")).first()[0] or 0
+    parts = max(1, total // PAIRS)
+    n = F.col("x.n")
+    spare = n - F.ceil(n * num / den) + 1 - F.col("x.plain")  # prefix less the shingles that aren't hot
+    classes = digests.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("n", "plain")).alias("x")).select("cls", spare.cast("long").alias("spare"))
+    pairs = text.select("text").mapInArrow(_pairs(k, num, den, parts, hot), BLOBS).groupBy("part").applyInPandas(_repeated(parts), "part int, pairs binary")
+    classes = classes.mapInArrow(_with_part(parts), "part int, cls long, spare long")
+    signs = pairs.groupBy("part").cogroup(classes.groupBy("part")).applyInPandas(_rarest, "cls long, s long")
+    signs = written(signs, "rare")
+    least = signs.groupBy("s").agg(F.min("cls").alias("b"), F.count("*").alias("sets")).filter("sets > 1").select("s", "b")
+    return signs.join(least.hint("merge"), "s").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+
+
+def _with_part(parts: int):
+    schema = pa.schema([("part", pa.int32()), ("cls", pa.int64()), ("spare", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            cls = batch.column("cls").to_numpy()
+            part = (mix(cls.view(np.uint64) ^ np.uint64(9)) % np.uint64(parts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("cls"), batch.column("spare")], schema=schema)
+
+    return run
 
 
 def _members(k: int):
@@ -260,46 +377,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
-def rare_stars(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Stars (a, b) of the classes (cls, n, h) that share one of their rarest shingles.
-
-    In any order of all shingles, two similar sets share one of the first n - ceil(n num / den) + 1 of each.
-    Ordered by the number of sets that hold them, those that only one set has come first and meet nobody; a passage
-    of many documents comes last. Rows that repeat a class do no harm. Counts are combined before the shuffle, and a star has one row a set.
-    """
-    held = members.select("cls", "n", F.explode("h").alias("s"))
-    often = held.groupBy("s").agg(F.count("*").alias("sets")).filter("sets > 1")
-    first = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    shared = held.join(often.hint("merge"), "s").groupBy("cls", "n").agg(F.sort_array(F.collect_set(F.struct("sets", "s"))).alias("x"))
-    open_ = F.greatest(first - (F.col("n") - F.size("x")), F.lit(0)).cast("int")
-    signs = written(shared.select("cls", F.explode(F.slice("x", 1, F.least(open_, F.size("x")))).alias("x")).select("cls", F.col("x.s").alias("s")), "rare")
-    least = signs.groupBy("s").agg(F.min("cls").alias("b"), F.count("*").alias("sets")).filter("sets > 1").select("s", "b")
-    return signs.join(least.hint("merge"), "s").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
-
-
 def similar_classes(docs: DataFrame, k: int = 3, num: int = NUM, den: int = DEN, chunk: int = CHUNK, most: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
     """((doc_id, own, n, cls) of every row, links between classes); own is a hash of the text."""
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = written(text.withColumn("own", F.xxhash64("text")).mapInArrow(_digest(k), "doc_id long, own long, n long, cls long"), "digests")
-    total = digests.agg(F.sum("n")).first()[0] or 0
-    deal = max(1, total * (den - num) // den // SIGNATURES)
-    stars = text.select("text").mapInArrow(_signed(k, num, den, deal), "part int, pairs binary").groupBy("part").applyInPandas(_stars, LINKS)
-    chained = components(stars).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    hot = spark.sparkContext.broadcast(hot_shingles(text, k))
+    digests = written(text.withColumn("own", F.xxhash64("text")).mapInArrow(_digest(k, hot), "doc_id long, own long, n long, cls long, plain long"), "digests")
+    near = components(rare_stars(text, digests, k, num, den, hot)).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     one = digests.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("cls", "x.doc_id", "x.n")
-    near = written(chained.join(one, "cls"), "near")
-    texts = text.join(_small(near.select("doc_id", "cls", "n")), "doc_id").select("cls", "n", "text")
+    groups = written(near.join(one, "cls"), "near")
+    texts = text.join(_small(groups.select("doc_id", "cls", "n")), "doc_id").select("cls", "n", "text")
     members = written(texts.mapInArrow(_members(k), "cls long, n long, h array<long>"), "members")
-    # components of several chunks are mostly chained by passages that many documents share: they are taken apart by rare shingles
-    sized = near.join(_parts(near, chunk, most, ("comp",), "parts"), "comp")
-    groups = sized.filter("parts = 1").select("cls", "comp", "n")
-    chained = written(sized.filter("parts > 1").select("cls"), "chained")
-    if chained.head(1):
-        apart = components(rare_stars(members.join(_small(chained), "cls"), num, den))
-        groups = groups.unionByName(apart.select(F.col("node").alias("cls"), F.col("component").alias("comp")).join(near.select("cls", "n"), "cls"))
     # linked sets differ by one band at most
     band = F.floor(F.log("n") / (1.0001 * math.log(den / num))).cast("long")
-    groups = groups.withColumn("band", band).join(_parts(groups, chunk, most, ("comp",), "parts"), "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    groups = groups.drop("doc_id").withColumn("band", band).join(_parts(groups, chunk, most, ("comp",), "parts"), "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     groups = written(groups.select("cls", "comp", "n", "band", "parts", "part"), "candidates")
     sets_of = members.select("cls", "h")
     links = written(sets_of.join(_small(groups), "cls").groupBy("comp", "part").applyInPandas(_join_chunk(num, den), LINKS), "chunk-links")

@@ -1,13 +1,4 @@
-"""Sets of word shingles as sorted hashes, and block signatures that any two similar sets share.
-
-Two sets with den*intersection >= num*union differ in at most d = (den-num)(|A|+|B|)/(den+num) shingles.
-Dealt to more than d blocks by hash, some block is the same in both, so the hash of each block's content
-is a signature, and no link is lost. d depends on the sizes, so sizes have bands; a set signs for its own
-band and for those of the larger sets that it may be linked with.
-
-A block that is empty in both says nothing. A set with fewer empty blocks than blocks beyond d shares
-one that isn't empty with any similar set, and doesn't sign its empty ones; the few others do.
-"""
+"""Sets of word shingles as sorted hashes."""
 
 from __future__ import annotations
 
@@ -16,8 +7,6 @@ import pyarrow as pa
 
 from .words import Words, mix, runs
 
-RATIO = 1.4
-
 
 def sets(w: Words, k: int = 3) -> list[np.ndarray]:
     """Each row's sorted distinct shingles of k words; of all its words if it has fewer; empty without words."""
@@ -35,35 +24,6 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0].view(np.int64))
 
 
-def _band(n: int) -> tuple[int, int]:
-    """Number and upper size of n's band."""
-    b, hi = 0, 8.0
-    while n > int(hi):
-        b, hi = b + 1, hi * RATIO
-    return b, int(hi)
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    n, out = len(s), []
-    most = n * den // num
-    if (den - num) * (n + most) < den + num:
-        return np.zeros(0, np.int64)  # only an equal set can be similar
-    mixed = mix(s)
-    for b in range(_band(n)[0], _band(most)[0] + 1):
-        hi = int(8.0 * RATIO**b)
-        d = (den - num) * 2 * hi // (den + num)
-        spare = 1 + d // 12
-        p = d + 1 + spare
-        own = (den - num) * (n + min(most, hi)) // (den + num) + 1 + spare  # so many blocks do for sets of this size
-        block = (mix(s ^ np.uint64(0x5851F42D4C957F2D + b)) % np.uint64(p)).astype(np.int64)
-        total = np.zeros(p, np.uint64)
-        np.add.at(total, block, mixed)
-        held = np.bincount(block, minlength=p)[:own] > 0
-        signed = mix(total[:own] + (np.arange(own, dtype=np.uint64) + np.uint64(b << 32)) * np.uint64(0x9E3779B97F4A7C15))
-        out.append(signed[held] if own - held.sum() <= spare else signed)
-    return np.concatenate(out).view(np.int64)
-
-
 def lists(values: list[np.ndarray]) -> pa.ListArray:
     at = np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)
     flat = np.concatenate([v.view(np.int64) for v in values]) if values else np.zeros(0, np.int64)

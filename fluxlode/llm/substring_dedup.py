@@ -3,10 +3,12 @@
 1. Whole copies of a text are one class; only its first document goes on, and later copies are covered whole.
 2. Each window belongs to its anchor, the smallest hash among its word 8-grams, so equal windows have equal
    anchors. Anchors that occur once in the corpus have no repeated window and go no further.
-3. What is around repeated anchors is dealt by anchor to shards. Each builds a compressed FM-index over its runs of words,
-   and backward search gives the windows that occur more than once; their words' hashes confirm them, and all but the
-   first are reported. A run that a task has seen before goes without its words, and an anchor of very many
-   documents is dealt by whole windows, so no shard gathers a hot passage.
+3. What is around repeated anchors is dealt by anchor to shards. Each builds a compressed FM-index over its runs of words
+   and streams the runs' windows through backward search: a window whose matching statistic reaches `window` occurs again,
+   and its interval in the index names what it equals. Words confirm that, all but the first are reported, and neighbouring
+   ones are one interval of a document. A run that a task has seen before goes without its words.
+4. An anchor of very many documents is dealt by whole windows. Of equal ones only the first, found by a minimum that is
+   combined before the shuffle, goes to a shard; the others are late. So no task gathers a hot passage.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .words import Words, mix, runs, slices, words
 
 WINDOW = 20
 GRAM = 8
-HOT = 50_000
+HOT = 2_000
 SHARD_WORDS = 500_000
 
 
@@ -44,7 +46,7 @@ def anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct_anchors(window: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("own2", pa.int32()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -54,13 +56,13 @@ def _distinct_anchors(window: int, gram: int):
                 at = np.unique(at)
                 hashed = runs(w.hash, gram)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
                 ends = np.searchsorted(at, w.doc)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), part.column("own2"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed))], schema=schema)
 
     return run
 
 
 def _segments(window: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("start", pa.int64()), ("upto", pa.int64()), ("w", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("own", pa.int64()), ("start", pa.int64()), ("upto", pa.int64()), ("w", pa.list_(pa.int64()))])
 
     def run(batches):
         seen: dict[int, tuple[int, int, int]] = {}
@@ -95,12 +97,12 @@ def _segments(window: int, gram: int):
                 offsets = np.r_[0, np.cumsum(size)]
                 index = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
                 mixed = mix(w.hash[index] ^ mix((np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)).astype(np.uint64)))
-                content = mix(np.add.reduceat(mixed, offsets[:-1]) ^ key.view(np.uint64)).tolist()
+                content = mix(np.add.reduceat(mixed, offsets[:-1]) ^ key.view(np.uint64)).view(np.int64)
                 ids, own = part.column("doc_id").to_numpy()[row[first]], part.column("own").to_numpy()[row[first]]
                 start = begin - w.doc[row[first]]
                 # a run equal to one of this task that comes earlier is covered whole and needs no words
                 later = np.zeros(len(first), bool)
-                for n, (c, place) in enumerate(zip(content, zip(ids.tolist(), own.tolist(), start.tolist()))):
+                for n, (c, place) in enumerate(zip(content.tolist(), zip(ids.tolist(), own.tolist(), start.tolist()))):
                     if (best := seen.get(c)) is not None and best < place:
                         later[n] = True
                     else:
@@ -108,7 +110,7 @@ def _segments(window: int, gram: int):
                 kept = np.where(later, 0, size)
                 values = w.hash[index[np.repeat(~later, size)]].view(np.int64)
                 values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(own), pa.array(start), pa.array(np.where(later, start + size, 0)), values], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(hot[first]), pa.array(ids), pa.array(own), pa.array(start), pa.array(np.where(later, start + size, 0)), values], schema=schema)
 
     return run
 
@@ -124,14 +126,16 @@ def later_windows(segments: list[np.ndarray], window: int) -> np.ndarray:
     symbols = np.where(inside, 1 + mix(text) % np.uint64(15), 0).astype(np.uint8)
     count = np.maximum(size - window + 1, 0)
     starts = np.repeat(begin[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    found, _ = FMIndex(symbols).repeated(symbols, starts, window)
+    found, interval = FMIndex(symbols).repeated(symbols, starts, window)
     if not len(found):
         return found
-    found = np.sort(found)
-    exact = runs(text, window)[found]
-    order = np.lexsort((found, exact))
-    again = np.r_[False, exact[order][1:] == exact[order][:-1]]
-    return np.sort(found[order][again])
+    # few symbols stand for many words, so windows of one interval may still differ in words
+    order = np.lexsort((found, runs(text, window)[found], interval))
+    found, interval = found[order], interval[order]
+    same = interval[1:] == interval[:-1]
+    for j in range(window):
+        same &= text[found[1:] + j] == text[found[:-1] + j]
+    return np.sort(found[1:][same])
 
 
 def _shard(window: int):
@@ -187,25 +191,35 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     A word goes if a window of `window` consecutive words that covers it also starts earlier, in a document of
     smaller doc_id or earlier in its own; windows are those of the input. A null or short text has no windows. Rows that
     repeat doc_id and text are one document; of those that share only the doc_id, one comes first by its text's hash.
-    A null doc_id comes last. Words and texts are compared by 64-bit hashes.
+    A null doc_id comes last. Words are compared by 64-bit hashes, windows word by word (hot ones by 128 bits), whole texts
+    by 96 bits. Texts of any length are taken whole; an empty table gives no rows; other columns are not read.
     """
-    spark, text = docs.sparkSession, F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"))
-    listed = written(base.select("doc_id", "own", "text").mapInArrow(_distinct_anchors(window, gram), "doc_id long, own long, anchors array<long>"), "anchors")
-    firsts = written(listed.groupBy("own").agg(F.min("doc_id").alias("first")), "firsts")
-    one = listed.filter(F.size("anchors") > 0).join(firsts, "own").filter("doc_id = first").select("doc_id", "own", F.explode("anchors").alias("key"))
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"), F.hash(text, F.length(text)).alias("own2"))
+    listed = written(base.mapInArrow(_distinct_anchors(window, gram), "doc_id long, own long, own2 int, anchors array<long>"), "anchors")
+    firsts = written(listed.groupBy("own", "own2").agg(F.min("doc_id").alias("first")), "firsts")
+    one = listed.filter(F.size("anchors") > 0).join(firsts, ["own", "own2"]).filter("doc_id = first").select("doc_id", "own", F.explode("anchors").alias("key"))
     often = one.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot"))
     often = written(often, "often")
     flagged = one.dropDuplicates().join(often, "key").groupBy("doc_id", "own").agg(F.collect_list(F.struct("key", "hot")).alias("often"))
     flagged = written(flagged, "flagged")
     total = flagged.agg(F.sum(F.size("often"))).first()[0] or 0
     shards = max(1, -(-total * (window + window // 2) // shard_words))
-    near = base.select("doc_id", "own", "text").join(flagged, ["doc_id", "own"]).mapInArrow(_segments(window, gram), "key long, doc_id long, own long, start long, upto long, w array<long>")
-    near = near.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    late = near.groupBy("shard").applyInPandas(_shard(window), "doc_id long, own long, from long, upto long")
+    near = base.select("doc_id", "own", "text").join(flagged, ["doc_id", "own"]).mapInArrow(_segments(window, gram), "key long, content long, hot boolean, doc_id long, own long, start long, upto long, w array<long>")
+    late = None
+    if often.filter("hot").head(1):
+        near = written(near, "segments")
+        place = F.struct("doc_id", "own", "start")
+        least = written(near.filter("hot").groupBy("key", "content").agg(F.min(F.struct("doc_id", "own", "start", "w")).alias("x")), "hot-firsts")
+        after = near.filter("hot").select("key", "content", place.alias("place")).join(least.select("key", "content", F.struct("x.doc_id", "x.own", "x.start").alias("lead")), ["key", "content"])
+        late = after.filter("place > lead").select("place.doc_id", "place.own", F.col("place.start").alias("from"), (F.col("place.start") + window).alias("upto"))
+        near = near.filter("not hot").select("key", "doc_id", "own", "start", "upto", "w").unionByName(least.select("key", "x.doc_id", "x.own", "x.start", F.lit(0).cast("long").alias("upto"), "x.w"))
+    near = near.select("key", "doc_id", "own", "start", "upto", "w").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    found = near.groupBy("shard").applyInPandas(_shard(window), "doc_id long, own long, from long, upto long")
+    late = found if late is None else found.unionByName(late)
     late = late.groupBy("doc_id", "own").agg(F.collect_set(F.struct("from", "upto")).alias("gone"))
     late = written(late, "late")
-    verdict = listed.select("doc_id", "own").distinct().join(firsts, "own").join(late, ["doc_id", "own"], "left")
+    verdict = listed.select("doc_id", "own", "own2").distinct().join(firsts, ["own", "own2"]).join(late, ["doc_id", "own"], "left")
     verdict = verdict.select("doc_id", "own", (F.col("doc_id") > F.col("first")).alias("copy"), "gone").filter("copy or gone is not null")
     out = base.join(verdict, ["doc_id", "own"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "gone")
     return out.mapInArrow(_remove(window, ["doc_id"]), "doc_id long, n_words long, n_removed long, kept string")

@@ -2,9 +2,9 @@
 
 The dimensions are dealt to `nodes` groups; a pair's score is the sum of its groups' partial scores.
 Phase 1 takes each group's local list of best partial scores, whose exact sums give a safe cutoff:
-no row below it can be among the best. Phase 2 broadcasts the cutoff; a row is collected if one
-shifted partial score reaches its even share. Phase 3 bounds each collected row by what it sent and
-resolves those still open exactly. Shards keep k rows a query, so ties of any number stay small.
+no row below it can be among the best. Phase 2 broadcasts the cutoff; a pair is closed as soon as the parts it
+has and the norms of the others can't reach it, and a row is collected if one shifted partial score reaches its even
+share. Phase 3 bounds each collected row by what it sent and resolves those still open exactly. Shards keep k rows a query, so ties of any number stay small.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .store import written
 
 NONE = -(2.0**60)
 TILE = 1024
+#: From this share of open pairs of a tile on, they are resolved one by one.
+FEW_OPEN = 1 / 32
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -46,17 +48,19 @@ def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np
     return q[keep], ids[keep], score[keep]
 
 
-def _tiles(frames: Iterator[pd.DataFrame], queries, dims: int, nodes: int):
-    """Partial scores (node, row, query) of blocks of rows and queries, and which pairs are a query's own row."""
+def _tiles(frames: Iterator[pd.DataFrame], queries, dims: int):
+    """(ids, rows, first query, queries, which pairs are a query's own row) of blocks of rows and queries."""
     qid, qm = queries.value
-    groups = np.array_split(np.arange(dims), nodes)
     for frame in frames:
         for a in range(0, len(frame), TILE):
             ids = frame["id"].to_numpy()[a : a + TILE]
             rows = _matrix(frame["v"].tolist()[a : a + TILE], dims)
             for b in range(0, len(qid), TILE):
-                part = np.stack([rows[:, g] @ qm[b : b + TILE][:, g].T for g in groups])
-                yield ids, b, part, ids[:, None] == qid[None, b : b + TILE]
+                yield ids, rows, b, qm[b : b + TILE], ids[:, None] == qid[None, b : b + TILE]
+
+
+def _groups(dims: int, nodes: int) -> list[np.ndarray]:
+    return np.array_split(np.arange(dims), nodes)
 
 
 def _phase1(queries, dims: int, nodes: int, k: int):
@@ -65,8 +69,9 @@ def _phase1(queries, dims: int, nodes: int, k: int):
         least = np.full((nodes, n), np.inf)
         top: tuple[np.ndarray, ...] = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         seen = False
-        for ids, b, part, own in _tiles(frames, queries, dims, nodes):
+        for ids, rows, b, qm, own in _tiles(frames, queries, dims):
             seen = True
+            part = np.stack([rows[:, g] @ qm[:, g].T for g in _groups(dims, nodes)])
             width = part.shape[2]
             least[:, b : b + width] = np.minimum(least[:, b : b + width], part.min(1))
             listed = np.zeros(own.shape, bool)
@@ -84,21 +89,47 @@ def _phase1(queries, dims: int, nodes: int, k: int):
     return run
 
 
+def above(rows: np.ndarray, qm: np.ndarray, groups: list[np.ndarray], tau: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, query, score of every pair whose score reaches the query's tau, multiplications done).
+
+    Group by group: a pair is closed when what it has and the other groups' norms can't reach tau. Once few are open, these
+    alone are resolved. Else, with all parts there, a row is collected if one shifted part reaches its even share, and bounded
+    by what it sent."""
+    norm = lambda m: np.stack([np.sqrt((m[:, g] ** 2).sum(1)) for g in groups])
+    rn, qn = norm(rows), norm(qm)
+    parts, total, done = [], np.zeros((len(rows), len(qm))), 0
+    for i, g in enumerate(groups):
+        parts.append(rows[:, g] @ qm[:, g].T)
+        total += parts[-1]
+        done += total.size * len(g)
+        rest = np.concatenate(groups[i + 1 :]) if i + 1 < len(groups) else np.zeros(0, int)
+        if not len(rest):
+            break
+        open_ = total + rn[i + 1 :].T @ qn[i + 1 :] * (1 + 1e-12) >= tau
+        if open_.mean() <= FEW_OPEN:
+            r, q = np.nonzero(open_)
+            score = total[r, q] + np.einsum("ij,ij->i", rows[np.ix_(r, rest)], qm[np.ix_(q, rest)])
+            fit = score >= tau[q]
+            return r[fit], q[fit], score[fit], done + len(r) * len(rest)
+    floor = least.sum(0)
+    share = (tau - floor) / len(groups)
+    shifted = np.stack(parts) - least[:, None]
+    sent = shifted >= share
+    bound = np.where(sent, shifted, share).sum(0)
+    r, q = np.nonzero(sent.any(0) & (bound >= tau - floor))
+    fit = total[r, q] >= tau[q]
+    return r[fit], q[fit], total[r[fit], q[fit]], done
+
+
 def _phases23(queries, cut, dims: int, nodes: int, k: int):
     def run(frames):
         tau, least = cut.value
         qid = queries.value[0]
-        floor = least.sum(0)
-        share = (tau - floor) / nodes
         top: tuple[np.ndarray, ...] = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        for ids, b, part, own in _tiles(frames, queries, dims, nodes):
-            to = slice(b, b + part.shape[2])
-            shifted = part - least[:, None, to]
-            sent = shifted >= share[to]
-            bound = np.where(sent, shifted, share[to]).sum(0)
-            r, q = np.nonzero(sent.any(0) & (bound >= (tau - floor)[to]) & ~own)
-            score = part[:, r, q].sum(0)
-            fit = score >= tau[q + b]
+        for ids, rows, b, qm, own in _tiles(frames, queries, dims):
+            to = slice(b, b + len(qm))
+            r, q, score, _ = above(rows, qm, _groups(dims, nodes), tau[to], least[:, to])
+            fit = ~own[r, q]
             top = _best(np.r_[top[0], q[fit] + b], np.r_[top[1], ids[r[fit]]], np.r_[top[2], score[fit]], k)
         yield pd.DataFrame({"query_id": qid[top[0]], "vec_id": top[1], "score": top[2].astype(np.int64)})
 

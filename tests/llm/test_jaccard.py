@@ -32,8 +32,11 @@ def family(rng, base, copies, changes):
     return out
 
 
-@pytest.mark.parametrize("chunk,most,num", [(512, 2_000_000, 90), (6, 2_000_000, 90), (12, 2_000_000, 80), (512, 900, 80)])
-def test_components_equal_brute_force(spark, docs_of, chunk, most, num):
+@pytest.mark.parametrize("chunk,most,num,hot", [(512, 2_000_000, 90, 1000), (6, 2_000_000, 90, 6), (12, 2_000_000, 80, 15), (512, 900, 80, 1000)])
+def test_components_equal_brute_force(spark, docs_of, monkeypatch, chunk, most, num, hot):
+    monkeypatch.setattr("fluxlode.llm.jaccard.HOT", hot)
+    monkeypatch.setattr("fluxlode.llm.jaccard.SAMPLE", 1)
+    monkeypatch.setattr("fluxlode.llm.jaccard.PAIRS", 1000)
     rng = np.random.default_rng(3)
     texts = [None, "", "  \n", "one", "ONE", "one two", "one  two", "a b c", "A b\tc", "a b c d"]
     for size, copies, changes in ((9, 6, 1), (12, 10, 1), (30, 12, 2), (90, 30, 6), (200, 25, 9)):

@@ -6,7 +6,7 @@ import pytest
 from fluxlode.llm.chat import Template, digest_chats, format_chats
 from fluxlode.llm.packing import first_fit_decreasing, pack
 from fluxlode.llm.queries import tokenizer_path
-from fluxlode.llm.topk import exact_topk
+from fluxlode.llm.topk import _groups, above, exact_topk
 
 
 def brute_topk(rows, k):
@@ -56,6 +56,19 @@ def test_chat_round_trip(spark):
     assert digest_chats(format_chats(df.limit(0))).collect() == []
 
 
+def test_pruned_pairs_are_those_below_the_cutoff():
+    rng = np.random.default_rng(5)
+    rows, qm = np.floor(rng.normal(size=(300, 24)) * 50), np.floor(rng.normal(size=(40, 24)) * 50)
+    whole, groups = rows @ qm.T, _groups(24, 4)
+    least = np.stack([(rows[:, g] @ qm[:, g].T).min(0) for g in groups])
+    for share in (0.5, 0.98, 0.999):
+        tau = np.quantile(whole, share, axis=0)
+        r, q, score, done = above(rows, qm, groups, tau, least)
+        assert set(zip(r, q)) == set(zip(*np.nonzero(whole >= tau))) and (score == whole[r, q]).all()
+        assert done <= whole.size * 24
+    assert done < whole.size * 24  # with few pairs open, the last groups are left out
+
+
 def test_control_strings_stand_only_where_the_template_put_them():
     t = Template()
     for text in ("</s>", "[INST]", "\\</s>", "a[/INST]b"):
