@@ -25,6 +25,22 @@ def korea_belt_epsg(lon: Column) -> Column:
     return F.when(lon < 126, 5185).when(lon < 128, 5186).when(lon < 130, 5187).otherwise(5188)
 
 
+def korea_epsg(kind: str, lon: Column) -> Column:
+    """Code of a choice of Korean projections: the unified belt, the belt of a longitude, or the zone west or east of 126 degrees."""
+    if kind == "korea_utm":
+        return F.lit(5179)
+    if kind == "korea2010":
+        return korea_belt_epsg(lon)
+    if kind == "utm":
+        return F.when(lon < 126, 32651).otherwise(32652)
+    raise ValueError(f"unknown projection {kind}")
+
+
+def ground_elevation(altitude_m: Column, height_m: float) -> Column:
+    """Elevation of the ground below a flight at an assumed height above it."""
+    return altitude_m - height_m
+
+
 def axial_difference(a: Column, b: Column) -> Column:
     """Angle between two undirected lines, 0 to 90 degrees."""
     return F.abs(F.pmod(a - b + 90, F.lit(180.0)) - 90)

@@ -50,6 +50,11 @@ def auto_radius(cell: float, gap: float | None) -> float:
     return max(2 * cell, 1.2 * gap) if gap else 2 * cell
 
 
+def auto_radius_of(cell, gap):
+    """auto_radius of columns; gap may be null."""
+    return F.greatest(2 * cell, 1.2 * gap)
+
+
 def cell_size_advice(spacing: float, cell: float) -> str | None:
     ratio = spacing / cell
     return "cells are coarse for this line spacing" if ratio < 3 else "cells are fine for this line spacing" if ratio > 8 else None

@@ -154,6 +154,33 @@ def proximity(distance: Column, decay: float = 200.0) -> Column:
     return F.exp(-distance / decay)
 
 
+def proximity_scores(cells: DataFrame, features: DataFrame, decay: float = 200.0) -> DataFrame:
+    """(row, col, score): exp(-distance / decay) to the nearest feature (x2, y2), however far."""
+    from .spatial import nearest
+
+    cells = cells.withColumn("_k", F.struct("row", "col"))
+    near = nearest(cells, "_k", features.withColumn("_id", F.xxhash64("x2", "y2")), "_id", decay / 4)
+    return near.select("row", "col", proximity(F.col("distance_m"), decay).alias("score"))
+
+
+def spaced_best(scores: DataFrame, least: float, spacing: float, most: int = 20) -> DataFrame:
+    """The best cells (row, col, x, y, score) of at least `least` that are `spacing` apart, best first, `most` of them: a cell goes if
+    a better one that stays is nearer. Local maxima are few; each round keeps those that no open better one is near to."""
+    from ..shared import written
+    from .spatial import within
+
+    top = written(local_maxima(scores.withColumn("value", F.col("score"))).filter(F.col("score") >= least).select("row", "col", "x", "y", "score").withColumn("o", F.row_number().over(Window.orderBy(F.desc("score"), "row", "col"))), "maxima")
+    other = top.select(F.col("o").alias("o2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = written(within(top, other, spacing).filter((F.col("o2") < F.col("o")) & (F.col("d") < spacing)).select("o", "o2"), "near")
+    kept, open_ = top.select("o").filter("false"), top.select("o")
+    while open_.head(1):
+        best = written(open_.join(near.join(open_.select(F.col("o").alias("o2")), "o2").select("o").distinct(), "o", "left_anti"), "best")
+        kept = written(kept.unionByName(best), "kept")
+        gone = near.join(best.select(F.col("o").alias("o2")), "o2").select("o").distinct()
+        open_ = written(open_.join(best, "o", "left_anti").join(gone, "o", "left_anti"), "open")
+    return top.join(kept, "o").orderBy("o").limit(most).withColumn("rank", F.row_number().over(Window.orderBy("o"))).drop("o")
+
+
 def dipole_field(x, y, depth, direction, moment, px, py) -> np.ndarray:
     """Total-field anomaly (nT) of an induced dipole below (x, y); x, y of the grid are east and north."""
     dx, dy, dz = px - x, py - y, depth

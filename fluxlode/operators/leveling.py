@@ -232,6 +232,21 @@ def pass_pairs(passes: DataFrame, across_m: float, angle_deg: float) -> DataFram
     return near.join(q, "_b").filter(on).select(F.col("line_id").alias("a"), F.col("line_id2").alias("b")).distinct()
 
 
+def pass_groups(passes: DataFrame, across_m: float, angle_deg: float) -> DataFrame:
+    """(line_id, grp): passes that are the same line, directly or through others; grp is the smallest line_id. Lines on their own are groups too."""
+    from .spatial import components
+
+    pairs = pass_pairs(passes, across_m, angle_deg).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    found = components(passes.select(F.col("line_id").cast("long").alias("id")), pairs)
+    return found.select(F.col("id").cast("int").alias("line_id"), F.col("component").cast("int").alias("grp"))
+
+
+def heading_is_reliable(offset: DataFrame, enabled: bool = True) -> DataFrame:
+    """offset (offset, spread, n) with `apply`: only if the correction is wanted, there is an estimate, and it exceeds its own spread."""
+    fine = F.col("offset").isNotNull() & (F.abs("offset") > F.coalesce("spread", F.lit(0.0)))
+    return offset.withColumn("apply", F.lit(enabled) & F.coalesce(fine, F.lit(False)))
+
+
 def resolve_duplicates(df: DataFrame, value: str, groups: DataFrame, azimuth: float) -> DataFrame:
     """df with is_duplicate: in each group's common stretch only the smoothest pass stays. groups: (line_id, grp)."""
     passes = line_passes(df, value).select("line_id", "rough")
@@ -245,10 +260,11 @@ def resolve_duplicates(df: DataFrame, value: str, groups: DataFrame, azimuth: fl
     return out.withColumn("is_duplicate", F.coalesce((F.col("line_id") != F.col("_keep")) & F.col("_s").between(F.col("lo"), F.col("hi")), F.lit(False))).select(*df.columns, "is_duplicate")
 
 
-def repeat_deviation(df: DataFrame, value: str, groups: DataFrame, azimuth: float, step: float) -> DataFrame:
-    """Per group of passes: sigma of the deviations from the bins' means within one direction, and the mean absolute difference of the two directions."""
+def repeat_deviation(df: DataFrame, value: str, groups: DataFrame, azimuth: float, step: float, directions: DataFrame | None = None) -> DataFrame:
+    """Per group of passes: sigma of the deviations from the bins' means within one direction, and the mean absolute difference of the two directions.
+    directions: (line_id, direction), by default line_passes'."""
     s = F.floor(along_track(F.col("x"), F.col("y"), F.lit(float(azimuth))) / step)
-    passes = line_passes(df, value).select("line_id", "direction")
+    passes = line_passes(df, value).select("line_id", "direction") if directions is None else directions
     bins = df.join(F.broadcast(groups), "line_id").join(F.broadcast(passes), "line_id").groupBy("grp", "line_id", "direction", s.alias("bin")).agg(F.avg(value).alias("v"))
     same = bins.withColumn("_d", F.col("v") - F.avg("v").over(Window.partitionBy("grp", "direction", "bin"))).withColumn("_n", F.count("*").over(Window.partitionBy("grp", "direction", "bin")))
     sigma = same.filter("_n > 1").groupBy("grp").agg(F.stddev_pop("_d").alias("sigma"), F.count("*").alias("n"))

@@ -118,12 +118,12 @@ def bridge_gaps(df: DataFrame, azimuth: Column, rules: LineRules = LineRules())
 
 
 def tag_ramps(df: DataFrame) -> DataFrame:
-    """Rows before a file's first and after its last kept row become takeoff_landing_ramp."""
+    """Rows without a line before a file's first kept row become takeoff_ramp, those after its last landing_ramp; a file that keeps none stays."""
     w = Window.partitionBy(*FILE)
     kept = F.when(F.col("line_id") >= 0, F.col("t"))
     df = df.withColumn("_lo", F.min(kept).over(w)).withColumn("_hi", F.max(kept).over(w))
-    ramp = (F.col("line_id") < 0) & (F.col("_lo").isNull() | (F.col("t") < F.col("_lo")) | (F.col("t") > F.col("_hi")))
-    return df.withColumn("reason", F.when(ramp, "takeoff_landing_ramp").otherwise(F.col("reason"))).drop("_lo", "_hi")
+    off = F.col("line_id") < 0
+    return df.withColumn("reason", F.when(off & (F.col("t") < F.col("_lo")), "takeoff_ramp").when(off & (F.col("t") > F.col("_hi")), "landing_ramp").otherwise(F.col("reason"))).drop("_lo", "_hi")
 
 
 def detect_lines(df: DataFrame, rules: LineRules = LineRules()) -> DataFrame:

@@ -82,6 +82,29 @@ def moving_average(df: DataFrame, value: str, keys, order, samples: int) -> Data
     return df.withColumn("smoothed", F.avg(value).over(window(keys, order, (samples | 1) // 2)))
 
 
+def moving_seconds(df: DataFrame, value: str, seconds: float, t: str, keys, order) -> DataFrame:
+    """moving_average over the odd number of rows that `seconds` hold at each series' own rate, three at least; a series shorter than
+    that stays as it is. Series have few different widths, which are the cases of one expression."""
+    rate = sample_rate(df, t, keys, order).withColumn("_w", F.greatest(F.lit(3), F.bround(F.col("rate_hz") * seconds).cast("int")))
+    sizes = written(rate.select(*keys, F.when(F.col("_w") % 2 == 1, F.col("_w")).otherwise(F.col("_w") + 1).alias("_w")), "widths")
+    found = [r[0] for r in sizes.select("_w").distinct().collect()]
+    out = df.join(F.broadcast(sizes), list(keys), "left").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    means = [F.when((F.col("_w") == n) & (F.col("_w") < F.col("_n")), F.avg(value).over(window(keys, order, n // 2))) for n in found]
+    return out.withColumn("smoothed", F.coalesce(*means, F.col(value))).drop("_w", "_n")
+
+
+def noise_summary(lines: DataFrame) -> DataFrame:
+    """One row over the lines of difference_qc: root mean squares of their 4th and 8th differences and how many are noisy."""
+    rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    return lines.agg(F.count("*").alias("n_lines"), rms("rms4").alias("overall4"), rms("rms8").alias("overall8"), F.coalesce(F.sum(F.col("is_noisy").cast("long")), F.lit(0)).alias("n_noisy"))
+
+
+def process_base(df: DataFrame, value: str, keys, order, window_rows: int, confirm_rows: int, trim_k: float = 6.0, share: float = 0.2, width: int = 11, k: float = 5.0, trim: bool = True, spikes: bool = True) -> DataFrame:
+    """A base series without its restless ends and with its spikes replaced; either step can be left out."""
+    out = trim_transients(df, value, keys, order, window_rows, confirm_rows, trim_k, share) if trim else df
+    return despike(out, value, keys, order, width, k).withColumn(value, F.col("despiked")).drop("despiked", "is_spike") if spikes else out
+
+
 def distance_average(df: DataFrame, value: str, keys, s: str, wavelength: float) -> DataFrame:
     """Mean of the values within half a wavelength along the line; s in metres."""
     micro = F.round(F.col(s) * 1_000_000).cast("long")

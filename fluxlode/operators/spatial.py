@@ -187,3 +187,43 @@ def survey_outline(points: DataFrame, buffer: float, level: float = 0.5) -> tupl
     grid = ring.join(inside.withColumn("value", F.lit(1.0)), ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     grid = grid.withColumn("easting", (F.col("col") + 0.5) * cell).withColumn("northing", (F.col("row") + 0.5) * cell)
     return contour_segments(grid, [level]), inside.agg((F.count("*") * cell * cell).alias("area_m2"))
+
+
+def classify_cells(cells: DataFrame, polygons: DataFrame, value: str, size: float) -> DataFrame:
+    """cells (row, col, x, y) with the value of the polygon that holds them; of several the one of largest polygon_id, which was drawn last."""
+    held = in_polygons(cells.select("row", "col", "x", "y"), polygons, size)
+    best = held.groupBy("row", "col").agg(F.max_by(value, "polygon_id").alias(value))
+    return cells.join(best, ["row", "col"], "left")
+
+
+def keep_inside(grid: DataFrame, rings: list[list[tuple[float, float]]]) -> DataFrame:
+    """grid with null outside all rings of (easting, northing); without rings everything stays."""
+    if not rings:
+        return grid
+    inside = F.lit(False)
+    for r in rings:
+        inside = inside | inside_polygon(F.col("easting"), F.col("northing"), r)
+    return grid.withColumn("value", F.when(inside, F.col("value")))
+
+
+def edge_margin(grid: DataFrame, cell: float, margin_m: float) -> DataFrame:
+    """grid (all cells of a rectangle) with in_margin: known cells whose distance to the nearest cell without data, or to the
+    rectangle's edge, is at most margin_m. Cells without data are dealt to the cells around them, as far as the margin reaches."""
+    reach = int(margin_m // cell)
+    known = F.col("value").isNotNull()
+    ends = grid.agg(F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1"))
+    g = grid.crossJoin(F.broadcast(ends))
+    rim = (F.least(F.col("row") - F.col("_r0"), F.col("_r1") - F.col("row"), F.col("col") - F.col("_c0"), F.col("_c1") - F.col("col")) + 1) * cell <= margin_m
+    disc = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (i * i + j * j) ** 0.5 * cell <= margin_m]
+    # only empty cells beside a known one matter
+    empty = grid.filter(~known).select("row", "col")
+    beside = grid.filter(known).select(F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in AROUND])).alias("c")).select("c.*").distinct()
+    near = empty.join(beside, ["row", "col"]).select(F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in disc or [(0, 0)]])).alias("c")).select("c.*").distinct().withColumn("_near", F.lit(True))
+    out = g.join(near, ["row", "col"], "left").withColumn("in_margin", known & (rim | F.coalesce("_near", F.lit(False))))
+    return out.drop("_near", "_r0", "_r1", "_c0", "_c1")
+
+
+def mask_margin(marked: DataFrame) -> DataFrame:
+    """edge_margin's grid without the cells in the margin, unless that would leave none."""
+    left = marked.agg(F.max((F.col("value").isNotNull() & ~F.col("in_margin")).cast("int")).alias("_any"))
+    return marked.crossJoin(F.broadcast(left)).withColumn("value", F.when((F.col("_any") == 1) & F.col("in_margin"), None).otherwise(F.col("value"))).drop("_any")

@@ -32,6 +32,24 @@ def survey_summary(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("n_points"), F.count_distinct("source_file_index").alias("n_files"), F.count_distinct(F.when(F.col("line_id") >= 0, F.col("line_id"))).alias("n_lines"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), ((1 - F.avg(kept)) * 100).alias("excluded_pct"))
 
 
+def base_summary(base: DataFrame, t: str = "t", mag: str = "mag") -> DataFrame:
+    """One row: rows, time span, range of the field, rows that repeat a time."""
+    return base.agg(F.count("*").alias("n_points"), F.min(t).alias("t_start"), F.max(t).alias("t_end"), F.min(mag).alias("mag_min"), F.max(mag).alias("mag_max"), (F.count(t) - F.count_distinct(t)).alias("n_repeated"))
+
+
+def exclusion_counts(points: DataFrame) -> DataFrame:
+    """(reason, n, pct): rows by the reason that they are on no line; lines' own rows are `kept`."""
+    why = F.when(F.col("line_id") >= 0, "kept").otherwise(F.coalesce("reason", F.lit("other")))
+    total = points.agg(F.count("*").alias("_t"))
+    return points.groupBy(why.alias("reason")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("reason", "n", (100.0 * F.col("n") / F.col("_t")).alias("pct"))
+
+
+def grid_overlay(grid: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """One row of what stands beside a grid on a map: cells, share without data, range, mean, deviation and the ends of the stretch."""
+    v = F.col("value")
+    return grid.agg(F.count("*").alias("n_cells"), (100.0 * (1 - F.count(v) / F.count("*"))).alias("gap_pct"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.percentile(v, low).alias("low"), F.percentile(v, high).alias("high"))
+
+
 def line_profile(points: DataFrame, line_id: int, value: str) -> DataFrame:
     from pyspark.sql import Window
 

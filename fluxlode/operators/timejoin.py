@@ -24,9 +24,11 @@ def interpolate_at(left: DataFrame, right: DataFrame, value: str, out: str, hour
     points = left.withColumn("_span", span(F.col(t))).withColumn("_k", F.struct(F.col(t).alias("_t"), F.lit(None).cast("double").alias("_v")))
     known = r.select(span(F.col("_t")).alias("_span"), F.struct("_t", F.col("_v").cast("double").alias("_v")).alias("_k"))
     both = points.unionByName(known, allowMissingColumns=True).withColumn("_is", F.col("_k._v").isNotNull())
-    o = Window.partitionBy("_span").orderBy(F.col("_k._t"), F.desc("_is"))
-    have = F.when(F.col("_is"), F.col("_k"))
-    both = both.withColumn("_p", F.last(have, True).over(o.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(have, True).over(o.rowsBetween(0, Window.unboundedFollowing)))
+    # both neighbours are carried on over running frames, one for each direction of time
+    have, whole = F.when(F.col("_is"), F.col("_k")), (Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_span").orderBy(F.col("_k._t"), F.desc("_is")).rowsBetween(*whole)
+    back = Window.partitionBy("_span").orderBy(F.desc("_k._t"), F.desc("_is")).rowsBetween(*whole)
+    both = both.withColumn("_p", F.last(have, True).over(ahead)).withColumn("_n", F.last(have, True).over(back))
     got = both.filter(~F.col("_is")).join(F.broadcast(spans), "_span", "left")
     p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
     line = p["_v"] + (n["_v"] - p["_v"]) * (F.col("_k._t") - p["_t"]) / (n["_t"] - p["_t"])
@@ -128,3 +130,34 @@ def base_from_observatories(series: DataFrame, stations: DataFrame, lat: float,
     level = means.agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("level"))
     out = minutes.join(F.broadcast(means), "iaga_code").groupBy("minute").agg((F.sum(F.col("w") * (F.col("mag") - F.col("mean"))) / F.sum("w")).alias("dev"))
     return out.crossJoin(F.broadcast(level)).select("minute", (F.col("level") + F.col("dev")).alias("mag"))
+
+
+def bridged_minutes(series: DataFrame, most_gap: int = 5, key: str = "iaga_code") -> DataFrame:
+    """(key, minute, t, mag): each station's means by minute, with gaps of up to most_gap minutes interpolated. A gap is filled
+    from its two ends, so only neighbouring minutes meet."""
+    minutes = series.groupBy(key, F.floor(F.col("t") / 60).alias("minute")).agg(F.avg("mag").alias("mag"))
+    w = Window.partitionBy(key).orderBy("minute")
+    ends = minutes.withColumn("_m", F.lead("minute").over(w)).withColumn("_v", F.lead("mag").over(w))
+    upto = F.when((F.col("_m") - F.col("minute") - 1).between(1, most_gap), F.col("_m") - 1).otherwise(F.col("minute"))
+    every = ends.withColumn("_at", F.explode(F.sequence("minute", upto)))
+    share = (F.col("_at") - F.col("minute")) / F.nullif(F.col("_m") - F.col("minute"), F.lit(0))
+    mag = F.when(F.col("_at") == F.col("minute"), F.col("mag")).otherwise(F.col("mag") + (F.col("_v") - F.col("mag")) * share)
+    return every.select(key, F.col("_at").alias("minute"), (F.col("_at") * 60.0).alias("t"), mag.alias("mag"))
+
+
+def base_series(raw: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+    """(kind, t, mag): the raw base series and, once there is one, the corrected one."""
+    out = raw.select(F.lit("raw").alias("kind"), "t", "mag")
+    return out if processed is None else out.unionByName(processed.select(F.lit("corrected").alias("kind"), "t", "mag"))
+
+
+def with_neighbour_days(series: DataFrame, dates: DataFrame, good: float = 0.5) -> DataFrame:
+    """(day, t, mag, substitute): the rows of the wanted days; a day with too few minutes takes the rows of the day before or
+    after it, the better covered one, moved to it. dates: (day), days since 1970."""
+    rows = series.withColumn("_day", F.floor(F.col("t") / 86400))
+    cover = day_coverage(series).select(F.col("day").alias("_day"), "coverage")
+    near = dates.select("day", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("off")).withColumn("_day", F.col("day") + F.col("off")).join(cover, "_day", "left")
+    own = F.max(F.when(F.col("off") == 0, F.coalesce("coverage", F.lit(0.0)))).over(Window.partitionBy("day"))
+    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.when(own >= good, F.abs("off")).otherwise(0), F.desc_nulls_last("coverage"), F.abs("off"), "off"))
+    chosen = near.withColumn("_r", rank).filter("_r = 1").select("day", "_day", (F.col("off") != 0).alias("substitute"))
+    return rows.join(F.broadcast(chosen), "_day").select("day", (F.col("t") + (F.col("day") - F.col("_day")) * 86400).alias("t"), "mag", "substitute")

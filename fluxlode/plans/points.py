@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import lines, series, timejoin
+from ..process import process
 from ..shared import written
 from .tables import ctes, q6, r6, view
 
@@ -245,7 +246,7 @@ f AS (SELECT *, CASE WHEN coalesce(ap - lag(bp) OVER o <= 100 AND abs(ac - lag(b
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY source_file_index ORDER BY lo) AS grp FROM f), u AS (SELECT source_file_index, grp, arg_min(line0, lo) AS to_id, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY 1, 2),
 v AS (SELECT pb.*, coalesce(to_id, -1) AS line_id, CASE WHEN to_id IS NULL THEN reason0 END AS reason1 FROM pb LEFT JOIN u ON pb.source_file_index = u.source_file_index AND i BETWEEN lo AND hi),
 w2 AS (SELECT *, min(CASE WHEN line_id >= 0 THEN t END) OVER f AS t_lo, max(CASE WHEN line_id >= 0 THEN t END) OVER f AS t_hi FROM v WINDOW f AS (PARTITION BY source_file_index)),
-x2 AS (SELECT *, CASE WHEN line_id < 0 AND (t_lo IS NULL OR t < t_lo OR t > t_hi) THEN 'takeoff_landing_ramp' ELSE reason1 END AS reason FROM w2)"""
+x2 AS (SELECT *, CASE WHEN line_id < 0 AND t < t_lo THEN 'takeoff_ramp' WHEN line_id < 0 AND t > t_hi THEN 'landing_ramp' ELSE reason1 END AS reason FROM w2)"""
 
 
 @query("e_group_lines", ctes("track") + GROUPED + """ SELECT point_id, CASE WHEN lkeep THEN lid ELSE -1 END AS line_id, CASE WHEN NOT lon THEN NULL WHEN llen < 150 OR lid IS NULL THEN 'short_line' WHEN NOT lkeep THEN 'turn_buffer' END AS reason
@@ -341,3 +342,24 @@ def select_observatories(spark, d):
 SELECT a.point_id, {q6("x0 + (a.t + 0.7 - t0) / (t1 - t0) * (x1 - x0)")} AS x, {q6("y0 + (a.t + 0.7 - t0) / (t1 - t0) * (y1 - y0)")} AS y FROM track a JOIN l ON a.source_file_index = f AND a.t + 0.7 >= t0 AND a.t + 0.7 < t1""")
 def gps(spark, d):
     return timejoin.apply_gps_lag(view(spark, d, "track"), 0.7).select("point_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+LONG = "(PARTITION BY source_file_index ORDER BY t, point_id{f})"
+ROWS_OF = lambda h: LONG.format(f=f" ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING")
+PROCESSED = (
+    ctes("track")
+    + f""", base AS (SELECT event_id * 0.25::DOUBLE AS t, 50000 + value AS mag FROM events WHERE event_id % 3 = 0), drone AS (SELECT * FROM track)"""
+    + BASE_AT
+    + f""", er AS (SELECT min(t) AS a, max(t) AS b FROM drone), rf AS (SELECT coalesce(avg(CASE WHEN t BETWEEN a AND b THEN mag END), avg(mag)) AS ref FROM base, er), dc AS MATERIALIZED (SELECT point_id, source_file_index, t, mag_raw - (base_mag - ref) AS q FROM v, rf),
+d1 AS (SELECT *, median(q) OVER {ROWS_OF(5)} AS ma, median(q) OVER {ROWS_OF(7)} AS mb, coalesce(abs(q - lag(q) OVER {LONG.format(f='')}) > 5, FALSE) OR coalesce(abs(lead(q) OVER {LONG.format(f='')} - q) > 5, FALSE) AS steep FROM dc),
+d2 AS (SELECT *, 1.4826 * median(abs(q - ma)) OVER {ROWS_OF(5)} AS sa, 1.4826 * median(abs(q - mb)) OVER {ROWS_OF(7)} AS sb FROM d1), d3 AS (SELECT *, CASE WHEN steep THEN mb ELSE ma END AS med, CASE WHEN steep THEN sb ELSE sa END AS sig FROM d2),
+mf AS MATERIALIZED (SELECT point_id, CASE WHEN sig > 0 AND abs(q - med) > 4 * sig THEN med ELSE q END AS mag_filtered FROM d3)"""
+)
+DETECTED = BRIDGED.replace("\ne AS (", "\nee AS (").replace("FROM e WINDOW", "FROM ee WINDOW").replace("v AS (SELECT pb", "vv AS (SELECT pb").replace("FROM v WINDOW", "FROM vv WINDOW")
+
+
+@query("p_process", PROCESSED + GROUPED.replace("\nw AS", "\nww AS").replace(", w AS (SELECT source_file_index AS f", ", wf AS (SELECT source_file_index AS f") + DETECTED + f" SELECT point_id, line_id, reason, {q6('mag_filtered - (SELECT median(mag_filtered) FROM mf)')} AS anomaly, {q6('mag_filtered')} AS tmi FROM x2 JOIN mf USING (point_id)")
+def processed(spark, d):
+    base = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 3 = 0").select((F.col("event_id") * 0.25).alias("t"), (50000 + F.col("value")).alias("mag"))
+    out = process(view(spark, d, "track"), base)
+    return out.select("point_id", "line_id", "reason", r6("anomaly").alias("anomaly"), r6("tmi").alias("tmi"))

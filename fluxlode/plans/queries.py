@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import points, surfaces  # noqa: F401  surfaces registers its queries with those of points
+from . import edits, files, points, surfaces  # noqa: F401  the others register their queries with those of points
 
 QUERIES = dict(points.QUERIES)
 ORACLES = dict(points.ORACLES)

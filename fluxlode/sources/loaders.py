@@ -3,9 +3,13 @@ doesn't fit its format leaves no rows instead of failing the rest."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 MISSING = 90_000.0
 
 
@@ -114,11 +118,11 @@ def sensys_r3_asc(rows: DataFrame) -> DataFrame:
 
 def interpolate_rows(df: DataFrame, columns: list[str], inside: bool = False) -> DataFrame:
     """Fills nulls of a file linearly by row number; beyond the known rows the end's value, or null if only `inside`."""
-    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("path").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
+    whole = (Window.unboundedPreceding, 0)
+    before, after = (Window.partitionBy("path").orderBy(o).rowsBetween(*whole) for o in (F.col("n"), F.desc("n")))
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct("n", F.col(c).alias("v")))
-        df = df.withColumn("_p", F.last(known, True).over(before)).withColumn("_q", F.first(known, True).over(after))
+        df = df.withColumn("_p", F.last(known, True).over(before)).withColumn("_q", F.last(known, True).over(after))
         line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col("n") - F.col("_p.n")) / F.nullif(F.col("_q.n") - F.col("_p.n"), F.lit(0))
         df = df.withColumn(c, F.coalesce(F.col(c), line, *([] if inside else [F.col("_p.v"), F.col("_q.v")]))).drop("_p", "_q")
     return df
@@ -138,15 +142,24 @@ def load_survey(spark: SparkSession, paths, day: str = "1970-01-01") -> DataFram
     point_id is the rank in the whole order, counted range by range (see series.global_index)."""
     from ..operators.series import global_index
 
-    rows = text_rows(spark, paths)
-    kinds = rows.groupBy("path").agg(detect_format(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.when(F.col("n") < 100, F.struct("n", "value")))), lambda r: r["value"]))).alias("kind"))
-    rows = rows.join(F.broadcast(kinds), "path")
-    parts = [generic(rows.filter("kind = 'generic'")), sensys_r1(rows.filter("kind = 'sensys_r1'")), microinfinity(rows.filter("kind = 'microinfinity'"), day), sensys_r3_raw(rows.filter("kind = 'sensys_r3_raw'")), sensys_r3_asc(rows.filter("kind = 'sensys_r3_asc'"))]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    rows = written(text_rows(spark, paths), "lines")
+    kinds = written(file_formats(rows), "formats")
     files = kinds.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("source_file_index"))  # a row per file
-    return number_points(finalize(every).join(F.broadcast(files), "path"), global_index)
+    return number_points(finalize(parsed(rows, kinds, day)).join(F.broadcast(files), "path"), global_index)
+
+
+def file_formats(rows: DataFrame) -> DataFrame:
+    """(path, kind) by the first hundred lines of each file."""
+    head = F.array_sort(F.collect_list(F.struct("n", "value")))
+    return rows.filter("n < 100").groupBy("path").agg(detect_format(F.concat_ws("\n", F.transform(head, lambda r: r["value"]))).alias("kind"))
+
+
+def parsed(rows: DataFrame, kinds: DataFrame, day: str) -> DataFrame:
+    """Points of all files; a format that no file has is not looked for."""
+    readers = {"generic": generic, "sensys_r1": sensys_r1, "microinfinity": lambda r: microinfinity(r, day), "sensys_r3_raw": sensys_r3_raw, "sensys_r3_asc": sensys_r3_asc}
+    have = [r.kind for r in kinds.select("kind").distinct().orderBy("kind").collect()] or ["generic"]
+    rows = rows.join(F.broadcast(kinds), "path")
+    return reduce(DataFrame.unionByName, [readers[k](rows.filter(F.col("kind") == k).select("path", "n", "value")) for k in have])
 
 
 def number_points(df: DataFrame, index) -> DataFrame:
@@ -182,7 +195,7 @@ def hms_xyzf(rows: DataFrame, day: str) -> DataFrame:
 
 def load_base(spark: SparkSession, paths, day: str = "1970-01-01") -> DataFrame:
     """(timestamp, mag, date_assumed) of base-station files of any known format, one row a time (the first by path)."""
-    rows = text_rows(spark, paths)
+    rows = written(text_rows(spark, paths), "lines")
     kinds = rows.groupBy("path").agg(detect_base_format(F.min_by("value", "n")).alias("kind"))
     rows = rows.join(F.broadcast(kinds), "path")
     every = korean_ampm(rows.filter("kind = 'korean_ampm'")).unionByName(timestamp_mag(rows.filter("kind = 'timestamp_mag'"))).withColumn("date_assumed", F.lit(False)).unionByName(hms_xyzf(rows.filter("kind = 'hms_xyzf'"), day))
@@ -193,7 +206,11 @@ def load_base(spark: SparkSession, paths, day: str = "1970-01-01") -> DataFrame:
 def load_iaga(spark: SparkSession, paths) -> DataFrame:
     """(iaga_code, station_name, lat, lon, elevation_m, reported, timestamp, mag) of IAGA-2002 files. Values from 90,000 up are missing; mag is F, else the size
     of X, Y, Z, else of H, Z; longitudes over 180 are west."""
-    rows = text_rows(spark, paths)
+    return iaga(written(text_rows(spark, paths), "lines"))
+
+
+def iaga(rows: DataFrame) -> DataFrame:
+    """load_iaga's rows of text lines."""
     label = lambda name: F.max(F.when(F.substring("value", 2, 23).startswith(name), F.trim(F.substring("value", 25, 45))))
     head = rows.groupBy("path").agg(*[label(n).alias(a) for n, a in (("IAGA CODE", "iaga_code"), ("Station Name", "station_name"), ("Geodetic Latitude", "_lat"), ("Geodetic Longitude", "_lon"), ("Elevation", "_el"), ("Reported", "reported"))], F.max(F.when(F.col("value").startswith("DATE"), F.split(F.trim(F.regexp_replace("value", r"\|", " ")), r"\s+"))).alias("_names"))
     data = rows.filter(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2} ")).join(F.broadcast(head), "path").withColumn("_v", F.split(F.trim("value"), r"\s+"))

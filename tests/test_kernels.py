@@ -173,7 +173,7 @@ def test_lines_are_bridged_and_turns_left_out(spark):
     got = lines.detect_lines(df).toPandas().sort_values("t")
     assert set(got[got.line_id >= 0].line_id) == {0}
     assert (got[(got.t > 20) & (got.t < 380)].line_id == 0).all() and (got[got.t > 410].line_id == -1).all()
-    assert (got[got.t < 3].reason == "takeoff_landing_ramp").all()
+    assert (got[got.t < 3].reason == "takeoff_ramp").all()
 
 
 def test_components_of_a_long_path(spark):
