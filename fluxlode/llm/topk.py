@@ -21,7 +21,7 @@ from .store import written
 NONE = -(2.0**60)
 TILE = 1024
 #: From this share of open pairs of a tile on, they are resolved one by one.
-FEW_OPEN = 1 / 32
+FEW_OPEN = 1 / 8
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

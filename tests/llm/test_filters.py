@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from fluxlode.llm.decontaminate import MASKS, contaminated, decontaminate
+from fluxlode.llm.decontaminate import MASKS, SHORT, contaminated, decontaminate
 from fluxlode.llm.line_dedup import dedup_lines
 from fluxlode.llm.quality import Resampling, cutoff, gumbel, kth
 
@@ -53,24 +53,29 @@ def split(text):
 
 
 def brute_leaks(docs, items, window=20, share=0.8):
-    span, best = len(MASKS[0]), {}
+    """Every passage at every place, without masks."""
+    best = {}
     for d, text in docs:
         a = split(text)
         for t, itext in items:
             b = split(itext)
             need = min(len(b), window)
-            for p in range(len(a) - span + 1):
-                for j in range(len(b) - span + 1):
-                    if any(all(a[p + i] == b[j + i] for i, bit in enumerate(m) if bit == "1") for m in MASKS):
-                        left = min(p, j, window - span)
-                        right = min(len(a) - p - span, len(b) - j - span, window - span)
-                        same = [a[p + i] == b[j + i] for i in range(-left, span + right)]
-                        for s in range(len(same) - need + 1):
-                            if (m := sum(same[s : s + need])) >= np.ceil(need * share):
-                                best[d, t] = max(best.get((d, t), (0, 0)), (m, need))
+            for p in range(len(a) - need + 1 if need else 0):
+                for j in range(len(b) - need + 1):
+                    if (m := sum(a[p + i] == b[j + i] for i in range(need))) >= np.ceil(need * share):
+                        best[d, t] = max(best.get((d, t), (0, 0)), (m, need))
     return sorted((*k, *v) for k, v in best.items())
 
 
+def test_masks_see_every_pattern_of_substitutions():
+    from itertools import combinations
+
+    marks = [[i for i, bit in enumerate(m) if bit == "1"] for m in MASKS]
+    for n in range(SHORT, 21):
+        for gone in combinations(range(n), n - int(np.ceil(0.8 * n))):
+            assert any(not set(gone) & {o + i for i in m} for m in marks for o in range(n - len(MASKS[0]) + 1)), (n, gone)
+
+
 @pytest.mark.parametrize("rows", ["broadcast", "shuffle"])
 def test_decontamination_equals_brute_force(spark, docs_of, monkeypatch, rows):
     if rows == "shuffle":
