@@ -68,20 +68,59 @@ def sensitivity(mesh: DataFrame, observations: pd.DataFrame, cell: float, inclin
     return cells.mapInPandas(run, T.StructType([*cells.schema.fields, T.StructField("g", T.ArrayType(T.DoubleType()))]))
 
 
-def _summed(df: DataFrame, f, size: int) -> np.ndarray:
-    """Sum over partitions of an array f(frame) of `size` numbers."""
+def _summed(df: DataFrame, f, size: int, width: int = 1) -> np.ndarray:
+    """Sum over partitions of an array f(frame) of `size` rows of `width` numbers. A row of it is one row of the shuffle, and its sum one group."""
 
     def run(frames):
-        total = np.zeros(size)
+        total = np.zeros((size, width))
         for frame in frames:
-            total += f(frame).ravel()
-        yield pd.DataFrame({"i": [0], "v": [total]})
-
-    parts = df.mapInPandas(run, "i int, v array<double>")
-    flat = parts.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(size)
-    out[flat.k] = flat.v
-    return out
+            total += np.reshape(f(frame), (size, width))
+        yield pd.DataFrame({"k": np.arange(size), "v": list(total)})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "v": [np.sum(rows["v"].to_list(), axis=0)]})
+
+    parts = df.mapInPandas(run, "k int, v array<double>").groupBy("k").applyInPandas(add, "k int, v array<double>").toPandas()
+    out = np.zeros((size, width))
+    if len(parts):
+        out[parts["k"]] = np.stack(parts["v"].to_list())
+    return out if width > 1 else out[:, 0]
+
+
+def fitted_rms(gram: np.ndarray, data: np.ndarray, alphas) -> np.ndarray:
+    """Misfit of the damped solution at each damping, all from one decomposition of the small matrix."""
+    values, vectors = np.linalg.eigh(gram)
+    turned = vectors.T @ data
+    return np.array([np.sqrt(np.mean((a / (np.maximum(values, 0) + a) * turned) ** 2)) for a in alphas])
+
+
+def choose_strength(kernel: DataFrame, data: np.ndarray, target_rms: float, points: int = 13, low: float = 1e-3, high: float = 1e3, halvings: int = 20) -> tuple[float, dict]:
+    """(strength, report): the strongest damping whose misfit is at most target_rms, by a geometric scan and bisection between its two
+    neighbours. The kernel is read once; if even the weakest misses the target it is taken, and the report says so."""
+    cells, _, unit = _weighted(kernel)
+    gram = _summed(cells, lambda f: (lambda g: g.T @ (g / f["w"].to_numpy()[:, None] ** 2))(np.stack(f["g"].to_numpy())), len(data), len(data))
+    scan = np.geomspace(low, high, points)
+    rms = fitted_rms(gram, data, scan * unit)
+    fine = np.flatnonzero(rms <= target_rms)
+    report = {"strengths": scan.tolist(), "rms": rms.tolist(), "reached": bool(len(fine))}
+    if not len(fine):
+        return float(scan[0]), report
+    at = int(fine[-1])
+    if at == points - 1:
+        return float(scan[at]), report
+    a, b = np.log(scan[at]), np.log(scan[at + 1])
+    for _ in range(halvings):
+        middle = (a + b) / 2
+        a, b = (middle, b) if fitted_rms(gram, data, [np.exp(middle) * unit])[0] <= target_rms else (a, middle)
+    return float(np.exp(a)), report
+
+
+def _weighted(kernel: DataFrame) -> tuple[DataFrame, int, float]:
+    """(cells with depth weight w, their number, the damping of strength 1)."""
+    least = kernel.agg(F.min("thickness_m").alias("t")).first().t
+    weighted = kernel.withColumn("w", F.pow(F.greatest("depth_m", F.lit(0.0)) + least / 2, F.lit(-1.5)))
+    top = weighted.agg(F.max("w").alias("w"), F.count("*").alias("n"), F.sum(F.aggregate("g", F.lit(0.0), lambda s, x: s + x * x)).alias("t")).first()
+    return weighted.withColumn("w", F.col("w") / top.w), top.n, top.t / max(top.n, 1)
 
 
 def invert(kernel: DataFrame, data: np.ndarray, strength: float = 1.0, rounds: int = 5, most: float = 1.0, noise: float | None = None) -> tuple[DataFrame, dict]:
@@ -89,12 +128,9 @@ def invert(kernel: DataFrame, data: np.ndarray, strength: float = 1.0, rounds: i
     cells, solves it on the driver and sends the solution back. chi stays within 0..most. P = 1 / (depth weight^2 compactness)."""
     n = len(data)
     spark = kernel.sparkSession
-    least = kernel.agg(F.min("thickness_m").alias("t")).first().t
-    weighted = kernel.withColumn("w", F.pow(F.greatest("depth_m", F.lit(0.0)) + least / 2, F.lit(-1.5)))
-    top = weighted.agg(F.max("w").alias("w"), F.count("*").alias("n"), F.sum(F.aggregate("g", F.lit(0.0), lambda s, x: s + x * x)).alias("t")).first()
-    cells = weighted.withColumn("w", F.col("w") / top.w)
+    cells, _, unit = _weighted(kernel)
     plain = cells.drop("g", "w")
-    alpha = top.t / max(top.n, 1) * strength
+    alpha = unit * strength
     solved, eps, report = None, None, {}
     for step in range(rounds + 1):
         sent = spark.sparkContext.broadcast((solved, eps, alpha))
@@ -110,7 +146,7 @@ def invert(kernel: DataFrame, data: np.ndarray, strength: float = 1.0, rounds: i
                 p = 1 / (f["w"].to_numpy() ** 2 * np.clip(c * (e**2 if e else 1), 0.02, 1))
             return g, p, chi
 
-        gram = _summed(cells, lambda f: (lambda g, p, _: g.T @ (g * p[:, None]))(*model(f)), n * n).reshape(n, n)
+        gram = _summed(cells, lambda f: (lambda g, p, _: g.T @ (g * p[:, None]))(*model(f)), n, n)
         lam = np.linalg.solve(gram + alpha * np.eye(n), data)
         past = [*(solved or []), (lam, eps)]
         probe = spark.sparkContext.broadcast((past, eps, alpha))
@@ -197,3 +233,40 @@ def upsample(model: DataFrame, factor: int) -> DataFrame:
     sent = sent.withColumn("w", weight)
     keys = [f"{p}_{a}" for p in "bf" for a in axes]
     return sent.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("x", "y", "z", "chi")]).filter("n = 8").select("x", "y", "z", "chi")
+
+
+def resolution_advice(cell: float, spacing: float | None, nx: int, ny: int, depth_share: dict[int, float] | None = None, least: float = 0.05) -> list[str]:
+    """What a reader of the model should know: cells coarser than the lines, and layers that the data hardly constrain."""
+    out = []
+    if spacing and cell > 1.15 * spacing:
+        out.append(f"cells of {cell:.0f} m are coarser than the line spacing of {spacing:.0f} m ({nx} x {ny} observations)")
+    poor = sorted(k for k, v in (depth_share or {}).items() if v < least)
+    if poor:
+        out.append(f"{len(poor)} layers (from layer {poor[0]}) have less than {least:.0%} of the uppermost layer's sensitivity")
+    return out
+
+
+MOST_OBSERVATIONS = 3000
+
+
+def run_inversion(points: DataFrame, value: str, cell: float, height: float, depth: float, layers: int, inclination: float, declination: float, intensity: float, target_rms: float | None = None, strength: float = 1.0, rounds: int = 5, spacing: float | None = None) -> tuple[DataFrame, dict]:
+    """(cells with chi, report): points (x, y, value) are boxed to observations, a mesh is laid below them, and the kernel, written once, is inverted.
+
+    height: of the flight above the ground. target_rms: the damping is chosen for that misfit, else `strength` is taken. At most
+    MOST_OBSERVATIONS nodes are taken, since the small matrix has their number squared; a finer cell than that is refused."""
+    from ..shared import written
+    from .gridding import boxing, lattice
+
+    x0, y0, nx, ny = lattice(points, cell)
+    boxed = boxing(points, value, x0, y0, cell).withColumn("x", x0 + F.col("col") * cell).withColumn("y", y0 + F.col("row") * cell)
+    if (count := boxed.count()) > MOST_OBSERVATIONS:
+        raise ValueError(f"{count} observations; choose cells of {cell * (count / MOST_OBSERVATIONS) ** 0.5:.0f} m or more")
+    seen = boxed.select("x", "y", F.lit(float(height)).alias("z"), "value").orderBy("y", "x").toPandas()
+    mesh = build_mesh(boxed.select("row", "col", "x", "y", F.lit(0.0).alias("ground")), cell, depth, layers)
+    kernel = written(sensitivity(mesh, seen, cell, inclination, declination, intensity), "kernel")
+    data = seen["value"].to_numpy() - float(np.median(seen["value"]))
+    report: dict = {"observations": count, "nx": nx, "ny": ny}
+    if target_rms is not None:
+        strength, report["scan"] = choose_strength(kernel, data, target_rms)
+    model, fit = invert(kernel, data, strength, rounds)
+    return model, report | fit | {"strength": strength, "advice": resolution_advice(cell, spacing, nx, ny)}

@@ -114,3 +114,26 @@ def test_base_processing_can_leave_out_steps(spark):
     whole = series.process_base(df, "v", ["k"], ["i"], 11, 5, trim=False, spikes=False).count()
     clean = series.process_base(df, "v", ["k"], ["i"], 11, 5, trim=False)
     assert whole == clean.count() == 100 and clean.agg(F.max("v")).first()[0] < 101
+
+
+def test_inversion_chooses_its_damping_and_finds_the_block(spark):
+    import numpy as np
+    import pandas as pd
+
+    from fluxlode.operators import inversion
+
+    columns = spark.createDataFrame([(r, c, c * 20.0, r * 20.0, 0.0) for r in range(9) for c in range(9)], "row int, col int, x double, y double, ground double")
+    mesh = inversion.build_mesh(columns, 20.0, 100.0, 4)
+    obs = pd.DataFrame([(x * 20.0, y * 20.0, 30.0) for x in range(9) for y in range(9)], columns=["x", "y", "z"])
+    kernel = inversion.sensitivity(mesh, obs, 20.0, 55.0, -8.0, 50000.0).persist()
+    block = kernel.filter("layer = 1 and row between 3 and 5 and col between 3 and 5").toPandas()
+    data = 0.05 * np.stack(block["g"].to_numpy()).sum(0)
+    strength, scan = inversion.choose_strength(kernel, data, 2.0)
+    assert scan["reached"] and all(a <= b + 1e-9 for a, b in zip(scan["rms"], scan["rms"][1:]))
+    assert strength < 1e3 and not inversion.choose_strength(kernel, data, 1e-9)[1]["reached"]
+    points = spark.createDataFrame([(float(a), float(b), float(v)) for a, b, v in zip(obs.x, obs.y, data)], "x double, y double, value double")
+    model, report = inversion.run_inversion(points, "value", 20.0, 30.0, 100.0, 4, 55.0, -8.0, 50000.0, target_rms=2.0, spacing=10.0)
+    top = model.toPandas().nlargest(9, "chi")
+    assert report["observations"] == 81 and abs(top.x.mean() - 80) < 25 and abs(top.y.mean() - 80) < 25
+    assert len(report["advice"]) == 1
+    kernel.unpersist()
