@@ -7,8 +7,9 @@
    and streams the runs' windows through backward search: a window whose matching statistic reaches `window` occurs again,
    and its interval in the index names what it equals. Words confirm that, all but the first are reported, and neighbouring
    ones are one interval of a document. A run that a task has seen before goes without its words.
-4. An anchor of very many documents is dealt by whole windows. Of equal ones only the first, found by a minimum that is
-   combined before the shuffle, goes to a shard; the others are late. So no task gathers a hot passage.
+4. An anchor of very many documents is dealt by whole windows. Those that a task has seen before are late; of the others
+   only the first of equal ones, found by a minimum that is combined before the shuffle, goes to a shard. So no task
+   gathers a hot passage, and what the tasks have settled meets no other rows.
 """
 
 from __future__ import annotations
@@ -107,10 +108,16 @@ def _segments(window: int, gram: int):
                         later[n] = True
                     else:
                         seen[c] = place
-                kept = np.where(later, 0, size)
+                kept, upto, is_hot = np.where(later, 0, size), np.where(later, start + size, 0), hot[first]
+                # hot windows that come again one after another are one interval
+                gone = later & is_hot
+                goes_on = np.r_[False, gone[1:] & gone[:-1] & (np.diff(begin) == 1) & (np.diff(row[first]) == 0)]
+                heads = np.flatnonzero(~goes_on)
+                upto = np.maximum.reduceat(upto, heads)
                 values = w.hash[index[np.repeat(~later, size)]].view(np.int64)
-                values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(hot[first]), pa.array(ids), pa.array(own), pa.array(start), pa.array(np.where(later, start + size, 0)), values], schema=schema)
+                values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept[heads])], pa.int32()), pa.array(values))
+                columns = [pa.array(x[heads]) for x in (key, content, is_hot, ids, own, start)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(upto), values], schema=schema)
 
     return run
 
@@ -209,10 +216,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     late = None
     if often.filter("hot").head(1):
         near = written(near, "segments")
-        place = F.struct("doc_id", "own", "start")
-        least = written(near.filter("hot").groupBy("key", "content").agg(F.min(F.struct("doc_id", "own", "start", "w")).alias("x")), "hot-firsts")
-        after = near.filter("hot").select("key", "content", place.alias("place")).join(least.select("key", "content", F.struct("x.doc_id", "x.own", "x.start").alias("lead")), ["key", "content"])
+        place, again = F.struct("doc_id", "own", "start"), near.filter("hot and upto > 0")  # which its own task has seen before
+        first = near.filter("hot and upto = 0")
+        least = written(first.groupBy("key", "content").agg(F.min(F.struct("doc_id", "own", "start", "w")).alias("x")), "hot-firsts")
+        after = first.select("key", "content", place.alias("place")).join(least.select("key", "content", F.struct("x.doc_id", "x.own", "x.start").alias("lead")), ["key", "content"])
         late = after.filter("place > lead").select("place.doc_id", "place.own", F.col("place.start").alias("from"), (F.col("place.start") + window).alias("upto"))
+        late = late.unionByName(again.select("doc_id", "own", F.col("start").alias("from"), "upto"))
         near = near.filter("not hot").select("key", "doc_id", "own", "start", "upto", "w").unionByName(least.select("key", "x.doc_id", "x.own", "x.start", F.lit(0).cast("long").alias("upto"), "x.w"))
     near = near.select("key", "doc_id", "own", "start", "upto", "w").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     found = near.groupBy("shard").applyInPandas(_shard(window), "doc_id long, own long, from long, upto long")
