@@ -299,3 +299,30 @@ def crossover_lines(cross: DataFrame, ties: DataFrame, least: int = 3) -> DataFr
     g = c.groupBy("line_id").agg(F.count("*").alias("n"), F.regr_slope("_d", "s").alias("_b"), F.regr_intercept("_d", "s").alias("_a"), F.median("_d").alias("_m"))
     fine = (F.col("n") >= least) & F.col("_b").isNotNull()
     return g.select("line_id", F.when(fine, F.col("_a")).otherwise(F.col("_m")).alias("shift"), F.when(fine, F.col("_b")).otherwise(0.0).alias("slope"))
+
+
+def run_repeatability(df: DataFrame, value: str, azimuth: float, step: float, across_m: float, angle_deg: float = 10.0) -> DataFrame:
+    """Passes of the same line found and compared: repeat_deviation's figures per group with the number of its passes, groups of one left out."""
+    from ..shared import written
+
+    groups = written(pass_groups(line_passes(df, value), across_m, angle_deg), "groups")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n_passes")).filter("n_passes > 1")
+    return repeat_deviation(df, value, groups.join(sizes, "grp", "left_semi"), azimuth, step).join(sizes, "grp")
+
+
+def heading_calibration(uploaded: DataFrame | None, turns: DataFrame | None, most_nt: float = 3.0, least: int = 30):
+    """(map, report): the heading map of the uploaded calibration, else of the survey's own turns, if what cross-validation leaves is at most most_nt.
+
+    Both are tables (theta, phi, deviation) of one calibration flight or one survey's turns, which are fitted on the driver."""
+    from .surfaces import HeadingMap, cross_validate
+
+    for source, table in (("uploaded", uploaded), ("turns", turns)):
+        if table is None:
+            continue
+        rows = table.select("theta", "phi", "deviation").toPandas()
+        if len(rows) < least:
+            continue
+        left, _ = cross_validate(rows.theta, rows.phi, rows.deviation)
+        report = {"source": source, "n": len(rows), "left_nt": left, "applied": left <= most_nt}
+        return (HeadingMap(rows.theta.to_numpy(), rows.phi.to_numpy(), rows.deviation.to_numpy(), least) if left <= most_nt else None), report
+    return None, {"source": None, "applied": False}

@@ -227,3 +227,24 @@ def mask_margin(marked: DataFrame) -> DataFrame:
     """edge_margin's grid without the cells in the margin, unless that would leave none."""
     left = marked.agg(F.max((F.col("value").isNotNull() & ~F.col("in_margin")).cast("int")).alias("_any"))
     return marked.crossJoin(F.broadcast(left)).withColumn("value", F.when((F.col("_any") == 1) & F.col("in_margin"), None).otherwise(F.col("value"))).drop("_any")
+
+
+def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, step: float) -> DataFrame:
+    """points with `sampled`, between the four nodes around each; null where a node that counts is missing or has no value. Each
+    point goes to its own corners, so it is an equi-join."""
+    fx, fy = (F.col("x") - x0) / step, (F.col("y") - y0) / step
+    c, r = F.floor(fx), F.floor(fy)
+    corner = lambda i, j: F.struct((r + i).cast("int").alias("row"), (c + j).cast("int").alias("col"), ((F.lit(1 - i) + (2 * i - 1) * (fy - r)) * (F.lit(1 - j) + (2 * j - 1) * (fx - c))).alias("_w"))
+    at = points.select("point_id", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("k")).select("point_id", "k.*").filter("_w > 0")
+    got = at.join(grid.filter(F.col("value").isNotNull()).select("row", "col", "value"), ["row", "col"], "left")
+    sums = got.groupBy("point_id").agg(F.sum(F.col("_w") * F.col("value")).alias("_s"), F.max(F.col("value").isNull()).alias("_gap"))
+    return points.join(sums, "point_id", "left").withColumn("sampled", F.when(~F.col("_gap"), F.col("_s"))).drop("_s", "_gap")
+
+
+def near_structures(cells: DataFrame, paths: DataFrame, building_m: float = 15.0, road_m: float = 10.0) -> DataFrame:
+    """cells (cell_id, x, y) with `structure`: within the buffer of a path's segments, by its kind. paths: (kind, ax, ay, bx, by), a row
+    a segment; kind is building or road."""
+    out = cells
+    for kind, buffer in (("building", building_m), ("road", road_m)):
+        out = near_segments(out, "cell_id", paths.filter(F.col("kind") == kind).select("ax", "ay", "bx", "by"), buffer).withColumnRenamed("near", f"_{kind}")
+    return out.withColumn("structure", F.when(F.col("_building"), "building").when(F.col("_road"), "road")).drop("_building", "_road")

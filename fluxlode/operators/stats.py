@@ -70,3 +70,24 @@ def certificate(figures: dict[str, float | None]) -> dict:
         verdicts[name] = "not_evaluated" if v is None else "pass" if v <= most else "fail"
     seen = set(verdicts.values())
     return {"criteria": verdicts, "overall": "fail" if "fail" in seen else "pass" if "pass" in seen else "not_evaluated"}
+
+
+LEAST_KNOWN = 400
+
+
+def continuation_report(grid: DataFrame) -> DataFrame:
+    """One row: whether gaps of a grid (all cells of a rectangle) can be filled by a source layer, and how many there are."""
+    known, every = F.count("value"), F.count("*")
+    out = grid.agg(known.alias("n_known"), (every - known).alias("n_gaps"), (100.0 * (every - known) / every).alias("gap_pct"))
+    reason = F.when(F.col("n_known") < LEAST_KNOWN, "too few known cells").when(F.col("n_gaps") == 0, "no gaps")
+    return out.withColumn("reason", reason).withColumn("applicable", F.col("reason").isNull())
+
+
+def latitude_warning(inclination: float, least: float = 30.0) -> str | None:
+    """Reduction to the pole stretches noise along the declination where the field is flat."""
+    return f"the field's inclination is {inclination:.0f} degrees; below {least:.0f} reduce to the equator" if abs(inclination) < least else None
+
+
+def places(found: DataFrame, lat, lon) -> DataFrame:
+    """extrema's rows with their place in degrees."""
+    return found.withColumn("lat", lat).withColumn("lon", lon)

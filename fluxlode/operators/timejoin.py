@@ -161,3 +161,16 @@ def with_neighbour_days(series: DataFrame, dates: DataFrame, good: float = 0.5)
     rank = F.row_number().over(Window.partitionBy("day").orderBy(F.when(own >= good, F.abs("off")).otherwise(0), F.desc_nulls_last("coverage"), F.abs("off"), "off"))
     chosen = near.withColumn("_r", rank).filter("_r = 1").select("day", "_day", (F.col("off") != 0).alias("substitute"))
     return rows.join(F.broadcast(chosen), "_day").select("day", (F.col("t") + (F.col("day") - F.col("_day")) * 86400).alias("t"), "mag", "substitute")
+
+
+
+def preview_series(series: DataFrame) -> DataFrame:
+    """A row per station of what its series holds: minutes, span, range and the share of its days' minutes."""
+    m = series.withColumn("_minute", F.floor(F.col("t") / 60)).withColumn("_day", F.floor(F.col("t") / 86400))
+    got = m.groupBy("iaga_code").agg(F.count("*").alias("n"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.min("mag").alias("mag_min"), F.max("mag").alias("mag_max"), F.count_distinct("_minute").alias("_m"), F.count_distinct("_day").alias("n_days"))
+    return got.withColumn("coverage", F.col("_m") / (1440.0 * F.col("n_days"))).drop("_m")
+
+
+def substitute_base(series: DataFrame, code: str) -> DataFrame:
+    """One station's series as a base: (t, mag), a row a time."""
+    return series.filter(F.col("iaga_code") == code).groupBy("t").agg(F.min("mag").alias("mag"))

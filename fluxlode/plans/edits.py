@@ -360,3 +360,57 @@ def polygon_flags(spark, d):
 def cell_advice(spark, d):
     s = view(spark, d, "survey").select("point_id", (F.col("mag_raw") % 60 + 1).alias("gap"), (F.col("mag_raw") % 13 + 1).alias("cell"))
     return s.select("point_id", gridding.auto_radius_of(F.col("cell"), F.col("gap")).alias("radius"))
+
+
+@query("a_bilinear", ctes("survey", "grid") + f""", a AS (SELECT point_id, mag_raw % 170 / 10 AS fx, abs(y) % 170 / 10 AS fy FROM survey), k AS (SELECT point_id, CAST(floor(fy) AS INT) + i AS row, CAST(floor(fx) AS INT) + j AS col,
+  (CASE WHEN i = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN j = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS w FROM a, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT point_id, CASE WHEN count(*) = count(value) THEN {q6("sum(w * value)")} END AS sampled FROM k LEFT JOIN grid USING (row, col) WHERE w > 0 GROUP BY point_id""")
+def bilinear(spark, d):
+    p = view(spark, d, "survey").select("point_id", (F.col("mag_raw") % 170).alias("x"), (F.abs("y") % 170).alias("y"))
+    return spatial.bilinear(p, view(spark, d, "grid"), 0.0, 0.0, 10.0).select("point_id", r6("sampled").alias("sampled"))
+
+
+@query("h_structures", ctes("survey") + f" SELECT point_id AS cell_id, CASE WHEN {_segment_sql(*SEGMENTS[0])} OR {_segment_sql(*SEGMENTS[2])} THEN 'building' WHEN {_segment_sql(*SEGMENTS[1]).replace('<= 35', '<= 20')} THEN 'road' END AS structure FROM survey")
+def structures(spark, d):
+    paths = spark.createDataFrame([("building", *SEGMENTS[0]), ("road", *SEGMENTS[1]), ("building", *SEGMENTS[2])], "kind string, ax double, ay double, bx double, by double")
+    return spatial.near_structures(view(spark, d, "survey").select(F.col("point_id").alias("cell_id"), "x", "y"), paths, 35.0, 20.0).select("cell_id", "structure")
+
+
+@query("j_continuation_report", ctes("grid") + f" SELECT count(*) FILTER (row % 3 > 0) AS n_known, count(*) FILTER (row % 3 = 0) AS n_gaps, {q6('100.0::DOUBLE * count(*) FILTER (row % 3 = 0) / count(*)')} AS gap_pct, CASE WHEN count(*) FILTER (row % 3 > 0) < 400 THEN 'too few known cells' WHEN count(*) FILTER (row % 3 = 0) = 0 THEN 'no gaps' END AS reason, count(*) FILTER (row % 3 > 0) >= 400 AND count(*) FILTER (row % 3 = 0) > 0 AS applicable FROM grid")
+def continuation(spark, d):
+    g = view(spark, d, "grid").withColumn("value", F.when(F.col("row") % 3 > 0, F.col("value")))
+    return stats.continuation_report(g).withColumn("gap_pct", r6("gap_pct"))
+
+
+@query("f_preview_series", ctes("observed") + f" SELECT iaga_code, count(*) AS n, min(t) AS t_start, max(t) AS t_end, min(mag) AS mag_min, max(mag) AS mag_max, count(DISTINCT floor(t / 86400)) AS n_days, {q6('count(DISTINCT floor(t / 60)) / (1440.0::DOUBLE * count(DISTINCT floor(t / 86400)))')} AS coverage FROM observed GROUP BY iaga_code")
+def preview(spark, d):
+    return timejoin.preview_series(view(spark, d, "observed")).withColumn("coverage", r6("coverage"))
+
+
+@query("f_substitute_base", ctes("observed") + " SELECT t, min(mag) AS mag FROM observed WHERE iaga_code = (SELECT min(iaga_code) FROM observed) GROUP BY t")
+def substitute(spark, d):
+    o = view(spark, d, "observed")
+    return timejoin.substitute_base(o, o.agg(F.min("iaga_code")).first()[0])
+
+
+@query("g_run_repeatability", ctes("survey") + f""", w AS (SELECT line_id, CAST(sign(arg_max(y2, (t, point_id)) - arg_min(y2, (t, point_id))) AS INT) AS dir FROM (SELECT *, CASE WHEN line_id % 2 = 0 THEN s * 5.0::DOUBLE ELSE (500 - s) * 5.0::DOUBLE END AS y2 FROM survey) GROUP BY 1),
+b AS (SELECT line_id // 4 * 4 AS grp, line_id, dir, CAST(floor((x * cos(radians(90)) + (CASE WHEN line_id % 2 = 0 THEN s * 5.0::DOUBLE ELSE (500 - s) * 5.0::DOUBLE END) * sin(radians(90))) / 40) AS BIGINT) AS bin, avg(mag_raw) AS v FROM survey JOIN w USING (line_id) GROUP BY 1, 2, 3, 4), m AS (SELECT *, v - avg(v) OVER p AS d, count(*) OVER p AS n FROM b WINDOW p AS (PARTITION BY grp, dir, bin)),
+s AS (SELECT grp, stddev_pop(d) AS sigma, count(*) AS n FROM m WHERE n > 1 GROUP BY grp), h AS (SELECT grp, bin, avg(v) FILTER (dir > 0) AS f, avg(v) FILTER (dir < 0) AS r FROM b GROUP BY 1, 2), e AS (SELECT grp, avg(abs(f - r)) AS heading_error FROM h WHERE f IS NOT NULL AND r IS NOT NULL GROUP BY grp)
+SELECT grp, {q6("sigma")} AS sigma, n, {q6("heading_error")} AS heading_error, 4 AS n_passes FROM s FULL JOIN e USING (grp)""")
+def run_repeatability(spark, d):
+    """Four passes each of ten lines, 200 m apart, flown to and fro."""
+    s = view(spark, d, "survey").withColumn("y", F.when(F.col("line_id") % 2 == 0, F.col("s") * 5.0).otherwise((500 - F.col("s")) * 5.0)).withColumn("x", F.floor(F.col("line_id") / 4) * 200.0)
+    got = leveling.run_repeatability(s, "mag_raw", 90.0, 40.0, 60.0)
+    return got.select("grp", r6("sigma").alias("sigma"), "n", r6("heading_error").alias("heading_error"), F.col("n_passes").cast("int").alias("n_passes"))
+
+
+@query("l_extrema_places", ctes("grid") + """, p AS (SELECT *, 36 + northing / 100000 AS lat, 127 + easting / 100000 AS lon FROM grid) (SELECT 'max' AS kind, lat, lon, round(value, 6) + 0.0::DOUBLE AS value FROM p ORDER BY p.value DESC, row, col LIMIT 1) UNION ALL (SELECT 'min', lat, lon, round(value, 6) + 0.0::DOUBLE FROM p ORDER BY p.value, row, col LIMIT 1)""")
+def extrema_places(spark, d):
+    got = stats.places(stats.extrema(view(spark, d, "grid")), 36 + F.col("northing") / 100000, 127 + F.col("easting") / 100000)
+    return got.select("kind", "lat", "lon", r6("value").alias("value"))
+
+
+@query("k_score_overlay", ctes("grid") + f", s AS (SELECT 1 / (1 + exp(-(value - 55))) AS v FROM grid) SELECT count(*) AS n_cells, {q6('min(v)')} AS min, {q6('max(v)')} AS max, {q6('avg(v)')} AS mean FROM s")
+def score_overlay(spark, d):
+    g = view(spark, d, "grid").withColumn("value", 1 / (1 + F.exp(-(F.col("value") - 55))))
+    return stats.grid_overlay(g).select("n_cells", r6("min").alias("min"), r6("max").alias("max"), r6("mean").alias("mean"))

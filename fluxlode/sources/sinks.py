@@ -141,3 +141,41 @@ def report_markdown(sections: dict[str, dict]) -> str:
         out.append(f"\n## {title}\n")
         out += [f"- {k}: {v:.3f}" if isinstance(v, float) else f"- {k}: {v}" for k, v in figures.items()] or ["- not evaluated"]
     return "\n".join(out) + "\n"
+
+
+def coloured(values: np.ndarray, anchors: list[tuple[int, int, int]], low: float | None = None, high: float | None = None, shade: bool = False, azimuth: float = 315.0, altitude: float = 45.0, cell: float = 1.0, exaggeration: float = 3.0) -> np.ndarray:
+    """(ny, nx, 4) bytes of a grid on a bar of evenly spaced anchor colours, clear where there is no data; shaded by its slopes if wanted."""
+    known = np.isfinite(values)
+    low = float(np.nanmin(values)) if low is None and known.any() else (low or 0.0)
+    high = float(np.nanmax(values)) if high is None and known.any() else (high or 1.0)
+    at = np.clip((np.where(known, values, low) - low) / ((high - low) or 1.0), 0, 1)
+    places = np.linspace(0, 1, len(anchors))
+    rgb = np.stack([np.interp(at, places, [a[c] for a in anchors]) for c in range(3)], -1)
+    if shade:
+        north, east = np.gradient(np.where(known, values, np.nanmean(values) if known.any() else 0.0) * exaggeration, cell)
+        slope, facing = np.arctan(np.hypot(north, east)), np.arctan2(-east, -north)
+        light = np.sin(np.radians(altitude)) * np.cos(slope) + np.cos(np.radians(altitude)) * np.sin(slope) * np.cos(np.radians(azimuth) - facing)
+        rgb = rgb * (0.4 + 0.6 * np.clip(light, 0, 1))[..., None]
+    return np.dstack([np.round(rgb), np.where(known, 255, 0)]).astype(np.uint8)
+
+
+def png(rgba: np.ndarray) -> bytes:
+    """An image, first row at the bottom as in a grid."""
+    import zlib
+
+    ny, nx, _ = rgba.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.hstack([np.zeros((ny, 1), np.uint8), rgba[::-1].reshape(ny, nx * 4)]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", nx, ny, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def geotiff_coloured(rgba: np.ndarray, x0: float, y0: float, cell: float, epsg: int) -> bytes:
+    """Four-band byte GeoTIFF of `coloured`, north up; nodes are pixel centres; the fourth band is opacity."""
+    ny, nx, _ = rgba.shape
+    blobs, at, body = {}, 8, b""
+    keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)
+    tie = struct.pack("<6d", 0, 0, 0, x0 - cell / 2, y0 + cell * (ny - 0.5), 0)
+    for name, blob in (("bits", struct.pack("<4H", 8, 8, 8, 8)), ("scale", struct.pack("<3d", cell, cell, 0)), ("tie", tie), ("keys", keys), ("data", rgba[::-1].tobytes())):
+        blobs[name], at, body = at, at + len(blob), body + blob
+    tags = [(256, 4, 1, nx), (257, 4, 1, ny), (258, 3, 4, blobs["bits"]), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, 1, blobs["data"]), (277, 3, 1, 4), (278, 4, 1, ny), (279, 4, 1, nx * ny * 4), (284, 3, 1, 1), (338, 3, 1, 2), (33550, 12, 3, blobs["scale"]), (33922, 12, 6, blobs["tie"]), (34735, 3, 16, blobs["keys"])]
+    return struct.pack("<2sHI", b"II", 42, at) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
