@@ -187,3 +187,36 @@ def test_short_items_are_found_with_every_pattern_of_changes(spark, docs_of):
 def test_cutoff_counts_every_labelled_document():
     good, weight, times = np.array([0, 0, 1, 1]), np.array([-1.0, 0.0, 0.0, 1.0]), np.array([1, 10, 1, 10])
     assert cutoff(good, weight, times) == 0.5 == cutoff(np.repeat(good, times), np.repeat(weight, times))
+
+
+def test_weights_of_the_querys_own_settings_equal_a_plain_computation(spark, docs_of):
+    """The zone, the prior, words cut at marks and words' first bytes, as op2_quality uses them."""
+    rng = np.random.default_rng(3)
+    good_words, bad_words = ["Wonderful,", "evening", "sailing;boats", "harbour", "quiet"], ["cheapest!!!", "pills", "clickhere", "Casino.", "winner"]
+    rows = [(i, " ".join(rng.choice(good_words if i % 2 else bad_words, 60)) + (" spam spam spam" if i % 5 == 0 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    fit = Resampling(docs_of(rows), labels)
+
+    def grams(text):
+        words_ = re.findall(r"[a-z]+|[^a-z\s]+", text.lower())
+        out = Counter(("w", w) for w in words_)
+        for n in (4, 5):
+            out += Counter((n, w[:n]) for w in words_ if len(w) >= n)
+        return out + Counter({"thrice": sum(a == b == c for a, b, c in zip(words_, words_[1:], words_[2:]))})
+
+    own = {i: grams(x) for i, x in rows}
+    raw, good = sum(own.values(), Counter()), sum((own[i] for i in range(60) if i % 2), Counter())
+    n, g, prior, zone = sum(raw.values()), sum(good.values()), 5.0, 1.4
+    ratio = sorted((np.log((good[w] + prior) / (raw[w] * g / n + prior)), good[w]) for w in raw)
+    mass = np.cumsum([c for _, c in ratio])
+    centre = ratio[int(np.searchsorted(mass, mass[-1] / 2))][0]
+    got = {r.doc_id: r.log_weight for r in fit.scores.collect()}
+    for i, c in own.items():
+        known, size = i < 60 and i % 2 == 1, sum(c.values())
+        share, expected = (g - size * known) / (n - size), 0.0
+        for w, times in c.items():
+            r = np.log((good[w] - times * known + prior) / ((raw[w] - times) * share + prior)) - centre
+            expected += times * np.sign(r) * max(abs(r) - zone, 0)
+        assert got[i] == pytest.approx(expected, abs=1e-6)
+    kept = {r.doc_id for r in fit.selected().collect()}
+    assert all((i in kept) == (i % 2 == 1) for i, _ in rows)

@@ -100,3 +100,32 @@ def test_held_out_accuracy_and_edges(spark, docs_of):
     plain = df.withColumn("lang", df.lang.substr(9, 1)).filter("false")
     assert identify_languages(plain, PATH).collect() == []
     assert {r.lang_pred for r in identify_languages(df.filter("lang is null"), PATH).collect()} == {"und"}
+
+
+def test_predictions_equal_a_plain_fit(spark):
+    """The query's own settings: two rounds of expectation maximisation over all learned documents, then the forward sums."""
+    vocab = vocabulary(PATH)
+    pieces = {p: i for i, p in enumerate(vocab.pieces)}
+    kinds = {"aa": ["the", "Nation"], "bb": ["der", "nicht"]}
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(kinds[x], 6)), x) for i, x in zip(range(24), list(kinds) * 12)]
+    learn = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 5]
+    prob = np.full((len(pieces), 2), 1 / len(pieces))
+    cut = lambda t: [b" " + w.lower().encode() for w in t.split()]
+    for _ in range(2):
+        count = np.zeros_like(prob)
+        for text, lang in learn:
+            k = list(kinds).index(lang)
+            for w in cut(text):
+                ways = list(segmentations(w, pieces))
+                weight = np.array([np.prod(prob[list(x), k]) for x in ways])
+                for x, share in zip(ways, weight / weight.sum()):
+                    for i in x:
+                        count[i, k] += share
+        prob = count + 20 * (count / count.sum(0)).mean(1, keepdims=True) + 0.01
+        prob /= prob.sum(0)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in identify_languages(df, PATH).collect():
+        total = np.array([sum(plain_forward(w, pieces, prob[:, k], vocab.longest) for w in cut(rows[r.doc_id][1])) for k in range(2)])
+        assert r.lang_pred == list(kinds)[int(total.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-6)

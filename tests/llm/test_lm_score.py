@@ -109,3 +109,50 @@ def test_bands_hold_every_word_once():
     assert len(lexicon.band_counts) > 3 and np.all(share[20:-1] == lexicon.band_counts + lexicon.band_sizes)
     assert share[-1] + 100 == lexicon.other_count + lexicon.other_size
     assert lexicon.look_up(np.array([5], np.uint64))[2] == lexicon.last
+
+
+def test_score_is_class_times_word_times_share(spark, docs_of, monkeypatch):
+    """Each token by its own formula, with the gates written out, for a model whose weights are given."""
+    from fluxlode.llm import lm_score
+
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 25) % 60)) for i in range(60)] + [(500, "never seen w1"), (501, None)]
+    given = {}
+
+    def frozen(train, lexicon, *_):
+        model = lexicon.value.model()
+        noise = np.random.default_rng(2)
+        for k in ("x", "u", "c", "w"):
+            model.p[k] = (model.p[k] + noise.normal(size=model.p[k].shape) * 0.3).astype(np.float32)
+        given.update(model=model, lexicon=lexicon.value)
+        return model, 0
+
+    monkeypatch.setattr(lm_score, "fitted", frozen)
+    got = {r.doc_id: r.score for r in score_documents(docs_of(rows), head=12).collect()}
+    model, lex = given["model"], given["lexicon"]
+    p, n, bounds = {k: v.astype(float) for k, v in model.p.items()}, model.hidden, model.bounds
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["</end>"]
+    train = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
+    sizes = {}
+    for w, c in train.items():
+        number = int(lex.look_up(tokens(pa.array([w if w != "</end>" else ""]))[0][:1])[2][0])
+        sizes.setdefault(number, []).append(c + 1)
+    for i, t in rows:
+        token = tokens(pa.array([t]))[0]
+        number, h, total, before = lex.look_up(token)[2], np.zeros(n), 0.0, int(bounds[-1]) + 1
+        for w, y in zip(split(t), number):
+            a, g = p["x"][before], h @ p["u"]
+            z, r = sigmoid(a[:n] + g[:n]), sigmoid(a[n : 2 * n] + g[n : 2 * n])
+            c = np.tanh(a[2 * n :] + r * g[2 * n :])
+            h = (1 - z) * c + z * h
+            k = int(model.word_class[y])
+            total += math.log10(soft(h @ p["c"] + p["cb"])[k])
+            if k < len(bounds) - 1:
+                lo, hi = bounds[k], bounds[k + 1]
+                total += math.log10(soft(p["w"][lo:hi] @ h + p["wb"][lo:hi])[y - lo])
+            if y >= lex.head:
+                total += math.log10((train[w] + 1) / (sum(sizes.get(int(y), [])) + (1 if y == lex.last else 0)))
+            before = int(y)
+        assert got[i] == pytest.approx(total, abs=2e-3), i

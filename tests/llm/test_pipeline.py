@@ -38,3 +38,32 @@ def test_near_duplicates_equal_brute_force(spark, docs_of):
                 label = {k: new if v == old else v for k, v in label.items()}
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), DIR).collect()}
     assert got == set(label.values())
+
+
+def test_stages_keep_clashing_and_missing_columns(spark):
+    """Columns named as inner ones stay as they are, and n_chars may be missing."""
+    line = "A shared notice line with enough words to go 12"
+    rows = [(i, f"own text {i} of this document here\n{line}", "own", 7, "x") for i in range(6)] + [(50, None, "own", 7, "x"), (51, "", "own", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, gone_lines int, labelled_good string")
+    got = corpus_pipeline.line_dedup(spark, docs, DIR)
+    assert got.schema == docs.schema
+    out = {r.doc_id: r for r in got.collect()}
+    assert all((r.n_lines, r.gone_lines, r.labelled_good) == ("own", 7, "x") for r in out.values())
+    assert [line in (out[i].text or "") for i in range(6)] == [True] + [False] * 5 and out[50].text is None
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.line_dedup):
+        assert stage(spark, docs.limit(0), DIR).collect() == []
+    assert corpus_pipeline.packing(spark, docs, DIR).count() == len(rows)
+
+
+def test_line_dedup_stage_counts_characters(spark, docs_of):
+    line = "Another shared notice line with enough words 5"
+    docs = docs_of([(i, f"own words {i} stand here too\n{line}") for i in range(6)] + [(9, "short"), (10, None)])
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, DIR).collect()}
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in got.values())
+
+
+def test_rows_that_repeat_a_document_leave_one(spark, docs_of):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (3, ""), (3, ""), (None, "a b c d e f g"), (4, None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), DIR).collect()]
+    assert got.count((1, "a b c d e f g")) == 1 and got.count((1, "h i j k l m n")) == 1 and (2, "h i j k l m n") not in got
+    assert (None, "a b c d e f g") in got and (4, None) in got and got.count((3, "")) == 1
