@@ -80,3 +80,30 @@ def test_project_round_trip(spark, tmp_path):
     sinks.save_project({"points": df}, str(tmp_path / "p"), {"cell": 10})
     tables, settings = sinks.load_project(spark, str(tmp_path / "p"))
     assert tables["points"].collect() == df.collect() and settings == {"cell": 10}
+
+
+def test_images_show_data_and_leave_gaps_clear():
+    import zlib
+
+    v = np.array([[0.0, 5.0, np.nan], [10.0, 2.5, 7.5]])
+    rgba = sinks.coloured(v, [(0, 0, 0), (200, 100, 0)])
+    assert rgba[0, 1].tolist() == [100, 50, 0, 255] and rgba[0, 2, 3] == 0 and rgba[1, 0].tolist() == [200, 100, 0, 255]
+    image = sinks.png(rgba)
+    at = image.index(b"IDAT")
+    size = struct.unpack(">I", image[at - 4 : at])[0]
+    lines = np.frombuffer(zlib.decompress(image[at + 4 : at + 4 + size]), np.uint8).reshape(2, 13)
+    assert image[:8] == b"\x89PNG\r\n\x1a\n" and (lines[1, 1:].reshape(3, 4) == rgba[0]).all()
+    shaded = sinks.coloured(np.add.outer(np.arange(8.0), np.arange(8.0)), [(0, 0, 0), (255, 255, 255)], shade=True, cell=10.0)
+    assert shaded.shape == (8, 8, 4) and shaded[..., :3].max() <= 255
+    tiff = sinks.geotiff_coloured(rgba, 100.0, 200.0, 10.0, 32652)
+    ifd = struct.unpack("<I", tiff[4:8])[0]
+    tags = {t[0]: t for t in (struct.unpack("<HHII", tiff[ifd + 2 + 12 * k : ifd + 14 + 12 * k]) for k in range(struct.unpack("<H", tiff[ifd : ifd + 2])[0]))}
+    assert tags[256][3] == 3 and tags[277][3] == 4 and tiff[tags[273][3] : tags[273][3] + 24] == rgba[::-1].tobytes()
+
+
+def test_survey_reads_each_file_once_and_only_its_formats(spark, files):
+    rows = loaders.text_rows(spark, files)
+    kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in loaders.file_formats(rows).collect()}
+    assert kinds["b.csv"] == "sensys_r1" and kinds["d.txt"] == "sensys_r3_raw" and kinds["g.csv"] == "generic"
+    plan = loaders.load_survey(spark, files)._jdf.queryExecution().toString()
+    assert "FileScan text" not in plan  # the lines have been written once
