@@ -435,7 +435,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = NUM, den: int = D
     Words are A-Z lower-cased; a document's set holds its distinct shingles of k words, or its whole sequence
     if that is shorter. Two documents link when den * intersection >= num * union. A null text, or one
     without words, is empty and linked with nothing. Rows with a null doc_id get a null component and take part
-    only through equal sets of other rows. Rows that repeat a doc_id are rows of their own, with their own sets.
+    only through equal sets of other rows. Rows that repeat a doc_id are rows of their own, with their own sets. Texts of
+    any length are taken whole; an empty table gives no rows; other columns are not read, so none can clash.
     """
     digests, links = similar_classes(docs, k, num, den, chunk, most)
     found = components(links)

@@ -246,7 +246,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, known: int =
     whose crc32(doc_id) modulo `folds` is not `held` (a null doc_id is held out). base_score is the sum of
     log10((c+1)/(N+V+1)); score the recurrent model's log10 probability. Counts and the
     recurrent weights take all training documents, whole; how the input is dealt over partitions has a part in the
-    weights. With nothing to learn from, both models give each word the same share. Tokens are compared by 64-bit hashes.
+    weights. With nothing to learn from, both models give each word the same share. Rows that repeat another are learned from and scored one by one. Texts of any length are taken whole; an empty table gives
+    no rows; other columns are not read. Tokens are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -155,7 +155,9 @@ class Resampling:
     target: documents of quality 1 that are not toxic, at most `labelled` labelled documents, those of smallest
     hash; raw: all documents. k is the number of documents whose weight is above the one that best parts the
     labelled good from the labelled bad. Without labels of both kinds all documents are kept.
-    A null or empty text weighs 0; rows that repeat a doc_id have the same noise; a null doc_id counts as -1.
+    A null or empty text weighs 0; rows that repeat a doc_id have the same noise; a null doc_id counts as -1. Of equal keys the
+    smaller doc_ids stay, and rows that repeat one stay together. Texts of any length are taken whole; an empty table gives no
+    rows; other columns are passed on, whatever their names.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unigrams: int = UNIGRAMS, leads: int = LEADS, prior: float = PRIOR, zone: float = ZONE, seed: int = SEED):

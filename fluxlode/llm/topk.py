@@ -144,7 +144,7 @@ def exact_topk(
 
     Rows with a null id, or a vector that is null or holds a null or non-finite component, take no part.
     Vectors of different lengths are compared over their common components. Repeated rows count one by one
-    as candidates; queries that repeat an id are taken once (any of its vectors). An empty table gives no rows.
+    as candidates; queries that repeat an id are taken once (any of its vectors). An empty table gives no rows; other columns are not read.
     Scores are exact while they are below 2**53. Queries are broadcast in blocks of about `block`.
     """
     spark: SparkSession = df.sparkSession
