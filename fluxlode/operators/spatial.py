@@ -28,11 +28,9 @@ def within(left: DataFrame, right: DataFrame, radius: float, spread_left: bool =
 
 def _reach(left: DataFrame, right: DataFrame) -> float:
     """No left row is further from any right row."""
-    ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    a, b = ends(left, "x", "y"), ends(right, "x2", "y2")
-    if a[0] is None or b[0] is None:
-        return 0.0
-    return ((max(a[1], b[1]) - min(a[0], b[0])) ** 2 + (max(a[3], b[3]) - min(a[2], b[2])) ** 2) ** 0.5
+    both = left.select("x", "y").union(right.select("x2", "y2"))
+    x0, x1, y0, y1 = both.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5 if x0 is not None and y0 is not None else 0.0
 
 
 def _widening(left: DataFrame, keys: list[str], right: DataFrame, radius: float, found, enough: Column) -> DataFrame:

@@ -91,3 +91,13 @@ def latitude_warning(inclination: float, least: float = 30.0) -> str | None:
 def places(found: DataFrame, lat, lon) -> DataFrame:
     """extrema's rows with their place in degrees."""
     return found.withColumn("lat", lat).withColumn("lon", lon)
+
+
+def verdicts(figures: DataFrame) -> DataFrame:
+    """figures (a row a survey, a column an input of CRITERIA) with a verdict per criterion and `overall`, by certificate's rules."""
+    out, names = figures, list(CRITERIA)
+    for name, (key, most) in CRITERIA.items():
+        v = F.col(key) if key in figures.columns else F.lit(None).cast("double")
+        out = out.withColumn(name, F.when(v.isNull(), "not_evaluated").when(v <= most, "pass").otherwise("fail"))
+    every = F.array(*names)
+    return out.withColumn("overall", F.when(F.array_contains(every, "fail"), "fail").when(F.array_contains(every, "pass"), "pass").otherwise("not_evaluated"))

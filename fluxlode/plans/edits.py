@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geo, measure
-from ..operators import editing, gridding, interpretation, leveling, series, spatial, stats, timejoin
+from ..operators import editing, gridding, interpretation, inversion, leveling, series, spatial, stats, timejoin
+from ..sources import sinks
 from .points import LINE, ORDER, OVER, PMOD, W, _diff, query
 from .surfaces import EDGES, EVEN, RING, _evened
 from .tables import ctes, q6, r6, view
@@ -414,3 +415,68 @@ def extrema_places(spark, d):
 def score_overlay(spark, d):
     g = view(spark, d, "grid").withColumn("value", 1 / (1 + F.exp(-(F.col("value") - 55))))
     return stats.grid_overlay(g).select("n_cells", r6("min").alias("min"), r6("max").alias("max"), r6("mean").alias("mean"))
+
+
+MODEL = ctes("grid") + ", m AS (SELECT row, col, CAST(k AS INT) AS layer, easting AS x, northing AS y, -5.0::DOUBLE - 10 * k AS z, value * (k + 1) / 64 AS chi FROM grid, (SELECT unnest(range(4)) AS k) WHERE (row + col + k) % 5 > 0)"
+
+
+def _model(spark, d):
+    g = view(spark, d, "grid").withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter((F.col("row") + F.col("col") + F.col("layer")) % 5 > 0)
+    return g.select("row", "col", "layer", F.col("easting").alias("x"), F.col("northing").alias("y"), (-5.0 - 10 * F.col("layer")).alias("z"), (F.col("value") * (F.col("layer") + 1) / 64).alias("chi"))
+
+
+@query("m_horizontal_slice", MODEL + f" SELECT row, col, CASE WHEN chi >= 1.5 AND chi <= 1.8 THEN {q6('chi')} END AS chi FROM m WHERE layer = 1")
+def horizontal_slice(spark, d):
+    return inversion.horizontal_slice(_model(spark, d), 1, 1.5, 1.8).select("row", "col", r6("chi").alias("chi"))
+
+
+@query("m_vertical_section", MODEL + f", p AS (SELECT i * 4.0::DOUBLE AS s, i * 4.0::DOUBLE AS px, i * 2.0::DOUBLE + 7 AS py FROM (SELECT unnest(range(50)) AS i)) SELECT s, layer, z, {q6('chi')} AS chi FROM p JOIN m ON col = floor(px / 10 + 0.5) AND row = floor(py / 10 + 0.5)")
+def vertical_section(spark, d):
+    path = spark.range(50).select((F.col("id") * 4.0).alias("s"), (F.col("id") * 4.0).alias("x"), (F.col("id") * 2.0 + 7).alias("y"))
+    return inversion.vertical_section(_model(spark, d), path, 10.0).select("s", "layer", "z", r6("chi").alias("chi"))
+
+
+@query("m_box_faces", MODEL + """, t AS (SELECT *, min(layer) OVER (PARTITION BY row, col) AS top FROM m) SELECT row, col, layer, 'top' AS face FROM t WHERE layer = top + 1 UNION ALL SELECT row, col, layer, 'south' FROM t WHERE row = 0 UNION ALL SELECT row, col, layer, 'north' FROM t WHERE row = 15
+  UNION ALL SELECT row, col, layer, 'west' FROM t WHERE col = 0 UNION ALL SELECT row, col, layer, 'east' FROM t WHERE col = 15""")
+def box_faces(spark, d):
+    return inversion.box_faces(_model(spark, d), 1).select("row", "col", "layer", "face")
+
+
+@query("m_upsample", MODEL + f""", b AS (SELECT a.row, a.col, a.layer, a.x, a.y, a.z, {', '.join(f'c{i}{j}{k}.chi AS v{i}{j}{k}' for i in (0, 1) for j in (0, 1) for k in (0, 1))} FROM m a {' '.join(f'JOIN m c{i}{j}{k} ON c{i}{j}{k}.row = a.row + {i} AND c{i}{j}{k}.col = a.col + {j} AND c{i}{j}{k}.layer = a.layer + {k}' for i in (0, 1) for j in (0, 1) for k in (0, 1))}),
+f AS (SELECT *, i / 2.0::DOUBLE AS fr, j / 2.0::DOUBLE AS fc, k / 2.0::DOUBLE AS fl FROM b, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k))
+SELECT x + 10 * fc AS x, y + 10 * fr AS y, z - 10 * fl AS z, {q6(' + '.join(f"v{i}{j}{k} * {'fr' if i else '(1 - fr)'} * {'fc' if j else '(1 - fc)'} * {'fl' if k else '(1 - fl)'}" for i in (0, 1) for j in (0, 1) for k in (0, 1)))} AS chi FROM f""")
+def upsample(spark, d):
+    return inversion.upsample(_model(spark, d), 2).select("x", "y", "z", r6("chi").alias("chi"))
+
+
+@query("g_nearest_pair_offset", EVEN + f""", s AS (SELECT *, max(mag_raw) OVER w - min(mag_raw) OVER w AS rg FROM survey WINDOW w AS (PARTITION BY line_id ORDER BY t, point_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), o AS (SELECT line_id, line_id % 2 AS grp, avg(-x * sin(radians(90)) + y * cos(radians(90))) AS c FROM survey GROUP BY 1, 2),
+p AS (SELECT line_id, grp, lead(line_id) OVER (ORDER BY c, line_id) AS nxt, lead(grp) OVER (ORDER BY c, line_id) AS ng FROM o), k AS (SELECT a.point_id, a.line_id % 2 AS grp, a.mag_raw AS v, a.rg, b.mag_raw AS v2, row_number() OVER (PARTITION BY a.point_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.point_id) AS r
+  FROM s a JOIN p USING (line_id) JOIN s b ON b.line_id = p.nxt AND abs(a.x - b.x) <= 75 AND abs(a.y - b.y) <= 75 WHERE grp <> ng AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 75), n AS (SELECT * FROM k WHERE r = 1)
+SELECT {q6("median(CASE WHEN grp = 0 THEN v2 - v ELSE v - v2 END)")} AS "offset", count(*) AS n FROM n WHERE rg <= (SELECT quantile_cont(rg, 0.4) FROM n)""")
+def nearest_pair(spark, d):
+    s = _evened(spark, d).withColumn("group", F.when(F.col("line_id") % 2 == 0, "A").otherwise("B"))
+    return leveling.nearest_pair_offset(s, "mag_raw", 90.0, 50.0).select(r6("offset").alias("offset"), "n")
+
+
+@query("h_outline_area", ctes("survey") + """, t AS (SELECT DISTINCT floor(x / 20) AS c, floor(y / 20) AS r FROM survey), i AS (SELECT DISTINCT c + a AS c, r + b AS r FROM t, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b) WHERE a * a + b * b <= 4) SELECT count(*) * 400.0::DOUBLE AS area_m2 FROM i""")
+def outline_area(spark, d):
+    return spatial.survey_outline(view(spark, d, "survey"), 40.0)[1]
+
+
+@query("l_certificates", ctes("survey") + """, f AS (SELECT line_id, avg(mag_raw % 7) AS sigma_nt, CASE WHEN line_id % 4 > 0 THEN line_id / 8.0 END AS gap_pct, line_id * 1.5 AS excluded_pct FROM survey GROUP BY line_id),
+v AS (SELECT line_id, CASE WHEN sigma_nt <= 5 THEN 'pass' ELSE 'fail' END AS a, CASE WHEN gap_pct IS NULL THEN 'not_evaluated' WHEN gap_pct <= 5 THEN 'pass' ELSE 'fail' END AS b, CASE WHEN excluded_pct <= 30 THEN 'pass' ELSE 'fail' END AS c FROM f)
+SELECT line_id, a AS repeatability, b AS sampling_gaps, c AS excluded, 'not_evaluated' AS noise, CASE WHEN 'fail' IN (a, b, c) THEN 'fail' ELSE 'pass' END AS overall FROM v""")
+def certificates(spark, d):
+    f = view(spark, d, "survey").groupBy("line_id").agg(F.avg(F.col("mag_raw") % 7).alias("sigma_nt")).withColumn("gap_pct", F.when(F.col("line_id") % 4 > 0, F.col("line_id") / 8.0)).withColumn("excluded_pct", F.col("line_id") * 1.5)
+    return stats.verdicts(f).select("line_id", "repeatability", "sampling_gaps", "excluded", "noise", "overall")
+
+
+@query("b_point_lines", EDITED + " SELECT CAST(point_id AS VARCHAR) || ',' || CAST(mag_raw AS VARCHAR) || ',' || CAST(line AS VARCHAR) || ',' || coalesce(reason, '') || ',\"a, b\"' AS value FROM p")
+def point_lines(spark, d):
+    return sinks.csv_lines(_edited(spark, d).withColumn("note", F.lit("a, b")), ["point_id", "mag_raw", "line_id", "reason", "note"])
+
+
+@query("b_target_lines", ctes("grid") + " SELECT CAST(row_number() OVER (ORDER BY round(value, 2) DESC, easting, northing) AS VARCHAR) || ',' || CAST(easting AS VARCHAR) || ',' || CAST(round(value, 2) AS VARCHAR) AS value FROM grid WHERE value > 56")
+def target_lines(spark, d):
+    t = view(spark, d, "grid").filter("value > 56").select(F.col("easting").alias("x"), F.col("northing").alias("y"), F.round("value", 2).alias("quality"))
+    return sinks.csv_lines(sinks.ranked_targets(t), ["target_id", "x", "quality"])

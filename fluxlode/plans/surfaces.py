@@ -169,7 +169,7 @@ def radius(spark, d):
 SELECT a.point_id, other, {q6("d")} AS distance_m FROM a LEFT JOIN (SELECT * FROM n WHERE k = 1) n USING (point_id)""")
 def nearest(spark, d):
     a, b = _shaken(spark, d)
-    return spatial.nearest(a, "point_id", b, "other", 4.0, apart=True).select("point_id", "other", r6("distance_m").alias("distance_m"))
+    return spatial.nearest(a, "point_id", b, "other", 12.0, apart=True).select("point_id", "other", r6("distance_m").alias("distance_m"))
 
 
 RING = [(100.0, -300.0), (900.0, -200.0), (700.0, 100.0), (1200.0, 500.0), (300.0, 700.0)]

@@ -15,16 +15,26 @@ WGS84 = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,
 POINT_COLUMNS = ["point_id", "timestamp", "lat", "lon", "mag_raw", "mag_filtered", "anomaly", "tmi", "line_id"]
 
 
+def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): the columns of each row as one line of CSV; nulls are empty."""
+    cell = lambda c: F.coalesce(F.when(F.col(c).cast("string").rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c).cast("string")), F.lit(""))
+    return df.select(F.concat_ws(",", *map(cell, columns)).alias("value"))
+
+
 def points_csv(points: DataFrame, path: str) -> None:
     """The points' main columns and `excluded`, as a folder of CSV files with headers."""
     have = [c for c in POINT_COLUMNS if c in points.columns]
     points.select(*have, (F.col("line_id") < 0).alias("excluded")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def targets_csv(targets: DataFrame, path: str) -> None:
-    """Targets, ranked by quality from 1. They are few: one window orders them."""
+def ranked_targets(targets: DataFrame) -> DataFrame:
+    """Targets with target_id, their rank by quality from 1. They are few: one window orders them."""
     ranked = targets.withColumn("target_id", F.row_number().over(Window.orderBy(F.desc("quality"), "x", "y")))
-    ranked.select("target_id", *targets.columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    return ranked.select("target_id", *targets.columns)
+
+
+def targets_csv(targets: DataFrame, path: str) -> None:
+    ranked_targets(targets).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def base_csv(base: DataFrame, path: str) -> None:
