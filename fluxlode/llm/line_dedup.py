@@ -3,7 +3,8 @@
 A line's way through the tree: its token count, its leading tokens, then the half of the remaining
 tokens that is kept while the other half is variable. Tokens that hold a digit are variable at every
 level. Each node is a hash, so equal templates meet in one map-side combined aggregate, in no
-order, and a line that every document carries is one row.
+order, and a line that every document carries is one row. Very short lines have leaves of their own, by all their
+tokens, which must recur in more documents; an odd hash tells such a leaf.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ LEADING = 3
 GENERAL = 8
 LEAST = 3
 DOCS = 5
+#: Documents in which a line of fewer than LEAST tokens must recur.
+SHORT_DOCS = 20
 
 
 def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -31,8 +34,8 @@ def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def templates(column: pa.Array, leading: int = LEADING, general: int = GENERAL, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines' offsets by row, first template, second template) of each line; 0 where there is none.
 
-    A line of fewer than `least` tokens has no template; one of fewer than `general` has only that of all
-    its tokens, in both places; a longer one has a template for each half of its body that may vary.
+    A line of fewer than `general` tokens has only the template of all its tokens, in both places; a longer one has a template for
+    each half of its body that may vary. Templates of lines of fewer than `least` tokens are odd, all others even; a blank line has none.
     """
     w = words(column)
     data, at = buffers(column)
@@ -55,7 +58,9 @@ def templates(column: pa.Array, leading: int = LEADING, general: int = GENERAL,
     long = n >= general
     one = np.where(long, mix(mix(head + front) + np.uint64(1)), mix(head + front + back))
     two = np.where(long, mix(mix(head + back) + np.uint64(2)), one)
-    none = n < least
+    few = (n < least).astype(np.uint64)
+    one, two = ((x & ~np.uint64(1)) | few for x in (one, two))
+    none = n == 0
     one[none], two[none] = 0, 0
     return lines, one.view(np.int64), two.view(np.int64)
 
@@ -90,12 +95,12 @@ def _drop(columns: list[str], gone_lines: str, counted: tuple[str, str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = DOCS, leading: int = LEADING, general: int = GENERAL, least: int = LEAST, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = DOCS, short_docs: int = SHORT_DOCS, leading: int = LEADING, general: int = GENERAL, least: int = LEAST, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with recurring lines taken out of text, and n_lines and n_removed.
 
-    A line goes if one of its templates occurs in at least min_docs documents, unless its document is the
-    one of smallest doc_id that has the template. Lines end at \\n; blank ones and those of fewer than
-    `least` tokens stay. Every row counts as a document, also one that repeats a doc_id; a null doc_id is
+    A line goes if one of its templates occurs in at least min_docs documents (short_docs, if it has fewer than `least` tokens),
+    unless its document is the one of smallest doc_id that has the template. Lines end at \\n; blank ones stay. Every row
+    counts as a document, also one that repeats a doc_id; a null doc_id is
     larger than any other. A null or empty text has no lines and stays as it is; a text that loses all its
     lines becomes empty. An empty table gives none; texts are taken whole, whatever their length. Other columns are
     passed on, whatever their names; `counts` are the names of the two counts, which replace columns of that name.
@@ -109,7 +114,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = DOCS, leading: int = LEADING, g
     parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), text.alias("text"))
     parsed = written(parsed.mapInArrow(_parse(leading, general, least), "doc_id long, own long, one array<long>, two array<long>"), "templates")
     keys = parsed.select("doc_id", F.explode(F.array_distinct(F.concat("one", "two"))).alias("key")).filter("key <> 0")
-    often = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter(F.col("n") >= min_docs)
+    often = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter(F.col("n") >= F.when(F.col("key").bitwiseAND(1) == 1, short_docs).otherwise(min_docs))
     often = written(often.select("key", "least"), "recurring")
     both = F.arrays_zip("one", "two")
     lines = parsed.select("doc_id", "own", F.posexplode(both).alias("line", "t"))

@@ -33,9 +33,9 @@ OP1 = """
 WITH l AS (SELECT doc_id, u.n, u.line FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS s FROM documents),
   LATERAL (SELECT unnest(s) AS line, unnest(range(len(s))) AS n) u),
 t AS (SELECT doc_id, n, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
-k AS (SELECT DISTINCT doc_id, n, unnest(CASE WHEN len(w) < 3 THEN [] WHEN len(w) < 8 THEN [['=', array_to_string(w, ' ')]]
+k AS (SELECT DISTINCT doc_id, n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [['.', array_to_string(w, ' ')]] WHEN len(w) < 8 THEN [['=', array_to_string(w, ' ')]]
   ELSE [['<', len(w)::VARCHAR, array_to_string(w[:3 + (len(w) - 2) // 2], ' ')], ['>', len(w)::VARCHAR, array_to_string(w[:3], ' '), array_to_string(w[4 + (len(w) - 2) // 2:], ' ')]] END) AS key FROM t),
-r AS (SELECT key, min(doc_id) AS least FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+r AS (SELECT key, min(doc_id) AS least FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= CASE WHEN key[1] = '.' THEN 20 ELSE 5 END),
 g AS (SELECT DISTINCT doc_id, n FROM k JOIN r USING (key) WHERE doc_id > least)
 SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN (SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL) AS kept

@@ -10,11 +10,11 @@ from fluxlode.llm.line_dedup import dedup_lines
 from fluxlode.llm.quality import Resampling, cutoff, gumbel, kth
 
 
-def brute_lines(rows, min_docs):
+def brute_lines(rows, min_docs, short_docs=20):
     def keys(line):
         w = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
         if len(w) < 3:
-            return set()
+            return {(".", *w)} if w else set()
         if len(w) < 8:
             return {("=", *w)}
         cut = 3 + (len(w) - 2) // 2
@@ -24,7 +24,7 @@ def brute_lines(rows, min_docs):
     for n, (i, text) in enumerate(rows):
         for k in {k for line in (text or "").split("\n") for k in keys(line)}:
             seen[k].append(i)
-    often = {k: min(x for x in ids if x is not None) for k, ids in seen.items() if len(ids) >= min_docs}
+    often = {k: min(x for x in ids if x is not None) for k, ids in seen.items() if len(ids) >= (short_docs if k[0] == "." else min_docs)}
     out = []
     for i, text in rows:
         lines = text.split("\n") if text else []
@@ -41,6 +41,8 @@ def test_line_dedup_equals_brute_force(spark, docs_of):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
     got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs_of(rows), min_docs=4).collect()]
     assert sorted(got, key=key) == sorted(brute_lines(rows, 4), key=key)
+    short = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs_of(rows), min_docs=4, short_docs=6).collect()]
+    assert sorted(short, key=key) == sorted(brute_lines(rows, 4, 6), key=key) and sum(r[3] for r in short) > sum(r[3] for r in got)
     assert sum(r[3] for r in got) > 20
     assert dedup_lines(docs_of(rows), min_docs=4).columns == ["doc_id", "text", "lang", "source", "n_chars", "hash", "n_lines", "n_removed"]
     assert dedup_lines(docs_of(rows).limit(0)).collect() == []
