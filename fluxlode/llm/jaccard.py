@@ -283,7 +283,7 @@ def rare_stars(text: DataFrame, digests: DataFrame, k: int, num: int, den: int,
     """Stars (a, b) of the classes that share a shingle of both prefixes. Pairs of shingles and classes are dealt to parts of bounded
     size; a star has one row a class, and its smallest class is found by a minimum that is combined before the shuffle."""
     total = digests.agg(F.sum("plain")).first()[0] or 0
-    parts = max(1, total // PAIRS)
+    parts = max(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PAIRS)
     n = F.col("x.n")
     spare = n - F.ceil(n * num / den) + 1 - F.col("x.plain")  # prefix less the shingles that aren't hot
     classes = digests.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("n", "plain")).alias("x")).select("cls", spare.cast("long").alias("spare"))
