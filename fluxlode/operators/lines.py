@@ -43,7 +43,7 @@ def headings(df: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     step = df.select(*FILE, (F.col("t") - F.lag("t").over(w)).alias("d")).filter("d > 0").groupBy(*FILE).agg(F.median("d").alias("_d"))
     found = step.select(*FILE, F.greatest(F.lit(1), F.bround(F.lit(rules.lag_seconds) / F.col("_d")).cast("int")).alias("_lag")).collect()  # a row a file
     sizes = sorted({1, *(r._lag for r in found)})
-    lags = df.sparkSession.createDataFrame([tuple(r) for r in found], step.select(*FILE).schema.add("_lag", "int"))
+    lags = df.sparkSession.createDataFrame([tuple(r) for r in found], step.select(*FILE).schema.add("_lag", "integer"))
     df = df.join(F.broadcast(lags), FILE, "left").withColumn("_lag", F.coalesce("_lag", F.lit(1)))
     place = F.struct("t", "x", "y")
     at = lambda move: F.coalesce(*[F.when(F.col("_lag") == n, move(place, n).over(w)) for n in sizes])
