@@ -285,8 +285,8 @@ def nearest_pair_offset(df: DataFrame, value: str, azimuth: float, spacing: floa
     o = Window.orderBy("c", "line_id")
     pairs = order.select("line_id", "group", F.lead("line_id").over(o).alias("next_id"), F.lead("group").over(o).alias("next_group")).filter("group <> next_group").select("line_id", "next_id")
     left = p.join(F.broadcast(pairs), "line_id").select("point_id", "next_id", "x", "y", F.col(value).alias("v"), "group", "_range")
-    right = p.select(F.col("line_id").alias("line2"), F.col("point_id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(value).alias("v2"))
-    best = within(left, right, most_m).filter("line2 = next_id").groupBy("point_id", "group", "v", "_range").agg(F.min_by("v2", F.struct("d", "id2")).alias("v2"))
+    right = p.select(F.col("line_id").alias("next_id"), F.col("point_id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(value).alias("v2"))
+    best = within(left, right, most_m, on=("next_id",)).groupBy("point_id", "group", "v", "_range").agg(F.min_by("v2", F.struct("d", "id2")).alias("v2"))
     cut = best.agg(F.percentile("_range", quiet / 100).alias("_q"))
     calm = best.crossJoin(F.broadcast(cut)).filter(F.col("_range") <= F.col("_q"))
     return calm.agg(F.median(F.when(F.col("group") == "A", F.col("v2") - F.col("v")).otherwise(F.col("v") - F.col("v2"))).alias("offset"), F.count("*").alias("n"))

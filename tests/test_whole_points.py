@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from fluxlode.operators import spatial
 from fluxlode.plans import surfaces
@@ -37,3 +38,11 @@ def test_queries_take_every_point(spark):
     ids = {r.point_id for r in surfaces.view(spark, DIR, "survey").collect()}
     assert {r.point_id for r in QUERIES["h_nearest"](spark, DIR).collect()} == ids
     assert {r.id for r in QUERIES["h_components"](spark, DIR).collect()} == ids
+
+
+def test_rows_dealt_to_nine_cells_are_not_broadcast(spark):
+    a = spark.range(50).select("id", (F.col("id") * 3.0).alias("x"), F.lit(0.0).alias("y"), (F.col("id") % 2).alias("k"))
+    b = a.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "k")
+    assert "Broadcast" not in spatial.within(a, b.drop("k"), 6.0)._jdf.queryExecution().executedPlan().toString()
+    pairs = spatial.within(a, b, 6.0, on=("k",))
+    assert {(r.id, r.id2) for r in pairs.collect()} == {(i, j) for i in range(50) for j in (i - 2, i, i + 2) if 0 <= j < 50}
