@@ -16,11 +16,12 @@ from .spatial import nearest
 MOST_CELLS = 3_000_000
 
 
-def lattice(points: DataFrame, cell: float) -> tuple[float, float, int, int]:
-    """(x0, y0, nx, ny): nodes at exact spacing from the points' lower left corner; one row of bounds reaches the driver."""
+def lattice(points: DataFrame, cell: float, most: float = MOST_CELLS) -> tuple[float, float, int, int]:
+    """(x0, y0, nx, ny): nodes at exact spacing from the points' lower left corner; one row of bounds reaches the driver. Grids that are
+    packed or inverted have `most` cells; long ones need no bound."""
     b = points.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
     nx, ny = int(round((b.b - b.a) / cell)) + 1, int(round((b.d - b.c) / cell)) + 1
-    if nx * ny > MOST_CELLS:
+    if nx * ny > most:
         raise ValueError(f"{nx * ny} cells; choose larger cells")
     return b.a, b.c, nx, ny
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,15 @@ def _reach(left: DataFrame, right: DataFrame) -> float:
     return ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5 if x0 is not None and y0 is not None else 0.0
 
 
-def _widening(left: DataFrame, keys: list[str], right: DataFrame, radius: float, found, enough: Column) -> DataFrame:
+def _widening(left: DataFrame, keys: list[str], right: DataFrame, radius: float, found, enough: Column, far=None) -> DataFrame:
     """found(pairs) of every left row, one row per `keys`: the search doubles its radius for those without `enough`, until it
-    covers everything. Later rounds have few rows left, which are dealt to the nine cells in place of the right side."""
-    todo, out, most = left.select(*keys, "x", "y"), None, _reach(left, right)
+    covers everything. Later rounds have few rows left, which are dealt to the nine cells in place of the right side. What two rounds
+    have left goes to far(rows, right, radius, reach), which gives the pairs that decide, if there is one."""
+    todo, out, most, end = left.select(*keys, "x", "y"), None, _reach(left, right), 4 * radius
     while True:
         last = radius >= most
+        if far and not last and radius >= end:
+            return out.unionByName(written(found(far(todo, right, radius, most)), "near"))
         got = written(found(within(todo, right, radius, spread_left=out is not None)), "near")
         done = got if last else got.filter(enough)
         out = done if out is None else out.unionByName(done)
@@ -61,6 +66,37 @@ def nearest(left: DataFrame, key: str, right: DataFrame, id2: str, radius: float
     return left.join(found, key, "left").withColumn("distance_m", F.col("_b.d")).withColumn(id2, F.col(f"_b.{id2}")).drop("_b")
 
 
+def _two_nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of a left box (ax, bx, ay, by) per `keys` and boxes of lines (ax2, bx2, ay2, by2) without the boxes that hold no point of the two lines nearest to
+    any place in the left box: they begin further away than all of two lines' boxes end."""
+    far = lambda a, b, a2, b2: F.greatest(F.col(b2) - F.col(a), F.col(b) - F.col(a2))
+    near = lambda a, b, a2, b2: F.greatest(F.col(a2) - F.col(b), F.col(a) - F.col(b2), F.lit(0.0))
+    x, y = ("ax", "bx", "ax2", "bx2"), ("ay", "by", "ay2", "by2")
+    size = lambda of: F.sqrt(F.pow(of(*x), 2) + F.pow(of(*y), 2))
+    whole = pairs.withColumn("_h", F.min(size(far)).over(Window.partitionBy(*keys, "line_id")))
+    second = F.get(F.array_sort(F.collect_set(F.struct("_h", "line_id")).over(Window.partitionBy(*keys))), F.lit(1))["_h"]
+    return whole.withColumn("_h", second).filter(size(near) <= F.col("_h") * (1 + 1e-12)).drop("_h")
+
+
+def _far_lines(nodes: DataFrame, points: DataFrame, size: float, reach: float) -> DataFrame:
+    """(row, col, line_id, d): distances of nodes to points, among them the nearest of each node's two nearest lines, however far. Blocks of nodes
+    go down a pyramid of tiles of the lines, eight a side in the next larger one, and keep the tiles that may decide; then each node does."""
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    ends = lambda to, x, y, x1, y1: [F.min(x).alias(f"ax{to}"), F.max(x1).alias(f"bx{to}"), F.min(y).alias(f"ay{to}"), F.max(y1).alias(f"by{to}")]
+    nodes, points = (written(df.withColumn(tx, at(x)).withColumn(ty, at(y)), "tiled") for df, tx, ty, x, y in ((nodes, "nx", "ny", "x", "y"), (points, "tx", "ty", "x2", "y2")))
+    tiles = written(points.groupBy("line_id", "tx", "ty").agg(*ends("2", "x2", "y2", "x2", "y2")), "tiles")
+    kept, depth, box = written(nodes.groupBy("nx", "ny").agg(*ends("", "x", "y", "x", "y")), "blocks"), max(0, math.ceil(math.log(max(reach / size, 1.0), 8))), ["ax", "bx", "ay", "by"]
+    for k in range(depth, -1, -1):
+        level = tiles.groupBy("line_id", F.shiftright("tx", 3 * k).alias("tx"), F.shiftright("ty", 3 * k).alias("ty")).agg(*ends("2", "ax2", "ay2", "bx2", "by2"))
+        inner = level.withColumn("px", F.shiftright("tx", 3)).withColumn("py", F.shiftright("ty", 3))
+        pairs = kept.crossJoin(F.broadcast(level)) if k == depth else kept.join(inner, ["line_id", "px", "py"])  # the top has at most four tiles a line
+        kept = written(_two_nearest(pairs, ["nx", "ny"]).select("nx", "ny", *box, "line_id", F.col("tx").alias("px"), F.col("ty").alias("py"), *[f"{c}2" for c in box]), "kept")
+        kept, last = kept.drop(*[f"{c}2" for c in box]), kept
+    own = nodes.join(last.drop(*box), ["nx", "ny"]).withColumns({"ax": F.col("x"), "bx": F.col("x"), "ay": F.col("y"), "by": F.col("y")})
+    own = _two_nearest(own, ["row", "col"]).select("row", "col", "x", "y", "line_id", F.col("px").alias("tx"), F.col("py").alias("ty"))
+    return own.join(points, ["line_id", "tx", "ty"]).withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)))
+
+
 def line_gap(cells: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """(row, col, gap_m): sum of a cell's distances to the two nearest lines, however far; null if there are fewer lines."""
 
@@ -69,7 +105,7 @@ def line_gap(cells: DataFrame, points: DataFrame, radius: float) -> DataFrame:
         ranked = per_line.withColumn("_r", F.row_number().over(Window.partitionBy("row", "col").orderBy("d", "line_id"))).filter("_r <= 2")
         return ranked.groupBy("row", "col").agg(F.sum("d").alias("_s"), F.count("*").alias("_n"))
 
-    got = _widening(cells, ["row", "col"], points.select("line_id", "x2", "y2"), radius, two, F.col("_n") == 2)
+    got = _widening(cells, ["row", "col"], points.select("line_id", "x2", "y2"), radius, two, F.col("_n") == 2, _far_lines)
     return cells.join(got, ["row", "col"], "left").select("row", "col", F.when(F.col("_n") == 2, F.col("_s")).alias("gap_m"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -207,7 +208,7 @@ LATTICE = ", b0 AS (SELECT min(x) AS x0, min(y) AS y0, CAST(round((max(x) - min(
 k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d, line_id) AS n FROM m) SELECT row, col, {q6("sum(d)")} AS gap_m FROM k WHERE n <= 2 GROUP BY row, col""")
 def gap(spark, d):
     points = view(spark, d, "survey")
-    x0, y0, nx, ny = gridding.lattice(points, 25.0)
+    x0, y0, nx, ny = gridding.lattice(points, 25.0, math.inf)
     cells = gridding.nodes(spark, x0, y0, nx, ny, 25.0).withColumn("x", F.col("easting")).withColumn("y", F.col("northing"))
     return spatial.line_gap(cells, points.select("line_id", F.col("x").alias("x2"), F.col("y").alias("y2")), 50.0).select("row", "col", r6("gap_m").alias("gap_m"))
 

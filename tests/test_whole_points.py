@@ -1,9 +1,10 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fluxlode.operators import spatial
+from fluxlode.operators import gridding, spatial
 from fluxlode.plans import surfaces
 from fluxlode.plans.queries import QUERIES
 
@@ -46,3 +47,24 @@ def test_rows_dealt_to_nine_cells_are_not_broadcast(spark):
     assert "Broadcast" not in spatial.within(a, b.drop("k"), 6.0)._jdf.queryExecution().executedPlan().toString()
     pairs = spatial.within(a, b, 6.0, on=("k",))
     assert {(r.id, r.id2) for r in pairs.collect()} == {(i, j) for i in range(50) for j in (i - 2, i, i + 2) if 0 <= j < 50}
+
+
+@pytest.mark.parametrize("name", ["h_line_gap"])
+def test_long_grids_have_no_most_cells(spark, monkeypatch, name):
+    if not os.path.isdir(DIR):
+        pytest.skip("no test tables here")
+    monkeypatch.setattr(gridding, "MOST_CELLS", 10)
+    got = QUERIES[name](spark, DIR).select("row", "col").collect()
+    assert len(set(got)) == len(got) == (max(r.row for r in got) + 1) * (max(r.col for r in got) + 1) > 10
+
+
+def test_line_gap_far_from_lines_of_any_shape(spark):
+    rng = random.Random(3)
+    points = [(k, rng.uniform(-9000, 9000) * k, rng.gauss(0, 40) + 800 * k) for k in range(1, 6) for _ in range(30)]
+    cells = [(i, j, 700.0 * i - 20000, 500.0 * j - 3000) for i in range(60) for j in range(12)]
+    got = spatial.line_gap(spark.createDataFrame(cells, "row int, col int, x double, y double"), spark.createDataFrame(points, "line_id int, x2 double, y2 double"), 10.0).collect()
+    assert len(got) == len(cells)
+    found = {(r.row, r.col): r.gap_m for r in got}
+    for i, j, x, y in cells:
+        near = sorted(min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for k, a, b in points if k == line) for line in range(1, 6))
+        assert found[i, j] == pytest.approx(near[0] + near[1])
