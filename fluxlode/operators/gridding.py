@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import written
-from .spatial import nearest
 
 MOST_CELLS = 3_000_000
 
@@ -38,11 +37,16 @@ def boxing(points: DataFrame, value: str, x0: float, y0: float, cell: float) ->
 
 
 def nearest_grid(points: DataFrame, value: str, x0: float, y0: float, nx: int, ny: int, cell: float, radius: float) -> DataFrame:
-    """Every node with the value of the nearest point within `radius`, its distance and the confidence 1 - distance/radius."""
-    grid = nodes(points.sparkSession, x0, y0, nx, ny, cell).withColumn("x", F.col("easting")).withColumn("y", F.col("northing")).withColumn("_k", F.struct("row", "col"))
-    pts = points.filter(F.col(value).isNotNull()).select("point_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = nearest(grid, "_k", pts, "point_id", radius, widen=False)
-    out = near.join(points.select("point_id", F.col(value).alias("value")), "point_id", "left")
+    """Every node with the value of the nearest point within `radius` (ties to the smaller point_id), its distance and the confidence 1 - distance/radius."""
+    grid = nodes(points.sparkSession, x0, y0, nx, ny, cell)
+    first = lambda c, o: F.greatest(F.floor((F.col(c) - radius - o) / cell), F.lit(0))
+    last = lambda c, o, n: F.least(F.ceil((F.col(c) + radius - o) / cell), F.lit(n - 1))
+    side = lambda c, o, n: F.explode(F.when(first(c, o) <= last(c, o, n), F.sequence(first(c, o), last(c, o, n))))
+    pts = points.filter(F.col(value).isNotNull()).select("point_id", "x", "y", F.col(value).alias("value"))
+    pairs = pts.withColumn("row", side("y", y0, ny)).withColumn("col", side("x", x0, nx))  # each point goes to the nodes around it
+    far = F.sqrt(F.pow(F.lit(x0) + F.col("col") * cell - F.col("x"), 2) + F.pow(F.lit(y0) + F.col("row") * cell - F.col("y"), 2))
+    best = pairs.withColumn("d", far).filter(F.col("d") <= radius).groupBy(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.min(F.struct("d", "point_id", "value")).alias("_b"))
+    out = grid.join(best, ["row", "col"], "left").withColumn("value", F.col("_b.value")).withColumn("distance_m", F.col("_b.d"))
     confidence = F.when(F.col("distance_m").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance_m") / radius))).otherwise(0.0)
     return out.select("row", "col", "northing", "easting", "value", "distance_m", confidence.alias("confidence"))
 

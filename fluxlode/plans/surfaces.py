@@ -222,7 +222,7 @@ def boxing(spark, d):
 SELECT row, col, {q6("mag_raw")} AS value, {q6("CASE WHEN d IS NULL THEN 0 ELSE greatest(0, least(1, 1 - d / 40)) END")} AS confidence FROM c LEFT JOIN (SELECT * FROM n WHERE k = 1) n USING (row, col)""")
 def nearest_grid(spark, d):
     points = view(spark, d, "survey")
-    return gridding.nearest_grid(points, "mag_raw", *gridding.lattice(points, 30.0), 30.0, 40.0).select("row", "col", r6("value").alias("value"), r6("confidence").alias("confidence"))
+    return gridding.nearest_grid(points, "mag_raw", *gridding.lattice(points, 30.0, math.inf), 30.0, 40.0).select("row", "col", r6("value").alias("value"), r6("confidence").alias("confidence"))
 
 
 @query("i_plane_residual", ctes("grid") + f""", s AS (SELECT avg(value) AS v, avg(easting) AS e, avg(northing) AS n, (covar_pop(easting, value) * var_pop(northing) - covar_pop(northing, value) * covar_pop(easting, northing)) / (var_pop(easting) * var_pop(northing) - pow(covar_pop(easting, northing), 2)) AS a,

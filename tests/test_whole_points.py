@@ -49,7 +49,7 @@ def test_rows_dealt_to_nine_cells_are_not_broadcast(spark):
     assert {(r.id, r.id2) for r in pairs.collect()} == {(i, j) for i in range(50) for j in (i - 2, i, i + 2) if 0 <= j < 50}
 
 
-@pytest.mark.parametrize("name", ["h_line_gap"])
+@pytest.mark.parametrize("name", ["h_line_gap", "i_nearest_grid"])
 def test_long_grids_have_no_most_cells(spark, monkeypatch, name):
     if not os.path.isdir(DIR):
         pytest.skip("no test tables here")
