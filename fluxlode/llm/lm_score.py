@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .langid import fold
 from .quality import kth
-from .recurrent import CLASSES, Model, classes_of
+from .recurrent import Model, classes_of
 from .store import written
 from .words import slices, words
 
@@ -32,13 +32,17 @@ HEAD = 8192
 FIRST_DOCS = 600
 FIRST_TOKENS = 400_000
 ROUNDS = 3
+#: Of the first round; a step is of several thousand tokens.
+RATE = 0.02
 #: Tokens fitted together, about, and the numbers in a row of the weights that are averaged.
-FITTED = 500_000
+FITTED = 2_000_000
 BLOCK = 8192
+#: Broadcast words are found by so many bits of their hashes.
+SLOTS = 20
 #: Words of fewer occurrences are in the last band.
 RARE = 4
 #: Tokens scored together, about; the lanes of the recurrent model share them.
-TOGETHER = 2_000_000
+TOGETHER = 5_000_000
 END = np.uint64(0x5EED0E2D5EED0E2D)
 
 
@@ -72,7 +76,7 @@ def _count(batches):
 
 
 class Lexicon:
-    """The broadcast words: sorted hashes, their counts, their numbers in the recurrent model (last: none is larger)
+    """The broadcast words: hashes by their slots, their counts, their numbers in the recurrent model (last: none is larger)
     and the sizes of their bands. total, distinct: of all words, the others belong to the last band."""
 
     def __init__(self, token: np.ndarray, count: np.ndarray, head: int, total: int, distinct: int):
@@ -85,8 +89,11 @@ class Lexicon:
         self.last = self.head + len(bands)
         number = np.empty(len(token), np.int64)
         number[rank] = np.r_[np.arange(self.head), self.head + band]
-        order = np.argsort(token, kind="stable")
-        self.token, self.count, self.number = token[order], count[order], number[order]
+        slot = self._slot(token)
+        order = np.argsort(slot, kind="stable")
+        self.token, self.count, self.number = token[order], count[order], number[order].astype(np.int32)
+        self.shares = np.log10(self.count + 1.0)
+        self.first = np.searchsorted(slot[order], np.arange((1 << SLOTS) + 1)).astype(np.int32)
         inner = band < len(bands)
         self.band_counts = np.bincount(band[inner], weights=tail[inner], minlength=len(bands)).astype(np.int64)
         self.band_sizes = np.bincount(band[inner], minlength=len(bands))
@@ -95,17 +102,27 @@ class Lexicon:
 
     def model(self) -> Model:
         """The model before it has learned: the words' shares. Bands are classes of one word."""
-        classes = classes_of(self.head_counts, max(CLASSES, math.isqrt(self.head)))
+        classes = classes_of(self.head_counts)
         counts = np.r_[self.head_counts, self.band_counts, self.other_count]
         return Model(np.r_[classes, classes[-1] + 1 + np.arange(len(self.band_counts))], counts=counts)
 
     def look_up(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(is it here, its count or 0, its number)."""
+        """(is it here, log10 of its count and one or 0, its number)."""
         if not len(self.token):
-            return np.zeros(len(token), bool), np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
-        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-        here = self.token[at] == token
-        return here, np.where(here, self.count[at], 0), np.where(here, self.number[at], self.last)
+            return np.zeros(len(token), bool), np.zeros(len(token)), np.zeros(len(token), np.int32)
+        slot = self._slot(token)
+        at, end = self.first[slot], self.first[1:][slot] - 1
+        here = np.take(self.token, at, mode="clip") == token
+        left = np.flatnonzero(~here & (at < end))
+        while len(left):
+            at[left] += 1
+            here[left] = found = self.token[at[left]] == token[left]
+            left = left[~found & (at[left] < end[left])]
+        return here, np.where(here, np.take(self.shares, at, mode="clip"), 0.0), np.where(here, np.take(self.number, at, mode="clip"), np.int32(self.last))
+
+    @staticmethod
+    def _slot(token: np.ndarray) -> np.ndarray:
+        return (token * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)
 
 
 def _texts(lex: Lexicon, batches):
@@ -113,7 +130,7 @@ def _texts(lex: Lexicon, batches):
     for batch in batches:
         for part in slices(batch):
             token, at = tokens(part.column("text"))
-            number = lex.look_up(token)[2].astype(np.int32)
+            number = lex.look_up(token)[2]
             yield from (number[a:b] for a, b in zip(at[:-1], at[1:]))
 
 
@@ -183,7 +200,7 @@ def fitted(train: DataFrame, lexicon, first_docs: int = FIRST_DOCS, first_tokens
     for i in range(rounds):
         sent = spark.sparkContext.broadcast(model.flat())
         own = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(rounds)) == i).select("text")
-        out = own.mapInArrow(_goes_on(lexicon, sent, 0.01 / (i + 1)), "block int, task int, seen long, weights binary")
+        out = own.mapInArrow(_goes_on(lexicon, sent, RATE / (i + 1)), "block int, task int, seen long, weights binary")
         blocks = sorted(out.groupBy("block").applyInArrow(_mean, "block int, seen long, weights binary").collect(), key=lambda r: r.block)
         if blocks:
             model.set_flat(np.concatenate([np.frombuffer(r.weights, np.float32) for r in blocks]))
@@ -214,11 +231,10 @@ def _score(lexicon, model):
         for batch in batches:
             for part in slices(batch):
                 token, at = tokens(part.column("text"))
-                here, count, number = lex.look_up(token)
+                here, share, number = lex.look_up(token)
                 row = np.repeat(np.arange(part.num_rows), np.diff(at))
                 total = lambda v: np.bincount(row, weights=v, minlength=part.num_rows)  # noqa: B023, E731
-                share, other = np.where(here, np.log10(count + 1.0), 0.0), number == lex.last
-                number = number.astype(np.int32)
+                other = number == lex.last
                 banded = (number >= lex.head) & ~other
                 in_band = np.where(other, share, 0.0)
                 in_band[banded] = share[banded] - sizes[number[banded] - lex.head]

@@ -42,7 +42,7 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
 #: Bytes hashed together.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 def powers() -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from fluxlode.llm.lm_score import Lexicon, fitted, score_documents, tokens
-from fluxlode.llm.recurrent import Model, classes_of, lay_out
+from fluxlode.llm.recurrent import Model, classes_of, lay_out, sums
 
 
 def small(hidden=5, seed=1):
@@ -53,6 +53,55 @@ def test_words_probabilities_sum_to_one_and_windows_carry_the_state():
         assert np.allclose(model.score(texts, lanes, window), plain, atol=1e-3)
 
 
+def test_classes_ask_for_few_columns_a_token():
+    """A token costs a column for each class and for each word of its own class; equal shares in 90 classes ask for 163 of these."""
+    counts = 1e7 / np.arange(1, 8193)
+    bounds = classes_of(counts)
+    size = np.diff(bounds)
+    share = np.add.reduceat(counts, bounds[:-1]) / counts.sum()
+    assert bounds[0] == 0 and bounds[-1] == 8192 and size.min() > 0
+    assert len(size) + (size * share).sum() < 140
+
+
+def test_probabilities_of_far_logits_and_of_many_tokens():
+    model, rng = small(), np.random.default_rng(5)
+    for by in (1, 60):  # 60: exponentials would overflow float32
+        for k in ("c", "cb", "w", "wb"):
+            model.p[k] = (model.p[k] * by).astype(np.float32)
+        h, y = rng.normal(size=(2500, 5)).astype(np.float32), rng.integers(0, 10, 2500)
+        p = {k: v.astype(float) for k, v in model.p.items()}
+        own = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+        got = model.log_prob(h, y)[0]
+        for i in rng.integers(0, 2500, 200):
+            k = model.word_class[y[i]]
+            want = own(h[i] @ p["c"] + p["cb"])[k]
+            if k < 3:
+                lo, hi = model.bounds[k : k + 2]
+                want += own(p["w"][lo:hi] @ h[i] + p["wb"][lo:hi])[y[i] - lo]
+            assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_runs_of_any_length_are_summed():
+    rng = np.random.default_rng(7)
+    size = np.r_[rng.integers(1, 12, 200), 300]
+    bounds = np.r_[0, np.cumsum(size)]
+    rows = rng.normal(size=(bounds[-1], 6))
+    assert np.allclose(sums(rows, bounds), np.add.reduceat(rows, bounds[:-1]))
+
+
+def test_words_that_share_a_slot_are_told_apart(monkeypatch):
+    monkeypatch.setattr("fluxlode.llm.lm_score.SLOTS", 4)
+    rng = np.random.default_rng(2)
+    token = rng.integers(0, 2**63, 300).astype(np.uint64)
+    count = rng.integers(1, 1000, 300)
+    lexicon = Lexicon(token, count, 20, int(count.sum()) + 9, 309)
+    here, share, number = lexicon.look_up(np.r_[token, token + np.uint64(1)])
+    assert here[:300].all() and not here[300:].any()
+    assert np.allclose(share, np.r_[np.log10(count + 1.0), np.zeros(300)])
+    rank = np.lexsort((token, -count))
+    assert number[rank[:20]].tolist() == list(range(20)) and (number[300:] == lexicon.last).all()
+
+
 def test_training_learns_an_order():
     texts = [np.array([0, 1, 2, 3] * 10 + [4]) for _ in range(60)]
     model = Model(classes_of(np.array([10, 10, 10, 10, 1])), 8)
